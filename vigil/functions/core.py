@@ -157,41 +157,67 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    keys: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., feature, value, n): multiplicity of every non-missing value
+    of every column, as doubles.  Map-side partial aggregation collapses
+    repeated values before the shuffle."""
+    lf = long_form(df, columns, keys)
+    lf = lf.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return lf.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
+                          buckets: int = 32) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``) of several columns, missing values dropped.
+    ``quantile_cont``) from :func:`value_counts` output.
 
-    Scales past the memory of one task: values are counted per distinct
-    value, ranked with :func:`cumulative`, and the two order statistics
-    around each position are picked by a range test.  Returns one row per
-    (keys..., feature, p) with column ``q``.
+    Scales past the memory of one task: distinct values are ranked with
+    :func:`cumulative` and the two order statistics around each position are
+    picked by a range test against a broadcast (features x probs) table.
+    Returns (keys..., feature, p, q).
     """
     keys = list(keys)
-    lf = long_form(df, columns, keys)
-    lf = lf.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = lf.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = cumulative(counts, keys + ["feature"], "value", ["n"], buckets=buckets)
-    totals = counts.groupBy(*keys, "feature").agg(F.sum("n").alias("total"))
-    pos = totals.select(*keys, "feature", "total",
+    jk = keys + ["feature"]
+    cum = cumulative(counts, jk, "value", ["n"], buckets=buckets)
+    totals = counts.groupBy(*jk).agg(F.sum("n").alias("total"))
+    pos = totals.select(*jk, "total",
                         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    pos = pos.select(*keys, "feature", "p", ((F.col("total") - 1) * F.col("p")).alias("h"))
-    pos = pos.select(*keys, "feature", "p", "h",
-                     F.floor("h").cast("long").alias("lo"),
+    pos = pos.select(*jk, "p", ((F.col("total") - 1) * F.col("p")).alias("h"))
+    pos = pos.select(*jk, "p", "h", F.floor("h").cast("long").alias("lo"),
                      F.ceil("h").cast("long").alias("hi"))
-    # rows whose rank range [cum_n - n, cum_n - 1] holds lo or hi
-    rng = cum.select(*keys, "feature", "value",
-                     (F.col("cum_n") - F.col("n")).alias("r0"),
+    # a distinct value covers ranks [cum_n - n, cum_n - 1]
+    rng = cum.select(*jk, "value", (F.col("cum_n") - F.col("n")).alias("r0"),
                      (F.col("cum_n") - 1).alias("r1"))
-    jk = keys + ["feature"]
-    cond_lo = [pos[k] == rng[k] for k in jk] + [rng.r0 <= pos.lo, rng.r1 >= pos.lo]
-    pos = F.broadcast(pos)  # features x probs rows
-    lo = pos.join(rng, cond_lo).select(*[pos[k] for k in jk], pos.p, pos.h, pos.lo,
-                                        rng.value.alias("v_lo"))
-    rng2 = rng.select(*[F.col(k).alias(f"_{k}") for k in jk], "value", "r0", "r1")
-    cond_hi = [lo[k] == rng2[f"_{k}"] for k in jk] + [
-        rng2.r0 <= F.ceil(lo.h), rng2.r1 >= F.ceil(lo.h)]
-    both = F.broadcast(lo).join(rng2, cond_hi).select(
-        *[lo[k] for k in jk], lo.p,
-        (lo.v_lo + (lo.h - lo.lo) * (rng2.value - lo.v_lo)).alias("q"))
+    a = F.broadcast(pos.alias("a"))  # features x probs rows
+    r = rng.alias("r")
+    lo = a.join(r, [F.col(f"a.{k}") == F.col(f"r.{k}") for k in jk]
+                + [F.col("r.r0") <= F.col("a.lo"), F.col("r.r1") >= F.col("a.lo")]) \
+        .select(*[F.col(f"a.{k}").alias(k) for k in jk], F.col("a.p").alias("p"), F.col("a.h").alias("h"),
+                F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"), F.col("r.value").alias("v_lo"))
+    b = F.broadcast(lo.alias("b"))
+    r2 = rng.alias("r2")
+    both = b.join(r2, [F.col(f"b.{k}") == F.col(f"r2.{k}") for k in jk]
+                  + [F.col("r2.r0") <= F.col("b.hi"), F.col("r2.r1") >= F.col("b.hi")]) \
+        .select(*[F.col(f"b.{k}").alias(k) for k in jk], F.col("b.p").alias("p"),
+                (F.col("b.v_lo") + (F.col("b.h") - F.col("b.lo")) * (F.col("r2.value") - F.col("b.v_lo"))).alias("q"))
     return both
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    keys: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+    """Exact quantiles of several columns (missing dropped); see
+    :func:`quantiles_from_counts`."""
+    return quantiles_from_counts(value_counts(df, columns, keys), probs, keys, buckets)
+
+
+def top_k(counts: DataFrame, group: Sequence[str], k: int, order: Sequence[Column],
+          salt_col: str, salts: int = 16) -> DataFrame:
+    """Top-k rows per group without pulling a whole group into one task:
+    rank inside (group, hash(salt_col) mod salts) first, keep k per slice,
+    then rank the k x salts survivors per group.  Adds column ``rank``."""
+    g = list(group)
+    sl = counts.withColumn("_s", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
+    w1 = Window.partitionBy(*g, "_s").orderBy(*order)
+    pre = sl.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_s")
+    w2 = Window.partitionBy(*g).orderBy(*order)
+    return pre.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
