@@ -124,7 +124,16 @@ def profile_sketch(df: DataFrame, column: str, by: Sequence[str], k: int = 200)
     return df.groupBy(*by).agg(
         F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"),
         F.kll_sketch_agg_double(x, F.lit(k)).alias("kll"),
-        F.hll_sketch_agg(F.col(column)).alias("hll"))
+        F.hll_sketch_agg(_hll_input(df, column)).alias("hll"))
+
+
+def _hll_input(df: DataFrame, column: str) -> Column:
+    dt = df.schema[column].dataType
+    if isinstance(dt, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)):
+        return F.col(column)
+    if isinstance(dt, (T.ShortType, T.ByteType)):
+        return F.col(column).cast("int")
+    return F.col(column).cast("string")
 
 
 def merge_sketches(sketches: DataFrame, by: Sequence[str] = (), probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
