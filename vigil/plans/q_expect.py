@@ -1 +1,196 @@
-"""Queries of this family."""
+"""§2.6 expectation, schema, rule and check queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.operators import expect as ex
+from vigil.plans.fixtures import EVENTS_DQ_SQL, events_defects
+from vigil.plans.registry import query
+from vigil.sources.readers import table
+
+EV_COLS = [("event_id", "int"), ("ts", "time"), ("user_id", "int"), ("event_type", "str"),
+           ("value", "float"), ("props", "str")]
+
+
+def _miss(c, k):
+    return f"({c} IS NULL OR isnan({c}))" if k == "float" else f"({c} IS NULL)"
+
+
+def _row(kind, col, elem, unexp, obs, succ, src="events_dq"):
+    u = unexp if unexp is not None else "CAST(NULL AS BIGINT)"
+    o = f"round(CAST({obs} AS DOUBLE), 9)" if obs is not None else "CAST(NULL AS DOUBLE)"
+    pct = f"round(CAST({unexp} AS DOUBLE) / {elem} * 100, 9)" if unexp is not None else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT '{kind}' AS expectation, '{col}' AS \"column\", CAST({elem} AS BIGINT) AS element_count, "
+            f"CAST({u} AS BIGINT) AS unexpected_count, {pct} AS unexpected_percent, {o} AS observed_value, "
+            f"{succ} AS success FROM {src}")
+
+
+def _suite_sql(rows, head=EVENTS_DQ_SQL):
+    return f"WITH {head}\n" + "\nUNION ALL ".join(rows)
+
+
+def _evdq(spark, sf):
+    return events_defects(spark, sf)
+
+
+NN_SUITE = [ex.Expectation("not_null", c) for c, _ in EV_COLS]
+
+
+@query("exp_not_null", _suite_sql([
+    _row("not_null", c, "count(*)", f"count(*) FILTER (WHERE {_miss(c, k)})", None,
+         f"count(*) FILTER (WHERE {_miss(c, k)}) = 0") for c, k in EV_COLS]))
+def q_exp_not_null(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), NN_SUITE)
+
+
+def _between_row(kind, c, k, lo, hi, x=None):
+    x = x or c
+    nm = f"NOT {_miss(c, k)}"
+    bad = f"{nm} AND ({x} < {lo} OR {x} > {hi})"
+    return _row(kind, c, f"count(*) FILTER (WHERE {nm})", f"count(*) FILTER (WHERE {bad})", None,
+                f"count(*) FILTER (WHERE {bad}) = 0")
+
+
+@query("exp_between", _suite_sql([_between_row("between", "value", "float", 0, 1000),
+                                  _between_row("between", "user_id", "int", 1, 100)]))
+def q_exp_between(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), [ex.Expectation("between", "value", {"min": 0, "max": 1000}),
+                                           ex.Expectation("between", "user_id", {"min": 1, "max": 100})])
+
+
+TYPES = ["view", "click", "purchase", "signup", "error"]
+
+
+@query("exp_in_set", _suite_sql([_row(
+    "in_set", "event_type", "count(event_type)",
+    "count(*) FILTER (WHERE event_type IS NOT NULL AND event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error'))",
+    None, "count(*) FILTER (WHERE event_type IS NOT NULL AND event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')) = 0")]))
+def q_exp_in_set(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), [ex.Expectation("in_set", "event_type", {"values": TYPES})])
+
+
+@query("exp_unique", f"""WITH {EVENTS_DQ_SQL},
+g AS (SELECT count(*) AS n FROM events_dq WHERE event_id IS NOT NULL GROUP BY event_id)
+SELECT 'unique' AS expectation, 'event_id' AS "column", CAST(sum(n) AS BIGINT) AS element_count,
+  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS unexpected_count,
+  round(CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS DOUBLE) / sum(n) * 100, 9) AS unexpected_percent,
+  CAST(NULL AS DOUBLE) AS observed_value, coalesce(sum(n) FILTER (WHERE n > 1), 0) = 0 AS success FROM g""")
+def q_exp_unique(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), [ex.Expectation("unique", "event_id")])
+
+
+_DATES = """dates AS (SELECT CASE WHEN event_id % 25 = 0 THEN 'not-a-date'
+  ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date_str FROM events)"""
+
+
+@query("exp_strftime", f"""WITH {_DATES}
+SELECT 'strftime' AS expectation, 'date_str' AS "column", count(date_str) AS element_count,
+  count(*) FILTER (WHERE date_str IS NOT NULL AND try_strptime(date_str, '%Y-%m-%d %H:%M:%S') IS NULL) AS unexpected_count,
+  round(CAST(count(*) FILTER (WHERE date_str IS NOT NULL AND try_strptime(date_str, '%Y-%m-%d %H:%M:%S') IS NULL) AS DOUBLE) / count(date_str) * 100, 9) AS unexpected_percent,
+  CAST(NULL AS DOUBLE) AS observed_value,
+  count(*) FILTER (WHERE date_str IS NOT NULL AND try_strptime(date_str, '%Y-%m-%d %H:%M:%S') IS NULL) = 0 AS success
+FROM dates""")
+def q_exp_strftime(spark, sf):
+    ev = table(spark, sf, "events", ["event_id", "ts"])
+    d = ev.select(F.when(F.col("event_id") % 25 == 0, F.lit("not-a-date"))
+                  .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("date_str"))
+    return ex.run_suite(d, [ex.Expectation("strftime", "date_str", {"format": "%Y-%m-%d %H:%M:%S"})])
+
+
+def _obs_row(kind, c, obs, lo, hi, src="events_dq"):
+    cond = []
+    if lo is not None:
+        cond.append(f"{obs} >= {lo}")
+    if hi is not None:
+        cond.append(f"{obs} <= {hi}")
+    return _row(kind, c, "count(*)", None, obs, f"coalesce({' AND '.join(cond)}, false)", src)
+
+
+@query("exp_distinct_between", _suite_sql([
+    _obs_row("distinct_between", "event_type", "count(DISTINCT event_type)", 1, 5),
+    _obs_row("distinct_between", "user_id", "count(DISTINCT user_id)", 1, 1000)]))
+def q_exp_distinct_between(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), [ex.Expectation("distinct_between", "event_type", {"min": 1, "max": 5}),
+                                           ex.Expectation("distinct_between", "user_id", {"min": 1, "max": 1000})])
+
+
+@query("exp_length_between", "WITH d AS (SELECT * FROM documents)\n" + "\nUNION ALL ".join([
+    _between_row("length_between", "text", "str", 20, 50000, "length(text)").replace("FROM events_dq", "FROM d"),
+    _between_row("length_between", "lang", "str", 2, 2, "length(lang)").replace("FROM events_dq", "FROM d")]))
+def q_exp_length_between(spark, sf):
+    return ex.run_suite(table(spark, sf, "documents", ["text", "lang"]),
+                        [ex.Expectation("length_between", "text", {"min": 20, "max": 50000}),
+                         ex.Expectation("length_between", "lang", {"min": 2, "max": 2})])
+
+
+@query("exp_distribution_between", _suite_sql([
+    _obs_row("mean_between", "value", "avg(value) FILTER (WHERE NOT isnan(value))", 0, 300),
+    _obs_row("median_between", "value", "quantile_cont(value, 0.5) FILTER (WHERE NOT isnan(value))", 100, 300),
+    _obs_row("stdev_between", "value", "stddev_samp(value) FILTER (WHERE NOT isnan(value))", None, 100)]))
+def q_exp_distribution_between(spark, sf):
+    return ex.run_suite(_evdq(spark, sf), [ex.Expectation("mean_between", "value", {"min": 0, "max": 300}),
+                                           ex.Expectation("median_between", "value", {"min": 100, "max": 300}),
+                                           ex.Expectation("stdev_between", "value", {"max": 100})])
+
+
+_DEFAULT_ROWS = []
+for _c, _k in EV_COLS:
+    _DEFAULT_ROWS.append(_row("not_null", _c, "count(*)", f"count(*) FILTER (WHERE {_miss(_c, _k)})", None,
+                              f"count(*) FILTER (WHERE {_miss(_c, _k)}) = 0"))
+    _DEFAULT_ROWS.append(_obs_row("distinct_between", _c,
+                                  f"count(DISTINCT CASE WHEN NOT {_miss(_c, _k)} THEN {_c} END)", 1, None))
+
+
+@query("exp_suite", f"""WITH {EVENTS_DQ_SQL}, r AS ({' UNION ALL '.join(_DEFAULT_ROWS)})
+SELECT coalesce(bool_and(success), true) AS success,
+  round(coalesce(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) * 100, 100.0), 9) AS success_percent,
+  count(*) AS evaluated, count(*) FILTER (WHERE NOT success) AS issues FROM r""")
+def q_exp_suite(spark, sf):
+    df = _evdq(spark, sf)
+    return ex.suite_result(ex.run_suite(df, ex.default_suite(df)))
+
+
+# ------------------------------------------------------------------ schema
+@query("schema_pk_unique", """SELECT 'primary_key' AS kind, 'l_orderkey,l_linenumber' AS "column",
+  CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+  HAVING sum(n - 1) > 0""")
+def q_schema_pk_unique(spark, sf):
+    return ex.schema_violations(table(spark, sf, "lineitem"),
+                                ex.DatasetSchema(columns={}, primary_keys=["l_orderkey", "l_linenumber"]))
+
+
+_EV_CONS = ex.DatasetSchema(columns={}, constraints={
+    "value": {"not_null": True, "min": 0, "max": 1000}, "event_id": {"unique": True},
+    "user_id": {"not_null": True}})
+_EV_CONS_SQL = f"""WITH {EVENTS_DQ_SQL}, v AS (
+  SELECT 'not_null' AS kind, 'value' AS "column", count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS n FROM events_dq
+  UNION ALL SELECT 'range', 'value', count(*) FILTER (WHERE NOT (value IS NULL OR isnan(value)) AND (value < 0 OR value > 1000)) FROM events_dq
+  UNION ALL SELECT 'not_null', 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM events_dq
+  UNION ALL SELECT 'unique', 'event_id', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM events_dq GROUP BY event_id))
+SELECT kind, "column", CAST(n AS BIGINT) AS n FROM v WHERE n > 0"""
+
+
+@query("schema_constraints", _EV_CONS_SQL)
+def q_schema_constraints(spark, sf):
+    """schema_not_null / schema_unique / schema_range in one pass."""
+    return ex.schema_violations(_evdq(spark, sf), _EV_CONS)
+
+
+_ORD_SCHEMA = ex.DatasetSchema(
+    columns={"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "str", "o_totalprice": "float",
+             "o_orderdate": "datetime", "o_orderpriority": "int", "o_comment": "str"},
+    primary_keys=["o_orderkey"], required_columns=["o_orderkey", "o_comment"],
+    constraints={"o_totalprice": {"min": 0, "max": 400000}})
+
+
+@query("schema_report", """WITH v AS (
+  SELECT 'missing_column' AS kind, 'o_comment' AS "column", 1 AS n
+  UNION ALL SELECT 'type_mismatch', 'o_orderpriority', 1
+  UNION ALL SELECT 'range', 'o_totalprice', count(*) FILTER (WHERE o_totalprice < 0 OR o_totalprice > 400000) FROM orders
+  UNION ALL SELECT 'primary_key', 'o_orderkey', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)),
+w AS (SELECT * FROM v WHERE n > 0)
+SELECT count(*) = 0 AS valid, count(*) AS n_violations, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_bad_values,
+  coalesce(string_agg(kind || ':' || "column", ';' ORDER BY kind || ':' || "column"), '') AS violations FROM w""")
+def q_schema_report(spark, sf):
+    return ex.schema_report(ex.schema_violations(table(spark, sf, "orders"), _ORD_SCHEMA))
