@@ -138,3 +138,28 @@ LIFECYCLE_SQL = """lifecycle_events AS (
               ELSE 'archived' END AS to_state,
          o_orderdate AS ts, o_orderkey AS event_id, round(o_totalprice / 600000.0, 6) AS score
   FROM orders)"""
+
+
+def drift_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Drift history: one run per (event type = model, day); score = the
+    day's standardized mean shift |avg_day − avg_all| / std_all."""
+    from vigil.operators.drift import severity
+    ev = table(spark, sf, "events", ["ts", "event_type", "value"])
+    allm = ev.groupBy("event_type").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    day = ev.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.avg("value").alias("_dm"))
+    j = day.join(F.broadcast(allm), "event_type")
+    score = F.round(F.abs(F.col("_dm") - F.col("_m")) / F.col("_s"), 6)
+    return j.select(F.col("event_type").alias("model_name"), F.col("d").cast("timestamp_ntz").alias("ts"),
+                    score.alias("drift_score"), (score > 0.1).alias("is_drifted"),
+                    severity(score, 0.1).alias("severity"))
+
+
+DRIFT_RUNS_SQL = """drift_runs AS (
+  SELECT model_name, ts, drift_score, drift_score > 0.1 AS is_drifted,
+    CASE WHEN drift_score <= 0.1 THEN 'none' WHEN drift_score <= 0.1 * 1.5 THEN 'low'
+         WHEN drift_score <= 0.1 * 2.0 THEN 'medium' WHEN drift_score <= 0.1 * 3.0 THEN 'high' ELSE 'critical' END AS severity
+  FROM (SELECT d.event_type AS model_name, CAST(d.d AS TIMESTAMP) AS ts,
+               round(abs(d.dm - a.m) / a.s, 6) AS drift_score
+        FROM (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) AS dm FROM events GROUP BY 1, 2) d
+        JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1) a
+          ON a.event_type = d.event_type))"""
