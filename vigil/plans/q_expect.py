@@ -194,3 +194,188 @@ SELECT count(*) = 0 AS valid, count(*) AS n_violations, CAST(coalesce(sum(n), 0)
   coalesce(string_agg(kind || ':' || "column", ';' ORDER BY kind || ':' || "column"), '') AS violations FROM w""")
 def q_schema_report(spark, sf):
     return ex.schema_report(ex.schema_violations(table(spark, sf, "orders"), _ORD_SCHEMA))
+
+
+# ------------------------------------------------------------------- rules
+from vigil.operators import rules as ru  # noqa: E402
+from vigil.operators.profile import profile_table  # noqa: E402
+from vigil.plans.q_drift import ks_sql  # noqa: E402
+
+CUSTOM_RULE = ru.Rule("custom_rule_001", "known users and types", "custom", "custom_violation_ratio", 0.05, "<=",
+                      "high", tags=["custom"])
+ALL_RULES = ru.DEFAULT_RULES + [CUSTOM_RULE]
+EV_SPLIT = "2024-01-16"
+
+
+def orders_orphans(spark, sf):
+    o = table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    return o.select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 40 == 0, 10000000)
+                                   .otherwise(0)).alias("o_custkey"))
+
+
+def rule_metrics(spark, sf):
+    from vigil.functions.core import ts_lit
+    dq = _evdq(spark, sf)
+    base = dq.filter(F.col("ts") < ts_lit(EV_SPLIT))
+    cur = dq.filter(F.col("ts") >= ts_lit(EV_SPLIT))
+    parts = [ru.completeness_metric(dq), ru.uniqueness_metric(dq), ru.validity_metric(dq, "value", 0, 1000),
+             ru.consistency_metric(orders_orphans(spark, sf), table(spark, sf, "customer", ["c_custkey"]),
+                                   "o_custkey", "c_custkey"),
+             ru.distribution_metric(cur, base, ["value"]),
+             ru.custom_metric(dq, "user_id > 0 AND event_type <> '??'")]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u
+
+
+def rule_checks(spark, sf):
+    return ru.run_rules(rule_metrics(spark, sf), ru.rules_table(spark, ALL_RULES))
+
+
+_M_ALL = " + ".join(f"count(*) FILTER (WHERE {_miss(c, k)})" for c, k in EV_COLS)
+_EVDQ_COLS = ", ".join(c for c, _ in EV_COLS)
+_KS_DQ = ks_sql(f"""lf AS (SELECT 'value' AS feature, CASE WHEN ts < TIMESTAMP '{EV_SPLIT}' THEN 0 ELSE 1 END AS side,
+  value FROM events_dq WHERE value IS NOT NULL AND NOT isnan(value))""").replace("WITH lf AS", "lf AS", 1)
+RULE_METRICS_SQL = f"""{EVENTS_DQ_SQL},
+oo AS (SELECT o_custkey + CASE WHEN o_orderkey % 40 = 0 THEN 10000000 ELSE 0 END AS k FROM orders),
+ks AS (WITH {_KS_DQ}),
+rm AS (
+  SELECT 'missing_ratio' AS metric, CAST({_M_ALL} AS DOUBLE) / (count(*) * 6) AS value FROM events_dq
+  UNION ALL SELECT 'duplicate_ratio', CAST(sum(n - 1) AS DOUBLE) / sum(n) FROM (SELECT count(*) AS n FROM events_dq GROUP BY {_EVDQ_COLS})
+  UNION ALL SELECT 'invalid_ratio', CAST(count(*) FILTER (WHERE NOT (value IS NULL OR isnan(value)) AND (value < 0 OR value > 1000)) AS DOUBLE)
+      / count(*) FILTER (WHERE NOT (value IS NULL OR isnan(value))) FROM events_dq
+  UNION ALL SELECT 'inconsistency_ratio', CAST(count(*) FILTER (WHERE c.c_custkey IS NULL) AS DOUBLE) / count(*)
+      FROM oo LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) c ON oo.k = c.c_custkey WHERE oo.k IS NOT NULL
+  UNION ALL SELECT 'distribution_ks_stat', max(statistic) FROM ks
+  UNION ALL SELECT 'custom_violation_ratio', CAST(count(*) FILTER (WHERE NOT coalesce(user_id > 0 AND event_type <> '??', false)) AS DOUBLE) / count(*) FROM events_dq),
+rules(rule_id, rule_name, rule_type, metric, threshold, operator, severity) AS (VALUES
+  {", ".join(f"('{r.rule_id}', '{r.name}', '{r.rule_type}', '{r.metric}', {r.threshold}, '{r.operator}', '{r.severity}')" for r in ALL_RULES)}),
+checks AS (SELECT rule_id, rule_name, rule_type, metric, round(value, 9) AS value, CAST(threshold AS DOUBLE) AS threshold, operator, severity,
+  CASE WHEN value IS NULL THEN 'error' WHEN (CASE operator WHEN '<=' THEN value <= threshold WHEN '<' THEN value < threshold
+       WHEN '>=' THEN value >= threshold WHEN '>' THEN value > threshold WHEN '==' THEN abs(value - threshold) < 1e-10
+       WHEN '!=' THEN abs(value - threshold) >= 1e-10 END) THEN 'passed' ELSE 'failed' END AS status
+  FROM rules LEFT JOIN rm USING (metric))"""
+
+
+def _one_rule(key, metric):
+    @query(key, f"WITH {RULE_METRICS_SQL}\nSELECT * FROM checks WHERE metric = '{metric}'")
+    def _q(spark, sf):
+        return rule_checks(spark, sf).filter(F.col("metric") == metric)
+    return _q
+
+
+_one_rule("rule_completeness", "missing_ratio")
+_one_rule("rule_uniqueness", "duplicate_ratio")
+_one_rule("rule_validity", "invalid_ratio")
+_one_rule("rule_consistency", "inconsistency_ratio")
+_one_rule("rule_distribution", "distribution_ks_stat")
+_one_rule("rule_custom", "custom_violation_ratio")
+
+
+@query("rules_run", f"WITH {RULE_METRICS_SQL}\nSELECT * FROM checks")
+def q_rules_run(spark, sf):
+    return rule_checks(spark, sf)
+
+
+_OPS = ["<=", "<", ">=", ">", "==", "!="]
+
+
+@query("rule_eval", f"""WITH {EVENTS_DQ_SQL},
+m AS ({" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {_miss(c, k)}) AS DOUBLE) / count(*) AS value FROM events_dq" for c, k in EV_COLS)}),
+o(operator) AS (VALUES {", ".join(f"('{o}')" for o in _OPS)})
+SELECT "column", operator, round(value, 9) AS value, CASE operator WHEN '<=' THEN value <= 0.05 WHEN '<' THEN value < 0.05
+  WHEN '>=' THEN value >= 0.05 WHEN '>' THEN value > 0.05 WHEN '==' THEN abs(value - 0.05) < 1e-10
+  WHEN '!=' THEN abs(value - 0.05) >= 1e-10 END AS passed FROM m, o""")
+def q_rule_eval(spark, sf):
+    dq = _evdq(spark, sf)
+    from vigil.functions.core import missing as _m
+    m = dq.agg(*[(F.count_if(_m(dq, c)) / F.count(F.lit(1))).alias(c) for c, _ in EV_COLS])
+    long = m.unpivot([], [c for c, _ in EV_COLS], "column", "value")
+    ops = long.select("column", "value", F.explode(F.array(*[F.lit(o) for o in _OPS])).alias("operator"))
+    return ops.select("column", "operator", F.round("value", 9).alias("value"),
+                      ru.rule_eval(F.col("value"), F.col("operator"), F.lit(0.05)).alias("passed"))
+
+
+# ------------------------------------------------------------------ checks
+@query("chk_column_count", """SELECT 'orders' AS dataset, 'column_count' AS check_name, CAST(4 AS BIGINT) AS cur,
+  CAST(6 AS BIGINT) AS base, CASE WHEN 4 < 0.8 * 6 THEN 'warning' ELSE 'passed' END AS status FROM orders LIMIT 1""")
+def q_chk_column_count(spark, sf):
+    o = table(spark, sf, "orders")
+    base = profile_table(o).withColumn("dataset", F.lit("orders"))
+    cur = profile_table(o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")).withColumn("dataset", F.lit("orders"))
+    return ru.column_count_check(cur, base)
+
+
+@query("chk_row_count", """WITH p AS (SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n_rows FROM events GROUP BY 1, 2),
+l AS (SELECT *, lag(n_rows) OVER (PARTITION BY event_type ORDER BY d) AS prev_rows FROM p)
+SELECT event_type, d, n_rows, prev_rows, round(CAST(n_rows AS DOUBLE) / prev_rows, 9) AS ratio,
+  CASE WHEN CAST(n_rows AS DOUBLE) / prev_rows < 0.5 OR CAST(n_rows AS DOUBLE) / prev_rows > 2.0 THEN 'warning' ELSE 'passed' END AS status
+FROM l WHERE prev_rows IS NOT NULL""")
+def q_chk_row_count(spark, sf):
+    ev = table(spark, sf, "events", ["event_type", "ts"])
+    prof = ev.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return ru.row_count_check(prof, "event_type", "d")
+
+
+@query("chk_dtype", """SELECT * FROM (VALUES ('o_totalprice', 'double', 'string', 'type_changed'),
+  ('o_orderpriority', 'string', NULL, 'removed'), ('o_total_cents', NULL, 'bigint', 'added'))
+  t("column", base_dtype, cur_dtype, change)""")
+def q_chk_dtype(spark, sf):
+    o = table(spark, sf, "orders")
+    cur = o.withColumn("o_totalprice", F.col("o_totalprice").cast("string")).drop("o_orderpriority") \
+        .withColumn("o_total_cents", (F.col("o_totalprice") * 100).cast("long"))
+    return ru.dtype_check(cur, o)
+
+
+_STATUS_SQL = """st AS (SELECT count(*) AS n_checks, count(*) FILTER (WHERE status IN ('error', 'failed')) AS n_critical,
+  count(*) FILTER (WHERE status = 'warning') AS n_warning, count(*) FILTER (WHERE status IN ('passed', 'excellent', 'good')) AS n_passed
+  FROM checks),
+sts AS (SELECT *, round(coalesce(CAST(n_passed AS DOUBLE) / nullif(n_checks, 0), 1.0), 9) AS pass_rate,
+  CASE WHEN n_checks = 0 THEN 'excellent' WHEN n_critical > 0 THEN 'critical' WHEN n_warning > 0 THEN 'warning'
+       WHEN CAST(n_passed AS DOUBLE) / n_checks >= 0.95 THEN 'excellent' WHEN CAST(n_passed AS DOUBLE) / n_checks >= 0.85 THEN 'good'
+       ELSE 'error' END AS overall_status FROM st)"""
+
+_SUMMARY_SQL = f"""tp AS (SELECT sum(n) AS n_rows, 6 AS n_columns, sum(n * mc) AS missing_cells, sum(n - 1) AS duplicate_rows FROM (
+  SELECT count(*) AS n, max(({" + ".join(f"CASE WHEN {_miss(c, k)} THEN 1 ELSE 0 END" for c, k in EV_COLS)})) AS mc
+  FROM events_dq GROUP BY {_EVDQ_COLS})),
+sm AS (SELECT count(*) AS total_metrics, count(*) FILTER (WHERE status = 'passed') AS passed_metrics,
+  count(*) FILTER (WHERE status = 'warning') AS warning_metrics, count(*) FILTER (WHERE status IN ('failed', 'error')) AS failed_metrics,
+  round(coalesce(CAST(count(*) FILTER (WHERE status = 'passed') AS DOUBLE) / nullif(count(*), 0), 1.0), 9) AS pass_rate FROM checks),
+summ AS (SELECT sm.*, round(CAST(missing_cells AS DOUBLE) / (n_rows * n_columns), 9) AS missing_ratio,
+  round(CAST(duplicate_rows AS DOUBLE) / n_rows, 9) AS duplicate_ratio FROM sm, tp)"""
+
+
+@query("chk_overall_status", f"WITH {RULE_METRICS_SQL},\n{_STATUS_SQL}\nSELECT * FROM sts")
+def q_chk_overall_status(spark, sf):
+    return ru.overall_status(rule_checks(spark, sf))
+
+
+@query("chk_summary", f"WITH {RULE_METRICS_SQL},\n{_SUMMARY_SQL}\nSELECT * FROM summ")
+def q_chk_summary(spark, sf):
+    return ru.check_summary(rule_checks(spark, sf), profile_table(_evdq(spark, sf)))
+
+
+@query("chk_alerts", f"""WITH {RULE_METRICS_SQL},\n{_STATUS_SQL},\n{_SUMMARY_SQL}
+SELECT 'status' AS kind, 'data quality ' || overall_status || ': events_dq' AS message FROM sts WHERE overall_status IN ('critical', 'error')
+UNION ALL SELECT 'pass_rate', printf('low check pass rate: %.2f%%', pass_rate * 100) FROM summ WHERE pass_rate < 0.8
+UNION ALL SELECT 'rule', 'important rule failed: ' || rule_name FROM checks WHERE severity IN ('high', 'critical') AND status IN ('failed', 'error')""")
+def q_chk_alerts(spark, sf):
+    checks = rule_checks(spark, sf)
+    return ru.check_alerts("events_dq", ru.overall_status(checks),
+                           ru.check_summary(checks, profile_table(_evdq(spark, sf))), checks)
+
+
+@query("chk_recommend", f"""WITH {RULE_METRICS_SQL},\n{_STATUS_SQL},\n{_SUMMARY_SQL},
+fc AS (SELECT *, row_number() OVER (ORDER BY rule_id) AS r FROM checks WHERE status IN ('failed', 'error'))
+SELECT * FROM (
+  SELECT 1 AS ord, CASE overall_status WHEN 'critical' THEN 'severe quality problems, investigate now'
+    WHEN 'error' THEN 'quality problems, fix with priority' WHEN 'warning' THEN 'quality warnings, keep watching' END AS text FROM sts
+  UNION ALL SELECT 2, CASE WHEN missing_ratio > 0.1 THEN 'high missing ratio, check the source or impute' END FROM summ
+  UNION ALL SELECT 3, CASE WHEN duplicate_ratio > 0.05 THEN 'many duplicate rows, deduplicate' END FROM summ
+  UNION ALL SELECT 3 + r, 'check failed: ' || rule_name || ' - ' || metric || '=' || printf('%.6f', value) FROM fc WHERE r <= 3)
+WHERE text IS NOT NULL""")
+def q_chk_recommend(spark, sf):
+    checks = rule_checks(spark, sf)
+    return ru.check_recommendations(ru.overall_status(checks),
+                                    ru.check_summary(checks, profile_table(_evdq(spark, sf))), checks)
