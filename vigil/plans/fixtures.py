@@ -122,7 +122,7 @@ def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
     """Model lifecycle events from orders: model = o_custkey % 10, version =
     o_orderkey % 5, to_state by order status, ts = order date."""
     o = table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice"])
-    st = (F.when(F.col("o_orderstatus") == "F", "production")
+    st = (F.when(F.col("o_orderstatus") == "F", "deployed")
           .when(F.col("o_orderstatus") == "O", "validated").otherwise("archived"))
     return o.select(F.concat(F.lit("model_"), (F.col("o_custkey") % 10).cast("string")).alias("model"),
                     (F.col("o_orderkey") % 5 + 1).cast("long").alias("version"),
@@ -134,7 +134,7 @@ def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
 LIFECYCLE_SQL = """lifecycle_events AS (
   SELECT 'model_' || CAST(o_custkey % 10 AS VARCHAR) AS model,
          CAST(o_orderkey % 5 + 1 AS BIGINT) AS version,
-         CASE WHEN o_orderstatus = 'F' THEN 'production' WHEN o_orderstatus = 'O' THEN 'validated'
+         CASE WHEN o_orderstatus = 'F' THEN 'deployed' WHEN o_orderstatus = 'O' THEN 'validated'
               ELSE 'archived' END AS to_state,
          o_orderdate AS ts, o_orderkey AS event_id, round(o_totalprice / 600000.0, 6) AS score
   FROM orders)"""
