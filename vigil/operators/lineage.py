@@ -30,8 +30,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_d
     loop tests emptiness of the frontier with one ``take(1)`` per level."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
+    # the edge table is read once per level: keep it (recomputable on loss)
     e = edges.select(F.col("src" if direction == "down" else "dst").alias("_from"),
-                     F.col("dst" if direction == "down" else "src").alias("node"))
+                     F.col("dst" if direction == "down" else "src").alias("node")).persist()
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     for d in range(1, max_depth + 1):

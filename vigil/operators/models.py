@@ -90,7 +90,7 @@ def confidence_entropy(df: DataFrame, conf: str, period: Column, pred: str, n_bi
     tot = x.groupBy("period").agg(F.count(F.lit(1)).alias("_t"), F.avg((F.col("_p") == 1).cast("double")).alias("_pos"))
     j = h.join(tot, "period")
     pr = F.col("n") / F.col("_t")
-    return j.groupBy("period", "_t", "_pos").agg(-F.sum(pr * F.log2(pr)).alias("_h")).select(
+    return j.groupBy("period", "_t", "_pos").agg((-F.sum(pr * F.log2(pr))).alias("_h")).select(
         "period", F.col("_t").cast("long").alias("n"), rnd(F.col("_h")).alias("entropy"),
         rnd(F.col("_pos")).alias("positive_share"))
 
@@ -128,7 +128,7 @@ def run_durations(steps: DataFrame, run: str, step: str, ts: str, failed: Column
     step name: count, mean, exact p95 of durations and failures."""
     from vigil.functions.core import quantiles_from_counts, value_counts
     w = Window.partitionBy(run).orderBy(ts)
-    d = steps.withColumn("duration_s", F.timestamp_diff("SECOND", F.col(ts), F.lead(ts).over(w)).cast("double")) \
+    d = steps.withColumn("duration_s", F.timestamp_diff("MICROSECOND", F.col(ts), F.lead(ts).over(w)) / 1e6) \
         .withColumn("_failed", failed)
     g = d.groupBy(step).agg(F.count(F.lit(1)).cast("long").alias("n_steps"),
                             rnd(F.avg("duration_s")).alias("mean_duration_s"),
@@ -214,15 +214,22 @@ def compare_versions(metrics: DataFrame, model: str, version: str, metric: str,
 def tags_to_maps(df: DataFrame, tags: str, prefixes: Mapping[str, str]) -> DataFrame:
     """Split a tag map by key prefix into named maps (prefix stripped);
     remaining keys go to ``other``."""
-    outs = []
-    for name, pre in prefixes.items():
-        m = F.map_filter(F.col(tags), lambda k, v, pre=pre: k.startswith(pre))
-        outs.append(F.transform_keys(m, lambda k, v, pre=pre: F.substring(k, len(pre) + 1, 1 << 20)).alias(name))
-    cond = None
-    for pre in prefixes.values():
-        cond = (lambda k, v, pre=pre: k.startswith(pre)) if cond is None else \
-            (lambda k, v, pre=pre, c=cond: c(k, v) | k.startswith(pre))
-    other = F.map_filter(F.col(tags), lambda k, v: ~cond(k, v)).alias("other")
+    def has(pre):
+        return lambda k, v: k.startswith(pre)
+
+    def strip(pre):
+        return lambda k, v: F.substring(k, len(pre) + 1, 1 << 20)
+
+    outs = [F.transform_keys(F.map_filter(F.col(tags), has(pre)), strip(pre)).alias(name)
+            for name, pre in prefixes.items()]
+    pres = list(prefixes.values())
+
+    def rest(k, v):
+        c = F.lit(True)
+        for pre in pres:
+            c = c & ~k.startswith(pre)
+        return c
+    other = F.map_filter(F.col(tags), rest).alias("other")
     return df.select(*[c for c in df.columns if c != tags], *outs, other)
 
 
