@@ -11,3 +11,101 @@ def drift_alerts(runs: DataFrame) -> DataFrame:
     msg = F.format_string("drift detected for %s: score=%.4f, severity=%s",
                           F.col("model_name"), F.col("drift_score"), F.col("severity"))
     return runs.filter("is_drifted").select("model_name", "ts", "drift_score", "severity", msg.alias("message"))
+
+
+from collections.abc import Mapping, Sequence  # noqa: E402
+
+import pandas as pd  # noqa: E402
+from pyspark.sql import Column, SparkSession, Window  # noqa: E402
+
+# Default alert rules (name, condition, severity, channels)
+DEFAULT_RULES = [
+    ("data_drift_detected", "drift_score > 0.1", "high", ["slack", "email"]),
+    ("model_performance_degradation", "accuracy < 0.7", "critical", ["slack", "email", "pagerduty"]),
+    ("pipeline_failed", "status == 'failed'", "medium", ["slack"]),
+    ("resource_usage_high", "cpu_usage > 90 or memory_usage > 90", "warning", ["slack"]),
+]
+# alert level -> delivery channels; quiet hours 22:00-08:00
+LEVEL_CHANNELS = {"critical": ["email", "slack", "webhook"], "high": ["slack", "webhook"], "medium": ["webhook"],
+                  "low": []}
+QUIET_START, QUIET_END = 22, 8
+
+
+def evaluate_rules(metrics: DataFrame, rules: Sequence[tuple], keys: Sequence[str], ts: str) -> DataFrame:
+    """Evaluate ``metric op value`` rules (``or`` / ``and`` allowed) over a
+    wide metric table; one alert row per firing rule and channel.  A rule
+    whose columns are absent from the table never fires."""
+    cols = set(metrics.columns)
+    flags = []
+    for name, cond, sev, chans in rules:
+        expr = cond.replace("==", "=")
+        needed = {t for t in expr.replace("(", " ").replace(")", " ").split() if t.isidentifier()
+                  and t.lower() not in ("or", "and", "not")}
+        fire = F.coalesce(F.expr(expr), F.lit(False)) if needed <= cols else F.lit(False)
+        flags.append(F.struct(F.lit(name).alias("rule"), F.lit(sev).alias("severity"),
+                              F.array(*[F.lit(c) for c in chans]).alias("channels"), fire.alias("fired")))
+    x = metrics.select(*keys, ts, F.explode(F.array(*flags)).alias("r")).filter("r.fired")
+    return x.select(*keys, ts, "r.rule", "r.severity", F.explode("r.channels").alias("channel"))
+
+
+def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, minutes: int = 30) -> DataFrame:
+    """Suppress repeats: an alert of a key is kept only if at least
+    ``minutes`` passed since the last KEPT alert of that key.  The rule is
+    sequential per key (greedy), so each key's alerts are scanned in time
+    order in an ``applyInPandas`` group; alert rows per key are bounded by
+    time, and keys spread over tasks."""
+    out_schema = alerts.select(*keys, ts).schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " ")
+    gap = pd.Timedelta(minutes=minutes)
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        keep, last = [], None
+        for t in pdf[ts]:
+            ok = last is None or (t - last) >= gap
+            keep.append(ok)
+            if ok:
+                last = t
+        return pdf[keep]
+    return alerts.select(*keys, ts).groupBy(*keys).applyInPandas(greedy, out_schema)
+
+
+def quiet_hours(alerts: DataFrame, ts: str, level: str = "severity") -> DataFrame:
+    """Mark alerts raised in 22:00–08:00 and route by level to channels."""
+    h = F.hour(ts)
+    routes = F.create_map(*[x for k, v in LEVEL_CHANNELS.items()
+                            for x in (F.lit(k), F.array(*[F.lit(c) for c in v]).cast("array<string>"))])
+    return alerts.withColumn("quiet", (h >= QUIET_START) | (h < QUIET_END)) \
+        .withColumn("channels", F.coalesce(F.element_at(routes, F.col(level)), F.array().cast("array<string>")))
+
+
+def retrain_triggers(drift: DataFrame, accuracy: DataFrame, as_of_days: DataFrame, drift_thr: float = 0.1,
+                     acc_thr: float = 0.7, window_days: int = 7, drift_cooldown: int = 1,
+                     perf_cooldown: int = 2) -> DataFrame:
+    """Retraining decisions per (model, day) from three sources:
+    drift score > 0.1; mean accuracy over the trailing 7 days < 0.7; the
+    weekly schedule (Mondays).  A drift / performance trigger is suppressed
+    when the same trigger also fired for the model within its cooldown days
+    before, so a run of daily triggers fires once at its start and again
+    only after a quiet gap longer than the cooldown (``lag`` per model and
+    trigger over the daily trigger rows)."""
+    d = drift.filter(F.col("drift_score") > drift_thr).select("model_name", F.to_date("ts").alias("day"),
+                                                               F.lit("drift").alias("trigger"))
+    w = Window.partitionBy("model_name").orderBy(F.col("day").cast("timestamp").cast("long")) \
+        .rangeBetween(-(window_days - 1) * 86400, 0)
+    acc = accuracy.select("model_name", "day", F.avg("accuracy").over(w).alias("acc7"))
+    p = acc.filter(F.col("acc7") < acc_thr).select("model_name", "day", F.lit("performance").alias("trigger"))
+    s = as_of_days.filter(F.dayofweek("day") == 2).select("model_name", "day", F.lit("schedule").alias("trigger"))
+    u = d.unionByName(p)
+    wl = Window.partitionBy("model_name", "trigger").orderBy("day")
+    u = u.withColumn("_prev", F.lag("day").over(wl))
+    cd = F.when(F.col("trigger") == "drift", drift_cooldown).otherwise(perf_cooldown)
+    kept = u.filter(F.col("_prev").isNull() | (F.datediff("day", "_prev") > cd)).drop("_prev")
+    return kept.unionByName(s)
+
+
+def failure_rate_gate(checks: DataFrame, key: str = "dataset", limit: float = 0.01) -> DataFrame:
+    """Validation failure share per dataset and whether it exceeds 1%."""
+    g = checks.groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("n_checks"),
+                                F.count_if(F.col("status") == "failed").cast("long").alias("n_failed"))
+    r = F.col("n_failed") / F.col("n_checks")
+    return g.select(key, "n_checks", "n_failed", F.round(r, 9).alias("failure_rate"), (r > limit).alias("gate_failed"))

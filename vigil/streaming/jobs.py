@@ -58,8 +58,7 @@ def _window_cols(w: str = "window") -> list:
 
 # ------------------------------------------------------------------ jobs
 def windowed_profile(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """st_profile: per window and type — count, null rate, mean, variance,
-    approximate distinct users."""
+    """st_profile: per window and type — count, null rate, mean, variance."""
     a = (events.withWatermark("ets", delay)
          .groupBy(F.window("ets", window), "event_type")
          .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("value").isNull().cast("double")).alias("null_rate"),
