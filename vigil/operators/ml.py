@@ -19,3 +19,147 @@ def argmax_softmax(logits: Column) -> tuple[Column, Column]:
     am = (F.array_position(logits, mx) - 1).cast("int")
     denom = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x))
     return am, F.exp(mx) / denom
+
+
+import time  # noqa: E402
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier  # noqa: E402
+from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: E402
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit  # noqa: E402
+
+from vigil.operators.features import hash_split  # noqa: E402
+
+
+def classifier_pipeline(features: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42,
+                        boosted: bool = False, max_iter: int = 20) -> Pipeline:
+    """VectorAssembler + RandomForest (100 trees, seed 42) or GBT."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    clf = (GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, seed=seed) if boosted else
+           RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed))
+    return Pipeline(stages=[asm, clf])
+
+
+def train_and_score(df: DataFrame, key: str, features: Sequence[str], label: str = "label", boosted: bool = False,
+                    trees: int = 100) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Deterministic 80/20 split, fit, score the validation rows."""
+    s = hash_split(df, key, 0.2, 42)
+    train, val = s.filter("split = 'train'"), s.filter("split = 'validation'")
+    model = classifier_pipeline(features, label, trees=trees, boosted=boosted).fit(train)
+    return model, train, model.transform(val)
+
+
+def score_summary(model_name: str, train: DataFrame, scored: DataFrame, label: str = "label") -> DataFrame:
+    """Accuracy and sample counts of a fitted model on its held-out rows."""
+    acc = scored.agg(F.count(F.lit(1)).cast("long").alias("n_val"),
+                     F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
+    n = train.agg(F.count(F.lit(1)).cast("long").alias("n_train"))
+    return acc.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k") \
+        .select(F.lit(model_name).alias("model"), "n_train", "n_val", F.round("accuracy", 6).alias("accuracy"))
+
+
+def evaluate(scored: DataFrame, label: str = "label", gate: float = 0.9) -> DataFrame:
+    """accuracy / precision / recall / F1 / AUC of scored rows; passed when
+    every metric but AUC exceeds the gate."""
+    from vigil.operators.models import auc, cls_metrics
+    s = scored.withColumn("p1", vector_to_array("probability")[1]).withColumn("pred", F.col("prediction").cast("int"))
+    m = cls_metrics(s, label, "pred")
+    a = auc(s, label, "p1")
+    j = m.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    ok = (F.col("accuracy") > gate) & (F.col("precision") > gate) & (F.col("recall") > gate) & (F.col("f1") > gate)
+    return j.withColumn("passed", ok)
+
+
+def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """Feature importances of the fitted forest (one value per feature)."""
+    imp = model.stages[-1].featureImportances.toArray()
+    spark = SparkSession_active()
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+
+
+def SparkSession_active():
+    from pyspark.sql import SparkSession
+    return SparkSession.active()
+
+
+def tune(df: DataFrame, features: Sequence[str], label: str = "label", depths=(3, 5), trees=(10, 20),
+         parallelism: int = 4, seed: int = 42) -> DataFrame:
+    """Grid search (TrainValidationSplit, 75/25) over depth x trees; one row
+    per candidate with its validation AUC and the best flagged."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    rf = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
+    grid = ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()
+    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=grid,
+                               evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.75,
+                               parallelism=parallelism, seed=seed)
+    m = tvs.fit(df)
+    rows = []
+    for pm, metric in zip(grid, m.validationMetrics):
+        d = {p.name: v for p, v in pm.items()}
+        rows.append((int(d["maxDepth"]), int(d["numTrees"]), float(metric)))
+    best = max(rows, key=lambda r: r[2])
+    spark = df.sparkSession
+    return spark.createDataFrame([(a, b, round(c, 6), (a, b, c) == best) for a, b, c in rows],
+                                 "max_depth int, num_trees int, auc double, best boolean")
+
+
+def domain_classifier(ref: DataFrame, cur: DataFrame, features: Sequence[str], trees: int = 50, folds: int = 5,
+                      seed: int = 42, threshold: float = 0.7) -> DataFrame:
+    """Drift by a domain classifier: label reference 0 / current 1, random
+    forest (50 trees, seed 42), 5-fold cross-validated ROC AUC; drifted when
+    the AUC exceeds 0.7."""
+    u = ref.select(*features).withColumn("label", F.lit(0.0)).unionByName(
+        cur.select(*features).withColumn("label", F.lit(1.0)))
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed)
+    cv = CrossValidator(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=ParamGridBuilder().build(),
+                        evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed,
+                        parallelism=2)
+    m = cv.fit(u)
+    a = float(m.avgMetrics[0])
+    return ref.sparkSession.createDataFrame([(round(a, 6), a > threshold)], "auc double, is_drifted boolean")
+
+
+def feature_chain(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
+    """Fit/transform chain reused for retraining and serving: index + one-hot
+    categoricals, assemble, standardise (population-free SparkML scaler)."""
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep", stringOrderType="alphabetAsc")
+           for c in categorical]
+    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=[f"{c}_vec" for c in categorical])
+    asm = VectorAssembler(inputCols=[f"{c}_vec" for c in categorical] + list(numeric), outputCol="raw",
+                          handleInvalid="keep")
+    sc = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True)
+    return Pipeline(stages=[*idx, ohe, asm, sc])
+
+
+def batch_score(df: DataFrame, features: Sequence[str], coef: np.ndarray, intercept: float,
+                id_col: str) -> DataFrame:
+    """Score every row in Arrow batches with a linear model (NumPy inside the
+    task); a failing batch yields null scores instead of failing the job.
+    Output: id, score, batch id and per-batch latency."""
+    w, b = np.asarray(coef, dtype=float), float(intercept)
+    feats = list(features)
+
+    def run(it):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        for i, pdf in enumerate(it):
+            t0 = time.perf_counter()
+            try:
+                x = pdf[feats].to_numpy(dtype=float)
+                s = 1.0 / (1.0 + np.exp(-(x @ w + b)))
+            except Exception:  # noqa: BLE001 - a bad batch becomes nulls
+                s = np.full(len(pdf), np.nan)
+            ms = (time.perf_counter() - t0) * 1000.0
+            yield pd.DataFrame({id_col: pdf[id_col], "score": s, "batch": f"{part}-{i}", "latency_ms": ms})
+    return df.select(id_col, *feats).mapInPandas(run, f"{id_col} long, score double, batch string, latency_ms double")
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[np.ndarray, float]:
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    m = LogisticRegression(labelCol=label, featuresCol="features", maxIter=50).fit(asm.transform(df))
+    return m.coefficients.toArray(), float(m.intercept)
