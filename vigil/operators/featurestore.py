@@ -242,3 +242,39 @@ def feature_validate(df: DataFrame, expected: Mapping[str, str], keys: Sequence[
                                                         F.col(c).cast("long").alias("n")) for c in present_req])).alias("s")).select("s.*")
         schema_df = schema_df.unionByName(nl.filter("n > 0"))
     return schema_df
+
+
+def feature_write(df: DataFrame, expected: Mapping[str, str], keys: Sequence[str], ts: str, online_dir: str,
+                  table_name: str | None, parquet_dir: str) -> DataFrame:
+    """Validate a feature batch, then write it to the online store (latest
+    row per key merged with what is there), the warehouse table (append)
+    and the offline parquet history (append, partitioned by ingest day).
+    The batch is persisted so the source is read once; a batch with
+    problems is not written and its problems are returned."""
+    from vigil.sources.sinks import append_partitioned, table_insert
+    problems = feature_validate(df, expected, keys, ts)
+    if problems.take(1):
+        return problems
+    batch = df.persist()
+    try:
+        spark = df.sparkSession
+        latest = latest_per_key(batch, keys, ts)
+        if _exists(spark, online_dir):
+            # merge into a new version, then swap it in (no read-while-overwrite)
+            merged = materialize_incremental(spark.read.parquet(online_dir), latest, keys, ts)
+            nxt = online_dir.rstrip("/") + "-next"
+            merged.write.mode("overwrite").parquet(nxt)
+            latest = spark.read.parquet(nxt)
+        latest.write.mode("overwrite").parquet(online_dir)
+        if table_name:
+            table_insert(batch, table_name)
+        append_partitioned(batch.withColumn("ingest_date", F.to_date(ts)), parquet_dir, ["ingest_date"])
+    finally:
+        batch.unpersist()
+    return problems
+
+
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -379,3 +379,15 @@ def q_chk_recommend(spark, sf):
     checks = rule_checks(spark, sf)
     return ru.check_recommendations(ru.overall_status(checks),
                                     ru.check_summary(checks, profile_table(_evdq(spark, sf))), checks)
+
+
+def _kind_query(key, kind):
+    @query(key, _EV_CONS_SQL.replace("WHERE n > 0", f"WHERE n > 0 AND kind = '{kind}'"))
+    def _q(spark, sf):
+        return ex.schema_violations(_evdq(spark, sf), _EV_CONS).filter(F.col("kind") == kind)
+    return _q
+
+
+_kind_query("schema_not_null", "not_null")
+_kind_query("schema_unique", "unique")
+_kind_query("schema_range", "range")

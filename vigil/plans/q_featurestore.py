@@ -184,3 +184,25 @@ def q_feature_freshness(spark, sf):
     ev = table(spark, sf, "events", ["event_type", "ts"])
     sets = {t: (ev.filter(F.col("event_type") == t), "ts") for t in ["view", "click", "purchase"]}
     return fs.feature_freshness(sets, ts_lit(AS_OF))
+
+
+@query("feature_write", """SELECT 'online' AS sink, count(DISTINCT user_id) AS n_rows FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'warehouse', count(*) FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'offline', count(*) FROM events WHERE event_type = 'view'""")
+def q_feature_write(spark, sf):
+    """Validated write of the view-feature batch to online, warehouse and
+    offline sinks; returns the row count each sink holds afterwards."""
+    import uuid
+    from vigil.sources import sinks as sk
+    ev = table(spark, sf, "events", ["user_id", "ts", "event_id", "value", "event_type"]).filter("event_type = 'view'")
+    batch = ev.select("user_id", "ts", "event_id", "value")
+    online, offline = sk.scratch_dir(spark, "online"), sk.scratch_dir(spark, "offline")
+    name = f"vigil_fw_{uuid.uuid4().hex[:8]}"
+    sk.create_table(spark, name, "user_id bigint, ts timestamp_ntz, event_id bigint, value double",
+                    location=sk.scratch_dir(spark, "wh"))
+    expected = {"user_id": "integer", "ts": "datetime", "event_id": "integer", "value": "float"}
+    fs.feature_write(batch, expected, ["user_id"], "ts", online, name, offline)
+    n = F.count(F.lit(1)).alias("n_rows")
+    return (spark.read.parquet(online).agg(n).select(F.lit("online").alias("sink"), "n_rows")
+            .unionByName(spark.table(name).agg(n).select(F.lit("warehouse").alias("sink"), "n_rows"))
+            .unionByName(spark.read.parquet(offline).agg(n).select(F.lit("offline").alias("sink"), "n_rows")))
