@@ -127,16 +127,19 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
     task; instead each key's value range is cut into ``buckets`` ranges at
     approximate quantiles, per-range totals are prefix-summed (a table of
     keys x buckets rows) and joined back as offsets, and the window runs per
-    (key, range).  Output columns: all input columns + ``cum_<c>``.
+    (key, range).  Output columns: all input columns, ``cum_<c>`` (running
+    sum including the row) and ``tot_<c>`` (the key's total).
     """
     keys = list(keys)
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
         keys = ["_all"]
     probs = [i / buckets for i in range(1, buckets)]
-    # edges: (#keys x buckets) numbers -> broadcast is bounded by key count
+    # one aggregate gives the range edges and the key totals; it has
+    # (#keys x buckets) numbers, so broadcasting it is bounded by key count
     edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_edges"))
+        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_edges"),
+        *[F.sum(c).alias(f"tot_{c}") for c in sum_cols])
     tagged = counts.join(F.broadcast(edges), keys, "left")
     tagged = tagged.withColumn(
         "_bucket",
@@ -153,7 +156,8 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
          .rowsBetween(Window.unboundedPreceding, 0))
     out = joined.select(
         *[F.col(c) for c in counts.columns if c != "_all"],
-        *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols])
+        *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols],
+        *[F.col(f"tot_{c}") for c in sum_cols])
     return out
 
 
@@ -173,34 +177,27 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Seque
 
     Scales past the memory of one task: distinct values are ranked with
     :func:`cumulative` and the two order statistics around each position are
-    picked by a range test against a broadcast (features x probs) table.
+    picked by a rank-range filter in the same pass, then one small grouping.
     Returns (keys..., feature, p, q).
     """
     keys = list(keys)
     jk = keys + ["feature"]
     cum = cumulative(counts, jk, "value", ["n"], buckets=buckets)
-    totals = counts.groupBy(*jk).agg(F.sum("n").alias("total"))
-    pos = totals.select(*jk, "total",
-                        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    pos = pos.select(*jk, "p", ((F.col("total") - 1) * F.col("p")).alias("h"))
-    pos = pos.select(*jk, "p", "h", F.floor("h").cast("long").alias("lo"),
-                     F.ceil("h").cast("long").alias("hi"))
-    # a distinct value covers ranks [cum_n - n, cum_n - 1]
+    # a distinct value covers ranks [cum_n - n, cum_n - 1] of its feature
     rng = cum.select(*jk, "value", (F.col("cum_n") - F.col("n")).alias("r0"),
-                     (F.col("cum_n") - 1).alias("r1"))
-    a = F.broadcast(pos.alias("a"))  # features x probs rows
-    r = rng.alias("r")
-    lo = a.join(r, [F.col(f"a.{k}") == F.col(f"r.{k}") for k in jk]
-                + [F.col("r.r0") <= F.col("a.lo"), F.col("r.r1") >= F.col("a.lo")]) \
-        .select(*[F.col(f"a.{k}").alias(k) for k in jk], F.col("a.p").alias("p"), F.col("a.h").alias("h"),
-                F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"), F.col("r.value").alias("v_lo"))
-    b = F.broadcast(lo.alias("b"))
-    r2 = rng.alias("r2")
-    both = b.join(r2, [F.col(f"b.{k}") == F.col(f"r2.{k}") for k in jk]
-                  + [F.col("r2.r0") <= F.col("b.hi"), F.col("r2.r1") >= F.col("b.hi")]) \
-        .select(*[F.col(f"b.{k}").alias(k) for k in jk], F.col("b.p").alias("p"),
-                (F.col("b.v_lo") + (F.col("b.h") - F.col("b.lo")) * (F.col("r2.value") - F.col("b.v_lo"))).alias("q"))
-    return both
+                     (F.col("cum_n") - 1).alias("r1"), F.col("tot_n").alias("total"))
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    # each value row is tested against every requested position in one
+    # pass; only the (at most 2 per position) covering rows survive
+    x = rng.select(*jk, "value", "r0", "r1", "total", F.explode(ps).alias("p"))
+    x = x.withColumn("h", (F.col("total") - 1) * F.col("p"))
+    lo, hi = F.floor("h"), F.ceil("h")
+    x = x.filter(((F.col("r0") <= lo) & (F.col("r1") >= lo)) | ((F.col("r0") <= hi) & (F.col("r1") >= hi)))
+    g = x.groupBy(*jk, "p").agg(
+        F.max(F.when((F.col("r0") <= lo) & (F.col("r1") >= lo), F.col("value"))).alias("v_lo"),
+        F.max(F.when((F.col("r0") <= hi) & (F.col("r1") >= hi), F.col("value"))).alias("v_hi"),
+        F.first("h").alias("h"))
+    return g.select(*jk, "p", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -55,9 +55,9 @@ def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Seque
     lf = sides(ref, cur, features, keys)
     counts = lf.groupBy(*jk, "value").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                           F.count_if(F.col("side") == 1).alias("nc"))
-    tot = counts.groupBy(*jk).agg(F.sum("nr").alias("n_ref"), F.sum("nc").alias("n_cur"))
-    cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets)
-    d = cum.join(F.broadcast(tot), jk).groupBy(*jk, "n_ref", "n_cur").agg(
+    cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets) \
+        .withColumnRenamed("tot_nr", "n_ref").withColumnRenamed("tot_nc", "n_cur")
+    d = cum.groupBy(*jk, "n_ref", "n_cur").agg(
         F.max(F.abs(F.col("cum_nr") / F.col("n_ref") - F.col("cum_nc") / F.col("n_cur"))).alias("statistic"))
     en = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
     lam = (F.sqrt(en) + 0.12 + 0.11 / F.sqrt(en)) * F.col("statistic")
@@ -212,8 +212,8 @@ def cvm_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequ
     lf = sides(ref, cur, features, keys)
     counts = lf.groupBy(*jk, "value").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                           F.count_if(F.col("side") == 1).alias("nc"))
-    tot = counts.groupBy(*jk).agg(F.sum("nr").alias("N"), F.sum("nc").alias("M"))
-    cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets).join(F.broadcast(tot), jk)
+    cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets) \
+        .withColumnRenamed("tot_nr", "N").withColumnRenamed("tot_nc", "M")
     diff = F.col("cum_nr") / F.col("N") - F.col("cum_nc") / F.col("M")
     s = cum.groupBy(*jk, "N", "M").agg(F.sum((F.col("nr") + F.col("nc")) * diff * diff).alias("_s"))
     t = F.col("N") * F.col("M") / F.pow(F.col("N") + F.col("M"), 2) * F.col("_s")
