@@ -56,6 +56,11 @@ def _norm(v):
     return str(v)
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT",
+            "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark, con, name, fn, sql, sf=SF):
     t0 = time.time()
     sdf = fn(spark, sf)
@@ -73,6 +78,11 @@ def compare(spark, con, name, fn, sql, sf=SF):
         out["why"] = f"columns {sorted(scols)} vs {sorted(dcols)}"
         return out
     order = sorted(scols)
+    stypes = dict((f.name, f.dataType.simpleString()) for f in sdf.schema.fields)
+    dtypes = dict((d[0], str(d[1])) for d in res.description)
+    bad_types = [(c, stypes[c], dtypes[c]) for c in order if TYPE_MAP.get(stypes[c].split("(")[0]) != dtypes[c].split("(")[0]]
+    if bad_types:
+        out["types"] = bad_types
     si = [scols.index(c) for c in order]
     di = [dcols.index(c) for c in order]
     sc = Counter(tuple(_norm(r[i]) for i in si) for r in srows)
@@ -108,7 +118,8 @@ def main(names):
         except Exception as ex:  # noqa: BLE001
             r = {"name": n, "ok": False, "why": f"{type(ex).__name__}: {str(ex)[:600]}"}
         bad += not r["ok"]
-        print(("OK   " if r["ok"] else "FAIL ") + str(r), flush=True)
+        tag = ("OK   " if r["ok"] else "FAIL ") if not r.get("types") else ("TYPE " if r["ok"] else "FAIL ")
+        print(tag + str(r), flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
 
 

@@ -217,4 +217,4 @@ def top_k(counts: DataFrame, group: Sequence[str], k: int, order: Sequence[Colum
     w1 = Window.partitionBy(*g, "_s").orderBy(*order)
     pre = sl.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_s")
     w2 = Window.partitionBy(*g).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+    return pre.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= k)

@@ -272,7 +272,7 @@ def feature_rank(per_feature: DataFrame, stat: str, keys: Sequence[str] = ()) ->
     """Attribution: rank features by statistic (largest first; name breaks
     ties).  The input has one row per feature, so the window is small."""
     w = Window.partitionBy(*keys).orderBy(F.col(stat).desc(), F.col("feature"))
-    return per_feature.withColumn("rank", F.row_number().over(w))
+    return per_feature.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 # ---------------------------------------------------------------- others

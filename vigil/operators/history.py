@@ -53,7 +53,7 @@ def daily(runs: DataFrame, key: str = "dataset", score: str = "overall_score", t
 def last_n(runs: DataFrame, n: int = 10, key: str = "dataset", ts: str = "ts") -> DataFrame:
     """Newest n runs per series.  Run rows per series are few (one per run)."""
     w = Window.partitionBy(key).orderBy(F.col(ts).desc())
-    return runs.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
+    return runs.withColumn("recency", F.row_number().over(w).cast("long")).filter(F.col("recency") <= n)
 
 
 def trend_time(runs: DataFrame, key: str = "dataset", score: str = "overall_score", ts: str = "ts",

@@ -191,7 +191,7 @@ def version_top(events: DataFrame, n: int = 5, model: str = "model", version: st
     """Newest n versions per model by their latest event."""
     v = events.groupBy(model, version).agg(F.max(ts).alias("last_ts"))
     w = Window.partitionBy(model).orderBy(F.col("last_ts").desc(), F.col(version).desc())
-    return v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return v.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
 
 def deployment_history(events: DataFrame, model: str = "model", version: str = "version", ts: str = "ts",

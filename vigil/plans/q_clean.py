@@ -110,8 +110,8 @@ def q_fe_ratio(spark, sf):
     return li.select("l_orderkey", "l_linenumber", F.round(fe.ratio("l_extendedprice", "l_quantity"), 9).alias("price_per_qty"))
 
 
-@query("fe_date_parts", """SELECT o_orderkey, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month,
-  day(o_orderdate) AS o_orderdate_day FROM orders""")
+@query("fe_date_parts", """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year,
+  CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day FROM orders""")
 def q_fe_date_parts(spark, sf):
     o = table(spark, sf, "orders", ["o_orderkey", "o_orderdate"])
     return fe.date_parts(o, "o_orderdate").drop("o_orderdate")

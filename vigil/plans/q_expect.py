@@ -368,7 +368,7 @@ def q_chk_alerts(spark, sf):
 
 @query("chk_recommend", f"""WITH {RULE_METRICS_SQL},\n{_STATUS_SQL},\n{_SUMMARY_SQL},
 fc AS (SELECT *, row_number() OVER (ORDER BY rule_id) AS r FROM checks WHERE status IN ('failed', 'error'))
-SELECT * FROM (
+SELECT CAST(ord AS INTEGER) AS ord, text FROM (
   SELECT 1 AS ord, CASE overall_status WHEN 'critical' THEN 'severe quality problems, investigate now'
     WHEN 'error' THEN 'quality problems, fix with priority' WHEN 'warning' THEN 'quality warnings, keep watching' END AS text FROM sts
   UNION ALL SELECT 2, CASE WHEN missing_ratio > 0.1 THEN 'high missing ratio, check the source or impute' END FROM summ

@@ -179,7 +179,7 @@ def q_st_rate_limit(spark, sf):
   abs(avg(value) - 250) > 20 AS breach FROM events GROUP BY 1, 2),
 g AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY model_name ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM r),
 s AS (SELECT *, sum(CASE WHEN breach THEN 1 ELSE 0 END) OVER (PARTITION BY model_name, grp ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM g)
-SELECT model_name, ts, streak FROM s WHERE breach AND streak >= 3""")
+SELECT model_name, ts, CAST(streak AS BIGINT) AS streak FROM s WHERE breach AND streak >= 3""")
 def q_st_consecutive_breach(spark, sf):
     """Daily breach series (|daily mean value − 250| > 20) per event type,
     streamed; alert rows from the third consecutive breach on."""

@@ -18,15 +18,15 @@ def _tok(t):
 
 @query("trace_timeline", f"""SELECT conv_id, turn, role, {_tok('text')} AS n_tokens,
   lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role,
-  sum({_tok('text')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
+  CAST(sum({_tok('text')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_tokens
 FROM conversations""")
 def q_trace_timeline(spark, sf):
     return tr.timeline(table(spark, sf, "conversations"))
 
 
-@query("trace_latency_tokens", f"""SELECT conv_id, count(*) AS n_turns, sum({_tok('text')}) AS n_tokens,
-  coalesce(sum({_tok('text')}) FILTER (WHERE role = 'user'), 0) AS user_tokens,
-  coalesce(sum({_tok('text')}) FILTER (WHERE role = 'assistant'), 0) AS assistant_tokens,
+@query("trace_latency_tokens", f"""SELECT conv_id, count(*) AS n_turns, CAST(sum({_tok('text')}) AS BIGINT) AS n_tokens,
+  CAST(coalesce(sum({_tok('text')}) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS user_tokens,
+  CAST(coalesce(sum({_tok('text')}) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS assistant_tokens,
   count(*) FILTER (WHERE role = 'assistant' AND {_tok('text')} = 0) AS n_empty_responses
 FROM conversations GROUP BY conv_id""")
 def q_trace_latency_tokens(spark, sf):
