@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.core import is_float, missing, ntz_seconds, quantiles_from_counts, value_counts
+from vigil.functions.core import exact_quantiles, is_float, missing, ntz_seconds
 
 
 def drop_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -30,8 +30,8 @@ def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill missing values with the exact median (distributed ranking)."""
-    q = quantiles_from_counts(value_counts(df, columns), [0.5])
+    """Fill missing values with the exact median (:func:`exact_quantiles`)."""
+    q = exact_quantiles(df, columns, [0.5])
     row = q.groupBy().pivot("feature", list(columns)).agg(F.first("q"))
     row = row.select(*[F.col(c).alias(f"_med_{c}") for c in columns])
     j = _with_row(df, row)
@@ -91,7 +91,7 @@ def safe_cast(df: DataFrame, column: str, to: str, flag: str = "cast_failed") ->
 
 def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """One row of lo/hi fences per column from exact quartiles."""
-    q = quantiles_from_counts(value_counts(df, columns), [0.25, 0.75])
+    q = exact_quantiles(df, columns, [0.25, 0.75])
     q = q.groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
                                  F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     f = q.select("feature", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import missing, quantiles_from_counts, rnd, safe_div, value_counts
+from vigil.functions.core import exact_quantiles, missing, rnd, safe_div
 
 # Strftime directive -> Spark datetime pattern letters.
 STRFTIME_TO_SPARK = {
@@ -101,7 +101,7 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
             x = F.when(~miss, c.cast("double"))
             if e.kind == "median_between":
                 # exact median by distributed ranking, not a per-group value map
-                extra.append(quantiles_from_counts(value_counts(df, [e.column]), [0.5])
+                extra.append(exact_quantiles(df, [e.column], [0.5])
                              .select(F.col("q").alias(f"{p}o")))
             else:
                 f = {"mean_between": F.avg(x), "stdev_between": F.stddev_samp(x)}[e.kind]

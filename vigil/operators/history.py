@@ -113,8 +113,8 @@ def anomalies_jump(runs: DataFrame, key: str = "dataset", score: str = "overall_
 def anomalies_iqr(runs: DataFrame, key: str = "dataset", value: str = "pass_rate", ts: str = "ts",
                   min_points: int = 3) -> DataFrame:
     """Points outside the series' IQR fence; returns the run index."""
-    from vigil.functions.core import quantiles_from_counts, value_counts
-    q = quantiles_from_counts(value_counts(runs, [value], [key]), [0.25, 0.75], [key]) \
+    from vigil.functions.core import exact_quantiles
+    q = exact_quantiles(runs, [value], [0.25, 0.75], [key]) \
         .groupBy(key).agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
                           F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     w = Window.partitionBy(key).orderBy(ts)

@@ -126,14 +126,14 @@ def validation_rollup(checks: DataFrame) -> DataFrame:
 def run_durations(steps: DataFrame, run: str, step: str, ts: str, failed: Column) -> DataFrame:
     """Duration of each step = time to the next step of the same run; per
     step name: count, mean, exact p95 of durations and failures."""
-    from vigil.functions.core import quantiles_from_counts, value_counts
+    from vigil.functions.core import exact_quantiles
     w = Window.partitionBy(run).orderBy(ts)
     d = steps.withColumn("duration_s", F.timestamp_diff("MICROSECOND", F.col(ts), F.lead(ts).over(w)) / 1e6) \
         .withColumn("_failed", failed)
     g = d.groupBy(step).agg(F.count(F.lit(1)).cast("long").alias("n_steps"),
                             rnd(F.avg("duration_s")).alias("mean_duration_s"),
                             F.count_if("_failed").cast("long").alias("n_failed"))
-    p95 = quantiles_from_counts(value_counts(d, ["duration_s"], [step]), [0.95], [step]) \
+    p95 = exact_quantiles(d, ["duration_s"], [0.95], [step]) \
         .select(step, rnd(F.col("q")).alias("p95_duration_s"))
     return g.join(p95, step, "left")
 

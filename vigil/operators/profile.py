@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import (is_float, is_numeric, is_string, is_time, missing, quantiles_from_counts,
-                                  rnd, safe_div, top_k, value_counts)
+from vigil.functions.core import (exact_quantiles, is_float, is_numeric, is_string, is_time, missing, rnd,
+                                  safe_div, top_k)
 
 
 def _explode_structs(wide: DataFrame, structs: list[Column]) -> DataFrame:
@@ -63,7 +63,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, buckets
                      rnd(kurt_corrected(F.col(f"{c}__g2"), F.col(f"{c}__n")), 6).alias("kurtosis"))
             for c in cols]
     stats = _explode_structs(wide, rows)
-    med = quantiles_from_counts(value_counts(df, cols), [0.5], buckets=buckets) \
+    med = exact_quantiles(df, cols, [0.5]) \
         .select(F.col("feature").alias("column"), rnd(F.col("q")).alias("median"))
     return stats.join(F.broadcast(med), "column", "left")
 

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.core import is_numeric, is_time, missing, quantiles_from_counts, rnd, safe_div, value_counts
+from vigil.functions.core import exact_quantiles, is_numeric, is_time, missing, rnd, safe_div
 
 # Fixed values (must equal the reference):
 # default threshold table: metric name, type, warning, error, condition
@@ -91,16 +91,25 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
     """Variant-A metrics of one dataset as long rows (``families`` picks
     which; only their aggregates are planned).
 
-    Work: one wide aggregate (counts, zeros, finiteness, distincts, max
-    timestamps), one grouping on all columns (duplicates) and one exact
-    quartile ranking of the numeric columns (IQR outliers) that reads only
-    the distinct-value count table."""
+    Work: exact quartiles of the numeric columns first (sketch + bracket
+    scan, a small result), then one wide aggregate (counts, zeros,
+    finiteness, distincts, IQR outliers against the literal fences, max
+    timestamps) and one grouping on all columns (duplicates)."""
     fam = set(families)
     cols = df.columns
     num = [c for c in cols if is_numeric(df, c)]
     fresh = [c for c in cols if is_time(df, c) and ("date" in c.lower() or "time" in c.lower())]
     if as_of is None:
         fresh = []
+    fences = {}
+    if "outlier" in fam and num:
+        # IQR fences from exact quartiles (a small materialised result), then
+        # the outlier counts ride in the same wide aggregate as the rest
+        qs = {(r["feature"], r["p"]): r["q"] for r in exact_quantiles(df, num, [0.25, 0.75]).collect()}
+        for c in num:
+            q1, q3 = qs.get((c, 0.25)), qs.get((c, 0.75))
+            if q1 is not None and q3 is not None:
+                fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
         aggs.append(F.count_if(missing(df, c)).alias(f"{c}__miss"))
@@ -112,6 +121,12 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
             aggs.append(F.count_if(~missing(df, c) & (x == 0)).alias(f"{c}__zero"))
         if "profile_validity" in fam:
             aggs.append(F.count_if(~missing(df, c) & (F.abs(x) < float("inf"))).alias(f"{c}__fin"))
+        if "outlier" in fam:
+            if c in fences:
+                lo, hi = fences[c]
+                aggs.append(F.count_if(~missing(df, c) & ((x < F.lit(lo)) | (x > F.lit(hi)))).alias(f"{c}__out"))
+            else:
+                aggs.append(F.lit(0).alias(f"{c}__out"))
     if "freshness" in fam:
         for c in fresh:
             aggs.append(F.max(c).alias(f"{c}__max"))
@@ -121,20 +136,6 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
         dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_dups"))
         wide = _one_row_join(wide, dup)
-    if "outlier" in fam and num:
-        # IQR fences from exact quartiles; outliers counted on the value-count table
-        vc = value_counts(df, num)
-        q = quantiles_from_counts(vc, [0.25, 0.75], buckets=buckets) \
-            .groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                                    F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-        fences = q.select("feature", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
-        out = vc.join(F.broadcast(fences), "feature") \
-            .groupBy("feature").agg(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
-                                                 F.col("n")).otherwise(0)).alias("n_out"))
-        outl = out.groupBy().pivot("feature", num).agg(F.first("n_out"))
-        outl = outl.select(*[F.coalesce(F.col(c), F.lit(0)).alias(f"{c}__out") for c in num])
-        wide = _one_row_join(wide, outl)
     n = F.col("_rows")
     ms: list[Column] = []
     if "overall" in fam:
