@@ -2,7 +2,8 @@
 ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with ``local[$BENCH_CPUS]``
 and prints one JSON line.  Each query is forced completely with the
 ``noop`` sink (every column computed, nothing collected); the reported
-time is the median of ``$BENCH_RUNS`` (default 3) warm runs."""
+time is the median of ``$BENCH_RUNS`` (default 3) runs after
+``$BENCH_WARMUP`` (default 2) warm-up runs."""
 
 from __future__ import annotations
 
@@ -45,17 +46,18 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    warmup = int(os.environ.get("BENCH_WARMUP", "2"))
     from vigil.session import get_session
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, app="vigil-bench",
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
     results = {}
     for name, fn in headline().items():
         times = []
-        for i in range(runs + 1):
+        for i in range(runs + warmup):
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0
-            if i > 0:  # first run warms the JVM and caches file listings
+            if i >= warmup:  # warm-up runs compile code paths and cache file listings
                 times.append(dt)
         results[name] = round(statistics.median(times), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

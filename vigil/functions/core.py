@@ -118,14 +118,15 @@ def check_unique_columns(df: DataFrame) -> None:
 
 def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
                sum_cols: Sequence[str], buckets: int = 32,
-               accuracy: int = 10000) -> DataFrame:
+               accuracy: int = 512) -> DataFrame:
     """Running sums of ``sum_cols`` ordered by ``order_col`` within ``keys``.
 
     ``counts`` should hold one row per (keys, order value) — e.g. the output
     of a ``groupBy(keys, value).count()`` — so a hot value is one row.  A
     plain ``Window.partitionBy(keys)`` would put each key's rows into one
     task; instead each key's value range is cut into ``buckets`` ranges at
-    approximate quantiles, per-range totals are prefix-summed (a table of
+    approximate quantiles (they only balance the ranges, so a coarse sketch
+    suffices; results do not depend on them), per-range totals are prefix-summed (a table of
     keys x buckets rows) and joined back as offsets, and the window runs per
     (key, range).  Output columns: all input columns, ``cum_<c>`` (running
     sum including the row) and ``tot_<c>`` (the key's total).
