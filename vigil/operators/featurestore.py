@@ -56,7 +56,9 @@ def pit_join(entities: DataFrame, features: DataFrame, keys: Sequence[str],
         last_b = (u.filter("_side = 0").groupBy(*keys, "_b")
                   .agg(F.max(F.struct(F.col("_f._fts"), F.col("_f._tie"), F.col("_f"))).alias("_m"))
                   .select(*keys, "_b", F.col("_m._f").alias("_f"), F.lit(1).alias("_side")))
-        need = within.filter(F.col("_hit").isNull()).select(*keys, "_b").distinct() \
+        # (key, bucket) pairs that hold entity rows, from the entity side
+        # alone, so the big window above is computed once
+        need = u.filter("_side = 1").select(*keys, "_b").distinct() \
             .select(*keys, "_b", F.lit(None).cast(last_b.schema["_f"].dataType).alias("_f"),
                     F.lit(0).alias("_side"))
         # compact table: at most one row per (key, bucket) and side.  A
