@@ -162,6 +162,22 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
     return out
 
 
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row ``_dups``: rows beyond the first occurrence of each distinct
+    row (nulls equal, as pandas ``duplicated``).
+
+    First pass groups only a 64-bit hash of the row (8 bytes per row cross
+    the shuffle, not the row); rows whose hash occurs once cannot be
+    duplicates.  Only rows of repeated hashes are grouped again on all
+    columns, which settles hash collisions exactly."""
+    cols = df.columns
+    h = df.select("*", F.xxhash64(*[F.col(c) for c in cols]).alias("_h"))
+    rep = h.groupBy("_h").agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > 1).select("_h")
+    cand = h.join(rep, "_h", "left_semi").drop("_h")
+    return cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
+        .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("_dups"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., feature, value, n): multiplicity of every non-missing value
     of every column, as doubles.  Map-side partial aggregation collapses

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import (exact_quantiles, is_float, is_numeric, is_string, is_time, missing, rnd,
+from vigil.functions.core import (duplicate_rows, exact_quantiles, is_float, is_numeric, is_string, is_time, missing, rnd,
                                   safe_div, top_k)
 
 
@@ -32,13 +32,11 @@ def profile_table(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells, duplicate rows (first occurrence not
     counted; nulls compare equal, as pandas ``duplicated``)."""
     cols = df.columns
-    # one grouping on all columns gives rows, duplicates and missing cells
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    miss = sum((F.when(missing(df, c), 1).otherwise(0) for c in cols), F.lit(0))
-    return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"),
-                 F.lit(len(cols)).cast("long").alias("n_columns"),
-                 F.coalesce(F.sum(F.col("_n") * miss), F.lit(0)).cast("long").alias("missing_cells"),
-                 F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    miss = sum((F.count_if(missing(df, c)) for c in cols), F.lit(0))
+    base = df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), miss.cast("long").alias("missing_cells"))
+    j = base.withColumn("_k", F.lit(1)).join(duplicate_rows(df).withColumn("_k", F.lit(1)), "_k")
+    return j.select("n_rows", F.lit(len(cols)).cast("long").alias("n_columns"), "missing_cells",
+                    F.col("_dups").alias("duplicate_rows"))
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:

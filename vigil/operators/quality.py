@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.core import exact_quantiles, is_numeric, is_time, missing, rnd, safe_div
+from vigil.functions.core import duplicate_rows, exact_quantiles, is_numeric, is_time, missing, rnd, safe_div
 
 # Fixed values (must equal the reference):
 # default threshold table: metric name, type, warning, error, condition
@@ -87,14 +87,15 @@ ALL_FAMILIES = ("overall", "duplicate", "missing", "zero", "outlier", "freshness
 
 def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
                     families: Sequence[str] = ALL_FAMILIES, thresholds: DataFrame | None = None,
-                    buckets: int = 32) -> DataFrame:
+                    approx_distinct: bool = False) -> DataFrame:
     """Variant-A metrics of one dataset as long rows (``families`` picks
     which; only their aggregates are planned).
 
     Work: exact quartiles of the numeric columns first (sketch + bracket
     scan, a small result), then one wide aggregate (counts, zeros,
     finiteness, distincts, IQR outliers against the literal fences, max
-    timestamps) and one grouping on all columns (duplicates)."""
+    timestamps) and the hashed duplicate count.  ``approx_distinct`` swaps
+    the exact distinct counts (one expanded aggregate) for HLL sketches."""
     fam = set(families)
     cols = df.columns
     num = [c for c in cols if is_numeric(df, c)]
@@ -114,7 +115,8 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
     for c in cols:
         aggs.append(F.count_if(missing(df, c)).alias(f"{c}__miss"))
         if "profile_uniqueness" in fam:
-            aggs.append(F.count_distinct(F.when(~missing(df, c), F.col(c))).alias(f"{c}__dist"))
+            dc = F.approx_count_distinct if approx_distinct else F.count_distinct
+            aggs.append(dc(F.when(~missing(df, c), F.col(c))).alias(f"{c}__dist"))
     for c in num:
         x = F.col(c).cast("double")
         if "zero" in fam:
@@ -133,9 +135,7 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
     wide = df.agg(*aggs)
     if "duplicate" in fam:
         # group on all columns, count rows beyond the first occurrence
-        dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
-            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_dups"))
-        wide = _one_row_join(wide, dup)
+        wide = _one_row_join(wide, duplicate_rows(df))
     n = F.col("_rows")
     ms: list[Column] = []
     if "overall" in fam:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.core import missing, rnd, safe_div
+from vigil.functions.core import duplicate_rows, missing, rnd, safe_div
 
 TOL = 1e-10
 
@@ -73,9 +73,11 @@ def completeness_metric(df: DataFrame) -> DataFrame:
 
 def uniqueness_metric(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """R2 duplicate_ratio = rows beyond the first per group / rows."""
-    g = df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(safe_div(F.sum(F.col("_n") - 1), F.sum("_n")).alias("value")) \
-        .select(F.lit("duplicate_ratio").alias("metric"), "value")
+    d = df.select(*keys) if keys else df
+    dup = duplicate_rows(d).withColumn("_k", F.lit(1))
+    n = d.agg(F.count(F.lit(1)).alias("_rows")).withColumn("_k", F.lit(1))
+    return dup.join(n, "_k").select(F.lit("duplicate_ratio").alias("metric"),
+                                    safe_div(F.col("_dups"), F.col("_rows")).alias("value"))
 
 
 def validity_metric(df: DataFrame, column: str, lo=None, hi=None) -> DataFrame:
