@@ -93,9 +93,9 @@ def trend_index(runs: DataFrame, key: str = "dataset", value: str = "pass_rate",
 def anomalies_sigma(runs: DataFrame, key: str = "dataset", score: str = "overall_score", ts: str = "ts",
                     k: float = 2.0, min_points: int = 3) -> DataFrame:
     """|score − mean| > 2·std (population) within each series of ≥ 3 runs."""
-    w = Window.partitionBy(key)
-    r = runs.withColumn("_m", F.avg(score).over(w)).withColumn("_s", F.stddev_pop(score).over(w)) \
-        .withColumn("_n", F.count(F.lit(1)).over(w))
+    st = runs.groupBy(key).agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"),
+                               F.count(F.lit(1)).alias("_n"))
+    r = runs.join(st, key)
     f = r.filter((F.col("_n") >= min_points) & (F.abs(F.col(score) - F.col("_m")) > k * F.col("_s")))
     return f.select(key, ts, score, rnd(F.col("_m")).alias("mean_score"),
                     rnd(F.col(score) - F.col("_m")).alias("deviation"))
