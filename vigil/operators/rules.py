@@ -223,9 +223,9 @@ def check_recommendations(status: DataFrame, summary: DataFrame, checks: DataFra
                        .when(F.col("overall_status") == "warning", "quality warnings, keep watching").alias("text"))
     ms = summary.select(F.lit(2).alias("ord"), F.when(F.col("missing_ratio") > 0.1, "high missing ratio, check the source or impute").alias("text"))
     ds = summary.select(F.lit(3).alias("ord"), F.when(F.col("duplicate_ratio") > 0.05, "many duplicate rows, deduplicate").alias("text"))
-    w = Window.orderBy("rule_id")
-    fc = checks.filter(F.col("status").isin("failed", "error")).withColumn("_r", F.row_number().over(w)) \
-        .filter(F.col("_r") <= 3).select((F.lit(3) + F.col("_r")).alias("ord"),
+    # first three failed checks: ORDER BY … LIMIT 3, then numbered (3 rows)
+    first3 = checks.filter(F.col("status").isin("failed", "error")).orderBy("rule_id").limit(3)
+    fc = first3.withColumn("_r", F.row_number().over(Window.orderBy("rule_id"))).select((F.lit(3) + F.col("_r")).alias("ord"),
                                          F.concat(F.lit("check failed: "), F.col("rule_name"), F.lit(" - "),
                                                   F.col("metric"), F.lit("="), F.format_string("%.6f", F.col("value"))).alias("text"))
     return st.unionByName(ms).unionByName(ds).unionByName(fc).filter(F.col("text").isNotNull())
