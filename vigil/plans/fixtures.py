@@ -57,14 +57,14 @@ EVENTS_DQ_SQL = """events_dq AS (
 def dq_runs(spark: SparkSession, sf: str) -> DataFrame:
     """One quality run per event day and event type: score
     100 - |avg(value) - 50| clipped at 0, passed / failed = rows with value
-    below / at least 400."""
+    below / at least 100."""
     from vigil.operators.quality import score_status_expr
     ev = table(spark, sf, "events", ["ts", "event_type", "value"])
     g = ev.groupBy(F.col("event_type").alias("dataset"),
                    F.to_date("ts").alias("day")).agg(
         F.avg("value").alias("_avg"),
-        F.count_if(F.col("value") < 400).alias("passed"),
-        F.count_if(F.col("value") >= 400).alias("failed"))
+        F.count_if(F.col("value") < 100).alias("passed"),
+        F.count_if(F.col("value") >= 100).alias("failed"))
     score = F.round(F.greatest(F.lit(0.0), 100 - F.abs(F.col("_avg") - 50)), 6)
     return g.select("dataset", F.col("day").cast("timestamp_ntz").alias("ts"),
                     F.concat_ws("/", "dataset", F.date_format("day", "yyyy-MM-dd")).alias("run_id"),
@@ -82,8 +82,8 @@ DQ_RUNS_SQL = """dq_runs AS (
   FROM (SELECT event_type AS dataset, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts,
                event_type || '/' || strftime(CAST(ts AS DATE), '%Y-%m-%d') AS run_id,
                round(greatest(0.0, 100 - abs(avg(value) - 50)), 6) AS overall_score,
-               count(*) FILTER (WHERE value < 400) AS passed,
-               count(*) FILTER (WHERE value >= 400) AS failed
+               count(*) FILTER (WHERE value < 100) AS passed,
+               count(*) FILTER (WHERE value >= 100) AS failed
         FROM events GROUP BY event_type, CAST(ts AS DATE)))"""
 
 # Check catalogue used to label check rows (fixed lists of this fixture).
@@ -93,7 +93,7 @@ SEVERITIES = ["low", "medium", "high", "critical"]
 
 def dq_checks(spark: SparkSession, sf: str) -> DataFrame:
     """One check row per event: run = (event day, type); check name, type
-    and severity by event_id arithmetic; failed when value >= 400."""
+    and severity by event_id arithmetic; failed when value >= 100."""
     ev = table(spark, sf, "events", ["event_id", "ts", "event_type", "value"])
     types = F.array(*[F.lit(t) for t in CHECK_TYPES])
     sev = F.array(*[F.lit(s) for s in SEVERITIES])
@@ -103,7 +103,7 @@ def dq_checks(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("check_"), (F.col("event_id") % 7).cast("string")).alias("check_name"),
         F.element_at(types, (F.col("event_id") % 4 + 1).cast("int")).alias("check_type"),
         F.element_at(sev, (F.col("event_id") % 4 + 1).cast("int")).alias("severity"),
-        F.when(F.col("value") >= 400, "failed").otherwise("passed").alias("status"),
+        F.when(F.col("value") >= 100, "failed").otherwise("passed").alias("status"),
         F.format_string("value %.2f", F.col("value")).alias("message"))
 
 
@@ -113,7 +113,7 @@ DQ_CHECKS_SQL = """dq_checks AS (
          'check_' || CAST(event_id % 7 AS VARCHAR) AS check_name,
          (['completeness', 'uniqueness', 'validity', 'consistency'])[event_id % 4 + 1] AS check_type,
          (['low', 'medium', 'high', 'critical'])[event_id % 4 + 1] AS severity,
-         CASE WHEN value >= 400 THEN 'failed' ELSE 'passed' END AS status,
+         CASE WHEN value >= 100 THEN 'failed' ELSE 'passed' END AS status,
          printf('value %.2f', value) AS message
   FROM events)"""
 

@@ -12,18 +12,19 @@ from vigil.sources.readers import table
 
 def daily_metrics(spark, sf):
     """Wide metric row per (model = event type, day): drift score, accuracy
-    (share of requests under 450 ms) and run status."""
+    (share of requests under 60 ms) and run status (failed when any request
+    took over 400 ms)."""
     ev = table(spark, sf, "events", ["event_type", "ts", "value"])
     m = ev.groupBy(F.col("event_type").alias("model_name"), F.to_date("ts").cast("timestamp_ntz").alias("ts")).agg(
-        F.avg((F.col("value") < 450).cast("double")).alias("accuracy"),
-        F.when(F.count_if(F.col("value") > 485) > 0, "failed").otherwise("ok").alias("status"))
+        F.avg((F.col("value") < 60).cast("double")).alias("accuracy"),
+        F.when(F.count_if(F.col("value") > 400) > 0, "failed").otherwise("ok").alias("status"))
     return m.join(drift_runs(spark, sf).select("model_name", "ts", "drift_score"), ["model_name", "ts"], "left")
 
 
 _DAILY = f"""{DRIFT_RUNS_SQL},
 dm AS (SELECT m.*, d.drift_score FROM (SELECT event_type AS model_name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts,
-  avg(CASE WHEN value < 450 THEN 1.0 ELSE 0.0 END) AS accuracy,
-  CASE WHEN count(*) FILTER (WHERE value > 485) > 0 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY 1, 2) m
+  avg(CASE WHEN value < 60 THEN 1.0 ELSE 0.0 END) AS accuracy,
+  CASE WHEN count(*) FILTER (WHERE value > 400) > 0 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY 1, 2) m
   LEFT JOIN drift_runs d USING (model_name, ts))"""
 
 
@@ -38,8 +39,8 @@ def q_alert_rules(spark, sf):
 
 def _error_alerts(spark, sf):
     ev = table(spark, sf, "events", ["user_id", "ts", "event_type", "value"]).filter("event_type = 'error'")
-    sev = (F.when(F.col("value") > 400, "critical").when(F.col("value") > 250, "high")
-           .when(F.col("value") > 100, "medium").otherwise("low"))
+    sev = (F.when(F.col("value") > 200, "critical").when(F.col("value") > 100, "high")
+           .when(F.col("value") > 50, "medium").otherwise("low"))
     return ev.select("user_id", "ts", sev.alias("severity"))
 
 
@@ -49,9 +50,9 @@ def q_alert_cooldown(spark, sf):
     return al.cooldown(_error_alerts(spark, sf), ["user_id"], "ts", 30)
 
 
-@query("alert_quiet_hours", """SELECT user_id, ts, CASE WHEN value > 400 THEN 'critical' WHEN value > 250 THEN 'high'
-  WHEN value > 100 THEN 'medium' ELSE 'low' END AS severity, hour(ts) >= 22 OR hour(ts) < 8 AS quiet,
-  CASE WHEN value > 400 THEN 'email,slack,webhook' WHEN value > 250 THEN 'slack,webhook' WHEN value > 100 THEN 'webhook' ELSE '' END AS channels
+@query("alert_quiet_hours", """SELECT user_id, ts, CASE WHEN value > 200 THEN 'critical' WHEN value > 100 THEN 'high'
+  WHEN value > 50 THEN 'medium' ELSE 'low' END AS severity, hour(ts) >= 22 OR hour(ts) < 8 AS quiet,
+  CASE WHEN value > 200 THEN 'email,slack,webhook' WHEN value > 100 THEN 'slack,webhook' WHEN value > 50 THEN 'webhook' ELSE '' END AS channels
 FROM events WHERE event_type = 'error'""")
 def q_alert_quiet_hours(spark, sf):
     q = al.quiet_hours(_error_alerts(spark, sf), "ts")

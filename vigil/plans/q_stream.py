@@ -97,7 +97,7 @@ _BUCKETS = ", ".join(f"count(*) FILTER (WHERE value / 1000.0 <= {b}) AS {st.buck
 
 
 @query("st_request_metrics", f"""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-  event_type AS model, count(*) AS n_requests, count(*) FILTER (WHERE value > 450) AS n_errors, {_BUCKETS}
+  event_type AS model, count(*) AS n_requests, count(*) FILTER (WHERE value > 250) AS n_errors, {_BUCKETS}
 FROM events, {_WM} WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= wm GROUP BY 1, 2, 3""")
 def q_st_request_metrics(spark, sf):
     return st.run_to_table(st.request_metrics(st.as_requests(st.event_stream(spark, sf))), "requests")

@@ -143,9 +143,9 @@ def request_p95(requests: DataFrame, window: str = "1 hour", delay: str = "10 mi
 
 def as_requests(events: DataFrame) -> DataFrame:
     """Inference-log view of events: model = event type, latency = value ms,
-    status error when latency > 450 ms."""
+    status error when latency > 250 ms."""
     return events.select("ets", "ts", F.col("event_type").alias("model"), (F.col("value") / 1000.0).alias("latency_s"),
-                         F.when(F.col("value") > 450, "error").otherwise("ok").alias("status"))
+                         F.when(F.col("value") > 250, "error").otherwise("ok").alias("status"))
 
 
 def dedup_within_watermark(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
