@@ -136,15 +136,17 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
         counts = counts.withColumn("_all", F.lit(0))
         keys = ["_all"]
     probs = [i / buckets for i in range(1, buckets)]
-    # one aggregate gives the range edges and the key totals; it has
-    # (#keys x buckets) numbers, so broadcasting it is bounded by key count
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_edges"),
-        *[F.sum(c).alias(f"tot_{c}") for c in sum_cols])
-    tagged = counts.join(F.broadcast(edges), keys, "left")
+    # one aggregate gives the range edges and the key totals: one row per
+    # key (joins below are left to AQE, which broadcasts them when the
+    # measured size is small and shuffles otherwise)
+    edge_expr = (F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy) if probs
+                 else F.array().cast("array<double>"))
+    edges = counts.groupBy(*keys).agg(edge_expr.alias("_edges"), *[F.sum(c).alias(f"tot_{c}") for c in sum_cols])
+    tagged = counts.join(edges, keys, "left")
     tagged = tagged.withColumn(
         "_bucket",
-        F.size(F.filter(F.col("_edges"), lambda e: e < F.col(order_col).cast("double")))
+        F.size(F.filter(F.coalesce(F.col("_edges"), F.array().cast("array<double>")),
+                        lambda e: e < F.col(order_col).cast("double")))
     ).drop("_edges")
     per_bucket = tagged.groupBy(*keys, "_bucket").agg(
         *[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
@@ -152,7 +154,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
     offsets = per_bucket.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    joined = tagged.join(F.broadcast(offsets), keys + ["_bucket"], "left")
+    joined = tagged.join(offsets, keys + ["_bucket"], "left")
     w = (Window.partitionBy(*keys, "_bucket").orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, 0))
     out = joined.select(
@@ -249,8 +251,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                  F.col("_b")[idx[min(1.0, max(0.0, p + eps))]].alias("hi")) for p in ps])).alias("_s")) \
         .select(*jk, "_n", "_s.*")
     br = br.withColumn("h", (F.col("_n") - 1) * F.col("p"))
-    # brackets: (#keys x features x probs) rows -> bounded broadcast
-    x = lf.join(F.broadcast(br), jk)
+    # brackets: one row per (key, feature, p); AQE broadcasts when small
+    x = lf.join(br, jk)
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
     # one grouping: values inside the bracket by value, and (value = null)
     # the count of values below the bracket
@@ -264,7 +266,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     r0 = F.col("_below") + F.col("_cum") - F.col("_c")
     r1 = F.col("_below") + F.col("_cum") - 1
     hb = br.select(*jk, "p", "h")
-    ranked = ranked.join(F.broadcast(hb), jk + ["p"])
+    ranked = ranked.join(hb, jk + ["p"])
     lo_k, hi_k = F.floor("h"), F.ceil("h")
     g = ranked.groupBy(*jk, "p").agg(
         F.max(F.when((r0 <= lo_k) & (r1 >= lo_k), F.col("v"))).alias("v_lo"),

@@ -81,7 +81,8 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
                               F.count_if(F.col("side") == 1).alias("n_cur"))
     b = F.least(F.floor(F.lit(float(n_bins)) * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))),
                 F.lit(n_bins - 1)).cast("int")
-    binned = lf.join(F.broadcast(rng.select(*jk, "lo", "hi")), jk) \
+    # one row per (segment, feature): AQE broadcasts it when measured small
+    binned = lf.join(rng.select(*jk, "lo", "hi"), jk) \
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)))
     h = binned.groupBy(*jk, "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                        F.count_if(F.col("side") == 1).alias("nc"))

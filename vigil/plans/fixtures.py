@@ -147,7 +147,7 @@ def drift_runs(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events", ["ts", "event_type", "value"])
     allm = ev.groupBy("event_type").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     day = ev.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.avg("value").alias("_dm"))
-    j = day.join(F.broadcast(allm), "event_type")
+    j = day.join(allm, "event_type")
     score = F.round(F.abs(F.col("_dm") - F.col("_m")) / F.col("_s"), 6)
     return j.select(F.col("event_type").alias("model_name"), F.col("d").cast("timestamp_ntz").alias("ts"),
                     score.alias("drift_score"), (score > 0.1).alias("is_drifted"),

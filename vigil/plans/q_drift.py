@@ -261,7 +261,7 @@ def q_drift_concept_z(spark, sf):
     ev = table(spark, sf, "events", ["event_type", "ts", "value"])
     s = ev.groupBy("event_type", F.to_date("ts").alias("d")).agg(F.avg("value").alias("v"))
     last = s.groupBy("event_type").agg(F.max("d").alias("ld"))
-    j = s.join(F.broadcast(last), "event_type")
+    j = s.join(last, "event_type")
     return dr.concept_z(j.filter(F.col("d") < F.col("ld")), j.filter(F.col("d") == F.col("ld")), "event_type", "v")
 
 
