@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import cumulative, long_form, rnd, safe_div
+from vigil.functions.core import bounded_broadcast, cumulative, long_form, rnd, safe_div
 
 # Default thresholds by method (p-value for ks/chi2, score otherwise)
 DEFAULT_THRESHOLDS = {"ks": 0.05, "psi": 0.1, "mmd": 0.05, "classifier": 0.7, "chi2": 0.05, "table": 0.1}
@@ -81,8 +81,8 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
                               F.count_if(F.col("side") == 1).alias("n_cur"))
     b = F.least(F.floor(F.lit(float(n_bins)) * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))),
                 F.lit(n_bins - 1)).cast("int")
-    # one row per (segment, feature): AQE broadcasts it when measured small
-    binned = lf.join(rng.select(*jk, "lo", "hi"), jk) \
+    # one row per (segment, feature), broadcast after a size check
+    binned = lf.join(bounded_broadcast(rng.select(*jk, "lo", "hi")), jk) \
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)))
     h = binned.groupBy(*jk, "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                        F.count_if(F.col("side") == 1).alias("nc"))
