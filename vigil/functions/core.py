@@ -65,14 +65,20 @@ def rnd(c: Column, digits: int = ROUND) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def _epoch_ntz() -> Column:
+    # built from text: a Python datetime literal would pass through the
+    # session time zone on its way to TIMESTAMP_NTZ
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def ntz_seconds(c: Column | str) -> Column:
     """Whole seconds since 1970-01-01 of a naive timestamp, independent of the
     session time zone."""
-    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(c) if isinstance(c, str) else c)
+    return F.timestamp_diff("SECOND", _epoch_ntz(), F.col(c) if isinstance(c, str) else c)
 
 
 def ntz_micros(c: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(c) if isinstance(c, str) else c)
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), F.col(c) if isinstance(c, str) else c)
 
 
 def ntz_to_instant(c: Column | str) -> Column:
@@ -83,13 +89,14 @@ def ntz_to_instant(c: Column | str) -> Column:
 
 def instant_to_ntz(c: Column | str) -> Column:
     cc = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_add("MICROSECOND", F.unix_micros(cc), F.lit(EPOCH).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(cc), _epoch_ntz())
 
 
 def ts_lit(value: str | _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal, independent of the session time zone."""
     if isinstance(value, str):
         value = _dt.datetime.fromisoformat(value)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (),

@@ -90,8 +90,8 @@ def retrain_triggers(drift: DataFrame, accuracy: DataFrame, as_of_days: DataFram
     trigger over the daily trigger rows)."""
     d = drift.filter(F.col("drift_score") > drift_thr).select("model_name", F.to_date("ts").alias("day"),
                                                                F.lit("drift").alias("trigger"))
-    w = Window.partitionBy("model_name").orderBy(F.col("day").cast("timestamp").cast("long")) \
-        .rangeBetween(-(window_days - 1) * 86400, 0)
+    # days since epoch: independent of the session time zone
+    w = Window.partitionBy("model_name").orderBy(F.unix_date("day")).rangeBetween(-(window_days - 1), 0)
     acc = accuracy.select("model_name", "day", F.avg("accuracy").over(w).alias("acc7"))
     p = acc.filter(F.col("acc7") < acc_thr).select("model_name", "day", F.lit("performance").alias("trigger"))
     s = as_of_days.filter(F.dayofweek("day") == 2).select("model_name", "day", F.lit("schedule").alias("trigger"))
