@@ -223,6 +223,23 @@ def cvm_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequ
                     rnd(t).alias("statistic"))
 
 
+# ------------------------------------------------------------ reference
+def reference_snapshot(df: DataFrame, ts: str, as_of: Column, days: int, path: str,
+                       snapshot_col: str = "snapshot_date") -> None:
+    """Keep the rolling reference window [as_of − days, as_of) as a snapshot
+    partition (appended; one partition per refresh date)."""
+    win = df.filter((F.col(ts) >= F.timestamp_add("DAY", F.lit(-days), as_of)) & (F.col(ts) < as_of))
+    win.withColumn(snapshot_col, F.to_date(as_of)).write.mode("append").partitionBy(snapshot_col).parquet(path)
+
+
+def latest_reference(spark, path: str, snapshot_col: str = "snapshot_date") -> DataFrame:
+    """The newest stored reference snapshot (partition pruning on the
+    snapshot column)."""
+    snaps = spark.read.parquet(path)
+    last = snaps.agg(F.max(snapshot_col).alias("_m"))
+    return snaps.join(last, snaps[snapshot_col] == last["_m"], "left_semi").drop(snapshot_col)
+
+
 # ------------------------------------------------------------- summaries
 def severity(score: Column, threshold: Column | float) -> Column:
     """none / low / medium / high / critical at 1, 1.5, 2, 3 x threshold."""

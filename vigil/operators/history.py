@@ -135,7 +135,9 @@ def declining(runs: DataFrame, key: str = "dataset", score: str = "overall_score
     w2 = Window.partitionBy(key).orderBy(ts)
     last = last.withColumn("_prev", F.lag(score).over(w2))
     g = last.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(score) < F.col("_prev")).alias("_dec"))
-    return g.select(key, ((F.col("_n") == n) & (F.col("_dec") == n - 1)).alias("declining"))
+    dec = (F.col("_n") == n) & (F.col("_dec") == n - 1)
+    advice = F.when(dec, F.lit("quality keeps declining, check the processing flow now")).otherwise(F.lit(""))
+    return g.select(key, dec.alias("declining"), advice.alias("recommendation"))
 
 
 def quality_summary(runs: DataFrame, key: str = "dataset", ts: str = "ts") -> DataFrame:

@@ -288,11 +288,14 @@ def q_drift_segment(spark, sf):
   CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 0 ELSE 1 END AS side, value FROM events
   WHERE ts >= TIMESTAMP '2024-01-21' - INTERVAL 30 DAY AND value IS NOT NULL AND NOT isnan(value))"""))
 def q_drift_reference(spark, sf):
-    """Rolling reference: the 30 days before the cut-off (2024-01-21) vs
-    everything after."""
+    """Rolling reference: the 30 days before the cut-off (2024-01-21) kept
+    as a snapshot, read back, vs everything after."""
+    from vigil.sources.sinks import scratch_dir
     ev = table(spark, sf, "events", ["ts", "value"])
     cut = ts_lit("2024-01-21")
-    ref = ev.filter((F.col("ts") >= F.timestamp_add("DAY", F.lit(-30), cut)) & (F.col("ts") < cut)).drop("ts")
+    path = scratch_dir(spark, "reference")
+    dr.reference_snapshot(ev, "ts", cut, 30, path)
+    ref = dr.latest_reference(spark, path).drop("ts")
     cur = ev.filter(F.col("ts") >= cut).drop("ts")
     return dr.ks_test(ref, cur, ["value"])
 

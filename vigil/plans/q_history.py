@@ -86,7 +86,9 @@ def q_anom_iqr(spark, sf):
 
 @query("hist_declining5", _R + """, l AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ts DESC) AS r FROM rr),
 k AS (SELECT *, lag(overall_score) OVER (PARTITION BY dataset ORDER BY ts) AS prev FROM l WHERE r <= 5)
-SELECT dataset, count(*) = 5 AND count(*) FILTER (WHERE overall_score < prev) = 4 AS declining FROM k GROUP BY dataset""")
+SELECT dataset, count(*) = 5 AND count(*) FILTER (WHERE overall_score < prev) = 4 AS declining,
+  CASE WHEN count(*) = 5 AND count(*) FILTER (WHERE overall_score < prev) = 4
+       THEN 'quality keeps declining, check the processing flow now' ELSE '' END AS recommendation FROM k GROUP BY dataset""")
 def q_hist_declining5(spark, sf):
     return hi.declining(_runs(spark, sf))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import models as mo
 from vigil.operators import lineage as ln
-from vigil.plans.fixtures import LIFECYCLE_SQL, lifecycle_events
+from vigil.plans.fixtures import DQ_RUNS_SQL, LIFECYCLE_SQL, lifecycle_events
 from vigil.plans.registry import query
 from vigil.sources.readers import table
 
@@ -296,9 +296,25 @@ _EDGES_SQL = """edges AS (SELECT DISTINCT * FROM (
   UNION ALL SELECT 'orders:' || l_orderkey, 'lineitem:' || l_orderkey || ':' || l_linenumber, 'HAS_LINE' FROM lineitem))"""
 
 
-@query("lineage_edges", f"WITH {_EDGES_SQL} SELECT * FROM edges")
+def record_edges(spark, sf):
+    """Edges from run and registration records: dataset → quality run
+    (VALIDATED_BY) and model → model version (HAS_VERSION)."""
+    from vigil.plans.fixtures import dq_runs
+    runs = dq_runs(spark, sf).select(F.concat(F.lit("dataset:"), "dataset").alias("src"),
+                                     F.concat(F.lit("run:"), "run_id").alias("dst"), F.lit("VALIDATED_BY").alias("type"))
+    ver = lifecycle_events(spark, sf).select(
+        F.concat(F.lit("model:"), "model").alias("src"),
+        F.concat(F.lit("version:"), "model", F.lit("/"), F.col("version").cast("string")).alias("dst"),
+        F.lit("HAS_VERSION").alias("type"))
+    return runs.unionByName(ver)
+
+
+@query("lineage_edges", f"""WITH {DQ_RUNS_SQL}, {LIFECYCLE_SQL}, {_EDGES_SQL}
+SELECT * FROM edges
+UNION SELECT 'dataset:' || dataset, 'run:' || run_id, 'VALIDATED_BY' FROM dq_runs
+UNION SELECT 'model:' || model, 'version:' || model || '/' || CAST(version AS VARCHAR), 'HAS_VERSION' FROM lifecycle_events""")
 def q_lineage_edges(spark, sf):
-    return lineage_graph(spark, sf)
+    return ln.build_edges(lineage_graph(spark, sf), record_edges(spark, sf))
 
 
 @query("lineage_impact", f"""WITH RECURSIVE {_EDGES_SQL},
