@@ -1,7 +1,8 @@
 """Expectations, declared schemas and constraint checks (§2.6).
 
 A suite is compiled into ONE aggregate over the data (plus one grouping per
-uniqueness expectation), then stacked into one row per expectation."""
+uniqueness expectation and an exact-quantile job per median expectation),
+then stacked into one row per expectation."""
 
 from __future__ import annotations
 

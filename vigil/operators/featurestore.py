@@ -149,8 +149,8 @@ def online_lookup(entities: DataFrame, latest: DataFrame, keys: Sequence[str],
                   features: Sequence[str] | None = None) -> DataFrame:
     """Latest value per entity with kind defaults (0.0 / 'unknown' / false)
     when the key or value is absent.  A set-based left join instead of a
-    lookup per row; the latest table is shuffled on the key (not broadcast —
-    it grows with the entity count)."""
+    lookup per row; no broadcast hint on the latest table (it grows with
+    the entity count), so AQE chooses from measured sizes."""
     feats = list(features) if features else [c for c in latest.columns if c not in set(keys)]
     j = entities.join(latest.select(*keys, *feats), list(keys), "left")
     outs = []

@@ -42,7 +42,7 @@ def profile_table(df: DataFrame) -> DataFrame:
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:
     """dtype, non-null, null, null ratio, min, max, mean, std (ddof 1),
     exact median, bias-corrected skewness and kurtosis per numeric column.
-    One aggregate pass plus the exact-median ranking."""
+    One aggregate pass plus :func:`exact_quantiles` for the median."""
     cols = list(columns) if columns else [c for c in df.columns if is_numeric(df, c)]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
