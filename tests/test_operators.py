@@ -166,3 +166,19 @@ def test_range_window_matches_plain_window(spark):
     w = Window.partitionBy("k").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-3600, 0)
     exp = {r["i"]: r["n"] for r in df.select("i", F.count(F.lit(1)).over(w).alias("n")).collect()}
     assert got == exp
+
+
+def test_exact_quantiles_fallback_when_bracket_misses(spark):
+    rng = np.random.default_rng(9)
+    vals = rng.normal(size=2000)
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    got = {r["p"]: r["q"] for r in exact_quantiles(df, ["x"], [0.3, 0.5], accuracy=10, margin=0.0).collect()}
+    for p, v in got.items():
+        assert v == pytest.approx(np.quantile(vals, p), abs=1e-12)
+
+
+def test_duplicates_treat_signed_zero_and_nan_as_equal(spark):
+    from vigil.functions.core import duplicate_rows
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (float("nan"), "b"), (float("nan"), "b"), (1.0, None),
+                                (1.0, None)], "x double, s string")
+    assert duplicate_rows(df).collect()[0]["_dups"] == 3

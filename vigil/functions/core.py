@@ -194,7 +194,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     duplicates.  Only rows of repeated hashes are grouped again on all
     columns, which settles hash collisions exactly."""
     cols = df.columns
-    h = df.select("*", F.xxhash64(*[F.col(c) for c in cols]).alias("_h"))
+    # grouping treats -0.0 and 0.0 (and all NaNs) as equal: hash them alike
+    hk = [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if is_float(df, c) else F.col(c) for c in cols]
+    h = df.select("*", F.xxhash64(*hk).alias("_h"))
     rep = h.groupBy("_h").agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > 1).select("_h")
     cand = h.join(rep, "_h", "left_semi").drop("_h")
     return cand.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
