@@ -210,4 +210,5 @@ def q_st_quality_gate(spark, sf):
     st.run_foreach(s, "gate", st.quality_gate(QUAR, good, bad))
     g = spark.read.parquet(good).select(F.lit("good").alias("sink"))
     b = spark.read.parquet(bad).select(F.lit("quarantine").alias("sink"))
+    # (batch_id partitions are read back as one table)
     return g.unionByName(b).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))

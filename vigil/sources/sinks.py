@@ -64,13 +64,14 @@ def quarantine_split(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     return df.withColumn("failed_rules", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
-def quarantine_write(df: DataFrame, rules: Mapping[str, str], good_path: str, bad_path: str) -> None:
+def quarantine_write(df: DataFrame, rules: Mapping[str, str], good_path: str, bad_path: str,
+                     mode: str = "append") -> None:
     """Good rows continue, bad rows go to quarantine with their failed-rule
     list; the tagged frame is persisted so the input is read once."""
     tagged = quarantine_split(df, rules).persist()
     try:
-        tagged.filter(F.size("failed_rules") == 0).drop("failed_rules").write.mode("append").parquet(good_path)
-        tagged.filter(F.size("failed_rules") > 0).write.mode("append").parquet(bad_path)
+        tagged.filter(F.size("failed_rules") == 0).drop("failed_rules").write.mode(mode).parquet(good_path)
+        tagged.filter(F.size("failed_rules") > 0).write.mode(mode).parquet(bad_path)
     finally:
         tagged.unpersist()
 

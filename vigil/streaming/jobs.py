@@ -208,20 +208,25 @@ def online_upsert(stream: DataFrame, keys: Sequence[str], ts: str, table_dir: st
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = latest_per_key(batch, keys, ts, tie)
-        prev = _latest_version(spark, table_dir)
+        # versions written by earlier batches only: a retried batch ignores
+        # whatever its failed attempt left behind and overwrites it
+        prev = _latest_version(spark, table_dir, before=batch_id)
         merged = materialize_incremental(spark.read.parquet(prev), latest, keys, ts, tie) if prev else latest
         merged.write.mode("overwrite").parquet(f"{table_dir}/v{batch_id:08d}")
     return merge
 
 
-def _latest_version(spark: SparkSession, table_dir: str) -> str | None:
+def _latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> str | None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(table_dir)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")
+                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    if before is not None:
+        names = [n for n in names if int(n[1:]) < before]
     return f"{table_dir}/{names[-1]}" if names else None
 
 
@@ -234,9 +239,12 @@ def read_online(spark: SparkSession, table_dir: str) -> DataFrame:
 
 def quality_gate(rules: Mapping[str, str], good_dir: str, bad_dir: str):
     """st_quality_gate: foreachBatch that quarantines failing rows of each
-    micro-batch (same one-pass rule tagging as the batch gate)."""
+    micro-batch (same one-pass rule tagging as the batch gate).  Each batch
+    overwrites its own ``batch_id=<n>`` directories, so a retried batch
+    does not write its rows twice."""
     from vigil.sources.sinks import quarantine_write
 
     def gate(batch: DataFrame, batch_id: int) -> None:
-        quarantine_write(batch.drop("ets"), rules, good_dir, bad_dir)
+        quarantine_write(batch.drop("ets"), rules, f"{good_dir}/batch_id={batch_id}",
+                         f"{bad_dir}/batch_id={batch_id}", mode="overwrite")
     return gate
