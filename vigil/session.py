@@ -39,12 +39,23 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is used as is.
-    Only when it is unset (tests) a scratch directory is set.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    Only when it is unset (tests, local runs) a scratch directory is
+    registered with ``SparkContext.setCheckpointDir`` (the config itself
+    cannot be changed on a running session)."""
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = fallback or os.environ.get("VIGIL_CHECKPOINT_DIR") or "/tmp/vigil-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - not readable through the SQL conf
+            d = None
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = fallback or os.environ.get("VIGIL_CHECKPOINT_DIR") or "/tmp/vigil-checkpoints"
+    sc.setCheckpointDir(d)
     return d
