@@ -298,10 +298,14 @@ def pvalue_severity(p: Column, threshold: float) -> Column:
 
 
 def dataset_drift(per_feature: DataFrame, score_col: str, method: str, threshold: float | None = None,
-                  keys: Sequence[str] = (), p_col: str | None = None) -> DataFrame:
+                  keys: Sequence[str] = (), p_col: str | None = None, legacy: bool = False) -> DataFrame:
     """Run-level result: score = mean per-feature statistic; drifted if
     min p < thr (p-value tests) or mean score > thr; drifted feature list
-    (sorted), severity, and advice text (first 5 features + count)."""
+    (sorted), severity, and advice text (first 5 features + count).
+
+    Severity of p-value tests comes from threshold / p (D11); with
+    ``legacy=True`` it compares the mean statistic with the p-value
+    threshold instead, as the surveyed code does."""
     thr = DEFAULT_THRESHOLDS[method] if threshold is None else threshold
     agg = per_feature.groupBy(*keys).agg(
         F.avg(score_col).alias("_score"), F.count(F.lit(1)).cast("long").alias("n_features"),
@@ -309,7 +313,7 @@ def dataset_drift(per_feature: DataFrame, score_col: str, method: str, threshold
         F.sort_array(F.collect_list(F.when(F.col("drifted"), F.col("feature")))).alias("_feats"),
         *([F.min(p_col).alias("_p")] if p_col else []))
     drifted = (F.col("_p") < thr) if p_col else (F.col("_score") > thr)
-    sev = pvalue_severity(F.col("_p"), thr) if p_col else severity(F.col("_score"), thr)
+    sev = pvalue_severity(F.col("_p"), thr) if (p_col and not legacy) else severity(F.col("_score"), thr)
     out = agg.select(*keys, F.lit(method).alias("method"), rnd(F.col("_score")).alias("score"),
                      *([rnd(F.col("_p"), 6).alias("p_value")] if p_col else []),
                      F.coalesce(drifted, F.lit(False)).alias("is_drifted"), "n_features", "n_drifted",
