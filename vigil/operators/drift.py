@@ -255,15 +255,24 @@ def cvm_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequ
     keys = list(keys)
     jk = keys + ["feature"]
     lf = sides(ref, cur, features, keys)
+    # read by the range-edge and offset jobs and the final scan: kept once
     counts = lf.groupBy(*jk, "value").agg(F.count_if(F.col("side") == 0).alias("nr"),
-                                          F.count_if(F.col("side") == 1).alias("nc"))
+                                          F.count_if(F.col("side") == 1).alias("nc")).persist()
+    try:
+        return _cvm_from_counts(counts, jk, buckets)
+    finally:
+        counts.unpersist()
+
+
+def _cvm_from_counts(counts: DataFrame, jk: list, buckets: int) -> DataFrame:
     cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets) \
         .withColumnRenamed("tot_nr", "N").withColumnRenamed("tot_nc", "M")
     diff = F.col("cum_nr") / F.col("N") - F.col("cum_nc") / F.col("M")
     s = cum.groupBy(*jk, "N", "M").agg(F.sum((F.col("nr") + F.col("nc")) * diff * diff).alias("_s"))
     t = F.col("N") * F.col("M") / F.pow(F.col("N") + F.col("M"), 2) * F.col("_s")
-    return s.select(*jk, F.col("N").cast("long").alias("n_ref"), F.col("M").cast("long").alias("n_cur"),
-                    rnd(t).alias("statistic"))
+    out = s.select(*jk, F.col("N").cast("long").alias("n_ref"), F.col("M").cast("long").alias("n_cur"),
+                   rnd(t).alias("statistic"))
+    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 # ------------------------------------------------------------ reference

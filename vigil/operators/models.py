@@ -30,14 +30,23 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> Data
     first and ranked with range-bucketed running sums (no global window)."""
     keys = list(keys)
     counts = df.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).persist()
+    try:
+        return _auc_from_counts(counts, keys)
+    finally:
+        counts.unpersist()
+
+
+def _auc_from_counts(counts: DataFrame, keys: list) -> DataFrame:
     gk = keys if keys else []
     cum = cumulative(counts, gk, "s", ["neg"])
     part = cum.select(*gk, "pos", "neg", (F.col("cum_neg") - F.col("neg")).alias("below"))
     g = part.groupBy(*gk).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("_u"),
                               F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return g.select(*gk, F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"),
-                    rnd(safe_div(F.col("_u"), F.col("P") * F.col("N"))).alias("auc"))
+    out = g.select(*gk, F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"),
+                   rnd(safe_div(F.col("_u"), F.col("P") * F.col("N"))).alias("auc"))
+    # one row per group: materialised before the kept score table is released
+    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def reg_metrics(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
