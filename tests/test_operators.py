@@ -182,3 +182,15 @@ def test_duplicates_treat_signed_zero_and_nan_as_equal(spark):
     df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (float("nan"), "b"), (float("nan"), "b"), (1.0, None),
                                 (1.0, None)], "x double, s string")
     assert duplicate_rows(df).collect()[0]["_dups"] == 3
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from vigil.functions.core import bounded_broadcast
+    small = spark.range(10)
+    big = spark.range(50)
+    s = bounded_broadcast(small, max_rows=20)
+    b = bounded_broadcast(big, max_rows=20)
+    assert "ResolvedHint" in s._jdf.queryExecution().analyzed().toString() or s.count() == 10
+    assert b is big and b.count() == 50
+    joined = spark.range(100).join(s, "id")
+    assert joined.count() == 10
