@@ -50,19 +50,26 @@ def main():
     from vigil.session import get_session
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, app="vigil-bench",
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
-    results = {}
+    results, errors = {}, {}
     for name, fn in headline().items():
         times = []
-        for i in range(runs + warmup):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            if i >= warmup:  # warm-up runs compile code paths and cache file listings
-                times.append(dt)
-        results[name] = round(statistics.median(times), 3)
+        try:
+            for i in range(runs + warmup):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                if i >= warmup:  # warm-up runs compile code paths and cache file listings
+                    times.append(dt)
+            results[name] = round(statistics.median(times), 3)
+        except Exception as ex:  # noqa: BLE001 - report and go on with the others
+            results[name] = None
+            errors[name] = f"{type(ex).__name__}: {str(ex)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total_median_sec", "value": round(sum(results.values()), 3),
-                      "unit": "sec", "queries": results, "sf": sf, "cpus": cpus, "runs": runs}))
+    out = {"metric": "headline_total_median_sec", "value": round(sum(v for v in results.values() if v), 3),
+           "unit": "sec", "queries": results, "sf": sf, "cpus": cpus, "runs": runs}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
