@@ -4,9 +4,10 @@ contract's columns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import cascade, mixing, simhash
+from vigil.llm import bpe, cascade, mixing, simhash
 from vigil.llm.common import read_table
 
 
@@ -22,6 +23,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op6_quality_rules)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op6_quality_rules, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
