@@ -6,8 +6,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.llm import bpe, cascade, mixing, simhash
+from vigil.llm import bpe, cascade, mixing, secrets, simhash
 from vigil.llm.common import read_table
 
 
@@ -19,6 +20,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                     s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"),
+                        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +45,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op6_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op5_secrets, op6_quality_rules, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
