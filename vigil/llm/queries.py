@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, cascade, mixing, secrets, simhash
+from vigil.llm import bpe, cascade, huffman, mixing, secrets, simhash
 from vigil.llm.common import read_table
 
 
@@ -40,11 +40,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = huffman.scratch_path(spark)
+    huffman.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return huffman.read_tokens(spark, path, digest=True)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op5_secrets, op6_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op5_secrets, op6_quality_rules, op9_token_file, op10_bpe)}
 
 ORACLE: dict[str, str] = {}
