@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, cascade, huffman, imatch, lm, mixing, secrets, simhash
+from vigil.llm import bpe, cascade, huffman, imatch, lm, mixing, secrets, simhash, toxicity
 from vigil.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return lm.score(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -60,6 +64,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op9_token_file, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op9_token_file, op10_bpe)}
 
 ORACLE: dict[str, str] = {"op7_imatch": imatch.oracle_sql()}
