@@ -31,6 +31,8 @@ from vigil.llm.common import settled, utf8
 #: Fixed value: seed of the shingle hash.
 SEED = 42
 BITS = 64
+#: A fingerprint is hot from this share (one in so many) of the rows.
+HOT = 1000
 
 
 def simhash(raw: bytes, shingle: int = 3, seed: int = SEED) -> int:
@@ -262,13 +264,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component; a component with null ids only has component_id null.  Repeated
     rows are returned as often as they come; an empty table gives no rows."""
     fps = settled(fingerprints(docs, id_col, text, shingle))
-    classes = settled(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    links = trie_links(classes.select("fp"), classes.count(), budget)
+    classes = settled(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+    size = classes.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    links = trie_links(classes.select("fp"), size["classes"], budget)
     linked = components(links).withColumnRenamed("node", "fp")
     reach = linked.join(classes, "fp").groupBy("root").agg(F.min("low").alias("component"))
     named = classes.join(linked.join(reach, "root").select("fp", "component"), "fp", "left") \
-        .select("fp", F.coalesce("component", "low").alias("component_id"))
-    return fps.join(named, "fp").select(
+        .select("fp", F.coalesce("component", "low").alias("component_id"), "n")
+    # fingerprints of at least a thousandth of the rows are at most a thousand: their
+    # rows find their class by broadcast, so no task of the other join gets a hot key
+    hot = F.broadcast(named.filter(F.col("n") * HOT >= size["rows"]).select("fp", "component_id"))
+    rest = fps.join(hot, "fp", "left_anti").join(named.drop("n"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
