@@ -14,6 +14,8 @@ Reading decodes all blocks of a segment in step, one table look-up a token.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,71 +27,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import settled, shuffle_width, whole
+from vigil.llm.pieces import SPACE_CUT_PATTERN, PieceEncoder, uncollected
 from vigil.session import ensure_checkpoint_dir
 
 BLOCK = 1024
 SEGMENT = 1 << 20  # tokens after which a segment is closed
 LIMIT = 16  # longest code, unless the vocabulary needs more
-CACHE = 1 << 18  # most cached chunks of a worker; a full cache is emptied
 
 
 # --- ids -----------------------------------------------------------------------
 
-class ChunkEncoder:
-    """Ids by the tokenizers library, with repeated chunks encoded once.
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    itself for visible Latin-1 characters, the next from 256 on for others."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    The byte-level pre-tokenizer always starts a new piece at a space that
-    stands before a visible character, and what follows does not change how
-    the part before it is cut.  So texts can be cut there and chunks encoded
-    apart; missing chunks are joined again into one text for the library."""
+
+class Ids:
+    """Ids by the tokenizers library, without special tokens.
+
+    Its byte-level pre-tokenizer cuts texts by the public pattern; each
+    distinct piece goes through the library's merge model once.  Pieces with
+    characters beyond Latin-1, where the two pattern engines might differ, go
+    through the whole library with the text they are in."""
 
     def __init__(self, path: str):
-        import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self._tok.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The first chunk, then chunks without the space that starts them."""
-        parts = text.split(" ")
-        if all(p and not p[0].isspace() for p in parts[1:]):
-            return parts
-        out = parts[:1]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p
+        letters, model = _byte_letters(), self._tok.model
+        self._cached = PieceEncoder(SPACE_CUT_PATTERN, lambda p: [
+            t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        beyond = [i for i, t in enumerate(texts) if _BEYOND_LATIN(t)]
+        out = self._cached.encode_many(["" if _BEYOND_LATIN(t) else t for t in texts])
+        out = [x.astype(self.kind) for x in out]
+        for i in beyond:
+            out[i] = np.array(self._tok.encode(texts[i], add_special_tokens=False).ids, self.kind)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cache = self._cache
-        if len(cache) >= CACHE:
-            cache.clear()
-        cut = [self.chunks(t) for t in texts]
-        missing = list({c for parts in cut for c in parts[1:] if c not in cache})
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            got = self._tok.encode(" " + " ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(c) + 1 for c in part])
-            stop = np.fromiter((e for _, e in got.offsets), np.int64, len(got.offsets))
-            upto = np.searchsorted(stop, ends, side="right").tolist()
-            ids = np.array(got.ids, self.kind)
-            for c, a, b in zip(part, [0, *upto], upto):
-                cache[c] = ids[a:b].tobytes()
-        heads = self._tok.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        return [np.frombuffer(b"".join([np.array(h.ids, self.kind).tobytes(), *map(cache.__getitem__, c[1:])]), self.kind)
-                for h, c in zip(heads, cut)]
+
+_BEYOND_LATIN = re.compile("[^\0-\u00ff]").search
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> Ids:
+    return Ids(path)
 
 
 # --- the code --------------------------------------------------------------------
@@ -208,18 +197,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     @F.pandas_udf("bucket int, n int, ids binary")
     def to_ids(key: pd.Series, body: pd.Series) -> pd.DataFrame:
         enc = encoder(tokenizer)
-        got = [np.append(x, enc.kind.type(end_id)) for x in enc.encode(body.tolist())]
+        n, ids = [], []
+        with uncollected():
+            for at in range(0, len(body), 1024):
+                for x in enc.encode_many(body.iloc[at:at + 1024].tolist()):
+                    x = np.append(x, enc.kind.type(end_id))
+                    n.append(len(x))
+                    ids.append(zlib.compress(x.tobytes(), 1))
         bucket = np.full(len(key), len(edges))
         known = key.notna().to_numpy()
         if edges:
             bucket[known] = np.searchsorted(np.array(edges), key[known].to_numpy())
-        return pd.DataFrame({"bucket": bucket.astype(np.int32), "n": [len(x) for x in got],
-                             "ids": [zlib.compress(x.astype("<u4" if enc.size > 1 << 16 else "<u2").tobytes(), 1) for x in got]})
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "n": n, "ids": ids})
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), to_ids(F.col(id_col), whole(text)).alias("x")) \
         .select("id", "tie", "x.*")
     rows = settled(rows.repartition(files, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "tie"))
-    width = "<u4" if encoder(tokenizer).size > 1 << 16 else "<u2"
+    width = encoder(tokenizer).kind
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
