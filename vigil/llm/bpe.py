@@ -18,43 +18,35 @@ UTF-8 machine whose state is the unfinished character.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import whole
+from vigil.llm.pieces import PieceEncoder, uncollected
 
-#: Most cached pieces (and pair tests) and states of a worker; a full cache
-#: is emptied and filled anew, results do not depend on it.
-CACHE = 1 << 19
-STATES = 1 << 18
+#: Most cached pair tests of a worker (a full cache is emptied) and most
+#: numbered states (beyond them, states are made and dropped; after as many
+#: again the table starts anew).  Results do not depend on either.
+PAIRS = 1 << 19
+STATES = 1 << 19
 _NEVER = 1 << 62
 
 
-class _State(dict):
-    """Byte -> (next state, tokens written); a missing transition is made by
-    the transducer when it is first looked up."""
+class _Read:
+    """What is known of the bytes after the last committed token, last[0]."""
 
-    __slots__ = ("make", "pending", "last", "path", "live")
+    __slots__ = ("data", "last", "ends", "live")
 
-    def __init__(self, make, pending: bytes, last: list[int], path: list[int], live: list[int]):
-        self.make = make
-        self.pending = pending    # bytes read after the last committed token, last[0]
-        self.last = last          # last[i]: last token of the first i pending bytes
-        self.path = path          # path[i]: bit set of the token ends up to i
-        self.live = live          # positions from which an entry may still continue
-
-    def __missing__(self, byte: int):
-        hit = self[byte] = self.make(self, byte)
-        return hit
+    def __init__(self, data: bytes, last: list[int], ends: list[int], live: list[int]):
+        self.data = data
+        self.last = last  # last[i]: last token of the first i bytes
+        self.ends = ends  # ends[i]: bit set of the token ends on the path to i
+        self.live = live  # positions from which an entry may still continue
 
 
 class Transducer:
@@ -69,8 +61,13 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self._states: dict[tuple[int, bytes], _State] = {}
-        self.start = _State(self._advance, b"", [-1], [1], [0])
+        # a state is (last committed token, bytes after it), numbered when first reached
+        self._numbers: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        self._next: dict[int, int] = {}   # number << 8 | byte -> number of the next state << 1 | writes tokens
+        self._out: dict[int, tuple[int, ...]] = {}
+        self._ends: dict[int, tuple[int, ...]] = {}  # what a state writes when the piece ends
+        self._states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
+        self._unkept = 0
 
     def merges(self, data: bytes, stop: bytes | None = None) -> list[bytes]:
         """Merge the neighbours of lowest rank (leftmost first) until no
@@ -139,51 +136,56 @@ class Transducer:
                             got = False
             else:
                 got = self.merges(self.bytes_of[a] + self.bytes_of[b]) == [self.bytes_of[a], self.bytes_of[b]]
-        if len(self._pairs) >= CACHE:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
         self._pairs[key] = got
         return got
 
-    def _advance(self, s: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        text = s.pending + bytes((byte,))
+    def _read(self, data: bytes, last: tuple[int, ...]) -> _Read:
+        """A state's positions from its bytes and their last tokens."""
+        ends = [1]
+        for at in range(1, len(last)):
+            start = at - len(self.bytes_of[last[at]])
+            ends.append(ends[start] | 1 << at if start >= 0 else 0)
+        live = [at for at in range(len(data)) if data[at:] in self.open]
+        live.append(len(data))
+        return _Read(data, list(last), ends, live)
+
+    def _extend(self, r: _Read, byte: int) -> _Read:
+        text = r.data + bytes((byte,))
         n = len(text)
-        last, path = s.last[:], s.path[:]
-        live, found = [], False
+        live, token = [], None
         # an entry that ends here started at a position that was still live
-        for at in s.live:
+        for at in r.live:
             part = text[at:]
-            if not found:
-                token = self.ranks.get(part)
-                if token is not None and self.follows(last[at], token):
-                    found = True
-                    last.append(token)
-                    path.append(path[at] | 1 << n)
+            if token is None:
+                got = self.ranks.get(part)
+                if got is not None and self.follows(r.last[at], got):
+                    token, ends = got, r.ends[at] | 1 << n
             if part in self.open:
                 live.append(at)
-        if not found:
+        if token is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        # commit up to the last boundary that the paths of all live positions share
-        common = path[n]
-        for k in live:
-            common &= path[k]
         live.append(n)
+        return _Read(text, [*r.last, token], [*r.ends, ends], live)
+
+    def _commit(self, r: _Read) -> tuple[_Read, tuple[int, ...]]:
+        """Write the tokens up to the last boundary that the paths of all live
+        positions share."""
+        common = -1
+        for k in r.live:
+            common &= r.ends[k]
         cut = common.bit_length() - 1
-        out = self._tokens(last, cut)
-        if cut:
-            text, last, live = text[cut:], last[cut:], [k - cut for k in live]
-            path = [x >> cut for x in path[cut:]]
-        key = (last[0], text)
-        nxt = self._states.get(key)
-        if nxt is None:
-            nxt = self._states[key] = _State(self._advance, text, last, path, live)
-        return nxt, out
-
-    def _tokens(self, last: list[int], at: int) -> tuple[int, ...]:
+        if not cut:
+            return r, ()
+        return _Read(r.data[cut:], r.last[cut:], [x >> cut for x in r.ends[cut:]], [k - cut for k in r.live]), self._tokens(r, cut)
+
+    def _tokens(self, r: _Read, at: int) -> tuple[int, ...]:
         """The path of position ``at``."""
         out = []
         while at > 0:
-            out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            out.append(r.last[at])
+            at -= len(self.bytes_of[r.last[at]])
         return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
@@ -191,17 +193,56 @@ class Transducer:
         whole_piece = self.ranks.get(piece)
         if whole_piece is not None:
             return [whole_piece]
-        if len(self._states) >= STATES:
+        if self._unkept > STATES:  # the kept states no longer suit the input
             self._reset()
-        s, out = self.start, []
+        step, out, state, r = self._next, [], 0, None
         for byte in piece:
-            s, tokens = s[byte]
-            if tokens:
-                out += tokens
-        out += self._tokens(s.last, len(s.pending))
+            if state >= 0:
+                key = state << 8 | byte
+                hit = step.get(key)
+                if hit is not None:
+                    if hit & 1:
+                        out += self._out[key]
+                    state, r = hit >> 1, None
+                    continue
+            r, tokens = self._commit(self._extend(r or self._read(*self._states[state]), byte))
+            out += tokens
+            name = (r.last[0], r.data)
+            number = self._numbers.get(name, -1)
+            if number < 0:
+                if len(self._states) < STATES:
+                    number = self._numbers[name] = len(self._states)
+                    self._states.append((r.data, tuple(r.last)))
+                else:
+                    self._unkept += 1
+            if state >= 0 and number >= 0:
+                step[key] = number << 1 | bool(tokens)
+                if tokens:
+                    self._out[key] = tokens
+            state = number
+        if state < 0:
+            return out + list(self._tokens(r, len(r.data)))
+        tail = self._ends.get(state)
+        if tail is None:
+            r = r or self._read(*self._states[state])
+            tail = self._ends[state] = self._tokens(r, len(r.data))
+        out += tail
         return out
 
 
+class _Row(dict):
+    """Token -> (text it completes, row of the next state) in one state."""
+
+    __slots__ = ("machine", "state")
+
+    def __init__(self, machine: Utf8Machine, state: bytes):
+        self.machine, self.state = machine, state
+
+    def __missing__(self, token: int):
+        hit = self[token] = self.machine.step(self.state, token)
+        return hit
+
+
 class Utf8Machine:
     """Incremental UTF-8 decoder.  The state is the bytes of an unfinished
     character; what tokens do in a state is computed once.  Bytes that cannot
@@ -209,7 +250,17 @@ class Utf8Machine:
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self._table: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self._rows: dict[bytes, _Row] = {}
+
+    def _row(self, state: bytes) -> _Row:
+        got = self._rows.get(state)
+        if got is None:
+            got = self._rows[state] = _Row(self, state)
+        return got
+
+    def step(self, state: bytes, token: int) -> tuple[str, _Row]:
+        text, after = self.run(state, self.bytes_of[token])
+        return text, self._row(after)
 
     @staticmethod
     def expected(state: bytes) -> tuple[int, int, int]:
@@ -236,32 +287,36 @@ class Utf8Machine:
                         out.append(state.decode("utf-8"))
                         state = b""
                     continue
-                out.append("�")
+                out.append("\ufffd")
                 state = b""
             if byte < 0x80:
                 out.append(chr(byte))
             elif self.expected(bytes((byte,)))[0]:
                 state = bytes((byte,))
             else:
-                out.append("�")
+                out.append("\ufffd")
         return "".join(out), state
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text completed by each token; an unfinished character at the end
         becomes U+FFFD."""
-        state = b""
-        row = self._table[state]
+        row = self._row(b"")
+        for token in ids:
+            text, row = row[token]
+            yield text
+        if row.state:
+            yield "\ufffd"
+
+    def text(self, ids: Iterable[int]) -> str:
+        """The whole of :meth:`stream`."""
+        row, out = self._row(b""), []
+        add = out.append
         for token in ids:
-            hit = row.get(token)
-            if hit is None:
-                hit = row[token] = self.run(state, self.bytes_of[token])
-                self._table.setdefault(hit[1], {})
-            if hit[1] != state:
-                state = hit[1]
-                row = self._table[state]
-            yield hit[0]
-        if state:
-            yield "�"
+            part, row = row[token]
+            add(part)
+        if row.state:
+            add("\ufffd")
+        return "".join(out)
 
 
 class Codec:
@@ -272,44 +327,16 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer = Transducer(self.ranks)
         self.machine = Utf8Machine(self.transducer.bytes_of)
-        self._find = regex.compile(pattern).findall
-        self._pieces: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self._pieces
-        if len(pieces) >= CACHE:
-            pieces.clear()
-        out = []
-        for p in self._find(text):
-            got = pieces.get(p)
-            if got is None:
-                ids = self.transducer.encode(p.encode("utf-8"))
-                got = np.array(ids, np.int32).tobytes()
-                if len(p) <= 64:
-                    pieces[p] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+        pieces = PieceEncoder(pattern, lambda p: self.transducer.encode(p.encode("utf-8")))
+        self.encode, self.encode_many = pieces.encode, pieces.encode_many
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.machine.stream(ids))
+        return self.machine.text(ids)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
 
-@contextmanager
-def uncollected():
-    """No garbage collection meanwhile: the caches only grow, and scanning
-    their many small objects again and again would cost more than the work."""
-    on = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if on:
-            gc.enable()
-
-
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -323,7 +350,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def to_ids(body: pd.Series) -> pd.Series:
         c = codec(path, pattern)
         with uncollected():
-            return pd.Series([c.encode(x) for x in body], dtype=object)
+            return pd.Series(c.encode_many(body.tolist()), dtype=object)
 
     return docs.withColumn(ids, to_ids(whole(text)))
 
@@ -347,8 +374,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         c = codec(path, pattern)
         rows = []
         with uncollected():
-            for x in body:
-                ids = c.encode(x).tolist()
+            for ids in c.encode_many(body.tolist()):
+                ids = ids.tolist()
                 rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                              hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
