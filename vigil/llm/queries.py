@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, cascade, huffman, imatch, lm, mixing, secrets, simhash, toxicity
+from vigil.llm import bpe, cascade, huffman, imatch, lm, mixing, secrets, simhash, template, toxicity
 from vigil.llm.common import read_table
 
 
@@ -53,6 +53,10 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.scratch_path(spark)
     huffman.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +68,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op9_token_file, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op8_template, op9_token_file, op10_bpe)}
 
 ORACLE: dict[str, str] = {"op7_imatch": imatch.oracle_sql()}
