@@ -365,6 +365,23 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
     return tokens.withColumn(text, to_text(F.col(ids)))
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The columns but the text, then ``n_tokens``, ``ids`` and ``intact``:
+    whether the ids decode to the text again.  Nulls as in :func:`encode`;
+    columns of these names are replaced."""
+    @F.pandas_udf("n_tokens long, ids array<int>, intact boolean")
+    def checked(body: pd.Series) -> pd.DataFrame:
+        c = codec(path, pattern)
+        with uncollected():
+            ids = c.encode_many(body.tolist())
+            intact = [c.decode(x.tolist()) == t for x, t in zip(ids, body)]
+        return pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "intact": intact})
+
+    made = ("n_tokens", "ids", "intact")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in made]
+    return docs.select(*rest, checked(whole(text)).alias("_made")).select(*rest, *[F.col(f"_made.{c}") for c in made])
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row: the ids of the text
     (decimal, comma-joined) and the text decoded from them, as digests.  Null
