@@ -21,6 +21,7 @@ scoring a word is a sum over its gapped strings.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -225,13 +226,21 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _landmarks(words: list[str], n: int, alike: float = 0.7) -> list[str]:
-    """The first n of the words that are not too much like an earlier one."""
-    matrix, _ = vectors(words)
-    out: list[int] = []
-    for i in range(len(words)):
-        if len(out) < n and (not out or (matrix[:, out].T @ matrix[:, i]).max() < alike):
-            out.append(i)
-    return [words[i] for i in out]
+    """The first n of the words that are not too much like one taken before."""
+    out, maps = [], []
+    for w in words:
+        own = _weights(w)
+        if len(out) < n and own and all(sum(v * m.get(k, 0.0) for k, v in own.items()) < alike for m in maps):
+            out.append(w)
+            maps.append(own)
+    return out
+
+
+def _weights(word: str) -> dict[int, float]:
+    """The word's strings and their normalised weights."""
+    matrix, rows = vectors([word])
+    used = np.flatnonzero(rows)
+    return dict(zip(used.tolist(), matrix[rows[used], 0].tolist()))
 
 
 def train(documents: list[tuple[list[list[str]], int]], landmarks: int = 192, rounds: int = 5, negatives: int = 6000) -> Model:
@@ -257,7 +266,7 @@ def train(documents: list[tuple[list[list[str]], int]], landmarks: int = 192, ro
     tie = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
     order = np.argsort(-tie, kind="stable")
     clean = np.argsort(-df[0], kind="stable")
-    marks, rows = vectors(_landmarks([words[i] for i in order[:20 * landmarks]], landmarks * 2 // 3)
+    marks, rows = vectors(_landmarks([words[i] for i in order[:8 * landmarks]], landmarks * 2 // 3)
                           + [words[c] for c in clean if tie[c] < 2][:landmarks // 3])
     gram = marks.T @ marks
     value, vector = np.linalg.eigh(gram.astype(np.float64))
@@ -313,7 +322,7 @@ def in_training(id_col: str, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample_rows: int = 8000, sentences: int = 200, **train_args) -> Model:
+        sample_rows: int = 4000, sentences: int = 200, **train_args) -> Model:
     """The model, trained on a bounded sample of the labelled training rows:
     about ``sample_rows`` documents, half of either label as far as there are,
     chosen by a hash of their id, and up to ``sentences`` sentences of each."""
@@ -333,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             yield pd.DataFrame(out, columns=["s", "y"])
 
     got = sorted((r["s"], r["y"]) for r in rows.mapInPandas(cut, "s string, y int").collect())
-    return train([([s.split() for s in body.split("\n")], y) for body, y in got], **train_args)
+    return train([([[sys.intern(w) for w in s.split()] for s in body.split("\n")], y) for body, y in got], **train_args)
 
 
 def folded(words: list[str]) -> list[str]:
