@@ -229,3 +229,25 @@ def _ranked(docs, rules, text, sample_rows) -> list[Rule]:
     if not any(r.name == b for r in rules for b in BASE):
         rules = [r for r in default_rules() if r.name in BASE] + rules
     return order_rules(rules, measure(docs, rules, text, sample_rows))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`quality_report` with the default rules on ``documents``."""
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+g AS (SELECT rid, i, CASE WHEN i + 7 <= len(ws) THEN array_to_string(ws[i:i + 7], ' ') END AS gram FROM p),
+c AS (SELECT rid, i, (gram IS NOT NULL AND count(*) OVER (PARTITION BY rid, gram) > 1)::INT AS twice FROM g),
+r AS (SELECT rid, i, max(twice) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM c),
+n AS (SELECT rid, sum(hit)::BIGINT AS n_repeat_words FROM r GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM
+      (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      FROM w LEFT JOIN n USING (rid) LEFT JOIN l USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
+            OR NOT (word_chars BETWEEN 2 * n_words AND 12 * n_words)) AS kept FROM b"""

@@ -70,4 +70,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op8_template, op9_token_file, op10_bpe)}
 
-ORACLE: dict[str, str] = {"op7_imatch": imatch.oracle_sql()}
+ORACLE: dict[str, str] = {"op6_quality_rules": cascade.oracle_sql(), "op7_imatch": imatch.oracle_sql()}
