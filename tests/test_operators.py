@@ -184,13 +184,75 @@ def test_duplicates_treat_signed_zero_and_nan_as_equal(spark):
     assert duplicate_rows(df).collect()[0]["_dups"] == 3
 
 
-def test_bounded_broadcast_checks_size(spark):
-    from vigil.functions.core import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(50)
-    s = bounded_broadcast(small, max_rows=20)
-    b = bounded_broadcast(big, max_rows=20)
-    assert "ResolvedHint" in s._jdf.queryExecution().analyzed().toString() or s.count() == 10
-    assert b is big and b.count() == 50
-    joined = spark.range(100).join(s, "id")
-    assert joined.count() == 10
+def test_materialised_tables_keep_all_rows(spark):
+    from vigil.functions.core import materialised
+    kept = materialised(spark.range(300_000))
+    assert kept.count() == 300_000 and spark.range(100).join(kept, "id").count() == 100
+
+
+def test_ks_p_value_of_nearly_equal_samples_is_one(spark):
+    from vigil.operators import drift as dr
+    ref = spark.range(100_000).select(F.col("id").cast("double").alias("x"))
+    cur = spark.range(100_000).select((F.col("id") + F.when(F.col("id") == 7, 0.5).otherwise(0.0)).alias("x"))
+    r = dr.ks_test(ref, cur, ["x"]).first()
+    assert 0 < r["statistic"] < 1e-4 and r["p_value"] == 1.0 and not r["drifted"]
+    lam = [0.0, 0.005, 0.3, 0.8, 1.1799, 1.18, 1.5, 3.0]
+    got = [x[0] for x in spark.createDataFrame([(v,) for v in lam], "l double").select(dr.kolmogorov_sf(F.col("l"))).collect()]
+    assert got[:3] == pytest.approx([1.0, 1.0, 0.99999069], abs=1e-7) and abs(got[4] - got[5]) < 1e-3
+    assert got[6] == pytest.approx(0.022217963, abs=1e-8) and got[7] == pytest.approx(2 * 2.718281828459045 ** -18, rel=1e-6)
+
+
+def test_segments_on_one_side_only_have_no_statistic(spark):
+    from vigil.operators import drift as dr
+    ref = spark.createDataFrame([("a", float(i)) for i in range(50)] + [("b", 1.0), ("b", 2.0)], "g string, x double")
+    cur = spark.createDataFrame([("a", float(i)) for i in range(50)] + [("c", 1.0), ("c", 3.0)], "g string, x double")
+    for f, col in ((dr.ks_test, "statistic"), (dr.psi, "psi"), (dr.kl_divergence, "kl"), (dr.cvm_test, "statistic")):
+        got = {r["g"]: r[col] for r in f(ref, cur, ["x"], ["g"]).collect()}
+        assert got["a"] is not None and got["b"] is None and got["c"] is None
+
+
+def test_chi2_tail_at_many_degrees():
+    from vigil.operators import drift as dr
+    assert dr.chi2_sf(1e6, 1_000_000) == pytest.approx(0.49981, abs=1e-3)
+    assert dr.chi2_sf(19_999.0, 19_999) == pytest.approx(dr.chi2_sf(20_000.0, 20_000), abs=1e-4)
+
+
+def test_lineage_has_no_depth_limit(spark):
+    from vigil.operators.lineage import reachable
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(90)], "src string, dst string")
+    got = reachable(edges, spark.createDataFrame([("0",)], "node string"))
+    assert got.count() == 91 and got.agg(F.max("depth")).first()[0] == 90
+
+
+def test_null_keys_match_nothing_in_point_in_time_joins(spark):
+    import datetime as dt
+
+    from vigil.operators.featurestore import pit_join
+    t = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(None, t), (1, t)], "k int, ts timestamp_ntz")
+    f = spark.createDataFrame([(None, t, 5), (1, t, 6)], "k int, fts timestamp_ntz, v int")
+    for b in (86400, None):
+        assert {r["k"]: r["v"] for r in pit_join(e, f, ["k"], "ts", "fts", bucket_seconds=b).collect()} == {None: None, 1: 6}
+
+
+def test_moved_nulls_change_fingerprints_and_diffs(spark):
+    from vigil.operators.profile import dataset_diff, profile_fingerprint
+    a = spark.createDataFrame([(1, "x", None)], "k int, p string, q string")
+    b = spark.createDataFrame([(1, None, "x")], "k int, p string, q string")
+    assert profile_fingerprint(a).first() != profile_fingerprint(b).first()
+    assert dataset_diff(a, b, ["k"]).first()["change"] == "changed"
+
+
+def test_cooldown_counts_from_the_last_kept_row(spark):
+    from vigil.operators import alerts as al
+    days = spark.createDataFrame([("m", d) for d in range(1, 11)] + [("n", 1), ("n", 9), (None, 3), (None, 4)], "k string, d int")
+    got = sorted((str(r["k"]), r["d"]) for r in al.greedy_gap(days, ["k"], "d", 2).collect())
+    assert got == sorted([("m", d) for d in (1, 3, 5, 7, 9)] + [("n", 1), ("n", 9), ("None", 3)])
+
+
+def test_alert_rules_with_functions_and_nulls(spark):
+    from vigil.operators import alerts as al
+    m = spark.createDataFrame([(1, -3.0, None)], "t int, x double, y double")
+    rules = [("f", "abs(x) > 1", "high", ["a"]), ("n", "x < 0 and y is null", "low", ["b"]), ("u", "zz > 1", "low", ["c"])]
+    assert {r["rule"] for r in al.evaluate_rules(m, rules, [], "t").collect()} == {"f", "n"}
+    assert [r[0] for r in al.unresolved_rules(m, rules)] == ["u"]

@@ -109,19 +109,14 @@ def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (),
     return df.select(*sel).unpivot(list(ids), list(columns), name_col, value_col)
 
 
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Size-checked broadcast of a small derived table (edges, brackets,
-    per-segment statistics): at most ``max_rows + 1`` rows are read; when
-    the table proves to have at most ``max_rows`` rows it is materialised
-    and hinted for broadcast, otherwise it is returned as is and the join
-    shuffles."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
-    return small
+def materialised(small: DataFrame) -> DataFrame:
+    """A derived table (edges, brackets, per-segment statistics) computed once
+    and kept in the shared checkpoint folder.  Its size is known when it is
+    joined, so the engine's own limits decide between broadcast and shuffle;
+    no row passes the driver."""
+    from vigil.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(small.sparkSession)
+    return small.checkpoint()
 
 
 def check_unique_columns(df: DataFrame) -> None:
@@ -158,12 +153,11 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
         counts = counts.withColumn("_all", F.lit(0))
         keys = ["_all"]
     probs = [i / buckets for i in range(1, buckets)]
-    # one aggregate gives the range edges and the key totals: one row per
-    # key, broadcast only after its size is checked
+    # one aggregate gives the range edges and the key totals: one row per key
     edge_expr = (F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy) if probs
                  else F.array().cast("array<double>"))
     edges = counts.groupBy(*keys).agg(edge_expr.alias("_edges"), *[F.sum(c).alias(f"tot_{c}") for c in sum_cols])
-    tagged = counts.join(bounded_broadcast(edges), keys, "left")
+    tagged = counts.join(materialised(edges), keys, "left")
     tagged = tagged.withColumn(
         "_bucket",
         F.size(F.filter(F.coalesce(F.col("_edges"), F.array().cast("array<double>")),
@@ -175,7 +169,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
     offsets = per_bucket.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    joined = tagged.join(bounded_broadcast(offsets), keys + ["_bucket"], "left")
+    joined = tagged.join(materialised(offsets), keys + ["_bucket"], "left")
     w = (Window.partitionBy(*keys, "_bucket").orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, 0))
     out = joined.select(
@@ -274,8 +268,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                  F.col("_b")[idx[min(1.0, max(0.0, p + eps))]].alias("hi")) for p in ps])).alias("_s")) \
         .select(*jk, "_n", "_s.*")
     br = br.withColumn("h", (F.col("_n") - 1) * F.col("p"))
-    # brackets: one row per (key, feature, p), broadcast after a size check
-    br = bounded_broadcast(br)
+    # brackets: one row per (key, feature, p)
+    br = materialised(br)
     x = lf.join(br, jk)
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
     # one grouping: values inside the bracket by value, and (value = null)

@@ -13,10 +13,12 @@ def drift_alerts(runs: DataFrame) -> DataFrame:
     return runs.filter("is_drifted").select("model_name", "ts", "drift_score", "severity", msg.alias("message"))
 
 
-from collections.abc import Mapping, Sequence  # noqa: E402
+from collections.abc import Sequence  # noqa: E402
 
-import pandas as pd  # noqa: E402
-from pyspark.sql import Column, SparkSession, Window  # noqa: E402
+from pyspark.errors import AnalysisException  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+from vigil.functions.core import ntz_micros  # noqa: E402
 
 # Default alert rules (name, condition, severity, channels)
 DEFAULT_RULES = [
@@ -32,41 +34,65 @@ QUIET_START, QUIET_END = 22, 8
 
 
 def evaluate_rules(metrics: DataFrame, rules: Sequence[tuple], keys: Sequence[str], ts: str) -> DataFrame:
-    """Evaluate ``metric op value`` rules (``or`` / ``and`` allowed) over a
-    wide metric table; one alert row per firing rule and channel.  A rule
-    whose columns are absent from the table never fires."""
-    cols = set(metrics.columns)
+    """Evaluate rules (any SQL condition over the columns) over a wide metric
+    table; one alert row per firing rule and channel.  A rule that Spark's
+    analyzer cannot resolve on the table never fires; see
+    :func:`unresolved_rules`."""
+    unresolved = {r[0] for r in unresolved_rules(metrics, rules)}
     flags = []
     for name, cond, sev, chans in rules:
-        expr = cond.replace("==", "=")
-        needed = {t for t in expr.replace("(", " ").replace(")", " ").split() if t.isidentifier()
-                  and t.lower() not in ("or", "and", "not")}
-        fire = F.coalesce(F.expr(expr), F.lit(False)) if needed <= cols else F.lit(False)
+        fire = F.coalesce(F.expr(_sql(cond)), F.lit(False)) if name not in unresolved else F.lit(False)
         flags.append(F.struct(F.lit(name).alias("rule"), F.lit(sev).alias("severity"),
                               F.array(*[F.lit(c) for c in chans]).alias("channels"), fire.alias("fired")))
     x = metrics.select(*keys, ts, F.explode(F.array(*flags)).alias("r")).filter("r.fired")
     return x.select(*keys, ts, "r.rule", "r.severity", F.explode("r.channels").alias("channel"))
 
 
+def _sql(condition: str) -> str:
+    return condition.replace("==", "=")
+
+
+def unresolved_rules(metrics: DataFrame, rules: Sequence[tuple]) -> list[tuple[str, str]]:
+    """(rule, reason) of the rules whose condition does not resolve on the
+    metric table, e.g. for want of a column."""
+    out = []
+    for name, cond, *_ in rules:
+        try:
+            metrics.select(F.expr(_sql(cond)).cast("boolean"))
+        except AnalysisException as why:
+            out.append((name, str(why).split("\n")[0]))
+    return out
+
+
+def greedy_gap(rows: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:
+    """Rows kept by the rule "at least ``gap`` since the last kept row of the
+    key" (``at`` and ``gap`` in the same integer unit; of rows at the same
+    instant one).
+
+    A row that follows its predecessor by at least the gap is kept whatever
+    happened before, so each key's rows are cut into runs there and every run
+    is a group of its own, in which the kept rows follow one another."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(at)
+    x = rows.dropDuplicates([*keys, at])
+    x = x.withColumn("_new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(1)))
+    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    at_type = rows.schema[at].dataType.simpleString()
+    kept = F.aggregate(F.array_sort(F.collect_list(at)), F.array().cast(f"array<{at_type}>"),
+                       lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.array_append(acc, t))
+                       .otherwise(acc))
+    runs = x.groupBy(*keys, "_run").agg(kept.alias("_kept")).select(*keys, "_run", F.explode("_kept").alias("_at"))
+    on = (F.col("x._run") == F.col("r._run")) & (F.col(f"x.{at}") == F.col("r._at"))
+    for k in keys:
+        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return x.alias("x").join(runs.alias("r"), on).select(*[F.col(f"x.{c}") for c in rows.columns])
+
+
 def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, minutes: int = 30) -> DataFrame:
     """Suppress repeats: an alert of a key is kept only if at least
-    ``minutes`` passed since the last KEPT alert of that key.  The rule is
-    sequential per key (greedy), so each key's alerts are scanned in time
-    order in an ``applyInPandas`` group; alert rows per key are bounded by
-    time, and keys spread over tasks."""
-    out_schema = alerts.select(*keys, ts).schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " ")
-    gap = pd.Timedelta(minutes=minutes)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        keep, last = [], None
-        for t in pdf[ts]:
-            ok = last is None or (t - last) >= gap
-            keep.append(ok)
-            if ok:
-                last = t
-        return pdf[keep]
-    return alerts.select(*keys, ts).groupBy(*keys).applyInPandas(greedy, out_schema)
+    ``minutes`` passed since the last KEPT alert of that key."""
+    at = ntz_micros(ts) if alerts.schema[ts].dataType.simpleString() == "timestamp_ntz" else F.unix_micros(ts)
+    return greedy_gap(alerts.select(*keys, ts, at.alias("_micros")), keys, "_micros", minutes * 60_000_000).drop("_micros")
 
 
 def quiet_hours(alerts: DataFrame, ts: str, level: str = "severity") -> DataFrame:
@@ -83,11 +109,9 @@ def retrain_triggers(drift: DataFrame, accuracy: DataFrame, as_of_days: DataFram
                      perf_cooldown: int = 2) -> DataFrame:
     """Retraining decisions per (model, day) from three sources:
     drift score > 0.1; mean accuracy over the trailing 7 days < 0.7; the
-    weekly schedule (Mondays).  A drift / performance trigger is suppressed
-    when the same trigger also fired for the model within its cooldown days
-    before, so a run of daily triggers fires once at its start and again
-    only after a quiet gap longer than the cooldown (``lag`` per model and
-    trigger over the daily trigger rows)."""
+    weekly schedule (Mondays).  A drift / performance trigger fires when at
+    least its cooldown days passed since it last fired for the model, so a
+    run of daily triggers fires again and again at that distance."""
     d = drift.filter(F.col("drift_score") > drift_thr).select("model_name", F.to_date("ts").alias("day"),
                                                                F.lit("drift").alias("trigger"))
     # days since epoch: independent of the session time zone
@@ -95,11 +119,11 @@ def retrain_triggers(drift: DataFrame, accuracy: DataFrame, as_of_days: DataFram
     acc = accuracy.select("model_name", "day", F.avg("accuracy").over(w).alias("acc7"))
     p = acc.filter(F.col("acc7") < acc_thr).select("model_name", "day", F.lit("performance").alias("trigger"))
     s = as_of_days.filter(F.dayofweek("day") == 2).select("model_name", "day", F.lit("schedule").alias("trigger"))
-    u = d.unionByName(p)
-    wl = Window.partitionBy("model_name", "trigger").orderBy("day")
-    u = u.withColumn("_prev", F.lag("day").over(wl))
-    cd = F.when(F.col("trigger") == "drift", drift_cooldown).otherwise(perf_cooldown)
-    kept = u.filter(F.col("_prev").isNull() | (F.datediff("day", "_prev") > cd)).drop("_prev")
+
+    def fired(t: DataFrame, days: int) -> DataFrame:
+        return greedy_gap(t.withColumn("_d", F.unix_date("day")), ["model_name", "trigger"], "_d", days).drop("_d")
+
+    kept = fired(d, drift_cooldown).unionByName(fired(p, perf_cooldown))
     return kept.unionByName(s)
 
 

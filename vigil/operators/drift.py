@@ -9,6 +9,7 @@ feature, as the reference does.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import bounded_broadcast, cumulative, long_form, rnd, safe_div
+from vigil.functions.core import cumulative, is_string, long_form, materialised, rnd, safe_div
 
 # Default thresholds by method (p-value for ks/chi2, score otherwise)
 DEFAULT_THRESHOLDS = {"ks": 0.05, "psi": 0.1, "mmd": 0.05, "classifier": 0.7, "chi2": 0.05, "table": 0.1}
@@ -35,11 +36,20 @@ def sides(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequenc
 
 
 # ------------------------------------------------------------------ KS
-def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
-    """Q_KS(λ) = 2 Σ_{k≥1} (−1)^{k−1} exp(−2k²λ²), clipped to [0, 1]."""
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-                    lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
-    return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * s)))
+def kolmogorov_sf(lam: Column, terms: int = 12) -> Column:
+    """Upper tail of the Kolmogorov distribution.
+
+    2 Σ_{k≥1} (−1)^{k−1} exp(−2k²λ²) converges fast for large λ and not at
+    all towards 0; its dual 1 − √(2π)/λ Σ_{k≥1} exp(−(2k−1)²π²/(8λ²)) does the
+    opposite.  Either side of λ = 1.18 the 12th term is below 1e-100 of the
+    first, so the sums are exact in double precision."""
+    ks = F.sequence(F.lit(1), F.lit(terms))
+    tail = 2 * F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
+    x = F.try_divide(F.lit(math.pi ** 2 / 8), lam * lam)
+    body = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.exp(-(2 * k - 1) * (2 * k - 1) * x))
+    small = 1 - F.try_divide(F.lit(math.sqrt(2 * math.pi)), lam) * body
+    p = F.when(lam >= 1.18, tail).otherwise(F.coalesce(small, F.lit(1.0)))
+    return F.when(lam.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
 def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
@@ -53,7 +63,8 @@ def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Seque
     per-range totals give D at every range end (a lower bound of the
     statistic) and, per range, an upper bound |D(start)| + max(share of
     the range on either side).  Only ranges whose bound exceeds the best
-    range-end value are sorted and scanned exactly.  The result (one row
+    range-end value are sorted and scanned exactly.  A (keys, feature) with
+    rows on one side only has no statistic (null) and is not drifted.  The result (one row
     per feature) is returned materialised."""
     keys = list(keys)
     jk = keys + ["feature"]
@@ -70,7 +81,7 @@ def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Seque
 
 def _ks_from_counts(counts: DataFrame, jk: list, buckets: int, threshold: float) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
-    edges = bounded_broadcast(counts.groupBy(*jk).agg(
+    edges = materialised(counts.groupBy(*jk).agg(
         F.percentile_approx("value", probs, 512).alias("_edges"),
         F.sum("nr").alias("n_ref"), F.sum("nc").alias("n_cur")))
     tagged = counts.join(edges, jk).withColumn(
@@ -80,31 +91,32 @@ def _ks_from_counts(counts: DataFrame, jk: list, buckets: int, threshold: float)
     wb = Window.partitionBy(*jk).orderBy("_bucket")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     upto = wb.rowsBetween(Window.unboundedPreceding, 0)
-    d_start = (F.coalesce(F.sum("br").over(before), F.lit(0)) / F.col("n_ref")
-               - F.coalesce(F.sum("bc").over(before), F.lit(0)) / F.col("n_cur"))
-    d_end = F.sum("br").over(upto) / F.col("n_ref") - F.sum("bc").over(upto) / F.col("n_cur")
+    d_start = (F.try_divide(F.coalesce(F.sum("br").over(before), F.lit(0)), F.col("n_ref"))
+               - F.try_divide(F.coalesce(F.sum("bc").over(before), F.lit(0)), F.col("n_cur")))
+    d_end = F.try_divide(F.sum("br").over(upto), F.col("n_ref")) - F.try_divide(F.sum("bc").over(upto), F.col("n_cur"))
     pb = pb.select(*jk, "n_ref", "n_cur", "_bucket", "br", "bc",
                    F.coalesce(F.sum("br").over(before), F.lit(0)).alias("o_r"),
                    F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("o_c"),
-                   (F.abs(d_start) + F.greatest(F.col("br") / F.col("n_ref"), F.col("bc") / F.col("n_cur"))).alias("ub"),
+                   (F.abs(d_start) + F.greatest(F.try_divide("br", "n_ref"), F.try_divide("bc", "n_cur"))).alias("ub"),
                    F.abs(d_end).alias("at_end"))
     # per-range table: (#features x buckets) rows, materialised once
-    pb = bounded_broadcast(pb)
+    pb = materialised(pb)
     lb = pb.groupBy(*jk, "n_ref", "n_cur").agg(F.max("at_end").alias("lb"))
-    cand = bounded_broadcast(pb.join(lb.select(*jk, "lb"), jk).filter(F.col("ub") > F.col("lb"))
+    cand = materialised(pb.join(lb.select(*jk, "lb"), jk).filter(F.col("ub") > F.col("lb"))
                              .select(*jk, "_bucket", "o_r", "o_c"))
     w = Window.partitionBy(*jk, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inner = tagged.join(cand, jk + ["_bucket"]) \
-        .select(*jk, F.abs((F.sum("nr").over(w) + F.col("o_r")) / F.col("n_ref")
-                           - (F.sum("nc").over(w) + F.col("o_c")) / F.col("n_cur")).alias("_d"))
+        .select(*jk, F.abs(F.try_divide(F.sum("nr").over(w) + F.col("o_r"), F.col("n_ref"))
+                           - F.try_divide(F.sum("nc").over(w) + F.col("o_c"), F.col("n_cur"))).alias("_d"))
     best = inner.groupBy(*jk).agg(F.max("_d").alias("_in"))
     d = lb.join(best, jk, "left").select(*jk, "n_ref", "n_cur",
-                                         F.greatest(F.col("lb"), F.coalesce("_in", F.lit(0.0))).alias("statistic"))
-    en = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
-    lam = (F.sqrt(en) + 0.12 + 0.11 / F.sqrt(en)) * F.col("statistic")
+                                         F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0),
+                                                F.greatest(F.col("lb"), F.coalesce("_in", F.lit(0.0)))).alias("statistic"))
+    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
+    lam = (F.sqrt(en) + 0.12 + F.try_divide(F.lit(0.11), F.sqrt(en))) * F.col("statistic")
     out = d.select(*jk, F.col("n_ref").cast("long"), F.col("n_cur").cast("long"),
                    rnd(F.col("statistic")).alias("statistic"), rnd(kolmogorov_sf(lam), 6).alias("p_value"))
-    out = out.withColumn("drifted", F.col("p_value") < threshold)
+    out = out.withColumn("drifted", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
     # one row per feature: materialised before the cached counts are released
     return counts.sparkSession.createDataFrame(out.collect(), out.schema)
 
@@ -124,8 +136,8 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
                               F.count_if(F.col("side") == 1).alias("n_cur"))
     b = F.least(F.floor(F.lit(float(n_bins)) * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))),
                 F.lit(n_bins - 1)).cast("int")
-    # one row per (segment, feature), broadcast after a size check
-    binned = lf.join(bounded_broadcast(rng.select(*jk, "lo", "hi")), jk) \
+    # one row per (segment, feature), computed once; the engine picks the join
+    binned = lf.join(materialised(rng.select(*jk, "lo", "hi")), jk) \
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)))
     h = binned.groupBy(*jk, "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                        F.count_if(F.col("side") == 1).alias("nc"))
@@ -138,43 +150,66 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
 
 def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
         threshold: float = DEFAULT_THRESHOLDS["psi"], n_bins: int = N_BINS) -> DataFrame:
-    """Population stability index per (keys, feature), 10 equal-width bins,
-    zero shares floored at 1e-4; a constant feature scores 0."""
-    return _divergence(bin_counts(ref, cur, features, keys, n_bins), keys, "psi", threshold)
+    """Population stability index per (keys, feature): 10 equal-width bins of
+    a numeric feature, one bin per value of a string feature; zero shares
+    floored at 1e-4; a constant feature scores 0."""
+    return _divergence(_any_cells(ref, cur, features, keys, n_bins), keys, "psi", threshold)
 
 
 def kl_divergence(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
                   threshold: float = DEFAULT_THRESHOLDS["psi"], n_bins: int = N_BINS) -> DataFrame:
     """KL(current ‖ reference) on the PSI histogram."""
-    return _divergence(bin_counts(ref, cur, features, keys, n_bins), keys, "kl", threshold)
+    return _divergence(_any_cells(ref, cur, features, keys, n_bins), keys, "kl", threshold)
+
+
+def _any_cells(ref, cur, features, keys, n_bins) -> DataFrame:
+    """Cells of numeric features by bin and of string features by value."""
+    text = [f for f in features if is_string(ref, f)]
+    numeric = [f for f in features if f not in text]
+    cols = [*keys, "feature", "nr", "nc", "n_ref", "n_cur", "constant"]
+    parts = [bin_counts(ref, cur, numeric, keys, n_bins).select(*cols)] if numeric else []
+    if text:
+        c = category_cells(ref, cur, text, keys).alias("c")
+        t = category_cells(ref, cur, text, keys).groupBy(*keys, "feature").agg(
+            F.sum("nr").alias("n_ref"), F.sum("nc").alias("n_cur"), (F.count(F.lit(1)) == 1).alias("constant")).alias("t")
+        on = F.lit(True)
+        for k in [*keys, "feature"]:
+            on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}"))
+        parts.append(c.join(t, on).select(*[F.col(f"c.{k}") for k in [*keys, "feature"]], "nr", "nc", "n_ref", "n_cur", "constant"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _divergence(h: DataFrame, keys, kind, threshold) -> DataFrame:
     jk = list(keys) + ["feature"]
-    p = F.col("nr") / F.col("n_ref")
-    q = F.col("nc") / F.col("n_cur")
+    # rows on one side only: no shares, no divergence (null), not drifted
+    p = F.try_divide("nr", "n_ref")
+    q = F.try_divide("nc", "n_cur")
     p = F.when(p == 0, PSI_FLOOR).otherwise(p)
     q = F.when(q == 0, PSI_FLOOR).otherwise(q)
     term = (q - p) * F.log(q / p) if kind == "psi" else q * F.log(q / p)
     out = h.groupBy(*jk).agg(F.sum(term).alias("_s"), F.first("constant").alias("_c"))
-    val = F.when(F.col("_c"), F.lit(0.0)).otherwise(F.col("_s"))
-    return out.select(*jk, rnd(val).alias(kind)).withColumn("drifted", F.col(kind) > threshold)
+    val = F.when(F.col("_c") & F.col("_s").isNotNull(), F.lit(0.0)).otherwise(F.col("_s"))
+    return out.select(*jk, rnd(val).alias(kind)).withColumn("drifted", F.coalesce(F.col(kind) > threshold, F.lit(False)))
 
 
 # ------------------------------------------------------------------ chi2
 def chi2_sf(x: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution: Q(dof/2, x/2) by series /
-    continued fraction (no SciPy here)."""
+    """Upper tail of the chi-square distribution: Q(dof/2, x/2) by series or
+    continued fraction; from 20,000 degrees on by the Wilson–Hilferty cube
+    root (error below 1e-5 there)."""
     if x is None or dof is None or dof <= 0 or x != x:
         return float("nan")
     if x <= 0:
         return 1.0
+    if dof >= 20_000:
+        v = 2.0 / (9.0 * dof)
+        return 0.5 * math.erfc(((x / dof) ** (1 / 3) - 1 + v) / math.sqrt(2 * v))
     a, z = dof / 2.0, x / 2.0
     gln = math.lgamma(a)
     if z < a + 1:
         term = s = 1.0 / a
         ap = a
-        for _ in range(1000):
+        while True:  # terms fall geometrically once ap > z
             ap += 1
             term *= z / ap
             s += term
@@ -184,7 +219,7 @@ def chi2_sf(x: float, dof: int) -> float:
     b = z + 1 - a
     c, d = 1e300, 1 / b
     h = d
-    for i in range(1, 1000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -267,7 +302,7 @@ def cvm_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequ
 def _cvm_from_counts(counts: DataFrame, jk: list, buckets: int) -> DataFrame:
     cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets) \
         .withColumnRenamed("tot_nr", "N").withColumnRenamed("tot_nc", "M")
-    diff = F.col("cum_nr") / F.col("N") - F.col("cum_nc") / F.col("M")
+    diff = F.try_divide("cum_nr", "N") - F.try_divide("cum_nc", "M")  # null when a side is empty
     s = cum.groupBy(*jk, "N", "M").agg(F.sum((F.col("nr") + F.col("nc")) * diff * diff).alias("_s"))
     t = F.col("N") * F.col("M") / F.pow(F.col("N") + F.col("M"), 2) * F.col("_s")
     out = s.select(*jk, F.col("N").cast("long").alias("n_ref"), F.col("M").cast("long").alias("n_cur"),
@@ -389,7 +424,9 @@ def rff_mmd(ref: DataFrame, cur: DataFrame, col: str, gamma: float | None = None
     its Arrow batches with NumPy and emits per-side partial sums, which
     Spark aggregates.  No pairs of rows are formed."""
     spark = ref.sparkSession
-    dim = len(ref.select(col).head()[0])
+    ref, cur = ref.filter(F.col(col).isNotNull()), cur.filter(F.col(col).isNotNull())
+    first = ref.select(col).head() or cur.select(col).head()
+    dim = len(first[0]) if first else 1
     g = 1.0 / dim if gamma is None else gamma
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, math.sqrt(2 * g), size=(n_features, dim))

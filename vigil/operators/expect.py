@@ -18,7 +18,7 @@ from vigil.functions.core import exact_quantiles, missing, rnd, safe_div
 # Strftime directive -> Spark datetime pattern letters.
 STRFTIME_TO_SPARK = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm",
-    "%S": "ss", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE",
+    "%S": "ss", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE",
     "%j": "DDD", "%z": "Z", "%Z": "z", "%%": "%",
 }
 

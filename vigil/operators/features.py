@@ -79,15 +79,12 @@ def scaler_transform(df: DataFrame, params: DataFrame, columns: Sequence[str]) -
     return j.select(*df.columns, *outs)
 
 
-def one_hot_columns(df: DataFrame, col: str, max_categories: int = 1000) -> DataFrame:
-    """One 0/1 column per category (sorted).  The category list is read
-    with one aggregate; more than ``max_categories`` raises (use
-    :func:`one_hot_vector` for open-ended categories)."""
-    # bounded read: at most max_categories + 1 distinct values reach the driver
-    cats = [r[0] for r in df.select(F.col(col).cast("string").alias("c")).filter(F.col("c").isNotNull())
-            .distinct().orderBy("c").limit(max_categories + 1).collect()]
-    if len(cats) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories; use one_hot_vector")
+def one_hot_columns(df: DataFrame, col: str, categories: Sequence | None = None) -> DataFrame:
+    """One 0/1 column per category: the given ones, else all values (sorted).
+    A column per value only suits few values; :func:`one_hot_vector` is for
+    open-ended categories."""
+    cats = [str(c) for c in categories] if categories is not None else [
+        r[0] for r in df.select(F.col(col).cast("string").alias("c")).filter(F.col("c").isNotNull()).distinct().orderBy("c").collect()]
     return df.select(*df.columns, *[(F.col(col).cast("string") == F.lit(v)).cast("int").alias(f"{col}_{v}") for v in cats])
 
 

@@ -32,6 +32,8 @@ def pit_join(entities: DataFrame, features: DataFrame, keys: Sequence[str],
     so a key holding a third of all rows still spreads over its buckets.
     """
     keys = list(keys)
+    for k in keys:  # a null key matches nothing; entities without a key keep null features
+        features = features.filter(F.col(k).isNotNull())
     fcols = list(feature_cols) if feature_cols is not None else [
         c for c in features.columns if c not in set(keys) | {feature_ts} | ({tie} if tie else set())]
     tie_expr = F.col(tie).cast("long") if tie else F.lit(0).cast("long")

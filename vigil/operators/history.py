@@ -156,9 +156,9 @@ def quality_summary(runs: DataFrame, key: str = "dataset", ts: str = "ts") -> Da
 
 
 def quality_report(checks: DataFrame, top: int = 10) -> DataFrame:
-    """Failed checks counted by type, by severity and in total (one
-    GROUPING SETS aggregate), plus the top failing check names."""
-    f = checks.filter(F.col("status") == "failed")
+    """Failed checks (status failed or error) counted by type, by severity and
+    in total (one GROUPING SETS aggregate), plus the top failing check names."""
+    f = checks.filter(F.col("status").isin("failed", "error"))
     gs = f.groupingSets([["check_type"], ["severity"], []], "check_type", "severity") \
         .agg(F.count(F.lit(1)).cast("long").alias("n_failed"))
     dims = gs.select(F.when(F.col("check_type").isNotNull(), "by_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ def build_edges(*parts: DataFrame) -> DataFrame:
     return u.distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int = 64,
+def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None,
               checkpoint_every: int = 4) -> DataFrame:
     """All nodes reachable from the seed nodes (column ``node``) with their
     minimum depth: a breadth-first fixpoint of joins, one per level.
@@ -27,7 +28,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_d
     visited set, so only new nodes move on.  Every few levels the visited
     set is checkpointed to the shared ``spark.checkpoint.dir`` (reliable,
     survives executor loss) to keep the plan short on deep graphs.  The
-    loop tests emptiness of the frontier with one ``take(1)`` per level."""
+    loop ends when the frontier is empty (one ``take(1)`` per level), or after
+    ``max_depth`` levels where the caller gives one."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     # the edge table is read once per level: keep it (recomputable on loss)
@@ -35,7 +37,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_d
                      F.col("dst" if direction == "down" else "src").alias("node")).persist()
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = frontier.select(F.col("node").alias("_from")).join(e, "_from").select("node").distinct()
         nxt = nxt.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         if d % checkpoint_every == 0:

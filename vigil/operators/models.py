@@ -50,12 +50,12 @@ def _auc_from_counts(counts: DataFrame, keys: list) -> DataFrame:
 
 
 def reg_metrics(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
-    """MAE, MSE, R² = 1 − SSE / SST."""
+    """MAE, MSE, R² = 1 − SSE / SST (null for a constant target)."""
     e = F.col(y) - F.col(pred)
     g = df.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
                               F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_v"), F.count(F.lit(1)).alias("n"))
     return g.select(*keys, F.col("n").cast("long"), rnd(F.col("mae")).alias("mae"), rnd(F.col("mse"), 6).alias("mse"),
-                    rnd(1 - F.col("_sse") / (F.col("_v") * F.col("n"))).alias("r2"))
+                    rnd(1 - F.try_divide(F.col("_sse"), F.col("_v") * F.col("n"))).alias("r2"))
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, classes: Sequence) -> DataFrame:
@@ -227,7 +227,7 @@ def tags_to_maps(df: DataFrame, tags: str, prefixes: Mapping[str, str]) -> DataF
         return lambda k, v: k.startswith(pre)
 
     def strip(pre):
-        return lambda k, v: F.substring(k, len(pre) + 1, 1 << 20)
+        return lambda k, v: F.substring(k, F.lit(len(pre) + 1), F.char_length(k))
 
     outs = [F.transform_keys(F.map_filter(F.col(tags), has(pre)), strip(pre)).alias(name)
             for name, pre in prefixes.items()]

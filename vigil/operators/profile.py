@@ -106,10 +106,17 @@ def profile_top_values(df: DataFrame, columns: Sequence[str] | None = None, k: i
         .select("column", "rank", "value", F.col("count").cast("long"))
 
 
+def row_hash(columns: Sequence[str]) -> Column:
+    """64-bit hash of the columns that tells apart where nulls stand (the hash
+    function itself skips nulls)."""
+    cols = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols]) if cols else F.lit(0).cast("long")
+
+
 def profile_fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content hash: row count, sum and xor of 64-bit row
     hashes.  Equal data in any order or partitioning gives equal output."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    h = row_hash(df.columns)
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                   F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
                   F.bit_xor(h).alias("hash_xor"))
@@ -174,8 +181,8 @@ def dataset_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     """Rows added / removed / changed / unchanged between two versions: full
     outer join on the key, row hash comparison of the other columns."""
     rest = [c for c in old.columns if c not in set(keys)]
-    o = old.select(*keys, F.xxhash64(*[F.col(c) for c in rest]).alias("_ho"), F.lit(True).alias("_in_o"))
-    n = new.select(*keys, F.xxhash64(*[F.col(c) for c in rest]).alias("_hn"), F.lit(True).alias("_in_n"))
+    o = old.select(*keys, row_hash(rest).alias("_ho"), F.lit(True).alias("_in_o"))
+    n = new.select(*keys, row_hash(rest).alias("_hn"), F.lit(True).alias("_in_n"))
     j = o.join(n, list(keys), "full_outer")
     kind = (F.when(F.col("_in_o").isNull(), "added").when(F.col("_in_n").isNull(), "removed")
             .when(F.col("_ho") == F.col("_hn"), "unchanged").otherwise("changed"))

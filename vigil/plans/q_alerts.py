@@ -59,13 +59,19 @@ def q_alert_quiet_hours(spark, sf):
     return q.withColumn("channels", F.concat_ws(",", "channels"))
 
 
-@query("retrain_triggers", f"""WITH {_DAILY},
+@query("retrain_triggers", f"""WITH RECURSIVE {_DAILY},
 d AS (SELECT model_name, CAST(ts AS DATE) AS day, 'drift' AS trigger FROM drift_runs WHERE drift_score > 0.1),
 a AS (SELECT model_name, CAST(ts AS DATE) AS day, avg(accuracy) OVER (PARTITION BY model_name ORDER BY CAST(ts AS DATE)
   RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS acc7 FROM dm),
 p AS (SELECT model_name, day, 'performance' AS trigger FROM a WHERE acc7 < 0.7),
-u AS (SELECT *, lag(day) OVER (PARTITION BY model_name, trigger ORDER BY day) AS prev FROM (SELECT * FROM d UNION ALL SELECT * FROM p))
-SELECT model_name, day, trigger FROM u WHERE prev IS NULL OR date_diff('day', prev, day) > CASE WHEN trigger = 'drift' THEN 1 ELSE 2 END
+u AS (SELECT *, row_number() OVER (PARTITION BY model_name, trigger ORDER BY day) AS i FROM
+  (SELECT DISTINCT * FROM (SELECT * FROM d UNION ALL SELECT * FROM p))),
+k(model_name, trigger, i, day, last, kept) AS (SELECT model_name, trigger, i, day, day, TRUE FROM u WHERE i = 1
+  UNION ALL SELECT u.model_name, u.trigger, u.i, u.day,
+    CASE WHEN u.day - k.last >= CASE WHEN u.trigger = 'drift' THEN 1 ELSE 2 END THEN u.day ELSE k.last END,
+    u.day - k.last >= CASE WHEN u.trigger = 'drift' THEN 1 ELSE 2 END
+  FROM k JOIN u ON u.model_name = k.model_name AND u.trigger = k.trigger AND u.i = k.i + 1)
+SELECT model_name, day, trigger FROM k WHERE kept
 UNION ALL SELECT model_name, CAST(ts AS DATE), 'schedule' FROM dm WHERE dayofweek(ts) = 1""")
 def q_retrain_triggers(spark, sf):
     m = daily_metrics(spark, sf).withColumn("day", F.to_date("ts"))

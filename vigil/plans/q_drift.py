@@ -50,8 +50,9 @@ cu AS (SELECT {k}feature, value, sum(nr) OVER ({pk} ORDER BY value) AS cr, sum(n
 d AS (SELECT {k}cu.feature, n_ref, n_cur, max(abs(cr / n_ref - cc / n_cur)) AS stat
       FROM cu JOIN t USING ({k}feature) GROUP BY ALL),
 e AS (SELECT *, (sqrt(n_ref * n_cur / (n_ref + n_cur)) + 0.12 + 0.11 / sqrt(n_ref * n_cur / (n_ref + n_cur))) * stat AS lam FROM d),
-p AS (SELECT *, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
-        SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)))) END AS pv FROM e)
+p AS (SELECT *, CASE WHEN lam = 0 THEN 1.0
+        WHEN lam < 1 THEN greatest(0.0, 1 - sqrt(2 * pi()) / lam * (SELECT sum(exp(-pow((2 * j + 1) * pi() / lam, 2) / 8)) FROM range(0, 40) r(j)))
+        ELSE least(1.0, 2 * (SELECT sum(exp(-2 * pow((2 * j + 1) * lam, 2)) - exp(-2 * pow((2 * j + 2) * lam, 2))) FROM range(0, 40) r(j))) END AS pv FROM e)
 SELECT {k}feature, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, round(stat, 9) AS statistic,
        round(pv, 6) AS p_value, round(pv, 6) < 0.05 AS drifted FROM p"""
 
@@ -95,6 +96,21 @@ def q_drift_psi(spark, sf):
     return dr.psi(r, c, LI_FEATS)
 
 
+@query("drift_psi_category", """WITH s AS (SELECT feature, v, side FROM (
+  SELECT 'o_orderstatus' AS feature, o_orderstatus AS v, (o_orderdate >= TIMESTAMP '1998-01-01')::INT AS side FROM orders
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority, (o_orderdate >= TIMESTAMP '1998-01-01')::INT FROM orders) WHERE v IS NOT NULL),
+n AS (SELECT feature, count(*) FILTER (WHERE side = 0) AS nr_all, count(*) FILTER (WHERE side = 1) AS nc_all, count(DISTINCT v) = 1 AS one FROM s GROUP BY feature),
+c AS (SELECT feature, v, count(*) FILTER (WHERE side = 0) AS nr, count(*) FILTER (WHERE side = 1) AS nc FROM s GROUP BY ALL),
+x AS (SELECT c.feature, one, CASE WHEN nr_all > 0 THEN greatest(CAST(nr AS DOUBLE) / nr_all, CASE WHEN nr = 0 THEN 1e-4 ELSE 0 END) END AS p,
+  CASE WHEN nc_all > 0 THEN greatest(CAST(nc AS DOUBLE) / nc_all, CASE WHEN nc = 0 THEN 1e-4 ELSE 0 END) END AS q FROM c JOIN n USING (feature)),
+y AS (SELECT feature, CASE WHEN bool_or(one) THEN 0.0 ELSE sum((q - p) * ln(q / p)) END AS d FROM x GROUP BY feature)
+SELECT feature, round(d, 9) AS psi, coalesce(round(d, 9) > 0.1, FALSE) AS drifted FROM y""")
+def q_drift_psi_category(spark, sf):
+    o = table(spark, sf, "orders", ["o_orderdate", "o_orderstatus", "o_orderpriority"])
+    late = F.col("o_orderdate") >= ts_lit("1998-01-01")
+    return dr.psi(o.filter(~late), o.filter(late), ["o_orderstatus", "o_orderpriority"])
+
+
 @query("drift_kl", psi_sql(LI_LF, kind="kl"))
 def q_drift_kl(spark, sf):
     r, c = li_halves(spark, sf)

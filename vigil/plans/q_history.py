@@ -105,7 +105,7 @@ def q_quality_summary(spark, sf):
 
 
 @query("quality_report", f"""WITH {DQ_CHECKS_SQL},
-f AS (SELECT * FROM dq_checks WHERE status = 'failed'),
+f AS (SELECT * FROM dq_checks WHERE status IN ('failed', 'error')),
 g AS (SELECT check_type, severity, count(*) AS n_failed FROM f GROUP BY GROUPING SETS ((check_type), (severity), ())),
 t AS (SELECT check_name, count(*) AS n_failed FROM f GROUP BY check_name)
 SELECT CASE WHEN check_type IS NOT NULL THEN 'by_type' WHEN severity IS NOT NULL THEN 'by_severity' ELSE 'total' END AS level,

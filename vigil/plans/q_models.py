@@ -204,7 +204,7 @@ def q_promote_apply(spark, sf):
 
 # Allowed lifecycle transitions (deploy only from validated or registered)
 ALLOWED = [("registered", "validated"), ("validated", "validated"), ("validated", "deployed"),
-           ("registered", "deployed"), ("deployed", "deployed"), ("deployed", "archived"),
+           ("registered", "deployed"), ("deployed", "archived"),
            ("validated", "archived"), ("archived", "archived"), ("deployed", "validated")]
 
 

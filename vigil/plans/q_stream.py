@@ -141,8 +141,7 @@ def q_st_late(spark, sf):
     def sink(batch, batch_id):
         seen.append(batch.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
     prog = st.run_foreach(agg, "late", sink)
-    dropped = sum(int(p.get("stateOperators", [{}])[0].get("numRowsDroppedByWatermark", 0)) for p in prog
-                  if p.get("stateOperators"))
+    dropped = st.rows_dropped_late(prog)
     total = table(spark, sf, "events").count()
     return spark.createDataFrame([(total, int(sum(seen)), dropped, len(prog))],
                                  "n_input long, n_counted long, n_dropped_late long, n_batches long")

@@ -3,7 +3,7 @@ checkpoint directory lookup."""
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,7 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is used as is.
-    Only when it is unset (tests, local runs) a scratch directory is
+    Where it is unset, a local session gets a scratch directory of its own and
+    any other master an error; the directory is
     registered with ``SparkContext.setCheckpointDir`` (the config itself
     cannot be changed on a running session)."""
     sc = spark.sparkContext
@@ -56,6 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = fallback or os.environ.get("VIGIL_CHECKPOINT_DIR") or "/tmp/vigil-checkpoints"
+    d = fallback
+    if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="vigil-checkpoints-")
     sc.setCheckpointDir(d)
     return d

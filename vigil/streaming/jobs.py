@@ -44,12 +44,29 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def run_foreach(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None]) -> list[dict]:
-    """Run with ``foreachBatch`` (availableNow); returns progress reports."""
+    """Run with ``foreachBatch`` (availableNow); returns the progress report
+    of every batch.  The query itself only remembers its latest reports, so
+    they are gathered during the run."""
     spark = stream.sparkSession
     ck = scratch_dir(spark, f"ck-{name}")
-    q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    seen: dict[int, dict] = {}
+    running: list = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fn(batch, batch_id)
+        for q in running:
+            seen.update({p["batchId"]: p for p in q.recentProgress})
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    running.append(q)
     q.awaitTermination()
-    return [p for p in q.recentProgress]
+    seen.update({p["batchId"]: p for p in q.recentProgress})
+    return [seen[k] for k in sorted(seen)]
+
+
+def rows_dropped_late(progress: list[dict]) -> int:
+    """Rows behind the watermark over all batches and state operators."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in progress for o in p["stateOperators"])
 
 
 def _window_cols(w: str = "window") -> list:
