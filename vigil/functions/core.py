@@ -119,6 +119,20 @@ def materialised(small: DataFrame) -> DataFrame:
     return small.checkpoint()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with their position (0-based, in partition and row order) as
+    column ``name``: positions in a partition plus the sizes of the partitions
+    before it (one row per partition is summed up).  The rows are kept in the
+    checkpoint folder, so the order that was numbered is the one returned."""
+    x = materialised(df.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).alias("_part")
+    per = x.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return x.withColumn("_part", part).join(first, "_part").select(
+        (F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
+
 def check_unique_columns(df: DataFrame) -> None:
     seen, dup = set(), []
     for c in df.columns:

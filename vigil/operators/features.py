@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vigil.functions.core import ntz_micros, ntz_seconds
+from vigil.functions.core import ntz_micros, ntz_seconds, numbered
 
 
 def square(c: str) -> Column:
@@ -36,17 +35,12 @@ def date_parts(df: DataFrame, col: str) -> DataFrame:
 
 def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """code = rank of the value among the sorted distinct values (0-based),
-    null → −1 (``pd.Categorical(x).codes``).  The ranking of distinct values
-    is a range-partitioned sort numbered with ``zipWithIndex``, not one
-    global window; the code table is joined back on the value (shuffle or
-    AQE broadcast)."""
+    null → −1 (``pd.Categorical(x).codes``).  The distinct values are sorted
+    over range partitions and numbered, not ranked in one global window; the
+    code table is joined back on the value (shuffle or AQE broadcast)."""
     out = out or f"{col}_code"
     d = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    # a range-partitioned sort of the distinct set, then global positions by
-    # zipWithIndex (one small job counts rows per partition)
-    srt = d.orderBy("_v")
-    schema = T.StructType([d.schema["_v"], T.StructField("_code", T.LongType(), False)])
-    codes = df.sparkSession.createDataFrame(srt.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])), schema)
+    codes = numbered(d.orderBy("_v"), "_code")
     j = df.join(codes.select(F.col("_v").alias(col), "_code"), col, "left")
     return j.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("long")).drop("_code").select(*df.columns, out)
 

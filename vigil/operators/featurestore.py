@@ -212,13 +212,10 @@ def feature_skew(offline: DataFrame, online: DataFrame, keys: Sequence[str],
     return wide.select(F.explode(F.array(*st)).alias("s")).select("s.*")
 
 
-def feature_freshness(sets: Mapping[str, tuple[DataFrame, str]], as_of: Column) -> DataFrame:
-    """Age (seconds and hours) of the newest value per feature set."""
-    parts = [df.agg(F.max(ts).alias("latest_ts")).select(F.lit(name).alias("feature_set"), "latest_ts")
-             for name, (df, ts) in sets.items()]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+def feature_freshness(values: DataFrame, feature_set: str, ts: str, as_of: Column) -> DataFrame:
+    """Age (seconds and hours) of the newest value per feature set: one
+    aggregate over the table that holds all sets (column ``feature_set``)."""
+    u = values.groupBy(F.col(feature_set).alias("feature_set")).agg(F.max(ts).alias("latest_ts"))
     age_us = F.timestamp_diff("MICROSECOND", F.col("latest_ts"), as_of)
     return u.select("feature_set", "latest_ts",
                     F.floor(age_us / 1e6).cast("long").alias("age_seconds"),

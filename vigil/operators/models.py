@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,10 +79,16 @@ def fairness(df: DataFrame, group: str, label: str, pred: str, threshold: float
                     F.coalesce(F.col("_di") >= threshold, F.lit(False)).alias("passed"))
 
 
-def error_slices(df: DataFrame, features: Sequence[str], error: str, min_rows: int = 1) -> DataFrame:
-    """Error rate and lift per (feature, value) slice."""
-    lf = df.select(F.col(error).cast("double").alias("_e"), *[F.col(c).cast("string") for c in features]) \
-        .unpivot(["_e"], list(features), "feature", "value")
+def error_slices(df: DataFrame, features: Sequence[str], error: str, min_rows: int = 1, pairs: bool = False) -> DataFrame:
+    """Error rate and lift per (feature, value) slice; with ``pairs`` also per
+    pair of features (names and values joined by " & "; a null value of
+    either makes the pair's value null)."""
+    text = {c: F.col(c).cast("string") for c in features}
+    cells = [F.struct(F.lit(c).alias("feature"), v.alias("value")) for c, v in text.items()]
+    if pairs:
+        cells += [F.struct(F.lit(f"{a} & {b}").alias("feature"), F.concat(text[a], F.lit(" & "), text[b]).alias("value"))
+                  for a, b in itertools.combinations(features, 2)]
+    lf = df.select(F.col(error).cast("double").alias("_e"), F.explode(F.array(*cells)).alias("s")).select("_e", "s.*")
     s = lf.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("error_rate"))
     overall = df.agg(F.avg(F.col(error).cast("double")).alias("_o"))
     j = s.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
@@ -118,17 +125,17 @@ def metric_gate(candidate: DataFrame, baseline: DataFrame, ratio: float = 0.9,
     return j.select("metric", "cand", "base", ok.alias("ok"))
 
 
-def validation_rollup(checks: DataFrame) -> DataFrame:
-    """passed / failed / warning lists and the overall status of a
-    validation (any failed → failed; any warning → warning; else passed).
-    Check rows per validation are few (one per rule)."""
+def validation_rollup(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """passed / failed / warning lists and the overall status of each
+    validation (``keys``; any failed → failed; any warning → warning; else
+    passed).  Check rows per validation are few (one per rule)."""
     st = F.col("status")
-    g = checks.agg(
+    g = checks.groupBy(*keys).agg(
         F.concat_ws(",", F.sort_array(F.collect_list(F.when(st == "passed", F.col("rule_id"))))).alias("passed"),
         F.concat_ws(",", F.sort_array(F.collect_list(F.when(st.isin("failed", "error"), F.col("rule_id"))))).alias("failed"),
         F.concat_ws(",", F.sort_array(F.collect_list(F.when(st == "warning", F.col("rule_id"))))).alias("warnings"),
         F.count_if(st.isin("failed", "error")).alias("_f"), F.count_if(st == "warning").alias("_w"))
-    return g.select("passed", "failed", "warnings",
+    return g.select(*keys, "passed", "failed", "warnings",
                     F.when(F.col("_f") > 0, "failed").when(F.col("_w") > 0, "warning").otherwise("passed").alias("status"))
 
 

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vigil.functions.core import numbered
 
 
 def union_hot_cold(history: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -25,16 +26,10 @@ def align_features(ref: DataFrame, cur: DataFrame, requested: Sequence[str] | No
 
 
 def concat_columns(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Side-by-side by row position (pandas ``concat(axis=1)``).  Positions
-    come from ``zipWithIndex`` (distributed; one job counts partition
-    sizes), then a full outer join on the position.  Prefer a keyed join
-    when a key exists."""
-    spark = left.sparkSession
-
-    def indexed(df, name):
-        schema = T.StructType([T.StructField(name, T.LongType(), False)] + df.schema.fields)
-        return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda t: (t[1], *t[0])), schema)
-    return indexed(left, "_pos").join(indexed(right, "_pos"), "_pos", "full_outer")
+    """Side-by-side by row position (pandas ``concat(axis=1)``): both sides
+    are numbered, then joined on the position (full outer).  Prefer a keyed
+    join when a key exists."""
+    return numbered(left, "_pos").join(numbered(right, "_pos"), "_pos", "full_outer")
 
 
 def filter_period(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:

@@ -175,15 +175,12 @@ def q_feature_skew(spark, sf):
     return fs.feature_skew(offline, online, ["user_id"], ["value"])
 
 
-@query("feature_freshness", " UNION ALL ".join(
-    f"""SELECT '{t}' AS feature_set, max(ts) AS latest_ts,
-        CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 1e6) AS BIGINT) AS age_seconds,
-        round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 3.6e9, 6) AS age_hours
-        FROM events WHERE event_type = '{t}'""" for t in ["view", "click", "purchase"]))
+@query("feature_freshness", f"""SELECT event_type AS feature_set, max(ts) AS latest_ts,
+  CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 1e6) AS BIGINT) AS age_seconds,
+  round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 3.6e9, 6) AS age_hours FROM events GROUP BY event_type""")
 def q_feature_freshness(spark, sf):
     ev = table(spark, sf, "events", ["event_type", "ts"])
-    sets = {t: (ev.filter(F.col("event_type") == t), "ts") for t in ["view", "click", "purchase"]}
-    return fs.feature_freshness(sets, ts_lit(AS_OF))
+    return fs.feature_freshness(ev, "event_type", "ts", ts_lit(AS_OF))
 
 
 @query("feature_write", """SELECT 'online' AS sink, count(DISTINCT user_id) AS n_rows FROM events WHERE event_type = 'view'

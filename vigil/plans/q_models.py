@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import models as mo
 from vigil.operators import lineage as ln
-from vigil.plans.fixtures import DQ_RUNS_SQL, LIFECYCLE_SQL, lifecycle_events
+from vigil.plans.fixtures import DQ_CHECKS_SQL, DQ_RUNS_SQL, LIFECYCLE_SQL, dq_checks, lifecycle_events
 from vigil.plans.registry import query
 from vigil.sources.readers import table
 
@@ -110,11 +110,12 @@ def q_fairness(spark, sf):
 @query("error_slices", f"""WITH {SCORED}, e AS (SELECT *, CASE WHEN pred <> label THEN 1.0 ELSE 0.0 END AS err FROM sc),
 o AS (SELECT avg(err) AS ov FROM e),
 s AS (SELECT 'lang' AS feature, lang AS value, count(*) AS n, avg(err) AS er FROM e GROUP BY 2
-      UNION ALL SELECT 'source', source, count(*), avg(err) FROM e GROUP BY 2)
+      UNION ALL SELECT 'source', source, count(*), avg(err) FROM e GROUP BY 2
+      UNION ALL SELECT 'lang & source', lang || ' & ' || source, count(*), avg(err) FROM e GROUP BY 2)
 SELECT feature, value, n, round(er, 9) AS error_rate, round(er / nullif(ov, 0), 9) AS lift FROM s, o""")
 def q_error_slices(spark, sf):
     s = scored(spark, sf).withColumn("err", (F.col("pred") != F.col("label")).cast("double"))
-    return mo.error_slices(s, ["lang", "source"], "err")
+    return mo.error_slices(s, ["lang", "source"], "err", pairs=True)
 
 
 @query("confidence_entropy", """WITH x AS (SELECT CAST(ts AS DATE) AS period, CAST(least(floor(value / 500.0 * 10), 9) AS INTEGER) AS bin,
@@ -255,10 +256,16 @@ def q_tags_to_maps(spark, sf):
                     mo.map_text(F.col("artifact")).alias("artifact"), mo.map_text(F.col("other")).alias("other"))
 
 
-@query("validation_rollup")
+@query("validation_rollup", f"""WITH {DQ_CHECKS_SQL},
+c AS (SELECT dataset, CAST(ts AS DATE) AS day, check_name AS r, status FROM dq_checks)
+SELECT dataset, day, coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE status = 'passed'), '') AS passed,
+  coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE status IN ('failed', 'error')), '') AS failed,
+  coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE status = 'warning'), '') AS warnings,
+  CASE WHEN count(*) FILTER (WHERE status IN ('failed', 'error')) > 0 THEN 'failed'
+       WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS status FROM c GROUP BY dataset, day""")
 def q_validation_rollup(spark, sf):
-    from vigil.plans.q_expect import rule_checks
-    return mo.validation_rollup(rule_checks(spark, sf))
+    c = dq_checks(spark, sf).withColumn("rule_id", F.col("check_name")).withColumn("day", F.to_date("ts"))
+    return mo.validation_rollup(c, ["dataset", "day"])
 
 
 @query("score_postproc", """SELECT l_orderkey, l_linenumber,

@@ -168,3 +168,15 @@ SELECT change, count(*) AS n_rows FROM (
 def q_dataset_diff(spark, sf):
     old, new = _versions(spark, sf)
     return pr.dataset_diff(old, new, ["o_orderkey"])
+
+
+@query("dataset_diff_keyless", """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+  FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+n AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+             o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')
+SELECT 'added' AS change, count(*) AS n_rows FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o)
+UNION ALL SELECT 'removed', count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n)
+UNION ALL SELECT 'unchanged', count(*) FROM (SELECT * FROM o INTERSECT ALL SELECT * FROM n)""")
+def q_dataset_diff_keyless(spark, sf):
+    old, new = _versions(spark, sf)
+    return pr.dataset_diff_keyless(old, new)

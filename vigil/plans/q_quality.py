@@ -82,6 +82,28 @@ def q_dq_score(spark, sf):
     return q.dq_score(_metrics(spark, sf, "orders"))
 
 
+@query("dq_score_class", f"""WITH {_ctes},
+s AS (SELECT dataset, metric_type, value, threshold, direction, status, CASE metric_type WHEN 'completeness' THEN 0.25 WHEN 'accuracy' THEN 0.25
+    WHEN 'consistency' THEN 0.20 WHEN 'validity' THEN 0.15 WHEN 'uniqueness' THEN 0.10 ELSE 0.05 END AS w,
+  CASE WHEN threshold IS NULL THEN 50.0 WHEN direction = 'ge' THEN least(100.0, greatest(0.0, value * 100))
+    ELSE least(100.0, greatest(0.0, 100 - value * 100)) END AS p FROM {_m}),
+g AS (SELECT dataset, sum(p * w) / sum(w) AS sc, count(*) FILTER (WHERE status = 'failed' AND
+  ((direction = 'ge' AND value < threshold * 0.5) OR (direction = 'le' AND value > threshold * 2.0))) AS critical_failures FROM s GROUP BY dataset)
+SELECT dataset, round(sc, 9) AS overall_score, critical_failures, {sqlgen.band_sql('sc', 'critical_failures')} AS status FROM g""")
+def q_dq_score_class(spark, sf):
+    return q.dq_score(_metrics(spark, sf), mode="class")
+
+
+@query("dq_bounds", f"""WITH {_ctes}
+SELECT name, value, CASE WHEN threshold IS NULL THEN 'measured' WHEN direction = 'ge' AND value < threshold THEN 'failed'
+  WHEN direction = 'le' AND value > threshold THEN 'failed' ELSE 'passed' END AS status FROM {_m}""")
+def q_dq_bounds(spark, sf):
+    m = _metrics(spark, sf)
+    lo = F.when(F.col("direction") == "ge", F.col("threshold"))
+    hi = F.when(F.col("direction") == "le", F.col("threshold"))
+    return m.select("name", "value", q.bounds_status(F.col("value"), lo, hi).alias("status"))
+
+
 @query("dq_status", _score_sql("events_dq"))
 def q_dq_status(spark, sf):
     return q.dq_score(_metrics(spark, sf, "events_dq"))

@@ -62,12 +62,11 @@ def q_filter_tags(spark, sf):
 
 @query("filter_stage", f"""WITH {LIFECYCLE_SQL}
 SELECT model, version, arg_max(to_state, (ts, event_id)) AS current_state FROM lifecycle_events
-WHERE model IN ('model_3', 'model_4') GROUP BY model, version HAVING arg_max(to_state, (ts, event_id)) = 'validated'""")
+GROUP BY model, version HAVING model = 'model_3' AND arg_max(to_state, (ts, event_id)) = 'validated'""")
 def q_filter_stage(spark, sf):
     from vigil.operators.models import current_state
     cs = current_state(lifecycle_events(spark, sf), ["model", "version"]).select("model", "version", "current_state")
-    cs = cs.filter(F.col("model").isin("model_3", "model_4"))
-    return rl.filter_stage(cs, None, "validated")
+    return rl.filter_stage(cs, "model_3", "validated")
 
 
 @query("page_offset_limit", """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total,
