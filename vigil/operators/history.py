@@ -169,3 +169,21 @@ def quality_report(checks: DataFrame, top: int = 10) -> DataFrame:
     topn = names.orderBy(F.col("n_failed").desc(), F.col("check_name")).limit(top) \
         .select(F.lit("top_check").alias("level"), F.col("check_name").alias("item"), "n_failed")
     return dims.unionByName(topn)
+
+
+def quality_rates(checks: DataFrame, run: str = "run_id", dataset: str = "dataset", ts: str = "ts") -> DataFrame:
+    """Per dataset: runs, mean / least / greatest pass rate of a run, checks by
+    status, the period covered and the advice that follows from the mean."""
+    st = F.col("status")
+    runs = checks.groupBy(dataset, run).agg(
+        F.avg((st == "passed").cast("double")).alias("_r"), F.count_if(st == "passed").alias("_p"),
+        F.count_if(st == "warning").alias("_w"), F.count_if(st.isin("failed", "error")).alias("_f"),
+        F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    g = runs.groupBy(dataset).agg(
+        F.count(F.lit(1)).cast("long").alias("n_runs"), rnd(F.avg("_r")).alias("avg_pass_rate"),
+        rnd(F.min("_r")).alias("min_pass_rate"), rnd(F.max("_r")).alias("max_pass_rate"),
+        F.sum("_p").cast("long").alias("n_passed"), F.sum("_w").cast("long").alias("n_warning"),
+        F.sum("_f").cast("long").alias("n_failed"), F.min("_a").alias("first_ts"), F.max("_b").alias("last_ts"))
+    advice = F.when(F.col("avg_pass_rate") < 0.8, "review the failing checks").when(
+        F.col("min_pass_rate") < 0.8, "review the worst runs").otherwise("none")
+    return g.withColumn("advice", advice)

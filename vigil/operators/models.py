@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.core import cumulative, rnd, safe_div
+from vigil.functions.core import cumulative, rnd, safe_div, top_k
 
 
 def cls_metrics(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -164,6 +164,17 @@ def current_state(events: DataFrame, keys: Sequence[str], state: str = "to_state
         .select(*keys, F.col(f"_m.{state}").alias("current_state"), F.col(f"_m.{ts}").alias("last_ts"), "n_events")
 
 
+def recent_events(events: DataFrame, keys: Sequence[str], n: int = 10, state: str = "to_state", ts: str = "ts",
+                  tie: str = "event_id") -> DataFrame:
+    """The last ``n`` events of each key, newest first, as one text of
+    ``state`` values and the time of the oldest of them.  Ranked in salted
+    slices first, so a model with most of the events is not one task."""
+    last = top_k(events.select(*keys, state, ts, tie), list(keys), n, [F.col(ts).desc(), F.col(tie).desc()], tie)
+    g = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", state))).alias("_e"),
+                                F.count(F.lit(1)).cast("long").alias("n_recent"), F.min(ts).alias("since"))
+    return g.select(*keys, "n_recent", "since", F.concat_ws(",", F.transform("_e", lambda e: e[state])).alias("recent_states"))
+
+
 def latest_production(events: DataFrame, model: str = "model", version: str = "version",
                       prod_state: str = "deployed") -> DataFrame:
     """Current production version per model: versions whose latest state is

@@ -116,6 +116,18 @@ def q_quality_report(spark, sf):
     return hi.quality_report(dq_checks(spark, sf))
 
 
+@query("quality_rates", f"""WITH {DQ_CHECKS_SQL},
+r AS (SELECT dataset, run_id, avg((status = 'passed')::INT::DOUBLE) AS r, count(*) FILTER (WHERE status = 'passed') AS p,
+  count(*) FILTER (WHERE status = 'warning') AS w, count(*) FILTER (WHERE status IN ('failed', 'error')) AS f, min(ts) AS a, max(ts) AS b
+  FROM dq_checks GROUP BY dataset, run_id),
+g AS (SELECT dataset, count(*) AS n_runs, round(avg(r), 9) AS avg_pass_rate, round(min(r), 9) AS min_pass_rate, round(max(r), 9) AS max_pass_rate,
+  CAST(sum(p) AS BIGINT) AS n_passed, CAST(sum(w) AS BIGINT) AS n_warning, CAST(sum(f) AS BIGINT) AS n_failed,
+  min(a) AS first_ts, max(b) AS last_ts FROM r GROUP BY dataset)
+SELECT *, CASE WHEN avg_pass_rate < 0.8 THEN 'review the failing checks' WHEN min_pass_rate < 0.8 THEN 'review the worst runs' ELSE 'none' END AS advice FROM g""")
+def q_quality_rates(spark, sf):
+    return hi.quality_rates(dq_checks(spark, sf))
+
+
 @query("filter_lookback", _R + "SELECT dataset, ts, overall_score FROM rr WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 7 DAY")
 def q_filter_lookback(spark, sf):
     from vigil.functions.core import ts_lit

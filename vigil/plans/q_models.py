@@ -181,6 +181,13 @@ def q_lifecycle_state(spark, sf):
     return mo.current_state(lifecycle_events(spark, sf), ["model", "version"])
 
 
+@query("lifecycle_recent", _L + """, r AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY ts DESC, event_id DESC) AS k FROM lifecycle_events)
+SELECT model, version, count(*) AS n_recent, min(ts) AS since, string_agg(to_state, ',' ORDER BY k) AS recent_states
+FROM r WHERE k <= 10 GROUP BY model, version""")
+def q_lifecycle_recent(spark, sf):
+    return mo.recent_events(lifecycle_events(spark, sf), ["model", "version"])
+
+
 @query("latest_production", _L + f""", {_CUR}
 SELECT model, arg_max(version, (last_ts, version)) AS production_version, max(last_ts) AS since, count(*) AS n_active
 FROM cur WHERE current_state = 'deployed' GROUP BY model""")
