@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -250,6 +251,54 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Seque
     return g.select(*jk, "p", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
+def _table_quantiles(df: DataFrame, columns: Sequence[str], ps: list[float], accuracy: int, margin: float,
+                     buckets: int) -> DataFrame:
+    """:func:`exact_quantiles` of whole columns.  The brackets (one per column
+    and probability) become literals: the second scan counts the values
+    below each bracket in one wide aggregate and only values inside a
+    bracket leave their row."""
+    spark = df.sparkSession
+    eps = margin / accuracy
+    bps = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-eps, eps)})
+    val = {c: F.when(present(df, c), F.col(c).cast("double")) for c in columns}
+    first = df.agg(*[F.count(val[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+                   *[F.percentile_approx(val[c], bps, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    cells = []  # (feature number, p, lo, hi, position)
+    for i in range(len(columns)):
+        for p in ps:
+            if first[f"n{i}"]:
+                cells.append((i, p, first[f"b{i}"][bps.index(min(1.0, max(0.0, p - eps)))],
+                              first[f"b{i}"][bps.index(min(1.0, max(0.0, p + eps)))], (first[f"n{i}"] - 1) * p))
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+    if not cells:
+        return spark.createDataFrame([], schema)
+    below = df.agg(*[F.count_if(val[columns[i]] < lo).alias(f"c{k}") for k, (i, _, lo, _, _) in enumerate(cells)]).first()
+    inside = F.array(*[F.when(val[columns[i]].between(lo, hi), F.struct(F.lit(k).alias("k"), val[columns[i]].alias("v")))
+                       for k, (i, _, lo, hi, _) in enumerate(cells)])
+    each = df.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.element_at(F.array(*[F.lit(below[f"c{k}"]) for k in range(len(cells))]), F.col("k") + 1)
+    low = F.element_at(F.array(*[F.lit(math.floor(h)) for *_, h in cells]), F.col("k") + 1)
+    high = F.element_at(F.array(*[F.lit(math.ceil(h)) for *_, h in cells]), F.col("k") + 1)
+    r1 = start + F.col("cum") - 1
+    r0 = r1 - F.col("c") + 1
+    got = {r["k"]: r for r in each.withColumn("cum", F.sum("c").over(w)).groupBy("k").agg(
+        F.max(F.when((r0 <= low) & (r1 >= low), F.col("v"))).alias("lo"),
+        F.max(F.when((r0 <= high) & (r1 >= high), F.col("v"))).alias("hi")).collect()}
+    rows, missed = [], set()
+    for k, (i, p, _, _, h) in enumerate(cells):
+        r = got.get(k)
+        if r is None or r["lo"] is None or r["hi"] is None:
+            missed.add(columns[i])
+        else:
+            rows.append((columns[i], p, r["lo"] + (h - math.floor(h)) * (r["hi"] - r["lo"])))
+    out = spark.createDataFrame([r for r in rows if r[0] not in missed], schema)
+    if missed:  # a bracket missed its ranks: full distributed ranking of those columns
+        fb = quantiles_from_counts(value_counts(df, [c for c in columns if c in missed]), ps, (), buckets)
+        out = out.unionByName(fb.select("feature", F.col("p").cast("double"), "q"))
+    return out
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     keys: Sequence[str] = (), accuracy: int = 10000, margin: float = 4.0,
                     buckets: int = 32) -> DataFrame:
@@ -266,6 +315,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     distributed ranking (:func:`quantiles_from_counts`).  The result (one
     row per feature and p) is small and is returned materialised.
     """
+    if not keys:
+        return _table_quantiles(df, columns, [float(p) for p in probs], accuracy, margin, buckets)
     keys = list(keys)
     jk = keys + ["feature"]
     spark = df.sparkSession
