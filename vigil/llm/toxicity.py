@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import whole
+from vigil.llm.common import settled, whole
 
 ORDER, SPAN, DECAY = 4, 8, 0.6
 LETTERS = 27  # the mark (0) and a to z
@@ -330,7 +330,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         .select(F.col(id_col).alias("id"), (F.col(label) != 0).cast("int").alias("y")).dropDuplicates(["id"])
     n = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, sample_rows / 2 / max(1, n.get(1, 0))).otherwise(sample_rows / 2 / max(1, n.get(0, 0)))
-    chosen = marked.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = settled(marked.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003))
+    if chosen.count() <= 4 * sample_rows:  # as good as always: its expected size is at most sample_rows
+        chosen = F.broadcast(chosen)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole(text).alias("text")).join(chosen, "id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
