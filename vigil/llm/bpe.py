@@ -20,20 +20,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import whole
+from vigil.llm.common import held, whole
 from vigil.llm.pieces import PieceEncoder, uncollected
 
 #: Most cached pair tests of a worker (a full cache is emptied) and most
 #: numbered states (beyond them, states are made and dropped; after as many
 #: again the table starts anew).  Results do not depend on either.
 PAIRS = 1 << 19
-STATES = 1 << 19
+STATES = 1 << 18
 _NEVER = 1 << 62
 
 
@@ -337,9 +336,8 @@ class Codec:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

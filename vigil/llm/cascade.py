@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import utf8
+from vigil.llm.common import release, utf8
 
 #: Characters counted as symbols, white space bytes, window length.
 SYMBOLS = b"#*$%&|<>"
@@ -219,6 +219,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] | None = None, text: s
 
     @F.pandas_udf("boolean")
     def passes(raw: pd.Series) -> pd.Series:
+        release()
         return pd.Series([first_rejection(Features(x), ranked) is None for x in raw], dtype=bool)
 
     return docs.filter(passes(utf8(text)))

@@ -19,14 +19,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import settled, shuffle_width, whole
+from vigil.llm.common import held, release, settled, shuffle_width, whole
 from vigil.llm.pieces import SPACE_CUT_PATTERN, PieceEncoder, uncollected
 from vigil.session import ensure_checkpoint_dir
 
@@ -76,9 +75,8 @@ class Ids:
 _BEYOND_LATIN = re.compile("[^\0-\u00ff]").search
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Ids:
-    return Ids(path)
+    return held(("ids", path), lambda: Ids(path))
 
 
 # --- the code --------------------------------------------------------------------
@@ -216,6 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     width = encoder(tokenizer).kind
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         total = np.zeros(0, np.int64)
         for pdf in batches:
             for x in pdf["ids"]:

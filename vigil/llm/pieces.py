@@ -18,7 +18,7 @@ import regex
 #: not depend on them.
 PIECES, CHUNKS = 1 << 18, 1 << 16
 _MARKS = frozenset(".,;:!?")
-TOGETHER = 1 << 23  # characters of the texts that are cut together
+TOGETHER = 1 << 21  # characters of the texts that are cut together
 SPACE_CUT_PATTERN = public_tokenizers.PATTERN
 _BLANK_AFTER_SPACE = re.compile(r" (?=\s|\Z)").search
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import whole
+from vigil.llm.common import release, whole
 
 #: The base patterns and their least lengths, in listing order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -355,6 +355,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "spans", sample
 
     @F.pandas_udf(SPANS)
     def scan(body: pd.Series) -> pd.Series:
+        release()
         return pd.Series([[{"kind": KINDS[k], "start": a, "end": b, "value_start": v} for a, b, k, v in spans(x, field)]
                           for x in body], dtype=object)
 
@@ -370,6 +371,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]", sample
 
     @F.pandas_udf("string")
     def clean(body: pd.Series) -> pd.Series:
+        release()
         return pd.Series([None if x is None else replaced(x, spans(x, field), mark) for x in body], dtype=object)
 
     done = docs.withColumn(text, clean(F.col(text)))

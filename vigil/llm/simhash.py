@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import settled, utf8
+from vigil.llm.common import release, settled, utf8
 
 #: Fixed value: seed of the shingle hash.
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     """(id, fp): the fingerprint of every row as a signed long."""
     @F.pandas_udf("long")
     def fp(raw: pd.Series) -> pd.Series:
+        release()
         return pd.Series(np.array([simhash(x, shingle) for x in raw], np.uint64).astype(np.int64))
 
     return docs.select(F.col(id_col).alias("id"), fp(utf8(text)).alias("fp"))
