@@ -44,7 +44,12 @@ def _error_alerts(spark, sf):
     return ev.select("user_id", "ts", sev.alias("severity"))
 
 
-@query("alert_cooldown")
+@query("alert_cooldown", """WITH RECURSIVE u AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i
+  FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'error')),
+k(user_id, ts, i, last, kept) AS (SELECT user_id, ts, i, ts, TRUE FROM u WHERE i = 1
+  UNION ALL SELECT u.user_id, u.ts, u.i, CASE WHEN u.ts >= k.last + INTERVAL 30 MINUTE THEN u.ts ELSE k.last END,
+    u.ts >= k.last + INTERVAL 30 MINUTE FROM k JOIN u ON u.user_id = k.user_id AND u.i = k.i + 1)
+SELECT user_id, ts FROM k WHERE kept""")
 def q_alert_cooldown(spark, sf):
     """Error-event alerts per user with a 30-minute cooldown."""
     return al.cooldown(_error_alerts(spark, sf), ["user_id"], "ts", 30)
