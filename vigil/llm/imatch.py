@@ -161,19 +161,31 @@ def likeness(a: Column, b: Column) -> Column:
         F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(filled)))
 
 
-def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], version: str, text: Column, lex_rows: int) -> DataFrame:
-    """(keys, version, sig): the signature array of each row's text.
+def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: Column, carried: Column, lex_rows: int) -> DataFrame:
+    """(keys, sig, carried): the signature array of each row's text, and a
+    column that goes along.
 
     Rows hash-partitioned by one of ``keys`` stay where they are: the lexicon
-    is broadcast and a text's terms meet in the task that cut them."""
-    words = rows.select(*keys, version, terms(text).alias("w")) \
+    is broadcast and a text's terms meet in the task that cut them.  Besides
+    its terms a text gives one row of the empty word, which holds the carried
+    column, so that only lexicon terms and that row are grouped."""
+    words = rows.select(*keys, carried.alias("carried"), terms(text).alias("w")) \
         .withColumn("plain", signature(F.sort_array("w")))  # once a text, not once a term
-    each = words.select(*keys, version, "plain", F.explode_outer("w").alias("term"))
-    found = each.join(F.broadcast(lex) if lex_rows <= BROADCAST_ROWS else lex, "term", "left")
-    ranked = found.groupBy(*keys, version).agg(F.sort_array(F.collect_list("packed")).alias("ranked"), F.first("plain").alias("plain"))
+    each = words.select(*keys, "carried", "plain", F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    own = F.col("term") == ""
+    if lex_rows <= BROADCAST_ROWS:
+        mark = lex.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("packed"))
+        found = each.join(F.broadcast(lex.unionByName(mark)), "term")
+    else:
+        found = each.filter(~own).join(lex, "term") \
+            .unionByName(each.filter(own).withColumn("packed", F.lit(None).cast("long")))
+    held = F.when(own, F.struct("carried", "plain"))
+    ranked = found.groupBy(*keys).agg(F.sort_array(F.collect_list("packed")).alias("ranked"),
+                                      F.first(held, ignorenulls=True).alias("held"))
     # the filter keeps the sorted list a column: merged into the next expression
     # it would be collected and sorted again for every sub-lexicon
-    return ranked.filter(F.size("ranked") >= 0).select(*keys, version, signatures(F.col("ranked"), F.col("plain")).alias("sig"))
+    return ranked.filter(F.size("ranked") >= 0).select(
+        *keys, signatures(F.col("ranked"), F.col("held.plain")).alias("sig"), F.col("held.carried").alias("carried"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -184,21 +196,22 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", low: flo
     document's.
 
     Null texts count as empty; an only row is its own next document; repeated
-    rows come as often as they are; an empty table gives no rows."""
+    rows come as often as they are; an empty table gives no rows.  Texts cross
+    the network once."""
     lex = settled(lexicon(docs, text, low, high))
     n_lex = lex.count()
-    rows = with_next(docs, id_col, text)
-    changed = edited(F.col("text"), F.col("next"))
-    both = rows.select("range", "at", F.explode(F.array(
-        F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), changed.alias("t")))).alias("x")) \
-        .select("range", "at", "x.v", "x.t")
-    sig = fingerprints(both, lex, ["range", "at"], "v", F.col("t"), n_lex)
+    rows = with_next(docs, id_col, text).withColumn("changed", edited(F.col("text"), F.col("next")))
+    info = F.struct("id", "next_range", "next_at", F.char_length("text").cast("long").alias("n_chars"),
+                    F.sha2("changed", 256).alias("edited_sha256"))
+    both = rows.withColumn("info", info).select("range", "at", "info", F.explode(F.array(
+        F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("changed").alias("t")))).alias("x")) \
+        .select("range", "at", "info", "x.v", "x.t")
+    sig = fingerprints(both, lex, ["range", "at", "v"], F.col("t"), F.when(F.col("v") == 0, F.col("info")), n_lex)
     pair = settled(sig.groupBy("range", "at").agg(F.max(F.when(F.col("v") == 0, F.col("sig"))).alias("own"),
-                                                  F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("changed")))
-    info = rows.select("id", "range", "at", "next_range", "next_at", F.char_length("text").cast("long").alias("n_chars"),
-                       F.sha2(changed, 256).alias("edited_sha256"))
+                                                  F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("changed"),
+                                                  F.first("carried", ignorenulls=True).alias("info")))
     nxt = pair.select(F.col("range").alias("next_range"), F.col("at").alias("next_at"), F.col("own").alias("next_own"))
-    joined = info.join(pair, ["range", "at"]).join(nxt, ["next_range", "next_at"])
+    joined = pair.select("info.*", "own", "changed").join(nxt, ["next_range", "next_at"])
     return joined.select(F.col("id").alias(id_col), "n_chars", "edited_sha256",
                          F.array_join("own", ".").alias("fingerprint"), F.array_join("changed", ".").alias("edited_fingerprint"),
                          likeness(F.col("own"), F.col("changed")).alias("near_edited"),
