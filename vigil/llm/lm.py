@@ -26,27 +26,67 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import settled, utf8
+from vigil.llm.common import held, settled, whole
 
 STRIDE, OVERLAP = 24, 8
 WIDTH = STRIDE + OVERLAP
-CACHE = 1 << 18  # most cached words of a worker; a full cache is emptied
+CACHE = 1 << 18  # words in one generation of a worker's cache
 
 
 # --- subword ids -----------------------------------------------------------------
 
+@dataclass
+class Cut:
+    """Texts as words: the distinct words, each place's word, and the places of each text."""
+
+    words: list[str]
+    at: np.ndarray
+    bounds: np.ndarray
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each text of a value per distinct word."""
+        doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        return np.bincount(doc, weights=values[self.at], minlength=len(self.bounds) - 1)
+
+
+def cut(texts: list[str]) -> Cut:
+    """Words of the texts: A-Z lowered, cut at ASCII white space."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    coded = parts.values.dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    if "" in words:  # before and after outer white space
+        full = at != words.index("")
+        at, doc = at[full], doc[full]
+    return Cut(words, at, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]))
+
+
+def portions(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
+    """Consecutive texts of about so many characters together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class Words:
-    """Ids of texts, word by word, with repeated words encoded once."""
+    """Subword ids of words, repeated ones encoded once."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -55,33 +95,35 @@ class Words:
         self._encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
-        self._cache: dict[bytes, bytes] = {}
-        self._end = np.array([self.end], np.uint32).tobytes()
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """The ids of a text's words and the end id."""
-        cache = self._cache
-        if len(cache) >= CACHE:
-            cache.clear()
-        try:
-            parts = [cache[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = np.array(self._encode(" " + w.decode("utf-8", "replace")), np.uint32).tobytes()
-            parts = [cache[w] for w in words]
-        parts.append(self._end)
-        return np.frombuffer(b"".join(parts), np.uint32)
-
-
-@lru_cache(maxsize=2)
-def words_of(path: str, pattern: str) -> Words:
-    return Words(path, pattern)
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _word(self, w: str) -> bytes:
+        got = self._young.get(w)
+        if got is None:
+            got = self._old.get(w)
+            if got is None:
+                got = array("i", self._encode(" " + w)).tobytes()
+            if len(self._young) >= CACHE:
+                self._old, self._young = self._young, {}
+            self._young[w] = got
+        return got
+
+    def ids(self, c: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, bounds of each); every text ends with the end id."""
+        ids = [self._word(w) for w in c.words] + [array("i", [self.end]).tobytes()]
+        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        start = np.cumsum(size) - size
+        at = np.insert(c.at, c.bounds[1:], len(c.words))
+        n = size[at]
+        ends = np.cumsum(n)
+        flat = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)]
+        return flat, np.concatenate([[0], ends[c.bounds[1:] + np.arange(len(c.bounds) - 1)]])
 
 
-def split(raw: bytes) -> list[bytes]:
-    """Words of a text: A-Z lowered, cut at ASCII white space."""
-    return raw.lower().split()
+def words_of(path: str, pattern: str) -> Words:
+    return held(("words", path, pattern), lambda: Words(path, pattern))
 
 
 # --- the model ---------------------------------------------------------------------
@@ -98,7 +140,7 @@ class Tables:
     start: int              # symbol that stands before a text
 
 
-def tables(unigrams: np.ndarray, bigrams: np.ndarray, top: np.ndarray, end: int, classes: int = 64,
+def tables(unigrams: np.ndarray, bigrams: np.ndarray, top: np.ndarray, end: int, classes: int = 48,
            smooth: float = 20.0, seed: int = 5) -> Tables:
     """Smoothed bigrams of symbols, cut into classes of symbols that follow
     similar symbols (k-means on a randomised projection)."""
@@ -140,7 +182,7 @@ def _classes(b: np.ndarray, weight: np.ndarray, classes: int, seed: int) -> np.n
 Params = dict[str, np.ndarray]
 
 
-def fresh(symbols: int, classes: int, d: int = 16, hidden: int = 32, seed: int = 1) -> Params:
+def fresh(symbols: int, classes: int, d: int = 8, hidden: int = 24, seed: int = 1) -> Params:
     rng = np.random.default_rng(seed)
     r = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
     return {"embed": (0.5 * rng.standard_normal((symbols, d))).astype(np.float32), "query": r(d, d), "key": r(d, d),
@@ -230,7 +272,7 @@ class Scorer:
         self.lag = w["lag"][np.maximum(lag, 0)]
         self.seen = (lag >= 0).astype(np.float32)
 
-    def score(self, texts: list[np.ndarray], batch: int = 1024) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], batch: int = 128) -> np.ndarray:
         """One log10 probability per text of ids (the last one the end id)."""
         t = self.t
         length = np.array([len(x) for x in texts], np.int64)
@@ -276,10 +318,10 @@ class Scorer:
         real = tgt.ravel()
         target = np.maximum(real, 0)
         got = y[np.arange(len(flat)), t.cls[target]] + t.within[flat, target]
-        top = y.max(-1)
-        y -= top[:, None]
+        # the prior's greatest entry is at least 1 / classes and corrections are
+        # bounded by the weights, so the sum neither vanishes nor overflows
         np.exp(y, out=y)
-        got -= top + np.log(y.sum(-1))
+        got -= np.log(y.sum(-1))
         return np.where(real >= 0, got, 0).reshape(own.shape).sum(1)
 
 
@@ -294,7 +336,7 @@ def in_training(id_col: str, folds: int = 7, held_out: int = 2) -> Column:
 class Model:
     tables: Tables
     params: Params
-    hot: dict[bytes, int]  # counts of the frequent words in training texts
+    hot: dict[str, int]  # counts of the frequent words in training texts
 
 
 def _sequences(symbols: np.ndarray, start: int) -> np.ndarray:
@@ -309,7 +351,7 @@ def _sequences(symbols: np.ndarray, start: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id", top: int = 2048,
-        hot_words: int = 50_000, sample_rows: int = 2000, sample_windows: int = 32, share: int = 64,
+        hot_words: int = 150_000, sample_rows: int = 4000, sample_windows: int = 16, share: int = 64,
         steps: int = 400, seed: int = 23) -> Model:
     """Train on the rows of :func:`in_training`.
 
@@ -322,7 +364,7 @@ def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: st
     sees grows with the corpus; the tasks' parameters are averaged by slices,
     weighted by ids seen."""
     spark = docs.sparkSession
-    rows = docs.filter(in_training(id_col)).select(utf8(text).alias("raw"), F.xxhash64(F.lit(seed), id_col, text).alias("h"))
+    rows = docs.filter(in_training(id_col)).select(whole(text).alias("text"), F.xxhash64(F.lit(seed), id_col, text).alias("h"))
     total = rows.count()
     part = min(1.0, sample_rows / total) if total else 1.0
     sampled = rows.filter(F.pmod("h", F.lit(1_000_003)) < int(part * 1_000_003) + 1)
@@ -330,26 +372,28 @@ def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: st
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = words_of(path, pattern)
         for pdf in batches:
-            rng = np.random.default_rng(len(pdf))
-            ids, windows, words = np.zeros(enc.size, np.int64), [], Counter()
-            for raw in pdf["raw"]:
-                w = split(raw)
-                words.update(w)
-                x = enc.ids(w)
-                ids += np.bincount(x, minlength=enc.size)
-                s = _sequences(x, enc.end)
-                windows += [r.tobytes() for r in s[rng.permutation(len(s))[:sample_windows]]]
-            used = np.flatnonzero(ids)
-            yield pd.DataFrame({"kind": ["i"] * len(used) + ["w"] * len(words) + ["s"] * len(windows),
-                                "key": [str(i).encode() for i in used] + list(words) + windows,
-                                "n": ids[used].tolist() + list(words.values()) + [0] * len(windows)})
+            for texts in portions(pdf["text"].tolist()):
+                c = cut(texts)
+                flat, bounds = enc.ids(c)
+                windows = []
+                for x in np.split(flat, bounds[1:-1]):
+                    s = _sequences(x, enc.end)
+                    # the choice of windows depends on the text alone
+                    rng = np.random.default_rng([seed, len(x)])
+                    windows += [r.tobytes() for r in s[rng.permutation(len(s))[:sample_windows]]]
+                ids = np.bincount(flat, minlength=enc.size)
+                used = np.flatnonzero(ids)
+                n = np.bincount(c.at, minlength=len(c.words))
+                yield pd.DataFrame({"kind": ["i"] * len(used) + ["w"] * len(c.words) + ["s"] * len(windows),
+                                    "key": [str(i).encode() for i in used] + [w.encode() for w in c.words] + windows,
+                                    "n": ids[used].tolist() + n.tolist() + [0] * len(windows)})
 
     picked = settled(sampled.mapInPandas(pick, "kind string, key binary, n long"))
     common = picked.filter("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     enc = words_of(path, pattern)
     frequent = common.filter("kind = 'i'").orderBy(F.desc("n"), "key").limit(top).select("key").collect()
     top_ids = [int(r["key"]) for r in frequent if int(r["key"]) != enc.end][:top - 1] + [enc.end]
-    hot = [bytes(r["key"]) for r in common.filter("kind = 'w'").orderBy(F.desc("n"), "key").limit(hot_words).select("key").collect()]
+    hot = [bytes(r["key"]).decode() for r in common.filter("kind = 'w' and n > 0").orderBy(F.desc("n"), "key").limit(hot_words).select("key").collect()]
     windows = sorted(bytes(r["key"]) for r in picked.filter("kind = 's'").select("key").collect())
     top_ids = np.array(top_ids)
     unigrams, bigrams, counts = _count(rows, path, pattern, top_ids, hot, enc)
@@ -374,15 +418,15 @@ def _count(rows, path, pattern, top_ids, hot, enc):
         own = words_of(path, pattern)
         ids, pairs, words = np.zeros(own.size, np.int64), np.zeros(n * n, np.int64), np.zeros(len(hot) + 1, np.int64)
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                texts = [split(raw) for raw in pdf["raw"].iloc[at:at + 64]]
-                x = np.concatenate([own.ids(w) for w in texts])
+            for texts in portions(pdf["text"].tolist()):
+                c = cut(texts)
+                x, _ = own.ids(c)
                 s = symbol[x]
                 ids += np.bincount(x, minlength=own.size)
                 # a text follows the end id of the one before, which is its start symbol
-                _add(pairs, np.concatenate([[start], s[:-1]]) * n + s)
+                pairs += np.bincount(np.concatenate([[start], s[:-1]]) * n + s, minlength=n * n)
                 get = hot_no.get
-                words += np.bincount([get(w, -1) + 1 for ws in texts for w in ws], minlength=len(hot) + 1)
+                np.add.at(words, np.array([get(w, -1) + 1 for w in c.words], np.int64), np.bincount(c.at, minlength=len(c.words)))
         pairs = pairs.reshape(n, n)
         out = [(-1, _pack(ids)), (-2, _pack(words[1:]))] if ids.any() else []
         out += [(int(p), _pack(pairs[p])) for p in np.flatnonzero(pairs.any(1))]
@@ -395,7 +439,7 @@ def _count(rows, path, pattern, top_ids, hot, enc):
             total = x if total is None else total + x
         return pd.DataFrame({"k": [key[0]], "counts": [_pack(total)]})
 
-    got = rows.select("raw").mapInPandas(count, "k long, counts binary").groupBy("k").applyInPandas(add, "k long, counts binary").collect()
+    got = rows.select("text").mapInPandas(count, "k long, counts binary").groupBy("k").applyInPandas(add, "k long, counts binary").collect()
     unigrams, bigrams, counts = np.zeros(enc.size, np.int64), np.zeros((n, n), np.int64), np.zeros(len(hot), np.int64)
     for r in got:
         x = _unpack(r["counts"])
@@ -408,12 +452,6 @@ def _count(rows, path, pattern, top_ids, hot, enc):
     return unigrams, bigrams, dict(zip(hot, counts.tolist()))
 
 
-def _add(total: np.ndarray, at: np.ndarray) -> None:
-    at = np.sort(at)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    total[at[first]] += np.diff(np.append(first, len(at)))
-
-
 def _pack(x: np.ndarray) -> bytes:
     return zlib.compress(np.asarray(x, np.int64).tobytes(), 1)
 
@@ -447,14 +485,16 @@ def _continue(rows: DataFrame, path: str, pattern: str, t: Tables, w: Params, ch
             return train(own, t, x, max(1, len(x) // 256), 0.002)
 
         for pdf in batches:
-            for raw in pdf["raw"]:
-                s = _sequences(t.symbol[enc.ids(split(raw))], t.start)
-                seen += int((s[:, 1:] >= 0).sum())
-                for at in range(0, len(s), chunk):
-                    held.append(s[at:at + chunk])
-                    if sum(map(len, held)) >= chunk:
-                        own = learn(own)
-                        held.clear()
+            for texts in portions(pdf["text"].tolist()):
+                flat, bounds = enc.ids(cut(texts))
+                seen += len(flat)
+                for x in np.split(t.symbol[flat], bounds[1:-1]):
+                    s = _sequences(x, t.start)
+                    for at in range(0, len(s), chunk):
+                        held.append(s[at:at + chunk])
+                        if sum(map(len, held)) >= chunk:
+                            own = learn(own)
+                            held.clear()
         if held:
             own = learn(own)
         if seen:
@@ -467,7 +507,7 @@ def _continue(rows: DataFrame, path: str, pattern: str, t: Tables, w: Params, ch
             total = total + np.frombuffer(v, np.float32).astype(np.float64) * (k / n)
         return pd.DataFrame({"part": [key[0]], "values": [total.astype(np.float32).tobytes()]})
 
-    got = rows.select("raw").mapInPandas(local, "part int, n long, values binary").groupBy("part") \
+    got = rows.select("text").mapInPandas(local, "part int, n long, values binary").groupBy("part") \
         .applyInPandas(average, "part int, values binary").collect()
     if not got:
         return w
@@ -488,34 +528,45 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     train_row = in_training(id_col)
 
     @F.pandas_udf("n_words long, hot_log double, hot_known long, score double")
-    def own_score(raws: pd.Series) -> pd.DataFrame:
+    def own_score(bodies: pd.Series) -> pd.DataFrame:
         t, params, hot = model.value
         scorer, enc = Scorer(params, t), words_of(path, pattern)
-        get = {w: math.log10(c + 1) for w, c in hot.items()}.get
-        rows, scores = [], []
-        for at in range(0, len(raws), 64):
-            texts = [split(raw) for raw in raws.iloc[at:at + 64]]
-            scores.append(scorer.score([enc.ids(w) for w in texts]))
-            for ws in texts:
-                logs = [x for w in ws if (x := get(w))]
-                rows.append((len(ws), math.fsum(logs), len(logs)))
-        out = pd.DataFrame(rows, columns=["n_words", "hot_log", "hot_known"])
-        out["score"] = np.concatenate(scores) if scores else np.zeros(0)
-        return out
-
-    @F.pandas_udf("array<binary>")
-    def rare_words(raws: pd.Series) -> pd.Series:
+        logs = {w: math.log10(c + 1) for w, c in hot.items()}
+        out = []
+        for texts in portions(bodies.tolist()):
+            c = cut(texts)
+            flat, bounds = enc.ids(c)
+            of_word = np.array([logs.get(w, 0.0) for w in c.words])
+            out.append(pd.DataFrame({"n_words": np.diff(c.bounds), "hot_log": c.per_text(of_word),
+                                     "hot_known": c.per_text((of_word > 0).astype(float)).astype(np.int64),
+                                     "score": scorer.score(np.split(flat, bounds[1:-1]))}))
+        return pd.concat(out) if out else pd.DataFrame({"n_words": [], "hot_log": [], "hot_known": [], "score": []})
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = model.value[2]
-        return pd.Series([[w for w in split(raw) if w not in hot] for raw in raws], dtype=object)
+        for batch in batches:
+            done = 0
+            for texts in portions(batch.column("text").to_pylist()):
+                c = cut(texts)
+                rare = np.array([w not in hot for w in c.words], bool)[c.at] if len(c.at) else np.zeros(0, bool)
+                n = np.concatenate([[0], np.cumsum(rare)])[c.bounds]
+                words = pa.array(c.words, pa.string()).take(pa.array(c.at[rare]))
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(k) for k in ("id", "th", "train")] + [pa.ListArray.from_arrays(pa.array(n, pa.int32()), words)],
+                    names=["id", "th", "train", "words"])
 
     own = settled(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), train_row.alias("train"),
-                              own_score(utf8(text)).alias("s")).select("id", "th", "train", "s.*"))
+                              own_score(whole(text)).alias("s")).select("id", "th", "train", "s.*"))
     # rows that share their id are told apart by a hash of the text as well
     unique = own.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty() and \
         own.filter("id is null").isEmpty()
     key = F.xxhash64(text) if not unique else F.lit(0).cast("long")
-    rare = docs.select(F.col(id_col).alias("id"), key.alias("th"), train_row.alias("train"),
-                       F.explode(rare_words(utf8(text))).alias("word"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rare = docs.select(F.col(id_col).alias("id"), key.alias("th"), train_row.alias("train"), whole(text).alias("text")) \
+        .mapInArrow(rare_words, f"id {kind}, th long, train boolean, words array<string>") \
+        .select("id", "th", "train", F.explode("words").alias("word"))
     by_word = Window.partitionBy("word")
     counted = rare.withColumn("c", F.sum(F.col("train").cast("long")).over(by_word)) \
         .withColumn("first", F.row_number().over(by_word.orderBy("word")) == 1)
