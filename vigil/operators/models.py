@@ -209,7 +209,7 @@ def lifecycle_illegal(events: DataFrame, allowed: DataFrame, keys: Sequence[str]
     allowed-pairs table; the first event of a key is always allowed."""
     w = Window.partitionBy(*keys).orderBy(ts, tie)
     t = events.withColumn("from_state", F.lag("to_state").over(w)).filter(F.col("from_state").isNotNull())
-    return t.join(F.broadcast(allowed), ["from_state", "to_state"], "left_anti") \
+    return t.join(allowed, ["from_state", "to_state"], "left_anti") \
         .select(*keys, ts, tie, "from_state", "to_state")
 
 

@@ -178,7 +178,7 @@ def entropy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .filter(F.col("value").isNotNull())
     counts = lf.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     tot = counts.groupBy("column").agg(F.sum("n").alias("_t"))
-    p = counts.join(F.broadcast(tot), "column").select("column", (F.col("n") / F.col("_t")).alias("p"))
+    p = counts.join(tot, "column").select("column", (F.col("n") / F.col("_t")).alias("p"))
     return p.groupBy("column").agg(rnd(-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
                                    F.count(F.lit(1)).cast("long").alias("n_values"))
 
@@ -195,7 +195,7 @@ def attach_thresholds(metrics: DataFrame, thresholds: DataFrame | None = None) -
     threshold table by exact name, then the pass status."""
     spark = metrics.sparkSession
     t = thresholds if thresholds is not None else thresholds_table(spark)
-    j = metrics.join(F.broadcast(t), metrics["name"] == t["t_name"], "left")
+    j = metrics.join(t, metrics["name"] == t["t_name"], "left")
     j = j.select(
         "dataset", "name", "column",
         F.coalesce(F.col("metric_type"), F.col("t_type"), metric_type_of(F.col("name"))).alias("metric_type"),

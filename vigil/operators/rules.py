@@ -130,7 +130,7 @@ def run_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``metrics``: (metric, value).  Output: one check row per rule with
     status passed / failed (error when the metric is missing)."""
-    r = F.broadcast(rules.filter("enabled"))
+    r = rules.filter("enabled")
     j = r.join(metrics, "metric", "left")
     ok = rule_eval(F.col("value"), F.col("operator"), F.col("threshold"))
     return j.select("rule_id", "rule_name", "rule_type", "metric", rnd(F.col("value")).alias("value"),

@@ -123,7 +123,7 @@ def psi_per_window(bins: DataFrame, ref_hist: DataFrame, n_bins: int = 10) -> Da
     cur = spine.join(bins, ["window_start", "window_end", "bin"], "left").fillna(0, ["n"])
     tot = cur.groupBy("window_start").agg(F.sum("n").alias("_t"))
     rt = ref_hist.agg(F.sum("n").alias("_rt"))
-    j = cur.join(tot, "window_start").join(F.broadcast(ref_hist.select("bin", F.col("n").alias("rn"))), "bin", "left") \
+    j = cur.join(tot, "window_start").join(ref_hist.select("bin", F.col("n").alias("rn")), "bin", "left") \
         .withColumn("_k", F.lit(1)).join(F.broadcast(rt.withColumn("_k", F.lit(1))), "_k")
     p = F.coalesce(F.col("rn"), F.lit(0)) / F.col("_rt")
     q = F.col("n") / F.col("_t")
