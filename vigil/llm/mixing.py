@@ -166,13 +166,15 @@ def _located(docs: DataFrame, id_col: str, text: str, source: str, seed: int, ke
     rows = docs.count()
     slices = max(1, rows // max(256, math.isqrt(rows)))
     x = x.withColumn("_slice", F.floor((F.col("_h").cast("double") + float(1 << 63)) / (2.0 ** 64 / slices)).cast("int"))
-    per = x.groupBy("src", "_slice").agg(F.sum("size").alias("_sum"))
-    w = Window.partitionBy("src").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    start = per.select(F.col("src").alias("_src"), F.col("_slice").alias("_sl"),
-                       F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("src", "_slice").orderBy("_h", "_id", "size")
+    # keys without nulls: the window and the join after it share one partitioning
+    key = ["_name", "_none", "_slice"]
+    x = x.withColumn("_name", F.coalesce(F.col("src").cast("string"), F.lit(""))).withColumn("_none", F.col("src").isNull())
+    per = x.groupBy(*key).agg(F.sum("size").alias("_sum"))
+    w = Window.partitionBy("_name", "_none").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select(*key, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*key).orderBy("_h", "_id", "size")
     x = x.withColumn("_run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    x = x.join(start, F.col("src").eqNullSafe(F.col("_src")) & (F.col("_slice") == F.col("_sl")), "left")
+    x = x.join(start, key)
     return x.select("_id", "src", "size", (F.col("_start") + F.col("_run") - F.col("size")).alias("offset"),
                     *(["_row"] if keep else []))
 
