@@ -21,18 +21,20 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.llm.common import held, whole
 from vigil.llm.pieces import PieceEncoder, uncollected
 
-#: Most cached pair tests of a worker (a full cache is emptied) and most
-#: numbered states (beyond them, states are made and dropped; after as many
-#: again the table starts anew).  Results do not depend on either.
-PAIRS = 1 << 19
-STATES = 1 << 18
+#: Most numbered states of a worker (beyond them, states are made and dropped;
+#: after as many again the table starts anew) and most cached pair tests (a
+#: full cache is emptied).  Results do not depend on it.
+STATES = 1 << 19
 _NEVER = 1 << 62
 
 
@@ -51,7 +53,8 @@ class _Read:
 class Transducer:
     """Encodes one piece of text at a time by merge ranks (bytes -> id)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], scale: int = 0):
+        self.limit = STATES >> scale
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}  # proper prefixes of entries
@@ -135,7 +138,7 @@ class Transducer:
                             got = False
             else:
                 got = self.merges(self.bytes_of[a] + self.bytes_of[b]) == [self.bytes_of[a], self.bytes_of[b]]
-        if len(self._pairs) > PAIRS:
+        if len(self._pairs) > self.limit:
             self._pairs.clear()
         self._pairs[key] = got
         return got
@@ -192,7 +195,7 @@ class Transducer:
         whole_piece = self.ranks.get(piece)
         if whole_piece is not None:
             return [whole_piece]
-        if self._unkept > STATES:  # the kept states no longer suit the input
+        if self._unkept > self.limit:  # the kept states no longer suit the input
             self._reset()
         step, out, state, r = self._next, [], 0, None
         for byte in piece:
@@ -209,7 +212,7 @@ class Transducer:
             name = (r.last[0], r.data)
             number = self._numbers.get(name, -1)
             if number < 0:
-                if len(self._states) < STATES:
+                if len(self._states) < self.limit:
                     number = self._numbers[name] = len(self._states)
                     self._states.append((r.data, tuple(r.last)))
                 else:
@@ -321,12 +324,12 @@ class Utf8Machine:
 class Codec:
     """Encoder and decoder of a rank file; pieces are the pattern's matches."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, scale: int = 0):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.transducer = Transducer(self.ranks)
+        self.transducer = Transducer(self.ranks, scale)
         self.machine = Utf8Machine(self.transducer.bytes_of)
-        pieces = PieceEncoder(pattern, lambda p: self.transducer.encode(p.encode("utf-8")))
+        pieces = PieceEncoder(pattern, lambda p: self.transducer.encode(p.encode("utf-8")), scale)
         self.encode, self.encode_many = pieces.encode, pieces.encode_many
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -336,8 +339,8 @@ class Codec:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
 
-def codec(path: str, pattern: str) -> Codec:
-    return held(("codec", path, pattern), lambda: Codec(path, pattern))
+def codec(path: str, pattern: str, scale: int = 0) -> Codec:
+    return held(("codec", path, pattern, scale), lambda: Codec(path, pattern, scale))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -366,18 +369,29 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
 def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The columns but the text, then ``n_tokens``, ``ids`` and ``intact``:
     whether the ids decode to the text again.  Nulls as in :func:`encode`;
-    columns of these names are replaced."""
-    @F.pandas_udf("n_tokens long, ids array<int>, intact boolean")
-    def checked(body: pd.Series) -> pd.DataFrame:
-        c = codec(path, pattern)
-        with uncollected():
-            ids = c.encode_many(body.tolist())
-            intact = [c.decode(x.tolist()) == t for x, t in zip(ids, body)]
-        return pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "intact": intact})
-
+    columns of these names are replaced.  The rows carry the ids, so the
+    caches are a sixteenth of the usual ones."""
     made = ("n_tokens", "ids", "intact")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in made]
-    return docs.select(*rest, checked(whole(text)).alias("_made")).select(*rest, *[F.col(f"_made.{c}") for c in made])
+    rest = [f for f in docs.schema.fields if f.name != text and f.name not in made]
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern, 4)
+        with uncollected():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):  # few rows' ids at a time
+                    part = batch.slice(at, 256)
+                    texts = part.column(len(rest)).to_pylist()
+                    ids = c.encode_many(texts)
+                    size = np.array([0, *map(len, ids)])
+                    intact = [c.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:len(rest)], pa.array(size[1:], pa.int64()), lists, pa.array(intact, pa.bool_())],
+                        names=[*(f.name for f in rest), *made])
+
+    schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("intact", T.BooleanType())])
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], whole(text).alias("_whole_text")).mapInArrow(checked, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import regex
 
 #: Most pieces and chunks in one generation of a worker's caches; results do
 #: not depend on them.
-PIECES, CHUNKS = 1 << 18, 1 << 16
+PIECES, CHUNKS = 1 << 19, 1 << 16
 _MARKS = frozenset(".,;:!?")
 TOGETHER = 1 << 21  # characters of the texts that are cut together
 SPACE_CUT_PATTERN = public_tokenizers.PATTERN
@@ -29,9 +29,11 @@ class PieceEncoder:
     With the public byte-level pattern a piece always starts at a space that
     stands before a visible character, and what follows does not change the
     pieces before it: such texts are cut at spaces first, and the ids of
-    whole chunks (a word with its punctuation) are looked up."""
+    whole chunks (a word with its punctuation) are looked up.  Each step of
+    ``scale`` halves the caches."""
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], Iterable[int]]):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], Iterable[int]], scale: int = 0):
+        self._piece_limit, self._chunk_limit = PIECES >> scale, CHUNKS >> scale
         self._find = regex.compile(pattern).findall
         self._encode_piece = encode_piece
         self._cuts = pattern == SPACE_CUT_PATTERN
@@ -49,7 +51,7 @@ class PieceEncoder:
             if got is None:
                 got = array("i", self._encode_piece(p)).tobytes()
             if len(p) <= 64:
-                if len(self._pieces) >= PIECES:
+                if len(self._pieces) >= self._piece_limit:
                     self._old_pieces, self._pieces = self._pieces, {}
                 self._pieces[p] = got
         return got
@@ -69,7 +71,7 @@ class PieceEncoder:
             if got is None:
                 got = self._chunk(" " + p)
             if len(p) <= 64:
-                if len(self._chunks) >= CHUNKS:
+                if len(self._chunks) >= self._chunk_limit:
                     self._old_chunks, self._chunks = self._chunks, {}
                 self._chunks[p] = got
         return got
