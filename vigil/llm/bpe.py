@@ -370,12 +370,12 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text")
     """The columns but the text, then ``n_tokens``, ``ids`` and ``intact``:
     whether the ids decode to the text again.  Nulls as in :func:`encode`;
     columns of these names are replaced.  The rows carry the ids, so the
-    caches are a sixteenth of the usual ones."""
+    caches are a quarter of the usual ones."""
     made = ("n_tokens", "ids", "intact")
     rest = [f for f in docs.schema.fields if f.name != text and f.name not in made]
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern, 4)
+        c = codec(path, pattern, 2)
         with uncollected():
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):  # few rows' ids at a time
