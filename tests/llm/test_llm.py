@@ -416,6 +416,17 @@ def test_main_text(spark):
     assert template.blocks("<div>" * 5000 + "deep" + "</div>" * 5000, set()) == ["deep"]
 
 
+@pytest.mark.parametrize("open_tag, close_tag", [("<div>", "</div>"), ("<article>", "</article>")])
+def test_copies_of_a_page_are_one_page(spark, open_tag, close_tag):
+    parts = "".join(f"<section><h2>part {k}</h2><p>{'long text ' * 5}{k}</p><ul><li>item {k}</li></ul></section>" for k in range(3))
+    copied = f"<body><div class=box>Read our great letter</div>{open_tag}{parts}{close_tag}</body>"
+    rows = [(i, f"https://copy.example/{i}", copied) for i in range(8)]
+    rows += [(100 + i, f"https://copy.example/{i}", f"<body><div class=box>Read our great letter</div><p>own {i}</p></body>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "\n".join(f"part {k}\n{'long text ' * 5}{k}\nitem {k}" for k in range(3))
+    assert got == {i: text for i in range(8)} | {100 + i: f"own {i}" for i in range(8)}
+
+
 # --- op9, op10 --------------------------------------------------------------------
 
 def test_huffman_code_is_optimal_and_limited():

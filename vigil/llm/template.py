@@ -1,9 +1,9 @@
 """HTML extraction by removal of site templates.
 
 A page is parsed into a tree.  Element subtrees are hashed (tag, class, id,
-text, children); Spark counts on how many pages of a host each hash occurs,
-and subtrees on a large share of a host's pages are its template and are
-deleted.  In an article only containers (div, section, list, table ...) with
+text, children); Spark counts on how many distinct pages of a host each hash
+occurs (pages of the same main text are copies and count as one), and subtrees
+on a large share of them are the host's template and are deleted.  In an article only containers (div, section, list, table ...) with
 less than half of its text can be template, never its own paragraphs and
 headings, which copies of an article share.  What scripts, navigation, adverts and the like
 say of themselves (tag, role, class) goes as well, in or out of the article,
@@ -229,18 +229,24 @@ def tree(page: str) -> Element:
     return _flattened(parse(page))
 
 
-def page_hashes(page: str) -> list[str]:
-    """The distinct subtree hashes of a page that may be template."""
+def page_hashes(page: str) -> tuple[str, list[str]]:
+    """The hash of a page's main text before any template is deleted, which
+    its copies share, and the distinct subtree hashes that may be template."""
     root = tree(page)
-    return sorted(set(subtree_hashes(root, containers(root)).values()))
+    found = containers(root)
+    text = "\n".join(_blocks(root, found, {}, set()))
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")), sorted(set(subtree_hashes(root, found).values()))
 
 
 def blocks(page: str, template: set[str]) -> list[str]:
     """The main text's blocks in page order; ``template``: hashes of subtrees to delete."""
     root = tree(page)
     found = containers(root)
+    return _blocks(root, found, subtree_hashes(root, found) if template else {}, template)
+
+
+def _blocks(root: Element, found: list[Element], hashes: dict[int, str], template: set[str]) -> list[str]:
     article = found != [root]
-    hashes = subtree_hashes(root, found) if template else {}
     out: list[str] = []
     run: list[str] = []
 
@@ -280,25 +286,30 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, pages, hashes): the subtree hashes that occur on at least
-    ``least`` pages and ``share`` of the pages of the host.
+    """(host, rows, hashes): the subtree hashes that occur on at least
+    ``least`` distinct pages and ``share`` of the distinct pages of the host,
+    and the host's rows.
 
-    A page gives each hash once; counts are partial sums before the shuffle.
-    With on average S subtrees a page outside the article, a host has at most
+    A page gives each hash once, and so do all its copies together, by host
+    and main text; counts are partial sums before the shuffle.  With on
+    average S subtrees a page outside the article, a host has at most
     S / share such hashes, so the lists stay short on any host."""
-    @F.pandas_udf("array<string>")
-    def hashes(bodies: pd.Series) -> pd.Series:
-        return pd.Series([page_hashes(b) for b in bodies], dtype=object)
+    @F.pandas_udf("struct<main:string,hashes:array<string>>")
+    def hashes(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_hashes(b) for b in bodies], columns=["main", "hashes"])
 
+    own = pages.select(host(F.col(url)).alias("host"), hashes(whole(html)).alias("p"))
     # the page itself is one more row (null hash) that counts the host's pages
-    each = pages.select(host(F.col(url)).alias("host"), F.explode(F.array_append(hashes(whole(html)), F.lit(None).cast("string"))).alias("h"))
+    each = own.select("host", "p.main", F.explode(F.array_append("p.hashes", F.lit(None).cast("string"))).alias("h")).distinct()
     n = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     # a row per host has its pages; a host's rows meet in partial sums again
     often = settled(n.filter(F.col("h").isNull() | (F.col("n") >= least)))
     total = often.filter("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
     kept = often.filter("h is not null").join(total, F.col("host") == F.col("_host")) \
         .filter(F.col("n") >= F.col("pages") * share)
-    return kept.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("h")).alias("hashes"))
+    lists = kept.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("hashes"))
+    rows = pages.groupBy(host(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("rows"))
+    return lists.join(rows, "host").select("host", "rows", "hashes")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", **template_args) -> DataFrame:
@@ -306,7 +317,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     white space inside a block one space, joined by newlines.
 
     Null and empty pages give an empty text; pages of a null or odd url share
-    the host ''; repeated rows are extracted (and counted) one by one; an
+    the host ''; repeated rows are extracted one by one and, like all pages of one main
+    text, counted once; an
     empty table gives no rows; other columns are ignored.
 
     Template lists of hot hosts (at most ``HOT`` of them, by arithmetic) are
@@ -314,8 +326,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     keys each hold less than one in ``HOT`` of the pages."""
     found = settled(templates(pages, url, html, **template_args))
     total = pages.count()
-    hot = F.broadcast(found.filter(F.col("pages") * HOT >= total).select(F.col("host").alias("_host"), "hashes"))
-    cold = found.filter(F.col("pages") * HOT < total).select(F.col("host").alias("_host"), "hashes")
+    hot = F.broadcast(found.filter(F.col("rows") * HOT >= total).select(F.col("host").alias("_host"), "hashes"))
+    cold = found.filter(F.col("rows") * HOT < total).select(F.col("host").alias("_host"), "hashes")
 
     @F.pandas_udf("string")
     def text(bodies: pd.Series, lists: pd.Series) -> pd.Series:
