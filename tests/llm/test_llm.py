@@ -427,6 +427,26 @@ def test_copies_of_a_page_are_one_page(spark, open_tag, close_tag):
     assert got == {i: text for i in range(8)} | {100 + i: f"own {i}" for i in range(8)}
 
 
+def test_class_names_drop_no_page(spark):
+    page = "<body class='no-sidebar ad'><div class='content with-sidebar'><article class=comments-open><h1>A</h1><p class=share-price>b and more</p>" \
+           "<div class='x ad'>buy</div></article></div></body>"
+    assert template.blocks(page, set()) == ["A", "b and more"]
+    assert template.blocks("<body><div class=sidebar><p>most of the text here</p></div><div class=ad>c</div></body>", set()) == ["most of the text here"]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_what_recurs_is_template_of_a_large_host(spark, monkeypatch, hot):
+    monkeypatch.setattr(template, "HOT", hot)  # 1: the joins by shuffle
+    few = "<div class=variant>Only on one page in ten</div>"
+    rows = [(i, f"https://wide.example/{i}", f"<body><div class=top>On all</div>{few * (i % 10 == 0)}<p>own {i}</p></body>") for i in range(60)]
+    rows += [(100 + i, f"https://small.example/{i}", f"<body>{few * (i == 0)}<p>own {i}</p></body>") for i in range(5)]
+    rows += [rows[0]] * 3
+    got = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), recurs=6)
+    want = Counter({**{(i, f"own {i}"): 1 for i in range(60)}, (0, "own 0"): 4, (100, "Only on one page in ten\nown 0"): 1})
+    want.update({(100 + i, f"own {i}"): 1 for i in range(1, 5)})
+    assert Counter((r["page_id"], r["text"]) for r in got.collect()) == want
+
+
 # --- op9, op10 --------------------------------------------------------------------
 
 def test_huffman_code_is_optimal_and_limited():

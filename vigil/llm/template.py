@@ -3,11 +3,12 @@
 A page is parsed into a tree.  Element subtrees are hashed (tag, class, id,
 text, children); Spark counts on how many distinct pages of a host each hash
 occurs (pages of the same main text are copies and count as one), and subtrees
-on a large share of them are the host's template and are deleted.  In an article only containers (div, section, list, table ...) with
+on many of them are the host's template and are deleted.  In an article only containers (div, section, list, table ...) with
 less than half of its text can be template, never its own paragraphs and
 headings, which copies of an article share.  What scripts, navigation, adverts and the like
-say of themselves (tag, role, class) goes as well, in or out of the article,
-so that hosts with few pages lose their boilerplate too.  What remains of the
+say of themselves (tag, role, a whole class token) goes as well, in or out of
+the article, so that hosts with few pages lose their boilerplate too; no class
+drops what holds an article or main element or most of the page's text.  What remains of the
 article (or main element; of the body where there is none) is cut into blocks.
 """
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import settled, whole
 
-#: A subtree is template from this share of its host's pages on, at least so many.
-SHARE, LEAST = 0.2, 4
+#: A subtree is template from this share of its host's distinct pages on, at
+#: least ``LEAST`` of them; from ``RECURS`` on whatever the host's size.
+SHARE, LEAST, RECURS = 0.2, 4, 100
 #: A host is hot from this share (one in so many) of the pages.
 HOT = 1000
 
@@ -48,14 +50,14 @@ SIBLINGS = {t: g for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("optio
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME = re.compile(r"[A-Za-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "names", "role", "hidden", "children")
+    __slots__ = ("tag", "names", "role", "hidden", "spared", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.hidden = tag, "", "", False
+        self.spared = False  # no class name drops it
         self.children: list[Element | str] = []
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
@@ -125,10 +127,10 @@ def _close(stack: list[Element], tag: str, barriers: frozenset[str]) -> None:
 
 
 def is_boilerplate(e: Element, in_article: bool) -> bool:
-    """By tag, role, class or id; an article's own header is content."""
+    """By tag, role, a whole token of class or id; an article's own header is content."""
     if e.tag in DROPPED or e.hidden or e.role in ROLES or e.tag == "header" and not in_article:
         return True
-    return bool(e.names) and not NAMES.isdisjoint(_NAME.findall(e.names))
+    return bool(e.names) and not e.spared and not NAMES.isdisjoint(e.names.split())
 
 
 def containers(root: Element) -> list[Element]:
@@ -213,7 +215,7 @@ def _flattened(root: Element, limit: int = 400) -> Element:
                 c = rest.pop()
                 if isinstance(c, Element):
                     shell = Element(c.tag)
-                    shell.names, shell.role, shell.hidden = c.names, c.role, c.hidden
+                    shell.names, shell.role, shell.hidden, shell.spared = c.names, c.role, c.hidden, c.spared
                     if not is_boilerplate(c, True):
                         flat.append(shell)
                         rest += reversed(c.children)
@@ -225,8 +227,29 @@ def _flattened(root: Element, limit: int = 400) -> Element:
     return root
 
 
+def _spare(root: Element) -> Element:
+    """Mark what holds an article, a main element or most of the page's text."""
+    order = [root]
+    for e in order:
+        order += [c for c in e.children if isinstance(c, Element)]
+    size: dict[int, int] = {}
+    for e in reversed(order):
+        n = 0
+        for c in e.children:
+            if isinstance(c, str):
+                n += len(" ".join(c.split()))
+            else:
+                n += size[id(c)]
+                e.spared = e.spared or c.spared
+        size[id(e)] = 0 if e.tag in DROPPED else n
+        e.spared = e.spared or e.tag in ("article", "main")
+    for e in order:
+        e.spared = e.spared or 2 * size[id(e)] > size[id(root)]
+    return root
+
+
 def tree(page: str) -> Element:
-    return _flattened(parse(page))
+    return _flattened(_spare(parse(page)))
 
 
 def page_hashes(page: str) -> tuple[str, list[str]]:
@@ -285,31 +308,50 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, rows, hashes): the subtree hashes that occur on at least
-    ``least`` distinct pages and ``share`` of the distinct pages of the host,
-    and the host's rows.
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` left-joined to ``table`` (a row per key, ``rows`` counting the
+    key's rows among ``total``).  Hot keys (at most ``HOT`` of them for each
+    row's keys, by arithmetic) are broadcast; the others meet in a join whose
+    keys each hold less than one in ``HOT`` of the rows."""
+    t = table.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in table.columns if c not in on])
+    extra = [c for c in t.columns if c != "rows"]
+    match = [F.col(c) == F.col(f"_{c}") for c in on]
+    key = f"_{on[0]}"
+    first = rows.join(F.broadcast(t.filter(F.col("rows") * HOT >= total).select(*extra)), match, "left")
+    cold = t.filter(F.col("rows") * HOT < total).select(*extra)
+    keys = [f"_{c}" for c in on]
+    if cold.isEmpty():
+        return first.drop(*keys)
+    rest = first.filter(F.col(key).isNull()).drop(*extra).join(cold, match, "left")
+    return first.filter(F.col(key).isNotNull()).drop(*keys).unionByName(rest.drop(*keys))
 
-    A page gives each hash once, and so do all its copies together, by host
-    and main text; counts are partial sums before the shuffle.  With on
-    average S subtrees a page outside the article, a host has at most
-    S / share such hashes, so the lists stay short on any host."""
+
+def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, key, main, hashes) per row: a hash of the page, one of its main
+    text, and the subtree hashes that may be template."""
     @F.pandas_udf("struct<main:string,hashes:array<string>>")
     def hashes(bodies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([page_hashes(b) for b in bodies], columns=["main", "hashes"])
 
-    own = pages.select(host(F.col(url)).alias("host"), hashes(whole(html)).alias("p"))
+    return settled(pages.select(host(F.col(url)).alias("host"), F.md5(whole(html)).alias("key"), hashes(whole(html)).alias("p"))
+                   .select("host", "key", "p.main", "p.hashes"))
+
+
+def templates(each: DataFrame, share: float = SHARE, least: int = LEAST, recurs: int = RECURS) -> DataFrame:
+    """(host, h, listed): the subtree hashes that occur on at least ``least``
+    distinct pages of the host that are ``share`` of them (``listed``) or
+    ``recurs``, of the table :func:`read_pages` makes.
+
+    A page gives each hash once, and so do all its copies together, by host
+    and main text; counts are partial sums before the shuffle."""
     # the page itself is one more row (null hash) that counts the host's pages
-    each = own.select("host", "p.main", F.explode(F.array_append("p.hashes", F.lit(None).cast("string"))).alias("h")).distinct()
-    n = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    # a row per host has its pages; a host's rows meet in partial sums again
+    own = each.select("host", "main", F.explode(F.array_append("hashes", F.lit(None).cast("string"))).alias("h")).distinct()
+    n = own.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     often = settled(n.filter(F.col("h").isNull() | (F.col("n") >= least)))
-    total = often.filter("h is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    kept = often.filter("h is not null").join(total, F.col("host") == F.col("_host")) \
-        .filter(F.col("n") >= F.col("pages") * share)
-    lists = kept.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("hashes"))
-    rows = pages.groupBy(host(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("rows"))
-    return lists.join(rows, "host").select("host", "rows", "hashes")
+    sums = often.groupBy("host").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("pages"))
+    found = _joined(often.filter("h is not null"), settled(sums), ["host"], often.count())
+    listed = F.col("n") >= F.col("pages") * share
+    return found.select("host", "h", listed.alias("listed")).filter(listed | (F.col("n") >= recurs))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", **template_args) -> DataFrame:
@@ -321,27 +363,39 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     text, counted once; an
     empty table gives no rows; other columns are ignored.
 
-    Template lists of hot hosts (at most ``HOT`` of them, by arithmetic) are
-    broadcast; the pages of all others meet their host's list in a join whose
-    keys each hold less than one in ``HOT`` of the pages."""
-    found = settled(templates(pages, url, html, **template_args))
-    total = pages.count()
-    hot = F.broadcast(found.filter(F.col("rows") * HOT >= total).select(F.col("host").alias("_host"), "hashes"))
-    cold = found.filter(F.col("rows") * HOT < total).select(F.col("host").alias("_host"), "hashes")
+    What is on a share of a host's pages is a short list a host (on average S
+    subtrees a page give S / share at most), which all its pages get.  What
+    only recurs can be many subtrees of a large host: each page gets those it
+    has.  Hot keys are broadcast, see :func:`_joined`."""
+    each = read_pages(pages, url, html)
+    total = each.count()
+    found = settled(templates(each, **template_args))
+    lists = found.groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("listed"), F.col("h")))).alias("hashes"),
+                                      F.max(~F.col("listed")).alias("more"))
+    lists = settled(lists.join(each.groupBy("host").agg(F.count(F.lit(1)).alias("rows")), "host"))
 
     @F.pandas_udf("string")
-    def text(bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(blocks(b, set(h) if h is not None else set())) for b, h in zip(bodies, lists)], dtype=object)
+    def text(bodies: pd.Series, lists: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(blocks(b, {x for part in (h, o) if part is not None for x in part}))
+                          for b, h, o in zip(bodies, lists, own)], dtype=object)
 
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), whole(html).alias("html"), host(F.col(url)).alias("host"))
-    on = F.col("host") == F.col("_host")
-    none = F.lit(None).cast("array<string>")
-    first = rows.join(hot, on, "left")
-    rest = first.filter("_host is null").drop("_host", "hashes")
-    if cold.isEmpty():
-        others = rest.withColumn("hashes", none)
-    else:
-        others = rest.join(cold, on, "left").drop("_host")
-    both = first.filter("_host is not null").drop("_host").unionByName(others)
-    done = both.select("id", "url", text("html", "hashes").alias("text"))
+    listed = _joined(rows, lists, ["host"], total)
+    plain = listed.withColumn("own", F.lit(None).cast("array<string>"))
+    if not lists.filter("more").isEmpty():
+        wide = F.coalesce("more", F.lit(False))
+        recurring = _recurring(each, found.filter(~F.col("listed")).select("host", "h"))
+        own = _joined(listed.filter(wide).withColumn("key", F.md5("html")), recurring, ["host", "key"], total)
+        plain = plain.filter(~wide).unionByName(own.drop("key"))
+    done = plain.select("id", "url", text("html", "hashes", "own").alias("text"))
     return done.select(F.col("id").alias(page_id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _recurring(each: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, key, own, rows): which of the hashes ``found`` (host, h) each
+    distinct page has, and its rows."""
+    has = settled(each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"))
+                  .select("host", "key", "copies", F.explode("hashes").alias("h")))
+    n = has.groupBy("host", "h").agg(F.count(F.lit(1)).alias("rows")).join(found, ["host", "h"])
+    met = _joined(has, settled(n.withColumn("met", F.lit(True))), ["host", "h"], has.count()).filter("met")
+    return settled(met.groupBy("host", "key").agg(F.collect_list("h").alias("own"), F.first("copies").alias("rows")))
