@@ -222,6 +222,19 @@ def test_mix_pieces_sum_up_and_shards_are_disjoint_ranges(spark, docs):
     assert mixing.word_slice("  a bb  c d ", 1, 3) == "bb  c"
 
 
+def test_report_sums_what_the_tree_deals(spark, docs, monkeypatch):
+    whole_tree, nodes = mixing._hypergeometric, []
+    monkeypatch.setattr(mixing, "_hypergeometric", lambda rng, counts, draws: nodes.append(draws) or whole_tree(rng, counts, draws))
+    twice = docs.select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("text"), "source")
+    twice = twice.unionByName(twice)  # repeated rows and rows without words
+    got = mixing.mix_report(twice, block_words=64, shards=8).toPandas()
+    assert len(nodes) == 7
+    assert len(got) == 2 * docs.count() and (got.taken[got["size"] == 0] == 0).all()
+    assert (got.taken <= 3 * got["size"]).all()
+    for _, g in got.groupby("source_size"):
+        assert g.taken.sum() == round(g.target.iloc[0])
+
+
 # --- op3 ----------------------------------------------------------------------
 
 def brute_kernel(s, t):

@@ -214,32 +214,28 @@ def _pieces(plan: Plan, src: pd.Series, size: pd.Series, offset: pd.Series) -> d
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **plan_args) -> DataFrame:
     """(id, size, source_size, target, taken) for every row: its words, its
-    source's words and target, and the words of it that the mix takes, repeats
-    counted (at most ``MAX_PASSES`` times its size).
+    source's words and target, and the words of it in the pieces that the
+    shards are dealt, repeats counted (at most ``MAX_PASSES`` times its size).
 
-    Null texts have no words and take nothing; null is a source of its own;
-    repeated rows count one by one; an empty table gives no rows."""
+    The pieces are dealt as in :func:`mix`, without their rows; a row with
+    words is known by its source and offset.  Null texts have no words and
+    take nothing; null is a source of its own; repeated rows count one by one;
+    an empty table gives no rows."""
     plan, targets = plan_mix(docs, id_col, text, source, **plan_args)
-
-    @F.pandas_udf("long")
-    def taken(src: pd.Series, size: pd.Series, offset: pd.Series) -> pd.Series:
-        p = _pieces(plan, src, size, offset)
-        return pd.Series(np.bincount(p["row"], weights=p["hi"] - p["lo"], minlength=len(size)).astype(np.int64))
-
-    got = _located(docs, id_col, text, source, plan.seed, keep=False) \
-        .select("_id", "src", "size", taken("src", "size", "offset").alias("taken"))
+    located = settled(_located(docs, id_col, text, source, plan.seed, keep=False))
+    dealt = settled(_dealt(plan, located, ["src", "offset"]))
+    words = dealt.groupBy(F.col("src").alias("_src"), F.col("offset").alias("_offset")).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    place = F.when(F.col("size") > 0, F.col("offset"))  # a row without words may share its offset
+    got = located.join(words, F.col("src").eqNullSafe(F.col("_src")) & (place == F.col("_offset")), "left") \
+        .select("_id", "src", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     t = targets.select(F.col("src").alias("_src"), "source_size", "target")
     return got.join(t, F.col("src").eqNullSafe(F.col("_src")), "left") \
         .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **plan_args) -> DataFrame:
-    """The mixed pieces: all columns of ``docs`` as struct ``row``, ``shard``,
-    ``place`` (order in the shard), ``epoch`` (pass through the source), and
-    the words taken, ``lo`` to ``hi`` (exclusive) of ``size``.  Partitions
-    hold whole shards in their shuffled order.  Rows without words are not
-    drawn."""
-    plan, _ = plan_mix(docs, id_col, text, source, **plan_args)
+def _dealt(plan: Plan, located: DataFrame, columns: list[str]) -> DataFrame:
+    """The drawn pieces of the rows of :func:`_located`: ``columns``, shard,
+    place, epoch, lo, hi.  Partitions hold whole shards in their shuffled order."""
     starts = plan.shard_starts()
 
     @F.pandas_udf("array<struct<shard:long,place:long,epoch:long,lo:long,hi:long>>")
@@ -256,10 +252,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
             out[r].append(dict(zip(("shard", "place", "epoch", "lo", "hi"), piece)))
         return pd.Series(out)
 
-    located = _located(docs, id_col, text, source, plan.seed, keep=True)
-    pieces = located.select(F.col("_row").alias("row"), "size", F.explode(draw("src", "size", "offset")).alias("p")) \
-        .select("row", "size", "p.*")
-    return pieces.repartition(shuffle_width(docs.sparkSession), "shard").sortWithinPartitions("shard", "place", "lo")
+    pieces = located.select(*columns, F.explode(draw("src", "size", "offset")).alias("p")).select(*columns, "p.*")
+    return pieces.repartition(shuffle_width(located.sparkSession), "shard").sortWithinPartitions("shard", "place", "lo")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **plan_args) -> DataFrame:
+    """The mixed pieces: all columns of ``docs`` as struct ``row``, ``shard``,
+    ``place`` (order in the shard), ``epoch`` (pass through the source), and
+    the words taken, ``lo`` to ``hi`` (exclusive) of ``size``.  Partitions
+    hold whole shards in their shuffled order.  Rows without words are not
+    drawn."""
+    plan, _ = plan_mix(docs, id_col, text, source, **plan_args)
+    located = _located(docs, id_col, text, source, plan.seed, keep=True).withColumnRenamed("_row", "row")
+    return _dealt(plan, located, ["row", "size"])
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **plan_args) -> DataFrame:
