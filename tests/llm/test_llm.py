@@ -309,6 +309,18 @@ def small_model():
     return t, w
 
 
+def test_symbols_and_network_come_from_every_training_text(spark):
+    rows = [(i, f"{w} " * 40) for i, w in enumerate(["water", "house", "green", "music", "paper", "light", "river", "stone"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs, RANKS, public_tokenizers.PATTERN, sample_rows=1, steps=0)
+    flat, _ = lm.words_of(RANKS, public_tokenizers.PATTERN).ids(lm.cut([w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2]))
+    used = np.unique(flat)
+    symbols = model.tables.symbol[used]
+    assert len(set(symbols.tolist())) == len(used)
+    start = lm.fresh(*model.params["embed"].shape[:1], model.tables.prior.shape[1])["embed"]
+    assert (model.params["embed"][symbols] != start[symbols]).any(1).all()
+
+
 def test_model_is_a_distribution_and_windows_score_each_id_once():
     t, w = small_model()
     scorer = lm.Scorer(w, t)

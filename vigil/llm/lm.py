@@ -140,7 +140,7 @@ class Tables:
     start: int              # symbol that stands before a text
 
 
-def tables(unigrams: np.ndarray, bigrams: np.ndarray, top: np.ndarray, end: int, classes: int = 48,
+def tables(unigrams: np.ndarray, bigrams: np.ndarray, top: np.ndarray, end: int, classes: int = 64,
            smooth: float = 20.0, seed: int = 5) -> Tables:
     """Smoothed bigrams of symbols, cut into classes of symbols that follow
     similar symbols (k-means on a randomised projection)."""
@@ -182,7 +182,7 @@ def _classes(b: np.ndarray, weight: np.ndarray, classes: int, seed: int) -> np.n
 Params = dict[str, np.ndarray]
 
 
-def fresh(symbols: int, classes: int, d: int = 8, hidden: int = 24, seed: int = 1) -> Params:
+def fresh(symbols: int, classes: int, d: int = 16, hidden: int = 32, seed: int = 1) -> Params:
     rng = np.random.default_rng(seed)
     r = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
     return {"embed": (0.5 * rng.standard_normal((symbols, d))).astype(np.float32), "query": r(d, d), "key": r(d, d),
@@ -241,13 +241,16 @@ def gradient(w: Params, t: Tables, windows: np.ndarray) -> tuple[float, Params]:
     return loss, g
 
 
-def train(w: Params, t: Tables, windows: np.ndarray, steps: int, rate: float, batch: int = 256, seed: int = 9) -> Params:
-    """Adam with a rate that falls to zero; batches are drawn with replacement."""
+def train(w: Params, t: Tables, windows: np.ndarray, steps: int, rate: float, batch: int = 256, seed: int = 9,
+          once: bool = False) -> Params:
+    """Adam with a rate that falls to zero; batches are drawn with replacement,
+    or with ``once`` deal out the windows, each to one of the steps."""
     rng = np.random.default_rng(seed)
+    dealt = np.array_split(rng.permutation(len(windows)), steps) if once else None
     w = {k: v.copy() for k, v in w.items()}
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     for i in range(1, steps + 1):
-        _, g = gradient(w, t, windows[rng.integers(0, len(windows), batch)])
+        _, g = gradient(w, t, windows[dealt[i - 1] if once else rng.integers(0, len(windows), batch)])
         for k in w:
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])
@@ -351,18 +354,18 @@ def _sequences(symbols: np.ndarray, start: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id", top: int = 2048,
-        hot_words: int = 150_000, sample_rows: int = 4000, sample_windows: int = 16, share: int = 64,
+        hot_words: int = 150_000, sample_rows: int = 4000, sample_windows: int = 16,
         steps: int = 400, seed: int = 23) -> Model:
     """Train on the rows of :func:`in_training`.
 
-    A bounded sample (about ``sample_rows`` texts, up to ``sample_windows``
-    windows each) picks the symbols, the ``hot_words`` and gives the network its
-    first ``steps``.  All counts cover every training text: per previous symbol
+    The symbols are the ``top`` most frequent ids of all training texts.  A
+    bounded sample (about ``sample_rows`` texts, up to ``sample_windows``
+    windows each) picks the ``hot_words`` and gives the network its first
+    ``steps``.  All counts cover every training text: per previous symbol
     one row of sparse counts a task crosses the network, and the driver
     receives one row per symbol and hot word.  The network then goes on, in
-    parallel, on the windows of one in ``share`` training texts, so what it
-    sees grows with the corpus; the tasks' parameters are averaged by slices,
-    weighted by ids seen."""
+    parallel, on every window of every training text; the tasks' parameters
+    are averaged by slices, weighted by ids seen."""
     spark = docs.sparkSession
     rows = docs.filter(in_training(id_col)).select(whole(text).alias("text"), F.xxhash64(F.lit(seed), id_col, text).alias("h"))
     total = rows.count()
@@ -381,33 +384,57 @@ def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: st
                     # the choice of windows depends on the text alone
                     rng = np.random.default_rng([seed, len(x)])
                     windows += [r.tobytes() for r in s[rng.permutation(len(s))[:sample_windows]]]
-                ids = np.bincount(flat, minlength=enc.size)
-                used = np.flatnonzero(ids)
                 n = np.bincount(c.at, minlength=len(c.words))
-                yield pd.DataFrame({"kind": ["i"] * len(used) + ["w"] * len(c.words) + ["s"] * len(windows),
-                                    "key": [str(i).encode() for i in used] + [w.encode() for w in c.words] + windows,
-                                    "n": ids[used].tolist() + n.tolist() + [0] * len(windows)})
+                yield pd.DataFrame({"kind": ["w"] * len(c.words) + ["s"] * len(windows),
+                                    "key": [w.encode() for w in c.words] + windows, "n": n.tolist() + [0] * len(windows)})
 
     picked = settled(sampled.mapInPandas(pick, "kind string, key binary, n long"))
     common = picked.filter("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     enc = words_of(path, pattern)
-    frequent = common.filter("kind = 'i'").orderBy(F.desc("n"), "key").limit(top).select("key").collect()
-    top_ids = [int(r["key"]) for r in frequent if int(r["key"]) != enc.end][:top - 1] + [enc.end]
+    unigrams = _unigrams(rows, path, pattern, enc)
+    frequent = np.argsort(-unigrams, kind="stable")[:np.count_nonzero(unigrams)]
+    top_ids = [i for i in frequent.tolist() if i != enc.end][:top - 1] + [enc.end]
     hot = [bytes(r["key"]).decode() for r in common.filter("kind = 'w' and n > 0").orderBy(F.desc("n"), "key").limit(hot_words).select("key").collect()]
     windows = sorted(bytes(r["key"]) for r in picked.filter("kind = 's'").select("key").collect())
     top_ids = np.array(top_ids)
-    unigrams, bigrams, counts = _count(rows, path, pattern, top_ids, hot, enc)
+    bigrams, counts = _count(rows, path, pattern, top_ids, hot, enc)
     t = tables(unigrams, bigrams, top_ids, enc.end)
     w = fresh(len(top_ids) + 1, t.prior.shape[1])
     if windows:
         seen = np.frombuffer(b"".join(windows), np.int32).reshape(-1, WIDTH + 1)
         w = train(w, t, np.where(seen >= 0, t.symbol[np.maximum(seen, 0)], -1), steps, 0.006)
-        w = _continue(rows.filter(F.pmod("h", F.lit(share)) == 0), path, pattern, t, w)
+        w = _continue(rows, path, pattern, t, w)
     return Model(t, w, counts)
 
 
+def _unigrams(rows, path, pattern, enc):
+    """Counts of the ids over all training texts."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = words_of(path, pattern)
+        ids = np.zeros(own.size, np.int64)
+        for pdf in batches:
+            for texts in portions(pdf["text"].tolist()):
+                ids += np.bincount(own.ids(cut(texts))[0], minlength=own.size)
+        yield pd.DataFrame([(-1, _pack(ids))] if ids.any() else [], columns=["k", "counts"])
+
+    got = _summed(rows.select("text").mapInPandas(count, "k long, counts binary"))
+    return got.get(-1, np.zeros(enc.size, np.int64))
+
+
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The sum of the packed ``counts`` for each ``k``."""
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for c in pdf["counts"]:
+            x = _unpack(c)
+            total = x if total is None else total + x
+        return pd.DataFrame({"k": [key[0]], "counts": [_pack(total)]})
+
+    return {r["k"]: _unpack(r["counts"]) for r in parts.groupBy("k").applyInPandas(add, "k long, counts binary").collect()}
+
+
 def _count(rows, path, pattern, top_ids, hot, enc):
-    """Counts over all training texts: ids, symbol pairs, hot words."""
+    """Counts over all training texts: symbol pairs, hot words."""
     n = len(top_ids) + 1
     symbol = np.full(enc.size, n - 1, np.int64)
     symbol[top_ids] = np.arange(n - 1)
@@ -416,40 +443,26 @@ def _count(rows, path, pattern, top_ids, hot, enc):
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = words_of(path, pattern)
-        ids, pairs, words = np.zeros(own.size, np.int64), np.zeros(n * n, np.int64), np.zeros(len(hot) + 1, np.int64)
+        pairs, words = np.zeros(n * n, np.int64), np.zeros(len(hot) + 1, np.int64)
         for pdf in batches:
             for texts in portions(pdf["text"].tolist()):
                 c = cut(texts)
                 x, _ = own.ids(c)
                 s = symbol[x]
-                ids += np.bincount(x, minlength=own.size)
                 # a text follows the end id of the one before, which is its start symbol
                 pairs += np.bincount(np.concatenate([[start], s[:-1]]) * n + s, minlength=n * n)
                 get = hot_no.get
                 np.add.at(words, np.array([get(w, -1) + 1 for w in c.words], np.int64), np.bincount(c.at, minlength=len(c.words)))
         pairs = pairs.reshape(n, n)
-        out = [(-1, _pack(ids)), (-2, _pack(words[1:]))] if ids.any() else []
+        out = [(-2, _pack(words[1:]))] if pairs.any() else []
         out += [(int(p), _pack(pairs[p])) for p in np.flatnonzero(pairs.any(1))]
         yield pd.DataFrame(out, columns=["k", "counts"])
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for c in pdf["counts"]:
-            x = _unpack(c)
-            total = x if total is None else total + x
-        return pd.DataFrame({"k": [key[0]], "counts": [_pack(total)]})
-
-    got = rows.select("text").mapInPandas(count, "k long, counts binary").groupBy("k").applyInPandas(add, "k long, counts binary").collect()
-    unigrams, bigrams, counts = np.zeros(enc.size, np.int64), np.zeros((n, n), np.int64), np.zeros(len(hot), np.int64)
-    for r in got:
-        x = _unpack(r["counts"])
-        if r["k"] == -1:
-            unigrams = x
-        elif r["k"] == -2:
-            counts = x
-        else:
-            bigrams[r["k"]] = x
-    return unigrams, bigrams, dict(zip(hot, counts.tolist()))
+    got = _summed(rows.select("text").mapInPandas(count, "k long, counts binary"))
+    bigrams, counts = np.zeros((n, n), np.int64), got.pop(-2, np.zeros(len(hot), np.int64))
+    for p, x in got.items():
+        bigrams[p] = x
+    return bigrams, dict(zip(hot, counts.tolist()))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -482,7 +495,7 @@ def _continue(rows: DataFrame, path: str, pattern: str, t: Tables, w: Params, ch
 
         def learn(own: Params) -> Params:
             x = np.concatenate(held)
-            return train(own, t, x, max(1, len(x) // 256), 0.002)
+            return train(own, t, x, -(-len(x) // 256), 0.002, once=True)
 
         for pdf in batches:
             for texts in portions(pdf["text"].tolist()):
