@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, cascade, huffman, imatch, lm, mixing, secrets, simhash, template, toxicity
+from vigil.llm import bpe, cascade, huffman, imatch, lines, lm, mixing, runs, secrets, simhash, template, toxicity, whitening
 from vigil.llm.common import read_table
 
 
@@ -68,6 +68,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch, op8_template, op9_token_file, op10_bpe)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read_table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {"op6_quality_rules": cascade.oracle_sql(), "op7_imatch": imatch.oracle_sql()}
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_toxicity, op4_lm_score, op5_secrets, op6_quality_rules, op7_imatch,
+                                   op8_template, op9_token_file, op10_bpe, op11_runs, op12_line_dedup, op13_whitening)}
+
+ORACLE: dict[str, str] = {"op6_quality_rules": cascade.oracle_sql(), "op7_imatch": imatch.oracle_sql(), "op12_line_dedup": lines.oracle_sql()}
