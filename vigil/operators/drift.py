@@ -314,9 +314,11 @@ def _cvm_from_counts(counts: DataFrame, jk: list, buckets: int) -> DataFrame:
 def reference_snapshot(df: DataFrame, ts: str, as_of: Column, days: int, path: str,
                        snapshot_col: str = "snapshot_date") -> None:
     """Keep the rolling reference window [as_of − days, as_of) as a snapshot
-    partition (appended; one partition per refresh date)."""
+    partition, one per refresh date: a second refresh of the day replaces the
+    first, other days stay."""
     win = df.filter((F.col(ts) >= F.timestamp_add("DAY", F.lit(-days), as_of)) & (F.col(ts) < as_of))
-    win.withColumn(snapshot_col, F.to_date(as_of)).write.mode("append").partitionBy(snapshot_col).parquet(path)
+    win.withColumn(snapshot_col, F.to_date(as_of)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(snapshot_col).parquet(path)
 
 
 def latest_reference(spark, path: str, snapshot_col: str = "snapshot_date") -> DataFrame:

@@ -93,8 +93,9 @@ def one_hot_vector(df: DataFrame, col: str):
 
 
 def range_window_agg(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, aggs: Mapping[str, Column],
-                     bucket_seconds: int = 86400) -> DataFrame:
-    """Per row, aggregates over the same key's rows in [ts − seconds, ts].
+                     bucket_seconds: int = 86400, open_start: bool = False) -> DataFrame:
+    """Per row, aggregates over the same key's rows in [ts − seconds, ts], or
+    in (ts − seconds, ts] with ``open_start``.
 
     Windows run per (key, time bucket).  A row near the end of a bucket is
     also copied, as context only, into the next bucket, so each bucket sees
@@ -111,11 +112,27 @@ def range_window_agg(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
     ctx = base.filter(F.col("_us") >= nxt_start - seconds * 1_000_000) \
         .withColumn("_b", F.col("_b") + 1).withColumn("_real", F.lit(False))
     u = base.unionByName(ctx)
-    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(-seconds * 1_000_000 + int(open_start), 0)
     out = u.select(*df.columns, "_real", *[a.over(w).alias(name) for name, a in aggs.items()])
     return out.filter("_real").drop("_real")
 
 
+def sliding_rate(requests: DataFrame, keys: Sequence[str], ts: str, limit: int, seconds: int = 60,
+                 bucket_seconds: int = 60) -> DataFrame:
+    """All columns, ``n_recent`` and ``limited``: each request's number of
+    requests of its key in the last ``seconds``, itself and those of the same
+    instant included, the one exactly ``seconds`` ago not; ``limited`` where
+    that exceeds ``limit``.
+
+    Windows run per (key, bucket) over the bucket and the tail of the bucket
+    before it, so the requests of one busy key spread over as many tasks as
+    it has buckets.  Null keys are a key of their own; rows without a time are
+    dropped."""
+    known = requests.filter(F.col(ts).isNotNull())
+    w = range_window_agg(known, keys, ts, seconds, {"n_recent": F.count(F.lit(1))}, bucket_seconds, open_start=True)
+    return w.withColumn("limited", F.col("n_recent") > limit)
+
+
 def user_profile(events: DataFrame, user: str = "user_id", ts: str = "ts", etype: str = "event_type",
                  value: str = "value", purchase: str = "purchase") -> DataFrame:
     """Per-user profile: events, purchases, lifetime value, mean value,

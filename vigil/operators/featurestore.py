@@ -10,99 +10,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.core import missing, ntz_seconds, rnd, safe_div
+from vigil.sources.sinks import replace_partitions
+from vigil.sources.versioned import VersionedTable, append_batch
 
 
 def pit_join(entities: DataFrame, features: DataFrame, keys: Sequence[str],
              entity_ts: str, feature_ts: str, feature_cols: Sequence[str] | None = None,
              ttl_seconds: int | None = None, tie: str | None = None,
              bucket_seconds: int | None = 86400, prefix: str = "") -> DataFrame:
-    """Point-in-time (as-of) left join without leakage.
-
-    For every entity row, the newest feature row of the same key with
-    ``feature_ts <= entity_ts`` (a feature stamped at the same instant is
-    visible).  ``tie`` orders feature rows that share key and time (the
-    larger wins).  With ``ttl_seconds`` a feature older than the TTL is null.
-
-    Plan: both sides are unioned into one narrow frame and a running
-    ``last(struct, ignorenulls)`` is taken per key in time order — one
-    shuffle, no row blow-up.  Because a window partition is never split by
-    AQE, a hot key would sit in one task; with ``bucket_seconds`` the window
-    is partitioned by (key, time bucket) instead and the last feature of
-    each earlier bucket is carried forward from a small (key, bucket) table,
-    so a key holding a third of all rows still spreads over its buckets.
-    """
-    keys = list(keys)
-    for k in keys:  # a null key matches nothing; entities without a key keep null features
-        features = features.filter(F.col(k).isNotNull())
-    fcols = list(feature_cols) if feature_cols is not None else [
-        c for c in features.columns if c not in set(keys) | {feature_ts} | ({tie} if tie else set())]
-    tie_expr = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
-    payload = F.struct(F.col(feature_ts).alias("_fts"), tie_expr.alias("_tie"),
-                       *[F.col(c).alias(c) for c in fcols])
-    ecols = [c for c in entities.columns]
-    ent = entities.select(*[F.col(k) for k in keys], F.col(entity_ts).alias("_ts"),
-                          F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"),
-                          F.struct(*[F.col(c) for c in ecols]).alias("_e"),
-                          F.lit(None).cast(features.select(payload.alias("p")).schema["p"].dataType).alias("_f"))
-    feat = features.select(*[F.col(k) for k in keys], F.col(feature_ts).alias("_ts"),
-                           F.lit(0).alias("_side"), tie_expr.alias("_tie"),
-                           F.lit(None).cast(entities.select(F.struct(*[F.col(c) for c in ecols]).alias("e")).schema["e"].dataType).alias("_e"),
-                           payload.alias("_f"))
-    u = ent.unionByName(feat)
-    order = [F.col("_ts"), F.col("_side"), F.col("_tie")]
-    if bucket_seconds:
-        u = u.withColumn("_b", F.floor(ntz_seconds("_ts") / F.lit(bucket_seconds)).cast("long"))
-        w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        within = u.withColumn("_hit", F.last("_f", ignorenulls=True).over(w)).filter("_side = 1")
-        # last feature row of every (key, bucket): partial aggregation, skew safe
-        last_b = (u.filter("_side = 0").groupBy(*keys, "_b")
-                  .agg(F.max(F.struct(F.col("_f._fts"), F.col("_f._tie"), F.col("_f"))).alias("_m"))
-                  .select(*keys, "_b", F.col("_m._f").alias("_f"), F.lit(1).alias("_side")))
-        # (key, bucket) pairs that hold entity rows, from the entity side
-        # alone, so the big window above is computed once
-        need = u.filter("_side = 1").select(*keys, "_b").distinct() \
-            .select(*keys, "_b", F.lit(None).cast(last_b.schema["_f"].dataType).alias("_f"),
-                    F.lit(0).alias("_side"))
-        # compact table: at most one row per (key, bucket) and side.  A
-        # bucket's own last feature sorts after its request row, so only
-        # strictly earlier buckets are carried (no leakage).
-        wc = Window.partitionBy(*keys).orderBy("_b", "_side").rowsBetween(Window.unboundedPreceding, -1)
-        carry = (last_b.unionByName(need)
-                 .withColumn("_carry", F.last("_f", ignorenulls=True).over(wc))
-                 .filter("_side = 0").select(*keys, "_b", "_carry"))
-        res = within.join(carry, keys + ["_b"], "left") \
-            .withColumn("_hit", F.coalesce(F.col("_hit"), F.col("_carry")))
-    else:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        res = u.withColumn("_hit", F.last("_f", ignorenulls=True).over(w)).filter("_side = 1")
-    if ttl_seconds is not None:
-        fresh = F.col("_hit._fts") >= F.timestamp_add("SECOND", F.lit(-int(ttl_seconds)), F.col("_ts"))
-        hit = F.when(fresh, F.col("_hit"))
-    else:
-        hit = F.col("_hit")
-    res = res.withColumn("_hit", hit)
-    return res.select(*[F.col(f"_e.{c}").alias(c) for c in ecols],
-                      F.col("_hit._fts").alias(f"{prefix}{feature_ts}"),
-                      *[F.col(f"_hit.{c}").alias(f"{prefix}{c}") for c in fcols])
+    """Point-in-time (as-of) left join without leakage: for every entity row,
+    the newest feature row of the same key with ``feature_ts <= entity_ts`` (a
+    feature stamped at the same instant is visible).  ``tie`` orders feature
+    rows that share key and time (the larger wins).  With ``ttl_seconds`` a
+    feature older than the TTL is null.  See :func:`_as_of` for the plan."""
+    view = {"sources": [features], "ts": feature_ts, "features": feature_cols, "ttl": ttl_seconds, "tie": tie, "prefix": prefix}
+    return _as_of(entities, [view], list(keys), entity_ts, bucket_seconds)
 
 
 def pit_join_multi(entities: DataFrame, views: Sequence[Mapping], keys: Sequence[str],
                    entity_ts: str, bucket_seconds: int | None = 86400) -> DataFrame:
-    """Fold :func:`pit_join` over several feature views.
+    """:func:`pit_join` of several feature views in one pass over all of them.
 
     ``views``: ``{"name", "sources": [df, ...], "ts", "features", "ttl", "tie"}``;
     several sources of one view (history + fresh) are unioned first.  Output
     feature columns are named ``<view>__<feature>``; each view keeps its TTL.
     """
-    out = entities
+    return _as_of(entities, [{**v, "prefix": f"{v['name']}__"} for v in views], list(keys), entity_ts, bucket_seconds)
+
+
+def _as_of(entities: DataFrame, views: Sequence[Mapping], keys: list[str], entity_ts: str, bucket_seconds: int | None) -> DataFrame:
+    """The as-of join of any number of views.
+
+    Entities and features go into one narrow union, shuffled once by (key,
+    time bucket); one window in time order keeps the last feature of each
+    view, so a key that holds a third of all rows spreads over its buckets.
+    What earlier buckets pass on comes from a compact table with one row a
+    (key, bucket), aggregated from the same shuffle, where the carry is a
+    window by key; it is joined on (key, bucket).  Rows cross the network once,
+    however many views there are; null keys match nothing."""
+    parts, plans = [], []
+    ent_type = entities.select(F.struct(*[F.col(f"`{c}`") for c in entities.columns]).alias("e")).schema["e"].dataType
+    sources = []
     for v in views:
-        srcs = list(v["sources"])
-        src = srcs[0]
-        for s in srcs[1:]:
-            src = src.unionByName(s, allowMissingColumns=True)
-        out = pit_join(out, src, keys, entity_ts, v["ts"], v["features"], v.get("ttl"),
-                       v.get("tie"), bucket_seconds, prefix=f"{v['name']}__")
-    return out
+        src = v["sources"][0]
+        for more in v["sources"][1:]:
+            src = src.unionByName(more, allowMissingColumns=True)
+        src = src.dropna(subset=keys)
+        tie, ts = v.get("tie"), v["ts"]
+        cols = list(v["features"]) if v.get("features") is not None else [c for c in src.columns if c not in {*keys, ts, tie}]
+        rank = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+        payload = F.struct(F.col(ts).alias("_fts"), rank.alias("_tie"), *[F.col(c).alias(c) for c in cols])
+        sources.append((src, ts, rank, payload, src.select(payload.alias("p")).schema["p"].dataType))
+        plans.append((v, ts, cols))
+    slots = [f"_f{i}" for i in range(len(views))]
+    none = [F.lit(None).cast(kind).alias(slot) for slot, (*_, kind) in zip(slots, sources)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in entities.columns])
+    parts.append(entities.select(*keys, F.col(entity_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"),
+                                 whole.alias("_e"), *none))
+    for i, (src, ts, rank, payload, _) in enumerate(sources):
+        own = [payload.alias(slots[i]) if j == i else none[j] for j in range(len(slots))]
+        parts.append(src.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), rank.alias("_tie"),
+                                F.lit(None).cast(ent_type).alias("_e"), *own))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    # one struct holds key and bucket: it is never null, and null keys meet in it
+    bucket = F.floor(ntz_seconds("_ts") / F.lit(bucket_seconds or 1)).cast("long") if bucket_seconds else F.lit(0).cast("long")
+    u = u.withColumn("_cell", F.struct(*keys, bucket.alias("_b"))).drop(*keys).repartition("_cell")
+    w = Window.partitionBy("_cell").orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    hits = [F.last(s, ignorenulls=True).over(w).alias(f"_h{i}") for i, s in enumerate(slots)]
+    res = u.select("_cell", "_ts", "_side", "_e", *hits).filter("_side = 1")
+    if bucket_seconds:
+        # reads every column of the shuffle above, so that both use the same one
+        newest = [F.max(F.when(F.col(s).isNotNull(), F.struct(F.col("_ts").alias("t"), F.col("_tie").alias("k"), F.col(s).alias("f")))).alias(s)
+                  for s in slots]
+        per = u.groupBy("_cell").agg(*newest, (F.count("_e") + F.sum("_side")).alias("_n"))
+        back = Window.partitionBy(*[F.col(f"_cell.`{k}`") for k in keys]).orderBy("_cell._b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = per.select("_cell", "_n", *[F.last(F.col(f"{s}.f"), ignorenulls=True).over(back).alias(f"_c{i}") for i, s in enumerate(slots)]) \
+            .filter("_n > 0").drop("_n")
+        res = res.join(carry, "_cell", "left") \
+            .select("_ts", "_e", *[F.coalesce(f"_h{i}", f"_c{i}").alias(f"_h{i}") for i in range(len(slots))])
+    out = [F.col(f"_e.`{c}`").alias(c) for c in entities.columns]
+    for i, (v, ts, cols) in enumerate(plans):
+        ttl, hit = v.get("ttl"), F.col(f"_h{i}")
+        if ttl is not None:
+            hit = F.when(hit["_fts"] >= F.timestamp_add("SECOND", F.lit(-int(ttl)), F.col("_ts")), hit)
+        out += [hit["_fts"].alias(f"{v['prefix']}{ts}"), *[hit[c].alias(f"{v['prefix']}{c}") for c in cols]]
+    return res.select(*out)
 
 
 def feature_select(df: DataFrame, keys: Sequence[str], requested: Sequence[str] | None,
@@ -245,37 +239,23 @@ def feature_validate(df: DataFrame, expected: Mapping[str, str], keys: Sequence[
     return schema_df
 
 
-def feature_write(df: DataFrame, expected: Mapping[str, str], keys: Sequence[str], ts: str, online_dir: str,
-                  table_name: str | None, parquet_dir: str) -> DataFrame:
-    """Validate a feature batch, then write it to the online store (latest
-    row per key merged with what is there), the warehouse table (append)
-    and the offline parquet history (append, partitioned by ingest day).
-    The batch is persisted so the source is read once; a batch with
-    problems is not written and its problems are returned."""
-    from vigil.sources.sinks import append_partitioned, table_insert
+def feature_write(df: DataFrame, expected: Mapping[str, str], keys: Sequence[str], ts: str, online: VersionedTable,
+                  table_name: str | None, parquet_dir: str, batch_id: int) -> DataFrame:
+    """Validate a feature batch, then write it to the online store (latest row
+    per key), the warehouse table and the offline parquet history (partitioned
+    by batch and ingest day).  Each sink knows the batch by its number, so a
+    batch that is written again after a failure adds nothing to any of them; a
+    batch with problems is not written and its problems are returned.  The
+    table's last column is its partition column ``batch_id``."""
     problems = feature_validate(df, expected, keys, ts)
     if problems.take(1):
         return problems
     batch = df.persist()
     try:
-        spark = df.sparkSession
-        latest = latest_per_key(batch, keys, ts)
-        if _exists(spark, online_dir):
-            # merge into a new version, then swap it in (no read-while-overwrite)
-            merged = materialize_incremental(spark.read.parquet(online_dir), latest, keys, ts)
-            nxt = online_dir.rstrip("/") + "-next"
-            merged.write.mode("overwrite").parquet(nxt)
-            latest = spark.read.parquet(nxt)
-        latest.write.mode("overwrite").parquet(online_dir)
+        online.merge(batch, ts, batch_id=batch_id, source="features")
         if table_name:
-            table_insert(batch, table_name)
-        append_partitioned(batch.withColumn("ingest_date", F.to_date(ts)), parquet_dir, ["ingest_date"])
+            replace_partitions(batch.withColumn("batch_id", F.lit(batch_id)), table_name)
+        append_batch(batch.withColumn("ingest_date", F.to_date(ts)), parquet_dir, batch_id, ["ingest_date"])
     finally:
         batch.unpersist()
     return problems
-
-
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -12,6 +12,7 @@ from vigil.functions.core import ts_lit
 from vigil.operators import featurestore as fs
 from vigil.plans.registry import query
 from vigil.sources.readers import table
+from vigil.sources.versioned import VersionedTable
 
 DAY = 86400
 SPLIT = "2024-01-16"
@@ -193,13 +194,14 @@ def q_feature_write(spark, sf):
     from vigil.sources import sinks as sk
     ev = table(spark, sf, "events", ["user_id", "ts", "event_id", "value", "event_type"]).filter("event_type = 'view'")
     batch = ev.select("user_id", "ts", "event_id", "value")
-    online, offline = sk.scratch_dir(spark, "online"), sk.scratch_dir(spark, "offline")
+    online, offline = VersionedTable(spark, sk.scratch_dir(spark, "online"), ["user_id"], buckets=16), sk.scratch_dir(spark, "offline")
     name = f"vigil_fw_{uuid.uuid4().hex[:8]}"
-    sk.create_table(spark, name, "user_id bigint, ts timestamp_ntz, event_id bigint, value double",
+    sk.create_table(spark, name, "user_id bigint, ts timestamp_ntz, event_id bigint, value double, batch_id int", ["batch_id"],
                     location=sk.scratch_dir(spark, "wh"))
     expected = {"user_id": "integer", "ts": "datetime", "event_id": "integer", "value": "float"}
-    fs.feature_write(batch, expected, ["user_id"], "ts", online, name, offline)
+    for _ in range(2):  # the second write is a retry: no sink gains a row
+        fs.feature_write(batch, expected, ["user_id"], "ts", online, name, offline, batch_id=0)
     n = F.count(F.lit(1)).alias("n_rows")
-    return (spark.read.parquet(online).agg(n).select(F.lit("online").alias("sink"), "n_rows")
+    return (online.read().agg(n).select(F.lit("online").alias("sink"), "n_rows")
             .unionByName(spark.table(name).agg(n).select(F.lit("warehouse").alias("sink"), "n_rows"))
             .unionByName(spark.read.parquet(offline).agg(n).select(F.lit("offline").alias("sink"), "n_rows")))

@@ -161,13 +161,13 @@ def q_sink_quarantine(spark, sf):
 
 
 @query("retention_purge", """SELECT CASE WHEN CAST(ts AS DATE) >= TIMESTAMP '2024-02-01' - INTERVAL 10 DAY THEN 'kept' ELSE 'purged' END
-  AS retention, count(*) AS n_rows FROM events GROUP BY 1""")
+  AS retention, count(*) AS n_rows, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM events GROUP BY 1""")
 def q_retention_purge(spark, sf):
+    """A day-partitioned copy of the events, purged in place and read back."""
     path = sk.scratch_dir(spark, "ret")
     ev = rd.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     ev.write.partitionBy("day").parquet(path)
-    counts, kept_path = sk.purge_partitions(spark, path, "day", ts_lit("2024-02-01"), 10)
-    return counts
+    return sk.purge_partitions(spark, path, "day", ts_lit("2024-02-01"), 10)
 
 
 @query("tier_hot_cold", """SELECT CASE WHEN o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN 'hot' ELSE 'archive' END AS tier,

@@ -4,6 +4,8 @@ checkpoint directory lookup."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         d = tempfile.mkdtemp(prefix="vigil-checkpoints-")
     sc.setCheckpointDir(d)
     return d
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: Mapping[str, str]):
+    """Session settings for what starts inside the block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -9,7 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, settings
+from vigil.sources.versioned import Files
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -40,6 +41,15 @@ def table_insert(df: DataFrame, name: str) -> None:
     df.select(*cols).write.insertInto(name)
 
 
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """Write rows into a partitioned table; the partitions they fall into hold
+    nothing else afterwards, the others stay.  Repeating the write changes
+    nothing."""
+    spark = df.sparkSession
+    with settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+
+
 def timeseries_table(spark: SparkSession, name: str, schema: str, ts_col: str, key: str, buckets: int = 4,
                      location: str | None = None) -> None:
     """Time-partitioned (by day) and key-bucketed metric table."""
@@ -82,17 +92,31 @@ def retention(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
                          .otherwise("purged"))
 
 
-def purge_partitions(spark: SparkSession, path: str, ts_partition: str, as_of: Column,
-                     days: int) -> tuple[DataFrame, str]:
-    """Write the recent partitions of a day-partitioned table to a new
-    location (then swap it in); returns (kept / purged row counts, path)."""
+def purge_partitions(spark: SparkSession, path: str, day_col: str, as_of: Column, days: int) -> DataFrame:
+    """Drop the day partitions older than as_of − days from a day-partitioned
+    table, in place; returns (retention, n_rows, first_day, last_day) of what
+    went and what stayed, counted before and read back after.
+
+    Only whole partition folders go: no kept row is rewritten or moved, a reader
+    sees each day whole or not at all, and a purge that dies half-way is
+    finished by the next one.  Rows without a day are older than any day that
+    is kept and go too."""
+    files = Files(spark, path)
     df = spark.read.parquet(path)
-    lab = retention(df, ts_partition, as_of, days)
-    counts = lab.groupBy("retention").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
-    keep = lab.filter(F.col("retention") == "kept").drop("retention")
-    new_path = path.rstrip("/") + "-kept-" + uuid.uuid4().hex[:8]
-    keep.write.mode("overwrite").partitionBy(ts_partition).parquet(new_path)
-    return counts, new_path
+    cut = spark.range(1).select(F.timestamp_add("DAY", F.lit(-days), as_of).cast("string").alias("c")).first()["c"]
+    n = F.count(F.lit(1)).cast("long").alias("n_rows")
+    spans = [n, F.min(day_col).cast("date").alias("first_day"), F.max(day_col).cast("date").alias("last_day")]
+    stays = F.coalesce(F.col(day_col) >= F.lit(cut).cast("timestamp_ntz"), F.lit(False))
+    gone = df.filter(~stays).agg(*spans).collect()
+    for folder in files.names(path):  # one name a day
+        value = folder.removeprefix(f"{day_col}=")
+        if value != folder and (value == "__HIVE_DEFAULT_PARTITION__" or value < cut[:10] or (value == cut[:10] and cut[10:] > " 00:00:00")):
+            files.delete(f"{path.rstrip('/')}/{folder}")
+    spark.catalog.refreshByPath(path)
+    schema = "n_rows long, first_day date, last_day date"
+    left = spark.read.schema(df.schema).parquet(path).agg(*spans)
+    return spark.createDataFrame(gone, schema).withColumn("retention", F.lit("purged")) \
+        .unionByName(left.withColumn("retention", F.lit("kept"))).filter("n_rows > 0")
 
 
 def tier(df: DataFrame, ts: str, as_of: Column, hot_days: int = 90) -> DataFrame:

@@ -9,15 +9,15 @@ instants for watermarks and converted back on output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.functions.core import instant_to_ntz, ntz_to_instant
+from vigil.session import settings
 from vigil.sources.sinks import scratch_dir
+from vigil.sources.versioned import VersionedTable
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -32,23 +32,27 @@ def event_stream(spark: SparkSession, directory: str, name: str = "events", sche
     return r.parquet(directory).withColumn("ets", ntz_to_instant("ts"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", conf: Mapping[str, str] | None = None,
+                 folder: str | None = None) -> DataFrame:
     """Run a streaming query to completion (availableNow) into a parquet
-    sink; return the sink contents."""
+    sink; return the sink contents.  A ``folder`` given again goes on from its
+    checkpoint: only new input is read, and the sink grows."""
     spark = stream.sparkSession
-    out, ck = scratch_dir(spark, f"st-{name}"), scratch_dir(spark, f"ck-{name}")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    home = folder or scratch_dir(spark, f"st-{name}")
+    with settings(spark, conf or {}):
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/out")
+             .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
-def run_foreach(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None]) -> list[dict]:
+def run_foreach(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None], folder: str | None = None) -> list[dict]:
     """Run with ``foreachBatch`` (availableNow); returns the progress report
     of every batch.  The query itself only remembers its latest reports, so
-    they are gathered during the run."""
+    they are gathered during the run.  A ``folder`` given again goes on from
+    its checkpoint."""
     spark = stream.sparkSession
-    ck = scratch_dir(spark, f"ck-{name}")
+    ck = folder or scratch_dir(spark, f"ck-{name}")
     seen: dict[int, dict] = {}
     running: list = []
 
@@ -84,6 +88,21 @@ def windowed_profile(events: DataFrame, window: str = "1 hour", delay: str = "10
                     F.round("mean", 9).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
+def windowed_sketches(events: DataFrame, column: str = "value", distinct: str = "user_id", window: str = "1 hour",
+                      delay: str = "10 minutes", k: int = 200) -> DataFrame:
+    """st_profile, sketches: per window and type a mergeable row — exact
+    count, sum, min and max, a KLL quantile sketch (rank error about 1.65 / k)
+    and an HLL distinct sketch (standard error about 1.6 %).  The state of a
+    window is its sketches, merged map-side and over batches; rows merge again
+    over windows with ``merge_sketches``."""
+    x = F.col(column).cast("double")
+    x = F.when(~F.isnan(x), x)
+    a = events.withWatermark("ets", delay).groupBy(F.window("ets", window), "event_type").agg(
+        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"),
+        F.kll_sketch_agg_double(x, F.lit(k)).alias("kll"), F.hll_sketch_agg(F.col(distinct)).alias("hll"))
+    return a.select(*_window_cols(), "event_type", "n", "min", "max", "sum", "kll", "hll")
+
+
 def sliding_behaviour(events: DataFrame, length: str = "1 hour", slide: str = "5 minutes",
                       delay: str = "10 minutes") -> DataFrame:
     """st_behavior_1h: sliding-window behaviour counts per user."""
@@ -104,33 +123,46 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minute
                     "n_views", "n_purchases")
 
 
-def windowed_bins(events: DataFrame, lo: float, hi: float, n_bins: int = 10, window: str = "1 day",
-                  delay: str = "10 minutes") -> DataFrame:
-    """st_drift_psi, streaming part: per window, counts in the reference
-    bins (fixed edges; values outside are clamped to the end bins)."""
-    b = F.least(F.greatest(F.floor(F.lit(float(n_bins)) * (F.col("value") - lo) / (hi - lo)), F.lit(0)),
-                F.lit(n_bins - 1)).cast("int")
-    x = events.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("bin", b)
-    a = x.withWatermark("ets", delay).groupBy(F.window("ets", window), "bin").agg(F.count(F.lit(1)).alias("n"))
-    return a.select(*_window_cols(), "bin", "n")
-
-
-def psi_per_window(bins: DataFrame, ref_hist: DataFrame, n_bins: int = 10) -> DataFrame:
-    """PSI of every window's histogram against the reference histogram
-    (batch step over the stream's output; shares floored at 1e-4)."""
-    spine = bins.select("window_start", "window_end").distinct() \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    cur = spine.join(bins, ["window_start", "window_end", "bin"], "left").fillna(0, ["n"])
-    tot = cur.groupBy("window_start").agg(F.sum("n").alias("_t"))
-    rt = ref_hist.agg(F.sum("n").alias("_rt"))
-    j = cur.join(tot, "window_start").join(ref_hist.select("bin", F.col("n").alias("rn")), "bin", "left") \
-        .withColumn("_k", F.lit(1)).join(F.broadcast(rt.withColumn("_k", F.lit(1))), "_k")
-    p = F.coalesce(F.col("rn"), F.lit(0)) / F.col("_rt")
-    q = F.col("n") / F.col("_t")
-    p = F.when(p == 0, 1e-4).otherwise(p)
-    q = F.when(q == 0, 1e-4).otherwise(q)
-    out = j.groupBy("window_start", "window_end").agg(F.sum((q - p) * F.log(q / p)).alias("_psi"))
-    return out.select("window_start", "window_end", F.round("_psi", 9).alias("psi"), (F.col("_psi") > 0.1).alias("drifted"))
+def reference_shares(ref: DataFrame, column: str, n_bins: int = 10) -> tuple[float, float, list[float]]:
+    """(lo, hi, share of each of ``n_bins`` equal-width bins) of a static
+    table: what a stream compares its windows with.  Two aggregates; nulls and
+    NaN are left out; without values the range is 0 to 1 and all shares 0."""
+    x = F.col(column)
+    known = ref.filter(x.isNotNull() & ~F.isnan(x))
+    lo, hi = known.agg(F.min(x), F.max(x)).first()
+    lo, hi = (0.0, 1.0) if lo is None else (float(lo), float(hi))
+    counts = known.agg(*[F.count_if(bin_of(x, lo, hi, n_bins) == i).alias(f"b{i}") for i in range(n_bins)]).first()
+    total = sum(counts)
+    return lo, hi, [c / total if total else 0.0 for c in counts]
+
+
+def bin_of(x: Column, lo: float, hi: float, n_bins: int) -> Column:
+    """Equal-width bin of a value; values outside go to the end bins, and one
+    bin holds all where the range is a point."""
+    if hi <= lo:
+        return F.lit(0)
+    return F.least(F.greatest(F.floor(F.lit(float(n_bins)) * (x - lo) / (hi - lo)), F.lit(0)), F.lit(n_bins - 1)).cast("int")
+
+
+def windowed_psi(events: DataFrame, column: str, lo: float, hi: float, shares: Sequence[float], window: str = "1 day",
+                 delay: str = "10 minutes", threshold: float = 0.1) -> DataFrame:
+    """st_drift_psi: the PSI of every window against the reference shares,
+    emitted by the stream when the watermark closes the window.  A window's
+    state is one row of bin counts; shares of 0 count as 1e-4."""
+    x, n_bins = F.col(column), len(shares)
+    known = events.filter(x.isNotNull() & ~F.isnan(x)).withColumn("bin", bin_of(x, lo, hi, n_bins))
+    a = known.withWatermark("ets", delay).groupBy(F.window("ets", window)).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(n_bins)])
+
+    def term(i: int) -> Column:
+        p = shares[i] or 1e-4
+        q = F.when(F.col(f"b{i}") == 0, 1e-4).otherwise(F.col(f"b{i}") / F.col("n"))
+        return (q - p) * F.log(q / p)
+
+    total = term(0)
+    for i in range(1, n_bins):
+        total = total + term(i)
+    return a.select(*_window_cols(), F.round(total, 9).alias("psi"), (total > threshold).alias("drifted"))
 
 
 # Latency histogram buckets (seconds)
@@ -141,14 +173,18 @@ def bucket_name(b: float) -> str:
     return "le_" + (f"{b:g}".replace(".", "_"))
 
 
-def request_metrics(requests: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """st_request_metrics: per window and model — requests, errors and the
-    cumulative latency histogram (Prometheus-style ``le`` buckets)."""
+def request_metrics(requests: DataFrame, window: str = "1 hour", delay: str = "10 minutes",
+                    labels: Sequence[str] = ("model",)) -> DataFrame:
+    """st_request_metrics: per window and label values (model, version,
+    endpoint, status, …) — requests, errors and the cumulative latency
+    histogram (Prometheus-style ``le`` buckets, the last of which, unbounded, is the
+    number of requests)."""
     lat = F.col("latency_s")
-    a = (requests.withWatermark("ets", delay).groupBy(F.window("ets", window), "model")
+    a = (requests.withWatermark("ets", delay).groupBy(F.window("ets", window), *labels)
          .agg(F.count(F.lit(1)).alias("n_requests"), F.count_if(F.col("status") == "error").alias("n_errors"),
-              *[F.count_if(lat <= b).alias(bucket_name(b)) for b in LATENCY_BUCKETS]))
-    return a.select(*_window_cols(), "model", "n_requests", "n_errors", *[bucket_name(b) for b in LATENCY_BUCKETS])
+              F.sum(lat).alias("sum_s"), *[F.count_if(lat <= b).alias(bucket_name(b)) for b in LATENCY_BUCKETS]))
+    summed = [F.round("sum_s", 6).alias("latency_sum_s")] if tuple(labels) != ("model",) else []
+    return a.select(*_window_cols(), *labels, "n_requests", "n_errors", *summed, *[bucket_name(b) for b in LATENCY_BUCKETS])
 
 
 def request_p95(requests: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -160,8 +196,11 @@ def request_p95(requests: DataFrame, window: str = "1 hour", delay: str = "10 mi
 
 def as_requests(events: DataFrame) -> DataFrame:
     """Inference-log view of events: model = event type, latency = value ms,
-    status error when latency > 250 ms."""
+    status error when latency > 250 ms, three versions by user, two endpoints
+    by event."""
     return events.select("ets", "ts", F.col("event_type").alias("model"), (F.col("value") / 1000.0).alias("latency_s"),
+                         F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("version"),
+                         F.when(F.col("event_id") % 2 == 0, "predict").otherwise("explain").alias("endpoint"),
                          F.when(F.col("value") > 250, "error").otherwise("ok").alias("status"))
 
 
@@ -170,17 +209,21 @@ def dedup_within_watermark(events: DataFrame, key: str = "event_id", delay: str
     return events.withWatermark("ets", delay).dropDuplicatesWithinWatermark([key])
 
 
-def label_join(preds: DataFrame, labels: DataFrame, within: str = "2 hours", delay: str = "10 minutes") -> DataFrame:
+def label_join(preds: DataFrame, labels: DataFrame, within: str = "2 hours", delay: str = "10 minutes",
+               how: str = "left_outer") -> DataFrame:
     """st_label_join: predictions joined with labels of the same user that
     arrive within ``within`` after the prediction (stream–stream interval
-    join, both sides watermarked so state is bounded)."""
+    join, both sides watermarked so state is bounded).  A prediction that got
+    no label comes once, with null label columns, when the watermark has
+    passed the end of its interval; ``how="inner"`` leaves it out.  A null user
+    matches no label."""
     p = preds.select(F.col("event_id").alias("pred_id"), F.col("user_id").alias("p_user"), F.col("ets").alias("p_ets"),
                      F.col("ts").alias("pred_ts")).withWatermark("p_ets", delay)
     lab = labels.select(F.col("event_id").alias("label_id"), F.col("user_id").alias("l_user"), F.col("ets").alias("l_ets"),
                         F.col("ts").alias("label_ts")).withWatermark("l_ets", delay)
     cond = (F.col("p_user") == F.col("l_user")) & (F.col("l_ets") >= F.col("p_ets")) & \
         (F.col("l_ets") <= F.col("p_ets") + F.expr(f"INTERVAL {within}"))
-    j = p.join(lab, cond, "inner")
+    j = p.join(lab, cond, how)
     return j.select("pred_id", F.col("p_user").alias("user_id"), "pred_ts", "label_id", "label_ts")
 
 
@@ -192,68 +235,16 @@ def rate_limit(requests: DataFrame, key: str, limit: int, window: str = "1 minut
     return a.filter(F.col("n") > limit).select(*_window_cols(), key, "n")
 
 
-def consecutive_breaches(series: DataFrame, key: str, ts: str, breach: str, n: int = 3) -> DataFrame:
-    """st_consecutive_breach: rows at which a key's run of consecutive
-    breaches reaches ``n`` or more.  Per-key counter kept in streaming state
-    (``applyInPandasWithState``); rows of a key are processed in time order
-    within each micro-batch."""
-    out_schema = f"{key} string, {ts} timestamp_ntz, streak long"
-    state_schema = "streak long"
-
-    def fn(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = []
-        parts = [p for p in pdfs]
-        if parts:
-            pdf = pd.concat(parts).sort_values(ts)
-            for t, b in zip(pdf[ts], pdf[breach]):
-                streak = streak + 1 if b else 0
-                if streak >= n:
-                    rows.append((k[0], t, streak))
-        state.update((streak,))
-        yield pd.DataFrame(rows, columns=[key, ts, "streak"])
-    return series.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
-
-
-def online_upsert(stream: DataFrame, keys: Sequence[str], ts: str, table_dir: str, tie: str | None = None):
-    """st_online_upsert: a foreachBatch that merges each micro-batch's
-    latest rows per key into the online table (newer ts wins).  Each batch
-    writes a new version directory ``v<batch>``; readers take the newest."""
-    from vigil.operators.featurestore import latest_per_key, materialize_incremental
-
+def online_upsert(online: VersionedTable, ts: str, tie: str | None = None, source: str = "") -> Callable[[DataFrame, int], None]:
+    """st_online_upsert: a foreachBatch that merges each micro-batch's latest
+    rows per key into the online table (newer ts wins).  A batch rewrites only
+    the buckets it touches, and one that is tried again adds nothing; readers
+    follow the newest complete version."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest = latest_per_key(batch, keys, ts, tie)
-        # versions written by earlier batches only: a retried batch ignores
-        # whatever its failed attempt left behind and overwrites it
-        prev = _latest_version(spark, table_dir, before=batch_id)
-        merged = materialize_incremental(spark.read.parquet(prev), latest, keys, ts, tie) if prev else latest
-        merged.write.mode("overwrite").parquet(f"{table_dir}/v{batch_id:08d}")
+        online.merge(batch, ts, tie, batch_id, source)
     return merge
 
 
-def _latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")
-                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if before is not None:
-        names = [n for n in names if int(n[1:]) < before]
-    return f"{table_dir}/{names[-1]}" if names else None
-
-
-def read_online(spark: SparkSession, table_dir: str) -> DataFrame:
-    v = _latest_version(spark, table_dir)
-    if v is None:
-        raise FileNotFoundError(table_dir)
-    return spark.read.parquet(v)
-
-
 def quality_gate(rules: Mapping[str, str], good_dir: str, bad_dir: str):
     """st_quality_gate: foreachBatch that quarantines failing rows of each
     micro-batch (same one-pass rule tagging as the batch gate).  Each batch
