@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +110,12 @@ def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (),
     return df.select(*sel).unpivot(list(ids), list(columns), name_col, value_col)
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Every row of ``df`` with the columns of the one-row table ``row`` (a
+    keyed join on a constant, so no cartesian product is planned)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def materialised(small: DataFrame) -> DataFrame:
     """A derived table (edges, brackets, per-segment statistics) computed once
     and kept in the shared checkpoint folder.  Its size is known when it is
@@ -148,50 +154,66 @@ def check_unique_columns(df: DataFrame) -> None:
 # Ordered cumulative counts without a single-partition window.
 # ---------------------------------------------------------------------------
 
-def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str,
-               sum_cols: Sequence[str], buckets: int = 32,
-               accuracy: int = 512) -> DataFrame:
-    """Running sums of ``sum_cols`` ordered by ``order_col`` within ``keys``.
+def cell(columns: Sequence[str]) -> Column:
+    """The columns as one struct: a join or window key that is never null, in
+    which null parts equal each other."""
+    return F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("all"))
+
+
+def cumulative(counts: DataFrame, keys: Sequence[str], order_col: str, sum_cols: Sequence[str],
+               ranges: int | None = None) -> DataFrame:
+    """Running sums of ``sum_cols`` ordered by ``order_col`` within ``keys``
+    (null keys are a group of their own).
 
     ``counts`` should hold one row per (keys, order value) — e.g. the output
     of a ``groupBy(keys, value).count()`` — so a hot value is one row.  A
     plain ``Window.partitionBy(keys)`` would put each key's rows into one
-    task; instead each key's value range is cut into ``buckets`` ranges at
-    approximate quantiles (they only balance the ranges, so a coarse sketch
-    suffices; results do not depend on them), per-range totals are prefix-summed (a table of
-    keys x buckets rows) and joined back as offsets, and the window runs per
-    (key, range).  Output columns: all input columns, ``cum_<c>`` (running
-    sum including the row) and ``tot_<c>`` (the key's total).
-    """
-    keys = list(keys)
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    probs = [i / buckets for i in range(1, buckets)]
-    # one aggregate gives the range edges and the key totals: one row per key
-    edge_expr = (F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy) if probs
-                 else F.array().cast("array<double>"))
-    edges = counts.groupBy(*keys).agg(edge_expr.alias("_edges"), *[F.sum(c).alias(f"tot_{c}") for c in sum_cols])
-    tagged = counts.join(materialised(edges), keys, "left")
-    tagged = tagged.withColumn(
-        "_bucket",
-        F.size(F.filter(F.coalesce(F.col("_edges"), F.array().cast("array<double>")),
-                        lambda e: e < F.col(order_col).cast("double")))
-    ).drop("_edges")
-    per_bucket = tagged.groupBy(*keys, "_bucket").agg(
-        *[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *keys, "_bucket",
-        *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    joined = tagged.join(materialised(offsets), keys + ["_bucket"], "left")
-    w = (Window.partitionBy(*keys, "_bucket").orderBy(order_col)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    out = joined.select(
-        *[F.col(c) for c in counts.columns if c != "_all"],
+    task; instead the rows are range-partitioned by (keys, order value) and kept
+    in the checkpoint folder, so a large key spans as many ranges as its size
+    asks for (``ranges`` in all, by default the engine's choice from the
+    data's size).  The sums of each (key, range) are prefix-summed — a key's
+    rows there are the ranges it spans — and joined back as offsets, and the window
+    runs per (key, range).  Output columns: all input columns, ``cum_<c>``
+    (running sum including the row) and ``tot_<c>`` (the key's total)."""
+    by = [F.col("_cell"), F.col(order_col)]
+    x = counts.withColumn("_cell", cell(list(keys)))
+    x = x.repartitionByRange(ranges, *by) if ranges else x.repartitionByRange(*by)
+    x = materialised(x.withColumn("_range", F.spark_partition_id()))
+    part = x.groupBy("_cell", "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
+    key = Window.partitionBy("_cell")
+    before = key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select("_cell", "_range",
+                          *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+                          *[F.sum(f"_s_{c}").over(key).alias(f"tot_{c}") for c in sum_cols])
+    w = Window.partitionBy("_cell", "_range").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(offsets, ["_cell", "_range"]).select(
+        *[F.col(c) for c in counts.columns],
         *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols],
         *[F.col(f"tot_{c}") for c in sum_cols])
-    return out
+
+
+def distinct_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """One row with the exact number of distinct values of each named
+    expression, nulls left out.
+
+    Every value becomes (column number, 128 bits of hash): grouping those
+    combines repeats before the shuffle and spreads any column over all tasks,
+    and a second, tiny aggregate counts the groups.  Several ``count(DISTINCT)``
+    in one aggregate would copy whole rows once a column instead.  Two values
+    are taken for one only if both 64-bit hashes agree."""
+    names = list(columns)
+    if not names:
+        return df.sparkSession.range(1).select()
+    values = df.select(*[columns[n].alias(f"v{i}") for i, n in enumerate(names)])
+    each = []
+    for i, field in enumerate(values.schema.fields):
+        v = F.col(field.name)
+        if isinstance(field.dataType, FLOAT_TYPES):
+            v = F.when(v == 0, F.lit(0.0).cast(field.dataType)).otherwise(v)  # -0.0 is 0.0
+        each.append(F.when(F.col(field.name).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(v).alias("h1"),
+                                                                   F.xxhash64(F.lit(i + 1), v).alias("h2"))))
+    groups = values.select(F.explode(F.array_compact(F.array(*each))).alias("x")).groupBy("x.i", "x.h1", "x.h2").agg(F.lit(1).alias("one"))
+    return groups.agg(*[F.count_if(F.col("i") == i).alias(n) for i, n in enumerate(names)])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -222,7 +244,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Sequence[str] = (),
-                          buckets: int = 32) -> DataFrame:
+                          ranges: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default, DuckDB
     ``quantile_cont``) from :func:`value_counts` output.
 
@@ -233,7 +255,7 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Seque
     """
     keys = list(keys)
     jk = keys + ["feature"]
-    cum = cumulative(counts, jk, "value", ["n"], buckets=buckets)
+    cum = cumulative(counts, jk, "value", ["n"], ranges)
     # a distinct value covers ranks [cum_n - n, cum_n - 1] of its feature
     rng = cum.select(*jk, "value", (F.col("cum_n") - F.col("n")).alias("r0"),
                      (F.col("cum_n") - 1).alias("r1"), F.col("tot_n").alias("total"))
@@ -251,122 +273,109 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], keys: Seque
     return g.select(*jk, "p", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
-def _table_quantiles(df: DataFrame, columns: Sequence[str], ps: list[float], accuracy: int, margin: float,
-                     buckets: int) -> DataFrame:
-    """:func:`exact_quantiles` of whole columns.  The brackets (one per column
-    and probability) become literals: the second scan counts the values
-    below each bracket in one wide aggregate and only values inside a
-    bracket leave their row."""
+#: Values that a bracket holds at most when its quantile is picked.
+BRACKET_ROWS = 100_000
+
+
+def _table_quantiles(df: DataFrame, columns: Sequence[str], ps: list[float], accuracy: int, margin: float, most: int) -> DataFrame:
+    """:func:`exact_quantiles` of whole columns, by distributed selection.
+
+    A bracket [lo, hi] per column and probability is verified by counting the
+    values below and inside it, and narrowed by a sketch of the values inside
+    until it holds at most ``most`` of them (or one value alone): a round
+    leaves some 1 / 1000 of them, so a trillion rows take three.  Brackets are
+    literals of wide aggregates; only the values of the last ones leave their
+    row.  A bracket that misses its ranks or stops halving is given up, and its
+    quantile comes from the full ranking in ranges."""
     spark = df.sparkSession
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+    x = [F.when(present(df, c), F.col(c).cast("double")) for c in columns]
     eps = margin / accuracy
-    bps = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-eps, eps)})
-    val = {c: F.when(present(df, c), F.col(c).cast("double")) for c in columns}
-    first = df.agg(*[F.count(val[c]).alias(f"n{i}") for i, c in enumerate(columns)],
-                   *[F.percentile_approx(val[c], bps, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]).first()
-    cells = []  # (feature number, p, lo, hi, position)
+
+    def around(rank: float, n: int) -> list[float]:
+        return [min(1.0, max(0.0, rank / max(1, n - 1) + d)) for d in (-eps, eps)]
+
+    first = df.agg(*[e for i in range(len(columns)) for e in (
+        F.count(x[i]).alias(f"n{i}"),
+        F.percentile_approx(x[i], [b for p in ps for b in (max(0.0, p - eps), min(1.0, p + eps))], accuracy).alias(f"b{i}"))]).first()
+    cells = {}  # (feature number, p): bracket, target position, values below and inside
     for i in range(len(columns)):
-        for p in ps:
+        for j, p in enumerate(ps):
             if first[f"n{i}"]:
-                cells.append((i, p, first[f"b{i}"][bps.index(min(1.0, max(0.0, p - eps)))],
-                              first[f"b{i}"][bps.index(min(1.0, max(0.0, p + eps)))], (first[f"n{i}"] - 1) * p))
-    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("q", T.DoubleType())])
+                lo, hi = first[f"b{i}"][2 * j:2 * j + 2]
+                cells[i, p] = {"lo": lo, "hi": hi, "h": (first[f"n{i}"] - 1) * p}
     if not cells:
         return spark.createDataFrame([], schema)
-    below = df.agg(*[F.count_if(val[columns[i]] < lo).alias(f"c{k}") for k, (i, _, lo, _, _) in enumerate(cells)]).first()
-    inside = F.array(*[F.when(val[columns[i]].between(lo, hi), F.struct(F.lit(k).alias("k"), val[columns[i]].alias("v")))
-                       for k, (i, _, lo, hi, _) in enumerate(cells)])
+    todo, left_over = list(cells), set()
+    while todo:
+        got = df.agg(*[e for k, c in enumerate(todo) for e in (
+            F.count_if(x[c[0]] < cells[c]["lo"]).alias(f"b{k}"), F.count_if(x[c[0]].between(cells[c]["lo"], cells[c]["hi"])).alias(f"i{k}"))]).first()
+        wide = []
+        for k, c in enumerate(todo):
+            below, inside = got[f"b{k}"], got[f"i{k}"]
+            held = below <= math.floor(cells[c]["h"]) and math.ceil(cells[c]["h"]) < below + inside
+            if not held or 2 * inside > cells[c].get("inside", math.inf):
+                left_over.add(c)  # the sketch missed, or the values inside are too alike to part: ranked below
+                continue
+            cells[c].update(below=below, inside=inside)
+            if inside > most and cells[c]["lo"] < cells[c]["hi"]:
+                wide.append(c)
+        if not wide:
+            break
+        got = df.agg(*[F.percentile_approx(F.when(x[c[0]].between(cells[c]["lo"], cells[c]["hi"]), x[c[0]]),
+                                           around(cells[c]["h"] - cells[c]["below"], cells[c]["inside"]), accuracy).alias(f"b{k}")
+                       for k, c in enumerate(wide)]).first()
+        for k, c in enumerate(wide):
+            cells[c].update(lo=got[f"b{k}"][0], hi=got[f"b{k}"][1])
+        todo = wide
+    full = None
+    if left_over:
+        names = [columns[i] for i in sorted({i for i, _ in left_over})]
+        full = quantiles_from_counts(value_counts(df, names), ps).select("feature", F.col("p").cast("double"), "q")
+        full = full.join(F.broadcast(spark.createDataFrame([(columns[i], p) for i, p in left_over], "feature string, p double")), ["feature", "p"], "left_semi")
+        for c in left_over:
+            del cells[c]
+        if not cells:
+            return full
+    order = list(cells)
+    inside = F.array(*[F.when(x[c[0]].between(cells[c]["lo"], cells[c]["hi"]), F.struct(F.lit(k).alias("k"), x[c[0]].alias("v")))
+                       for k, c in enumerate(order)])
     each = df.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.element_at(F.array(*[F.lit(below[f"c{k}"]) for k in range(len(cells))]), F.col("k") + 1)
-    low = F.element_at(F.array(*[F.lit(math.floor(h)) for *_, h in cells]), F.col("k") + 1)
-    high = F.element_at(F.array(*[F.lit(math.ceil(h)) for *_, h in cells]), F.col("k") + 1)
-    r1 = start + F.col("cum") - 1
-    r0 = r1 - F.col("c") + 1
+
+    def by_cell(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("k") + 1)
+
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` values a bracket
+    low, high = by_cell([math.floor(cells[c]["h"]) for c in order]), by_cell([math.ceil(cells[c]["h"]) for c in order])
+    upto = by_cell([cells[c]["below"] for c in order]) + F.col("cum") - 1
+    since = upto - F.col("c") + 1
     got = {r["k"]: r for r in each.withColumn("cum", F.sum("c").over(w)).groupBy("k").agg(
-        F.max(F.when((r0 <= low) & (r1 >= low), F.col("v"))).alias("lo"),
-        F.max(F.when((r0 <= high) & (r1 >= high), F.col("v"))).alias("hi")).collect()}
-    rows, missed = [], set()
-    for k, (i, p, _, _, h) in enumerate(cells):
-        r = got.get(k)
-        if r is None or r["lo"] is None or r["hi"] is None:
-            missed.add(columns[i])
-        else:
-            rows.append((columns[i], p, r["lo"] + (h - math.floor(h)) * (r["hi"] - r["lo"])))
-    out = spark.createDataFrame([r for r in rows if r[0] not in missed], schema)
-    if missed:  # a bracket missed its ranks: full distributed ranking of those columns
-        fb = quantiles_from_counts(value_counts(df, [c for c in columns if c in missed]), ps, (), buckets)
-        out = out.unionByName(fb.select("feature", F.col("p").cast("double"), "q"))
-    return out
+        F.max(F.when((since <= low) & (upto >= low), F.col("v"))).alias("lo"),
+        F.max(F.when((since <= high) & (upto >= high), F.col("v"))).alias("hi")).collect()}
+    out = spark.createDataFrame([(columns[c[0]], c[1], got[k]["lo"] + (cells[c]["h"] - math.floor(cells[c]["h"])) * (got[k]["hi"] - got[k]["lo"]))
+                                 for k, c in enumerate(order)], schema)
+    return out if full is None else out.unionByName(full)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     keys: Sequence[str] = (), accuracy: int = 10000, margin: float = 4.0,
-                    buckets: int = 32) -> DataFrame:
+                    ranges: int | None = None, most: int = BRACKET_ROWS) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas default, DuckDB
-    ``quantile_cont``) of several columns, missing values dropped.
-
-    Two passes over the data and no shuffle of the distinct values:
-    (1) one aggregate per feature with a quantile sketch gives, for every
-    requested p, a bracket [lo, hi] around the target ranks (sketch rank
-    error 1/accuracy, bracket ±margin/accuracy); (2) a second scan counts
-    the values below each bracket and groups the few values inside it by
-    value, which are ranked exactly.  The bracket is verified to hold the
-    target ranks; a feature whose bracket missed falls back to the full
-    distributed ranking (:func:`quantiles_from_counts`).  The result (one
-    row per feature and p) is small and is returned materialised.
-    """
+    ``quantile_cont``) of several columns as doubles, missing values dropped:
+    (keys..., feature, p, q).  A column or group without values has no row;
+    null keys are a group like any other.
+
+    Whole columns are selected by narrowing brackets
+    (:func:`_table_quantiles`): two scans for up to some 10^8 rows, one more
+    for each further factor of 1000, and a result of one row per (feature, p).
+    With ``keys`` the distinct values are ranked in ranges
+    (:func:`quantiles_from_counts`), so a group of any size spreads over many tasks;
+    that result is an ordinary table, of as many rows as there are groups."""
+    ps = [float(p) for p in probs]
     if not keys:
-        return _table_quantiles(df, columns, [float(p) for p in probs], accuracy, margin, buckets)
+        return _table_quantiles(df, columns, ps, accuracy, margin, most)
     keys = list(keys)
-    jk = keys + ["feature"]
-    spark = df.sparkSession
-    lf = long_form(df, columns, keys).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    eps = margin / accuracy
-    ps = [float(p) for p in probs]
-    bps = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-eps, eps)})
-    sk = lf.groupBy(*jk).agg(F.count(F.lit(1)).alias("_n"),
-                             F.percentile_approx("value", bps, accuracy).alias("_b"))
-    idx = {b: i for i, b in enumerate(bps)}
-    br = sk.select(*jk, "_n", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("p"),
-                 F.col("_b")[idx[min(1.0, max(0.0, p - eps))]].alias("lo"),
-                 F.col("_b")[idx[min(1.0, max(0.0, p + eps))]].alias("hi")) for p in ps])).alias("_s")) \
-        .select(*jk, "_n", "_s.*")
-    br = br.withColumn("h", (F.col("_n") - 1) * F.col("p"))
-    # brackets: one row per (key, feature, p)
-    br = materialised(br)
-    x = lf.join(br, jk)
-    inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    # one grouping: values inside the bracket by value, and (value = null)
-    # the count of values below the bracket
-    y = x.filter(inside | (F.col("value") < F.col("lo"))) \
-        .groupBy(*jk, "p", F.when(inside, F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("_c"))
-    below = y.filter(F.col("v").isNull()).select(*jk, "p", F.col("_c").alias("_below"))
-    cand = y.filter(F.col("v").isNotNull())
-    w = Window.partitionBy(*jk, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cand.withColumn("_cum", F.sum("_c").over(w)).join(below, jk + ["p"], "left") \
-        .withColumn("_below", F.coalesce("_below", F.lit(0)))
-    r0 = F.col("_below") + F.col("_cum") - F.col("_c")
-    r1 = F.col("_below") + F.col("_cum") - 1
-    hb = br.select(*jk, "p", "h")
-    ranked = ranked.join(hb, jk + ["p"])
-    lo_k, hi_k = F.floor("h"), F.ceil("h")
-    g = ranked.groupBy(*jk, "p").agg(
-        F.max(F.when((r0 <= lo_k) & (r1 >= lo_k), F.col("v"))).alias("v_lo"),
-        F.max(F.when((r0 <= hi_k) & (r1 >= hi_k), F.col("v"))).alias("v_hi"))
-    res = hb.join(g, jk + ["p"], "left").select(
-        *jk, "p", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("q"),
-        (F.col("v_lo").isNotNull() & F.col("v_hi").isNotNull()).alias("_ok"))
-    rows = res.collect()
-    schema = res.select(*jk, "p", "q").schema
-    out = spark.createDataFrame([tuple(r[c] for c in jk) + (r["p"], r["q"]) for r in rows if r["_ok"]], schema)
-    missed = {r["feature"] for r in rows if not r["_ok"]}
-    if missed:
-        # exact fallback for the features whose bracket missed its ranks
-        fb = quantiles_from_counts(value_counts(df, [c for c in columns if c in missed], keys), ps, keys, buckets)
-        fb = fb.join(out.select(*jk).distinct(), jk, "left_anti")
-        out = out.unionByName(spark.createDataFrame(fb.collect(), schema))
-    return out
+    return quantiles_from_counts(value_counts(df, columns, keys), ps, keys, ranges).select(*keys, "feature", F.col("p").cast("double"), "q")
 
 
 def top_k(counts: DataFrame, group: Sequence[str], k: int, order: Sequence[Column],

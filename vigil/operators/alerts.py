@@ -18,7 +18,8 @@ from collections.abc import Sequence  # noqa: E402
 from pyspark.errors import AnalysisException  # noqa: E402
 from pyspark.sql import Window  # noqa: E402
 
-from vigil.functions.core import ntz_micros  # noqa: E402
+from vigil.functions.core import cell, materialised, ntz_micros  # noqa: E402
+from vigil.session import settings  # noqa: E402
 
 # Default alert rules (name, condition, severity, channels)
 DEFAULT_RULES = [
@@ -37,15 +38,34 @@ def evaluate_rules(metrics: DataFrame, rules: Sequence[tuple], keys: Sequence[st
     """Evaluate rules (any SQL condition over the columns) over a wide metric
     table; one alert row per firing rule and channel.  A rule that Spark's
     analyzer cannot resolve on the table never fires; see
-    :func:`unresolved_rules`."""
+    :func:`unresolved_rules`.  A condition without a value on a row (a null
+    input, a division by zero, a text that is no number) does not fire on that
+    row and stops no other rule; see :func:`undecided_rules`."""
+    flags = [F.struct(F.lit(name).alias("rule"), F.lit(sev).alias("severity"), F.array(*[F.lit(c) for c in chans]).alias("channels"),
+                      F.coalesce(cond, F.lit(False)).alias("fired")) for name, cond, sev, chans in _conditions(metrics, rules)]
+    with settings(metrics.sparkSession, LENIENT):
+        x = metrics.select(*keys, ts, F.explode(F.array(*flags)).alias("r"))
+    return x.filter("r.fired").select(*keys, ts, "r.rule", "r.severity", F.explode("r.channels").alias("channel"))
+
+
+def undecided_rules(metrics: DataFrame, rules: Sequence[tuple], keys: Sequence[str], ts: str) -> DataFrame:
+    """(keys, ts, rule) of the rows on which a rule that resolves has no value:
+    the report that goes with :func:`evaluate_rules`."""
     unresolved = {r[0] for r in unresolved_rules(metrics, rules)}
-    flags = []
-    for name, cond, sev, chans in rules:
-        fire = F.coalesce(F.expr(_sql(cond)), F.lit(False)) if name not in unresolved else F.lit(False)
-        flags.append(F.struct(F.lit(name).alias("rule"), F.lit(sev).alias("severity"),
-                              F.array(*[F.lit(c) for c in chans]).alias("channels"), fire.alias("fired")))
-    x = metrics.select(*keys, ts, F.explode(F.array(*flags)).alias("r")).filter("r.fired")
-    return x.select(*keys, ts, "r.rule", "r.severity", F.explode("r.channels").alias("channel"))
+    names = [F.when(cond.isNull(), F.lit(name)) for name, cond, *_ in _conditions(metrics, rules) if name not in unresolved]
+    with settings(metrics.sparkSession, LENIENT):
+        return metrics.select(*keys, ts, F.explode(F.array_compact(F.array(*names, F.lit(None).cast("string")))).alias("rule"))
+
+
+#: Conditions are analysed so that what cannot be computed is null (the mode is
+#: fixed when an expression is resolved, whatever the session does later).
+LENIENT = {"spark.sql.ansi.enabled": "false"}
+
+
+def _conditions(metrics: DataFrame, rules: Sequence[tuple]) -> list[tuple]:
+    unresolved = {r[0] for r in unresolved_rules(metrics, rules)}
+    return [(name, F.lit(None).cast("boolean") if name in unresolved else F.expr(_sql(cond)).cast("boolean"), sev, chans)
+            for name, cond, sev, chans in rules]
 
 
 def _sql(condition: str) -> str:
@@ -67,25 +87,56 @@ def unresolved_rules(metrics: DataFrame, rules: Sequence[tuple]) -> list[tuple[s
 def greedy_gap(rows: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:
     """Rows kept by the rule "at least ``gap`` since the last kept row of the
     key" (``at`` and ``gap`` in the same integer unit; of rows at the same
-    instant one).
+    instant one; null keys are a key of their own; rows without a time are
+    dropped).
 
     A row that follows its predecessor by at least the gap is kept whatever
-    happened before, so each key's rows are cut into runs there and every run
-    is a group of its own, in which the kept rows follow one another."""
+    happened before, so those start the search.  Every row points to the row
+    that would be kept next after it: with buckets as wide as the gap that is
+    the first one far enough in the next bucket, or the first one of a later
+    bucket, so windows run per (key, bucket) and a key of any size spreads over
+    its buckets.  What the starts reach is found by pointer doubling: a round
+    per factor of two in the longest chain between two starts."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(at)
-    x = rows.dropDuplicates([*keys, at])
-    x = x.withColumn("_new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(1)))
-    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    at_type = rows.schema[at].dataType.simpleString()
-    kept = F.aggregate(F.array_sort(F.collect_list(at)), F.array().cast(f"array<{at_type}>"),
-                       lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.array_append(acc, t))
-                       .otherwise(acc))
-    runs = x.groupBy(*keys, "_run").agg(kept.alias("_kept")).select(*keys, "_run", F.explode("_kept").alias("_at"))
-    on = (F.col("x._run") == F.col("r._run")) & (F.col(f"x.{at}") == F.col("r._at"))
-    for k in keys:
-        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return x.alias("x").join(runs.alias("r"), on).select(*[F.col(f"x.{c}") for c in rows.columns])
+    x = rows.filter(F.col(at).isNotNull()).dropDuplicates([*keys, at])
+    if gap <= 0:
+        return x
+    nodes = materialised(_next_kept(x.select(cell(keys).alias("_key"), F.col(at).cast("long").alias("_at")), gap))
+    reach = nodes.filter("_start").select("_key", "_at")
+    jump = nodes.select("_key", "_at", "_next").filter(F.col("_next").isNotNull())
+    while True:
+        step = reach.join(jump, ["_key", "_at"]).select("_key", F.col("_next").alias("_at")).distinct()
+        step = materialised(step.join(reach, ["_key", "_at"], "left_anti"))
+        if step.isEmpty():
+            break
+        reach = materialised(reach.unionByName(step))
+        far = jump.select("_key", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        jump = materialised(jump.join(far, ["_key", "_next"]).select("_key", "_at", F.col("_far").alias("_next")))
+    own = x.withColumn("_key", cell(keys)).withColumn("_at", F.col(at).cast("long"))
+    return own.join(reach, ["_key", "_at"], "left_semi").select(*rows.columns)
+
+
+def _next_kept(x: DataFrame, gap: int) -> DataFrame:
+    """(_key, _at, _next, _start) of the distinct (_key, _at): the first row at
+    least ``gap`` later, and whether the row before is at least ``gap`` earlier
+    (or there is none)."""
+    x = x.withColumn("_b", F.floor(F.col("_at") / F.lit(gap)).cast("long"))
+    order = Window.partitionBy("_key").orderBy("_b")  # one row a bucket
+    buckets = x.groupBy("_key", "_b").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    buckets = buckets.select("_key", "_b", F.lag("_hi").over(order).alias("_before"), F.lead("_b").over(order).alias("_b1"),
+                             F.lead("_lo").over(order).alias("_lo1"), F.lead("_lo", 2).over(order).alias("_lo2"))
+    asks = x.select("_key", (F.col("_b") + 1).alias("_b"), (F.col("_at") + gap).alias("_at"), F.lit(1).alias("_ask"))
+    seen = x.select("_key", "_b", "_at", F.lit(0).alias("_ask")).unionByName(asks)
+    down = Window.partitionBy("_key", "_b").orderBy(F.col("_at").desc(), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.last(F.when(F.col("_ask") == 0, F.col("_at")), ignorenulls=True).over(down)
+    asked = seen.withColumn("_hit", hit).filter("_ask = 1") \
+        .select("_key", (F.col("_b") - 1).alias("_b"), (F.col("_at") - gap).alias("_at"), "_hit")
+    prev = F.lag("_at").over(Window.partitionBy("_key", "_b").orderBy("_at"))
+    asked = asked.withColumn("_prev", prev)
+    y = asked.join(buckets, ["_key", "_b"])
+    later = F.when(F.col("_b1") == F.col("_b") + 1, F.coalesce("_hit", "_lo2")).otherwise(F.col("_lo1"))
+    before = F.coalesce("_prev", "_before")
+    return y.select("_key", "_at", later.alias("_next"), (before.isNull() | (F.col("_at") - before >= gap)).alias("_start"))
 
 
 def cooldown(alerts: DataFrame, keys: Sequence[str], ts: str, minutes: int = 30) -> DataFrame:

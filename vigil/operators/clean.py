@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.core import exact_quantiles, is_float, missing, ntz_seconds
+from vigil.functions.core import cell, exact_quantiles, is_float, missing, ntz_seconds
 
 
 def drop_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -46,7 +46,8 @@ def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str
     With ``bucket`` (default: the day of a timestamp order column) the
     window runs per (key, bucket) and the last non-null value of each
     earlier bucket is carried from a compact (key, bucket) table, so a key
-    holding a large share of rows is still spread over many tasks."""
+    holding a large share of rows is still spread over many tasks.  Null keys
+    are a key of their own."""
     keys = list(keys)
     if bucket is None and dict(df.dtypes)[order].startswith("timestamp"):
         bucket = F.floor(ntz_seconds(order) / 86400)
@@ -65,7 +66,8 @@ def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str
     wc = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last_b.select(*keys, "_b", *[F.last(F.col(f"_l_{c}"), ignorenulls=True).over(wc).alias(f"_c_{c}")
                                          for c in columns])
-    j = within.join(carry, keys + ["_b"], "left")
+    carry = carry.select(cell([*keys, "_b"]).alias("_cell"), *[f"_c_{c}" for c in columns])
+    j = within.withColumn("_cell", cell([*keys, "_b"])).join(carry, "_cell", "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in columns else F.col(c)
                       for c in df.columns])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import cumulative, is_string, long_form, materialised, rnd, safe_div
+from vigil.functions.core import cell, cumulative, is_string, long_form, materialised, rnd, safe_div
 
 # Default thresholds by method (p-value for ks/chi2, score otherwise)
 DEFAULT_THRESHOLDS = {"ks": 0.05, "psi": 0.1, "mmd": 0.05, "classifier": 0.7, "chi2": 0.05, "table": 0.1}
@@ -52,73 +52,34 @@ def kolmogorov_sf(lam: Column, terms: int = 12) -> Column:
     return F.when(lam.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
+def _value_pairs(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: list) -> DataFrame:
+    """(keys, feature, value, nr, nc): rows of either side with each distinct
+    value; repeated values combine before the shuffle."""
+    return sides(ref, cur, features, keys).groupBy(*keys, "feature", "value").agg(
+        F.count_if(F.col("side") == 0).alias("nr"), F.count_if(F.col("side") == 1).alias("nc"))
+
+
 def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
-            threshold: float = DEFAULT_THRESHOLDS["ks"], buckets: int = 64) -> DataFrame:
+            threshold: float = DEFAULT_THRESHOLDS["ks"], ranges: int | None = None) -> DataFrame:
     """Two-sample KS per (keys, feature): statistic = max |F_ref − F_cur|
     over the merged distinct values; asymptotic p-value with Stephens'
     small-sample correction; drifted when p < threshold.
 
-    Exact without sorting every distinct value: values are counted per
-    (feature, value), cut into ranges at approximate quantiles, and the
-    per-range totals give D at every range end (a lower bound of the
-    statistic) and, per range, an upper bound |D(start)| + max(share of
-    the range on either side).  Only ranges whose bound exceeds the best
-    range-end value are sorted and scanned exactly.  A (keys, feature) with
-    rows on one side only has no statistic (null) and is not drifted.  The result (one row
-    per feature) is returned materialised."""
+    Values are counted per (feature, value) and ranked in ranges
+    (:func:`cumulative`, as many as the data's size asks for), which gives both
+    distribution functions at every value; the maximum is one aggregate.  Null keys are
+    a segment like any other.  A (keys, feature) with rows on one side only has
+    no statistic (null) and is not drifted."""
     keys = list(keys)
     jk = keys + ["feature"]
-    lf = sides(ref, cur, features, keys)
-    # the distinct-value table is read by three small jobs and the final
-    # scan: keep it (recomputable from lineage if an executor is lost)
-    counts = lf.groupBy(*jk, "value").agg(F.count_if(F.col("side") == 0).alias("nr"),
-                                          F.count_if(F.col("side") == 1).alias("nc")).persist()
-    try:
-        return _ks_from_counts(counts, jk, buckets, threshold)
-    finally:
-        counts.unpersist()
-
-
-def _ks_from_counts(counts: DataFrame, jk: list, buckets: int, threshold: float) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = materialised(counts.groupBy(*jk).agg(
-        F.percentile_approx("value", probs, 512).alias("_edges"),
-        F.sum("nr").alias("n_ref"), F.sum("nc").alias("n_cur")))
-    tagged = counts.join(edges, jk).withColumn(
-        "_bucket", F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")),
-                                   lambda e: e < F.col("value")))).drop("_edges")
-    pb = tagged.groupBy(*jk, "n_ref", "n_cur", "_bucket").agg(F.sum("nr").alias("br"), F.sum("nc").alias("bc"))
-    wb = Window.partitionBy(*jk).orderBy("_bucket")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    upto = wb.rowsBetween(Window.unboundedPreceding, 0)
-    d_start = (F.try_divide(F.coalesce(F.sum("br").over(before), F.lit(0)), F.col("n_ref"))
-               - F.try_divide(F.coalesce(F.sum("bc").over(before), F.lit(0)), F.col("n_cur")))
-    d_end = F.try_divide(F.sum("br").over(upto), F.col("n_ref")) - F.try_divide(F.sum("bc").over(upto), F.col("n_cur"))
-    pb = pb.select(*jk, "n_ref", "n_cur", "_bucket", "br", "bc",
-                   F.coalesce(F.sum("br").over(before), F.lit(0)).alias("o_r"),
-                   F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("o_c"),
-                   (F.abs(d_start) + F.greatest(F.try_divide("br", "n_ref"), F.try_divide("bc", "n_cur"))).alias("ub"),
-                   F.abs(d_end).alias("at_end"))
-    # per-range table: (#features x buckets) rows, materialised once
-    pb = materialised(pb)
-    lb = pb.groupBy(*jk, "n_ref", "n_cur").agg(F.max("at_end").alias("lb"))
-    cand = materialised(pb.join(lb.select(*jk, "lb"), jk).filter(F.col("ub") > F.col("lb"))
-                             .select(*jk, "_bucket", "o_r", "o_c"))
-    w = Window.partitionBy(*jk, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    inner = tagged.join(cand, jk + ["_bucket"]) \
-        .select(*jk, F.abs(F.try_divide(F.sum("nr").over(w) + F.col("o_r"), F.col("n_ref"))
-                           - F.try_divide(F.sum("nc").over(w) + F.col("o_c"), F.col("n_cur"))).alias("_d"))
-    best = inner.groupBy(*jk).agg(F.max("_d").alias("_in"))
-    d = lb.join(best, jk, "left").select(*jk, "n_ref", "n_cur",
-                                         F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0),
-                                                F.greatest(F.col("lb"), F.coalesce("_in", F.lit(0.0)))).alias("statistic"))
+    cum = cumulative(_value_pairs(ref, cur, features, keys), jk, "value", ["nr", "nc"], ranges)
+    gap = F.abs(F.try_divide("cum_nr", "tot_nr") - F.try_divide("cum_nc", "tot_nc"))  # null when a side is empty
+    d = cum.groupBy(*jk).agg(F.first("tot_nr").alias("n_ref"), F.first("tot_nc").alias("n_cur"), F.max(gap).alias("statistic"))
     en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
     lam = (F.sqrt(en) + 0.12 + F.try_divide(F.lit(0.11), F.sqrt(en))) * F.col("statistic")
     out = d.select(*jk, F.col("n_ref").cast("long"), F.col("n_cur").cast("long"),
                    rnd(F.col("statistic")).alias("statistic"), rnd(kolmogorov_sf(lam), 6).alias("p_value"))
-    out = out.withColumn("drifted", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
-    # one row per feature: materialised before the cached counts are released
-    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
+    return out.withColumn("drifted", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
 
 
 # ------------------------------------------------------------- histograms
@@ -137,13 +98,14 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
     b = F.least(F.floor(F.lit(float(n_bins)) * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))),
                 F.lit(n_bins - 1)).cast("int")
     # one row per (segment, feature), computed once; the engine picks the join
-    binned = lf.join(materialised(rng.select(*jk, "lo", "hi")), jk) \
+    rng = materialised(rng.withColumn("_cell", cell(jk)))
+    binned = lf.withColumn("_cell", cell(jk)).join(rng.select("_cell", "lo", "hi"), "_cell") \
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)))
-    h = binned.groupBy(*jk, "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
-                                       F.count_if(F.col("side") == 1).alias("nc"))
-    spine = rng.select(*jk, "n_ref", "n_cur", (F.col("hi") == F.col("lo")).alias("constant"),
+    h = binned.groupBy("_cell", "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
+                                           F.count_if(F.col("side") == 1).alias("nc"))
+    spine = rng.select(*jk, "_cell", "n_ref", "n_cur", (F.col("hi") == F.col("lo")).alias("constant"),
                        F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return spine.join(h, jk + ["bin"], "left").select(
+    return spine.join(h, ["_cell", "bin"], "left").select(
         *jk, "bin", F.coalesce("nr", F.lit(0)).alias("nr"), F.coalesce("nc", F.lit(0)).alias("nc"),
         "n_ref", "n_cur", "constant")
 
@@ -283,31 +245,18 @@ def category_cells(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys
 
 # ------------------------------------------------------------------ CvM
 def cvm_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
-             buckets: int = 32) -> DataFrame:
+             ranges: int | None = None) -> DataFrame:
     """Two-sample Cramér–von Mises statistic in the ECDF form
     T = NM/(N+M)² Σ_pooled (F_N − G_M)² (equals the rank form without ties),
-    from the same merged cumulative counts as KS."""
+    from the same merged cumulative counts as KS; null when a side is empty."""
     keys = list(keys)
     jk = keys + ["feature"]
-    lf = sides(ref, cur, features, keys)
-    # read by the range-edge and offset jobs and the final scan: kept once
-    counts = lf.groupBy(*jk, "value").agg(F.count_if(F.col("side") == 0).alias("nr"),
-                                          F.count_if(F.col("side") == 1).alias("nc")).persist()
-    try:
-        return _cvm_from_counts(counts, jk, buckets)
-    finally:
-        counts.unpersist()
-
-
-def _cvm_from_counts(counts: DataFrame, jk: list, buckets: int) -> DataFrame:
-    cum = cumulative(counts, jk, "value", ["nr", "nc"], buckets=buckets) \
-        .withColumnRenamed("tot_nr", "N").withColumnRenamed("tot_nc", "M")
-    diff = F.try_divide("cum_nr", "N") - F.try_divide("cum_nc", "M")  # null when a side is empty
+    cum = cumulative(_value_pairs(ref, cur, features, keys), jk, "value", ["nr", "nc"], ranges) \
+        .withColumnsRenamed({"tot_nr": "N", "tot_nc": "M"})
+    diff = F.try_divide("cum_nr", "N") - F.try_divide("cum_nc", "M")
     s = cum.groupBy(*jk, "N", "M").agg(F.sum((F.col("nr") + F.col("nc")) * diff * diff).alias("_s"))
     t = F.col("N") * F.col("M") / F.pow(F.col("N") + F.col("M"), 2) * F.col("_s")
-    out = s.select(*jk, F.col("N").cast("long").alias("n_ref"), F.col("M").cast("long").alias("n_cur"),
-                   rnd(t).alias("statistic"))
-    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
+    return s.select(*jk, F.col("N").cast("long").alias("n_ref"), F.col("M").cast("long").alias("n_cur"), rnd(t).alias("statistic"))
 
 
 # ------------------------------------------------------------ reference

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import exact_quantiles, missing, rnd, safe_div
+from vigil.functions.core import distinct_counts, exact_quantiles, missing, rnd, safe_div
 
 # Strftime directive -> Spark datetime pattern letters.
 STRFTIME_TO_SPARK = {
@@ -42,7 +42,7 @@ def strftime_to_spark(fmt: str) -> str:
 @dataclass
 class Expectation:
     kind: str                      # not_null | between | in_set | unique | strftime | distinct_between
-    column: str                    # | length_between | mean_between | median_between
+    column: str                    # | length_between | mean, median, stdev, min, max, sum or quantile _between (``quantile``: 0 to 1)
     kwargs: dict = field(default_factory=dict)
 
     @property
@@ -65,6 +65,7 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
     rows: list[Column] = []
     extra: list[DataFrame] = []
+    distinct: dict[str, Column] = {}
     for i, e in enumerate(suite):
         c, kw, p = F.col(e.column), e.kwargs, f"_e{i}"
         miss = missing(df, e.column)
@@ -96,16 +97,17 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
                                F.coalesce(F.sum("_n"), F.lit(0)).alias(f"{p}n")))
             elem, unexp = F.col(f"{p}n"), F.col(f"{p}u")
         elif e.kind == "distinct_between":
-            aggs.append(F.count_distinct(F.when(~miss, c)).alias(f"{p}o"))
+            distinct[f"{p}o"] = F.when(~miss, c)
             obs = F.col(f"{p}o").cast("double")
-        elif e.kind in ("mean_between", "median_between", "stdev_between"):
+        elif e.kind in ("mean_between", "median_between", "quantile_between", "stdev_between", "min_between", "max_between", "sum_between"):
             x = F.when(~miss, c.cast("double"))
-            if e.kind == "median_between":
-                # exact median by distributed ranking, not a per-group value map
-                extra.append(exact_quantiles(df, [e.column], [0.5])
-                             .select(F.col("q").alias(f"{p}o")))
+            if e.kind in ("median_between", "quantile_between"):
+                # exact, by distributed selection, not a per-group value map; an empty column has none
+                q = 0.5 if e.kind == "median_between" else float(kw["quantile"])
+                extra.append(exact_quantiles(df, [e.column], [q]).agg(F.max("q").alias(f"{p}o")))
             else:
-                f = {"mean_between": F.avg(x), "stdev_between": F.stddev_samp(x)}[e.kind]
+                f = {"mean_between": F.avg(x), "stdev_between": F.stddev_samp(x), "min_between": F.min(x), "max_between": F.max(x),
+                     "sum_between": F.sum(x)}[e.kind]
                 aggs.append(f.alias(f"{p}o"))
             obs = F.col(f"{p}o")
         else:
@@ -127,6 +129,8 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
                              rnd(obs if obs is not None else F.lit(None)).alias("observed_value"),
                              succ.alias("success")))
     wide = df.agg(*aggs)
+    if distinct:
+        extra.append(distinct_counts(df, distinct))
     for x in extra:
         wide = wide.withColumn("_k", F.lit(1)).join(x.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

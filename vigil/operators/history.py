@@ -113,14 +113,14 @@ def anomalies_jump(runs: DataFrame, key: str = "dataset", score: str = "overall_
 def anomalies_iqr(runs: DataFrame, key: str = "dataset", value: str = "pass_rate", ts: str = "ts",
                   min_points: int = 3) -> DataFrame:
     """Points outside the series' IQR fence; returns the run index."""
-    from vigil.functions.core import exact_quantiles
+    from vigil.functions.core import cell, exact_quantiles
     q = exact_quantiles(runs, [value], [0.25, 0.75], [key]) \
-        .groupBy(key).agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                          F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
+        .groupBy(cell([key]).alias("_cell")).agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+                                                F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     w = Window.partitionBy(key).orderBy(ts)
     wa = Window.partitionBy(key)
     r = runs.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(wa))
-    j = r.join(q, key)
+    j = r.withColumn("_cell", cell([key])).join(q, "_cell")
     iqr = F.col("q3") - F.col("q1")
     out = j.filter((F.col("_n") >= min_points) &
                    ((F.col(value) < F.col("q1") - 1.5 * iqr) | (F.col(value) > F.col("q3") + 1.5 * iqr)))

@@ -68,7 +68,7 @@ def evaluate(scored: DataFrame, label: str = "label", gate: float = 0.9) -> Data
     from vigil.operators.models import auc, cls_metrics
     s = scored.withColumn("p1", vector_to_array("probability")[1]).withColumn("pred", F.col("prediction").cast("int"))
     m = cls_metrics(s, label, "pred")
-    a = auc(s, label, "p1")
+    a = auc(s, label, "p1").drop("n_dropped")
     j = m.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").drop("_k")
     ok = (F.col("accuracy") > gate) & (F.col("precision") > gate) & (F.col("recall") > gate) & (F.col("f1") > gate)
     return j.withColumn("passed", ok)

@@ -8,19 +8,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.core import cumulative, rnd, safe_div, top_k
+from vigil.functions.core import cell, cumulative, rnd, safe_div, top_k
 
 
 def cls_metrics(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
-    """accuracy, precision, recall, F1 (zero division → 0) from tp/fp/fn/tn."""
+    """accuracy, precision, recall, F1 (zero division → 0) from tp/fp/fn/tn;
+    rows without a label or a prediction are counted as ``n_dropped``."""
     y, p = F.col(label) == 1, F.col(pred) == 1
-    g = df.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+    g = df.groupBy(*keys).agg(F.count_if(y.isNull() | p.isNull()).alias("n_dropped"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
                               F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     prec = F.coalesce(safe_div(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(safe_div(tp, tp + fn), F.lit(0.0))
     f1 = F.coalesce(safe_div(2 * prec * rec, prec + rec), F.lit(0.0))
-    return g.select(*keys, *[F.col(c).cast("long") for c in ("tp", "fp", "fn", "tn")],
+    return g.select(*keys, *[F.col(c).cast("long") for c in ("tp", "fp", "fn", "tn", "n_dropped")],
                     rnd(safe_div(tp + tn, tp + fp + fn + tn)).alias("accuracy"), rnd(prec).alias("precision"),
                     rnd(rec).alias("recall"), rnd(f1).alias("f1"))
 
@@ -28,26 +29,19 @@ def cls_metrics(df: DataFrame, label: str, pred: str, keys: Sequence[str] = ())
 def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """ROC AUC by the rank-sum (Mann–Whitney) identity with ties counted
     half: Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N).  Scores are grouped
-    first and ranked with range-bucketed running sums (no global window)."""
+    first and ranked with range-wise running sums (no global window).  Rows
+    without a label or a score take no part and are counted as ``n_dropped``;
+    null keys are a group of their own."""
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).persist()
-    try:
-        return _auc_from_counts(counts, keys)
-    finally:
-        counts.unpersist()
-
-
-def _auc_from_counts(counts: DataFrame, keys: list) -> DataFrame:
-    gk = keys if keys else []
-    cum = cumulative(counts, gk, "s", ["neg"])
-    part = cum.select(*gk, "pos", "neg", (F.col("cum_neg") - F.col("neg")).alias("below"))
-    g = part.groupBy(*gk).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("_u"),
-                              F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    out = g.select(*gk, F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"),
-                   rnd(safe_div(F.col("_u"), F.col("P") * F.col("N"))).alias("auc"))
-    # one row per group: materialised before the kept score table is released
-    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
+    known = F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    s = F.when(known, F.col(score).cast("double"))
+    counts = df.groupBy(*keys, s.alias("s")).agg(F.count_if(known & (F.col(label) == 1)).alias("pos"),
+                                                 F.count_if(known & (F.col(label) != 1)).alias("neg"), F.count_if(~known).alias("_out"))
+    cum = cumulative(counts, keys, "s", ["neg"])
+    g = cum.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("_u"),
+                               F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("_out").alias("D"))
+    return g.select(*keys, F.col("P").cast("long").alias("n_pos"), F.col("N").cast("long").alias("n_neg"),
+                    F.col("D").cast("long").alias("n_dropped"), rnd(safe_div(F.col("_u"), F.col("P") * F.col("N"))).alias("auc"))
 
 
 def reg_metrics(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -150,8 +144,8 @@ def run_durations(steps: DataFrame, run: str, step: str, ts: str, failed: Column
                             rnd(F.avg("duration_s")).alias("mean_duration_s"),
                             F.count_if("_failed").cast("long").alias("n_failed"))
     p95 = exact_quantiles(d, ["duration_s"], [0.95], [step]) \
-        .select(step, rnd(F.col("q")).alias("p95_duration_s"))
-    return g.join(p95, step, "left")
+        .select(cell([step]).alias("_step"), rnd(F.col("q")).alias("p95_duration_s"))
+    return g.withColumn("_step", cell([step])).join(p95, "_step", "left").drop("_step")
 
 
 # --------------------------------------------------------- lifecycle

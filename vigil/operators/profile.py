@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.core import (duplicate_rows, exact_quantiles, is_float, is_numeric, is_string, is_time, missing, rnd,
-                                  safe_div, top_k)
+from vigil.functions.core import (distinct_counts, duplicate_rows, exact_quantiles, is_float, is_numeric, is_string, is_time, missing, rnd,
+                                  safe_div, top_k, with_row)
 
 
 def _explode_structs(wide: DataFrame, structs: list[Column]) -> DataFrame:
@@ -39,7 +39,7 @@ def profile_table(df: DataFrame) -> DataFrame:
                     F.col("_dups").alias("duplicate_rows"))
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None, buckets: int = 32) -> DataFrame:
+def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """dtype, non-null, null, null ratio, min, max, mean, std (ddof 1),
     exact median, bias-corrected skewness and kurtosis per numeric column.
     One aggregate pass plus :func:`exact_quantiles` for the median."""
@@ -81,11 +81,14 @@ def profile_class(df: DataFrame, columns: Sequence[str] | None = None, max_disti
     """String columns: categorical when distinct < 50 and < 0.5 x rows, else
     text; also the mean length of non-null values (``profile_text_len``)."""
     cols = list(columns) if columns else [c for c in df.columns if is_string(df, c)]
-    dc = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
-        aggs += [dc(c).alias(f"{c}__d"), F.count(c).alias(f"{c}__n"), F.avg(F.length(c)).alias(f"{c}__len")]
+        aggs += [F.count(c).alias(f"{c}__n"), F.avg(F.length(c)).alias(f"{c}__len")]
+        if approx:
+            aggs.append(F.approx_count_distinct(c).alias(f"{c}__d"))
     wide = df.agg(*aggs)
+    if not approx:
+        wide = with_row(wide, distinct_counts(df, {f"{c}__d": F.col(c) for c in cols}))
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__d").cast("long").alias("n_distinct"),
                      F.col(f"{c}__n").cast("long").alias("count"),
                      F.when((F.col(f"{c}__d") < max_distinct) & (F.col(f"{c}__d") < max_ratio * F.col("_rows")),
@@ -162,9 +165,8 @@ def profile_diff(before: DataFrame, after: DataFrame, columns: Sequence[str] | N
     def prof(df, tag):
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for c in cols:
-            aggs += [F.count_if(missing(df, c)).alias(f"{c}__m"),
-                     F.count_distinct(F.when(~missing(df, c), F.col(c))).alias(f"{c}__d")]
-        w = df.agg(*aggs)
+            aggs.append(F.count_if(missing(df, c)).alias(f"{c}__m"))
+        w = with_row(df.agg(*aggs), distinct_counts(df, {f"{c}__d": F.when(~missing(df, c), F.col(c)) for c in cols}))
         return _explode_structs(w, [F.struct(F.lit(c).alias("column"),
                                              safe_div(F.col(f"{c}__m"), F.col("_rows")).alias(f"null_rate_{tag}"),
                                              F.col(f"{c}__d").cast("long").alias(f"distinct_{tag}")) for c in cols])

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.core import duplicate_rows, exact_quantiles, is_numeric, is_time, missing, rnd, safe_div
+from vigil.functions.core import distinct_counts, duplicate_rows, exact_quantiles, is_numeric, is_time, missing, rnd, safe_div
 
 # Fixed values (must equal the reference):
 # default threshold table: metric name, type, warning, error, condition
@@ -95,7 +95,7 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
     scan, a small result), then one wide aggregate (counts, zeros,
     finiteness, distincts, IQR outliers against the literal fences, max
     timestamps) and the hashed duplicate count.  ``approx_distinct`` swaps
-    the exact distinct counts (one expanded aggregate) for HLL sketches."""
+    the exact distinct counts (:func:`distinct_counts`) for HLL sketches."""
     fam = set(families)
     cols = df.columns
     num = [c for c in cols if is_numeric(df, c)]
@@ -114,9 +114,8 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
         aggs.append(F.count_if(missing(df, c)).alias(f"{c}__miss"))
-        if "profile_uniqueness" in fam:
-            dc = F.approx_count_distinct if approx_distinct else F.count_distinct
-            aggs.append(dc(F.when(~missing(df, c), F.col(c))).alias(f"{c}__dist"))
+        if "profile_uniqueness" in fam and approx_distinct:
+            aggs.append(F.approx_count_distinct(F.when(~missing(df, c), F.col(c))).alias(f"{c}__dist"))
     for c in num:
         x = F.col(c).cast("double")
         if "zero" in fam:
@@ -133,6 +132,8 @@ def quality_metrics(df: DataFrame, dataset: str, as_of: Column | None = None,
         for c in fresh:
             aggs.append(F.max(c).alias(f"{c}__max"))
     wide = df.agg(*aggs)
+    if "profile_uniqueness" in fam and not approx_distinct:
+        wide = _one_row_join(wide, distinct_counts(df, {f"{c}__dist": F.when(~missing(df, c), F.col(c)) for c in cols}))
     if "duplicate" in fam:
         # group on all columns, count rows beyond the first occurrence
         wide = _one_row_join(wide, duplicate_rows(df))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.functions.core import numbered
+from vigil.functions.core import materialised, numbered, with_row
 
 
 def union_hot_cold(history: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -56,13 +57,43 @@ def filter_stage(versions: DataFrame, name: str | None, stage: str | None,
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
-    """Stable page: ORDER BY key OFFSET o LIMIT n (top-(o+n) per partition,
-    then merged), with the total row count and a has_more flag attached
-    from one count aggregate."""
-    rows = df.orderBy(*order).offset(offset).limit(limit)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    j = rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return j.withColumn("has_more", F.col("total") > offset + limit)
+    """Stable page: ORDER BY ``order`` (unique, nulls first) OFFSET o LIMIT n,
+    in order, with the total row count and a has_more flag.
+
+    The order columns alone are range-partitioned and counted; the prefix
+    sums of those counts (a row a range) tell between which keys the page
+    lies.  Only the rows between are sorted and numbered (:func:`numbered`), so
+    a page deep in a table costs what the first one does, and no task holds the
+    rows before it."""
+    order = list(order)
+    key = F.struct(*[F.col(c) for c in order])
+    ranges = df.select(key.alias("_key")).repartitionByRange("_key").groupBy(F.spark_partition_id().alias("_range")) \
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))  # one row a range
+    ranges = materialised(ranges.withColumn("_upto", upto))
+    held = ranges.filter((F.col("_upto") > offset) & (F.col("_upto") - F.col("_n") < offset + limit))
+    bounds = held.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    total = ranges.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
+    near = with_row(df.withColumn("_key", key), bounds).filter((F.col("_key") >= F.col("_lo")) & (F.col("_key") <= F.col("_hi")))
+    first = held.agg(F.min(F.col("_upto") - F.col("_n")).alias("_first"))
+    rows = with_row(numbered(near.select(*df.columns, "_key").orderBy("_key"), "_number"), first)
+    number = F.col("_number") + F.col("_first")
+    rows = rows.filter((number >= offset) & (number < offset + limit)).orderBy("_key").select(*df.columns)
+    return with_row(rows, total).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def page_after(df: DataFrame, order: Sequence[str], last: Sequence | None, limit: int) -> DataFrame:
+    """The next page by cursor: the first ``limit`` rows whose ``order`` values
+    come after ``last`` (those of the last row seen; None for the first page).
+    Keeps ``limit`` rows a task, whatever comes before."""
+    order = list(order)
+    rows = df
+    if last is not None:
+        kinds = [df.schema[c].dataType for c in order]
+        seen = F.struct(*[F.lit(str(v) if isinstance(k, T.TimestampNTZType) and v is not None else v).cast(k).alias(c)
+                          for v, k, c in zip(last, kinds, order)])
+        rows = rows.filter(F.struct(*[F.col(c) for c in order]) > seen)
+    return rows.orderBy(*order).limit(limit)
 
 
 def log_tail_filter(logs: DataFrame, n: int, level: str | None, ts: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -14,10 +14,10 @@ from vigil.plans.registry import query
 from vigil.sources.readers import table
 
 
-def scored(spark, sf):
+def scored(spark, sf, how="inner"):
     d = table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
     lab = table(spark, sf, "labels", ["doc_id", "quality"])
-    j = d.join(lab, "doc_id")
+    j = d.join(lab, "doc_id", how)
     s = F.col("n_chars") / (F.col("n_chars") + 2000.0)
     return j.select("doc_id", "lang", "source", s.alias("score"), F.col("quality").alias("label"),
                     F.when(s >= 0.5, 1).otherwise(0).alias("pred"))
@@ -27,12 +27,16 @@ SCORED = """sc AS (SELECT d.doc_id, lang, source, n_chars / (n_chars + 2000.0) A
   CASE WHEN n_chars / (n_chars + 2000.0) >= 0.5 THEN 1 ELSE 0 END AS pred
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
+#: Documents without a label too.
+SCORED_ALL = SCORED.replace("JOIN labels", "LEFT JOIN labels")
+
 
 def _cls_sql(src="sc", keys=""):
     k = f"{keys}, " if keys else ""
     gb = f"GROUP BY {keys}" if keys else ""
     return f"""SELECT {k}count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,
-  count(*) FILTER (WHERE label = 1 AND pred <> 1) AS fn, count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn FROM {src} {gb}"""
+  count(*) FILTER (WHERE label = 1 AND pred <> 1) AS fn, count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn,
+  count(*) FILTER (WHERE label IS NULL OR pred IS NULL) AS n_dropped FROM {src} {gb}"""
 
 
 def _cls_cols(keys=""):
@@ -44,9 +48,9 @@ def _cls_cols(keys=""):
     / nullif(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) + coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0), 0), 0.0), 9) AS f1"""
 
 
-@query("cls_metrics", f"WITH {SCORED}, c AS ({_cls_sql()})\n{_cls_cols()} FROM c")
+@query("cls_metrics", f"WITH {SCORED_ALL}, c AS ({_cls_sql()})\n{_cls_cols()}, n_dropped FROM c")
 def q_cls_metrics(spark, sf):
-    return mo.cls_metrics(scored(spark, sf), "label", "pred")
+    return mo.cls_metrics(scored(spark, sf, "left"), "label", "pred")
 
 
 @query("drift_performance", f"""WITH {SCORED}, s AS (SELECT *, CASE WHEN lang = 'en' THEN 'reference' ELSE 'current' END AS side FROM sc),
@@ -69,17 +73,18 @@ def q_drift_performance(spark, sf):
                     (raw[0] | raw[1] | raw[2] | raw[3]).alias("degraded"))
 
 
-def _auc_sql(score="score", src="sc"):
-    return f"""WITH {SCORED}, g AS (SELECT CAST({score} AS DOUBLE) AS s, count(*) FILTER (WHERE label = 1) AS pos,
+def _auc_sql(score="score", src="sc", base=SCORED):
+    return f"""WITH {base}, g AS (SELECT CAST({score} AS DOUBLE) AS s, count(*) FILTER (WHERE label = 1) AS pos,
     count(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY 1),
 c AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM g)
 SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+  (SELECT count(*) FROM {src} WHERE label IS NULL) AS n_dropped,
   round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 9) AS auc FROM c"""
 
 
-@query("auc", _auc_sql())
+@query("auc", _auc_sql(base=SCORED_ALL))
 def q_auc(spark, sf):
-    return mo.auc(scored(spark, sf), "label", "score")
+    return mo.auc(scored(spark, sf, "left"), "label", "score")
 
 
 @query("reg_metrics", """WITH j AS (SELECT l_extendedprice AS y, l_quantity * p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
