@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.core import ts_lit
 from vigil.operators import profile as pr
+from vigil.operators import sketches as skt
 from vigil.plans.registry import query
 from vigil.sources.readers import table
 
@@ -125,6 +126,38 @@ def q_profile_mergeable(spark, sf):
     return pr.merge_sketches(daily, ["event_type"])
 
 
+def _daily_events(spark, sf):
+    return table(spark, sf, "events", ["ts", "event_type", "user_id"]).withColumn("day", F.to_date("ts"))
+
+
+@query("profile_frequencies", "SELECT user_id, count(*) AS n, true AS covered FROM events GROUP BY user_id")
+def q_profile_frequencies(spark, sf):
+    """Count-min counters of each day, merged; ``covered``: the estimate is at
+    least the true count and within its bound."""
+    ev = _daily_events(spark, sf)
+    merged = skt.merge_count_min(skt.count_min(ev, "user_id", ["day"], width=8192, depth=7))
+    est = skt.frequencies(ev, "user_id", merged, width=8192, depth=7)
+    true = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    ok = (F.col("estimate") >= F.col("n")) & (F.col("estimate") <= F.col("n") + F.col("bound"))
+    return true.join(est, true["user_id"] == est["value"]).select("user_id", "n", ok.alias("covered"))
+
+
+@query("profile_heavy_hitters", """SELECT event_type AS value, count(*) AS estimate,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INTEGER) AS rank FROM events GROUP BY 1 ORDER BY 3 LIMIT 3""")
+def q_profile_heavy_hitters(spark, sf):
+    """The three most frequent event types from daily sketches (exact while a
+    slice has fewer items than the sketch holds)."""
+    return skt.merge_top_items(skt.top_items(_daily_events(spark, sf), "event_type", ["day"]), 3)
+
+
+@query("profile_membership", "SELECT DISTINCT user_id AS value FROM events")
+def q_profile_membership(spark, sf):
+    """Users that the merged daily filters hold, asked for all users seen: a
+    filter forgets none."""
+    ev = _daily_events(spark, sf)
+    return skt.members(ev, "user_id", skt.merge_bloom(skt.bloom(ev, "user_id", ["day"])))
+
+
 _DIFF_COLS = ["user_id", "event_type", "value"]
 
 
