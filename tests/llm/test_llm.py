@@ -452,6 +452,37 @@ def test_copies_of_a_page_are_one_page(spark, open_tag, close_tag):
     assert got == {i: text for i in range(8)} | {100 + i: f"own {i}" for i in range(8)}
 
 
+LONG = "word " * 300
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p title=it's>Hello world</p><p>Don't stop</p><p>more</p>", ["Hello world", "Don't stop", "more"]),
+    ("<p class=\"a\" \">one</p><p a\"b=c>two</p><p data-x = 'q>r' y>three</p><a href=x/>4</a>", ["one", "two", "three", "4"]),
+    ('<div title="open>five</div><p>six</p>', ["five", "six"]),
+    (f"<div><p>short</p></div><div class=comments><p>{LONG}</p></div>", ["short"]),
+    (f"<article><p>short</p><div class='comments'><p>{LONG}</p></div></article>", ["short"]),
+    (f"<article><p>short</p><section id=comments><article>{LONG}</article></section></article>", ["short"]),
+    (f"<body><div class='cookie notice'><p>{LONG}</p></div><p>real</p></body>", ["real"]),
+    ("<div>" * 3000 + "three" + "</div>" + "<div>four</div>" + "</div>" * 2999, ["three", "four"]),
+    ("<p>a</p><p style='color:red; display : none'>gone</p><p style='display:block'>b</p>", ["a", "b"]),
+    (f"<div class='widget'><p>{LONG}</p></div><p>foot</p>", [LONG.strip(), "foot"]),
+    ("<div class=sidebar><article><p>teaser</p></article></div><article><p>own</p></article>", ["own"]),
+    (f"<div class=sidebar><article><p>{LONG}</p></article></div>", [LONG.strip()]),
+    ("<body class='ad' id=menu><p>all</p></body>", ["all"]), ("", []), ("<", ["<"]), ("a < b", ["a < b"])])
+def test_blocks_of_odd_pages(page, want):
+    assert template.blocks(page, set()) == want
+    main, hashes = template.page_hashes(page)
+    assert all(-2 ** 63 <= h < 2 ** 63 for h in [main, *hashes])
+
+
+def test_odd_pages_table(spark):
+    rows = [(None, "http://a.b/x", "<p>n</p>", "k"), (1, None, None, "k"), (2, "http://a.b/y", "", "k"), (3, "x", f"<article>{LONG * 200}</article>", "k"),
+            (4, "http://a.b/z", "<div>" * 20000 + "deep", "k"), (4, "http://a.b/z", "<div>" * 20000 + "deep", "k")]
+    got = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(2)).collect()
+    assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in got) == {
+        (None, "n", 1): 1, (1, "", 0): 1, (2, "", 0): 1, (3, (LONG * 200).strip(), len((LONG * 200).strip())): 1, (4, "deep", 4): 2}
+
+
 def test_class_names_drop_no_page(spark):
     page = "<body class='no-sidebar ad'><div class='content with-sidebar'><article class=comments-open><h1>A</h1><p class=share-price>b and more</p>" \
            "<div class='x ad'>buy</div></article></div></body>"

@@ -7,8 +7,9 @@ on many of them are the host's template and are deleted.  In an article only con
 less than half of its text can be template, never its own paragraphs and
 headings, which copies of an article share.  What scripts, navigation, adverts and the like
 say of themselves (tag, role, a whole class token) goes as well, in or out of
-the article, so that hosts with few pages lose their boilerplate too; no class
-drops what holds an article or main element or most of the page's text.  What remains of the
+the article, so that hosts with few pages lose their boilerplate too; a class
+drops no wrapper of the only article or of nearly all text, except comments,
+notices and adverts (see :func:`_spare`).  What remains of the
 article (or main element; of the body where there is none) is cut into blocks.
 """
 
@@ -48,8 +49,14 @@ _FRAMEWORK = frozenset(("#root", "html", "body", "head"))
 #: An open element that a start tag of the same group ends.
 SIBLINGS = {t: g for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",), ("thead", "tbody", "tfoot")) for t in g}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Names that content is never wrapped in, whatever they hold.
+NEVER = NAMES - frozenset("banner masthead modal nav navbar navigation sidebar signup toolbar widget".split())
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
+# a quote opens a value right after "=" alone, and only where it is closed
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
+    |<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+)>""", re.S | re.X)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
 class Element:
@@ -62,11 +69,13 @@ class Element:
         if attributes and not attributes.isspace():
             for name, value in _ATTRIBUTE.findall(attributes):
                 name = name.lower()
+                if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]:
+                    value = value[1:-1]
                 if name in ("class", "id"):
-                    self.names += " " + entities.unescape(value.strip("\"'")).lower()
+                    self.names += " " + entities.unescape(value).lower()
                 elif name == "role":
-                    self.role = value.strip("\"'").lower()
-                elif name == "hidden":
+                    self.role = value.strip().lower()
+                elif name == "hidden" or name == "style" and _HIDDEN.search(value):
                     self.hidden = True
 
 
@@ -127,7 +136,10 @@ def _close(stack: list[Element], tag: str, barriers: frozenset[str]) -> None:
 
 
 def is_boilerplate(e: Element, in_article: bool) -> bool:
-    """By tag, role, a whole token of class or id; an article's own header is content."""
+    """By tag, role, a whole token of class or id; an article's own header is
+    content, and nothing makes the page itself boilerplate."""
+    if e.tag in _FRAMEWORK:
+        return e.tag == "head"
     if e.tag in DROPPED or e.hidden or e.role in ROLES or e.tag == "header" and not in_article:
         return True
     return bool(e.names) and not e.spared and not NAMES.isdisjoint(e.names.split())
@@ -149,34 +161,45 @@ def containers(root: Element) -> list[Element]:
     return [root]
 
 
-def subtree_hashes(root: Element, found: list[Element]) -> dict[int, str]:
-    """Hash of every subtree that may be template, by identity of its element:
-    any that is not in an element of ``found`` and does not hold one; in them
-    containers of less than half of the text.  With ``found`` the root itself
-    (a page without article) any subtree."""
-    out: dict[int, str] = {}
-    article = {id(e) for e in found} if found != [root] else set()
+def _by_depth(root: Element) -> list[Element]:
+    """All elements, a parent before its children; no recursion, any depth."""
+    order = [root]
+    for e in order:
+        order += [c for c in e.children if isinstance(c, Element)]
+    return order
 
-    def visit(e: Element, whole_size: int) -> tuple[str, int, bool]:
-        """Hash, text size, and whether an article is inside."""
-        own = id(e) in article
-        parts, size, holds = [e.tag, e.names], 0, own
-        inside = whole_size if not own else max(1, _text_size(e))
+
+def subtree_hashes(root: Element, found: list[Element]) -> dict[int, int]:
+    """Hash (signed 64 bits) of every subtree that may be template, by identity
+    of its element: any that is not in an element of ``found`` and does not hold
+    one; in them containers of less than half of the text.  With ``found`` the
+    root itself (a page without article) any subtree."""
+    article = {id(e) for e in found} if found != [root] else set()
+    order = _by_depth(root)
+    around: dict[int, int] = {id(root): 0}  # size of the article an element is in
+    for e in order:
+        inside = max(1, _text_size(e)) if id(e) in article else around[id(e)]
+        for c in e.children:
+            if isinstance(c, Element):
+                around[id(c)] = inside
+    out: dict[int, int] = {}
+    seen: dict[int, tuple[str, int, bool]] = {}  # hash, text size, whether an article is inside
+    for e in reversed(order):
+        parts, size, holds = [e.tag, e.names], 0, id(e) in article
         for c in e.children:
             if isinstance(c, Element):
-                h, n, below = visit(c, inside)
+                h, n, below = seen.pop(id(c))
                 size, holds = size + n, holds or below
             else:
                 h = " ".join(c.split())
                 size += len(h)
             if h:
                 parts.append(h)
-        h = xxhash.xxh3_64_hexdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+        digest = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+        seen[id(e)] = (f"{digest:x}", size, holds)
+        inside = around[id(e)]
         if not holds and e.tag not in _FRAMEWORK and (not inside or e.tag in CONTAINERS and 2 * size < inside):
-            out[id(e)] = h
-        return h, size, holds
-
-    visit(root, 0)
+            out[id(e)] = digest - (digest >> 63 << 64)
     return out
 
 
@@ -191,84 +214,61 @@ def _text_size(e: Element) -> int:
     return size
 
 
-def _nested(e: Element) -> int:
-    """Depth of the tree, without recursion."""
-    deepest, todo = 0, [(e, 1)]
-    while todo:
-        x, d = todo.pop()
-        deepest = max(deepest, d)
-        todo += [(c, d + 1) for c in x.children if isinstance(c, Element)]
-    return deepest
-
-
-def _flattened(root: Element, limit: int = 400) -> Element:
-    """Elements deeper than ``limit`` move up beside their parent, text order kept."""
-    if _nested(root) <= limit:
-        return root
-    todo = [(root, 1)]
-    while todo:
-        e, d = todo.pop()
-        if d >= limit:
-            flat: list[Element | str] = []
-            rest: list[Element | str] = list(reversed(e.children))
-            while rest:
-                c = rest.pop()
-                if isinstance(c, Element):
-                    shell = Element(c.tag)
-                    shell.names, shell.role, shell.hidden, shell.spared = c.names, c.role, c.hidden, c.spared
-                    if not is_boilerplate(c, True):
-                        flat.append(shell)
-                        rest += reversed(c.children)
-                else:
-                    flat.append(c)
-            e.children = flat
-        else:
-            todo += [(c, d + 1) for c in e.children if isinstance(c, Element)]
-    return root
-
-
 def _spare(root: Element) -> Element:
-    """Mark what holds an article, a main element or most of the page's text."""
-    order = [root]
+    """Mark what no class or id drops: where every article and main element is
+    in something so named, what holds them; where there is none, what holds
+    three quarters of the text that is left without the named.  Comments,
+    notices, adverts and the like (:data:`NEVER`) are never spared."""
+    order = _by_depth(root)
+    named: dict[int, bool] = {}
     for e in order:
-        order += [c for c in e.children if isinstance(c, Element)]
+        named[id(e)] = named.get(id(e), False) or is_boilerplate(e, False)
+        for c in e.children:
+            if isinstance(c, Element):
+                named[id(c)] = named[id(e)]
+    content = [e for e in order if e.tag in ("article", "main")]
+    if any(not named[id(e)] for e in content):
+        return root
     size: dict[int, int] = {}
+    holds: dict[int, bool] = {}
     for e in reversed(order):
-        n = 0
+        lost = e.tag not in _FRAMEWORK and (e.tag in DROPPED or e.hidden or e.role in ROLES or not NEVER.isdisjoint(e.names.split()))
+        n, inside = 0, e.tag in ("article", "main")
         for c in e.children:
             if isinstance(c, str):
                 n += len(" ".join(c.split()))
             else:
                 n += size[id(c)]
-                e.spared = e.spared or c.spared
-        size[id(e)] = 0 if e.tag in DROPPED else n
-        e.spared = e.spared or e.tag in ("article", "main")
+                inside = inside or holds[id(c)]
+        size[id(e)], holds[id(e)] = (0, False) if lost else (n, inside)
     for e in order:
-        e.spared = e.spared or 2 * size[id(e)] > size[id(root)]
+        if e.names and size[id(e)]:
+            e.spared = holds[id(e)] or not holds[id(root)] and 4 * size[id(e)] > 3 * size[id(root)]
     return root
 
 
 def tree(page: str) -> Element:
-    return _flattened(_spare(parse(page)))
+    return _spare(parse(page))
 
 
-def page_hashes(page: str) -> tuple[str, list[str]]:
+def page_hashes(page: str) -> tuple[int, list[int]]:
     """The hash of a page's main text before any template is deleted, which
     its copies share, and the distinct subtree hashes that may be template."""
     root = tree(page)
     found = containers(root)
     text = "\n".join(_blocks(root, found, {}, set()))
-    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")), sorted(set(subtree_hashes(root, found).values()))
+    main = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return main - (main >> 63 << 64), sorted(set(subtree_hashes(root, found).values()))
 
 
-def blocks(page: str, template: set[str]) -> list[str]:
+def blocks(page: str, template: set[int]) -> list[str]:
     """The main text's blocks in page order; ``template``: hashes of subtrees to delete."""
     root = tree(page)
     found = containers(root)
     return _blocks(root, found, subtree_hashes(root, found) if template else {}, template)
 
 
-def _blocks(root: Element, found: list[Element], hashes: dict[int, str], template: set[str]) -> list[str]:
+def _blocks(root: Element, found: list[Element], hashes: dict[int, int], template: set[int]) -> list[str]:
     article = found != [root]
     out: list[str] = []
     run: list[str] = []
@@ -279,24 +279,24 @@ def _blocks(root: Element, found: list[Element], hashes: dict[int, str], templat
             out.append(text)
         run.clear()
 
-    def visit(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, str):
+    for e in found:
+        todo: list[Element | str | None] = list(reversed(e.children))  # None: a block ends
+        while todo:
+            c = todo.pop()
+            if c is None:
+                flush()
+            elif isinstance(c, str):
                 run.append(c)
             elif is_boilerplate(c, article) or hashes.get(id(c)) in template:
                 if c.tag in BLOCKS:
                     flush()
-            elif c.tag in BLOCKS:
-                flush()
-                visit(c)
-                flush()
             elif c.tag == "br":
                 run.append(" ")
             else:
-                visit(c)
-
-    for e in found:
-        visit(e)
+                if c.tag in BLOCKS:
+                    flush()
+                    todo.append(None)
+                todo += reversed(c.children)
         flush()
     return out
 
@@ -327,13 +327,13 @@ def _joined(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> Dat
 
 
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, key, main, hashes) per row: a hash of the page, one of its main
-    text, and the subtree hashes that may be template."""
-    @F.pandas_udf("struct<main:string,hashes:array<string>>")
+    """(host, key, main, hashes) per row, all 64-bit hashes: of the host, the
+    page, its main text, and the subtrees that may be template."""
+    @F.pandas_udf("struct<main:long,hashes:array<long>>")
     def hashes(bodies: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([page_hashes(b) for b in bodies], columns=["main", "hashes"])
 
-    return settled(pages.select(host(F.col(url)).alias("host"), F.md5(whole(html)).alias("key"), hashes(whole(html)).alias("p"))
+    return settled(pages.select(F.xxhash64(host(F.col(url))).alias("host"), F.xxhash64(whole(html)).alias("key"), hashes(whole(html)).alias("p"))
                    .select("host", "key", "p.main", "p.hashes"))
 
 
@@ -345,7 +345,7 @@ def templates(each: DataFrame, share: float = SHARE, least: int = LEAST, recurs:
     A page gives each hash once, and so do all its copies together, by host
     and main text; counts are partial sums before the shuffle."""
     # the page itself is one more row (null hash) that counts the host's pages
-    own = each.select("host", "main", F.explode(F.array_append("hashes", F.lit(None).cast("string"))).alias("h")).distinct()
+    own = each.select("host", "main", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("h")).distinct()
     n = own.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     often = settled(n.filter(F.col("h").isNull() | (F.col("n") >= least)))
     sums = often.groupBy("host").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("pages"))
@@ -379,13 +379,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pd.Series(["\n".join(blocks(b, {x for part in (h, o) if part is not None for x in part}))
                           for b, h, o in zip(bodies, lists, own)], dtype=object)
 
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), whole(html).alias("html"), host(F.col(url)).alias("host"))
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), whole(html).alias("html"), F.xxhash64(host(F.col(url))).alias("host"))
     listed = _joined(rows, lists, ["host"], total)
-    plain = listed.withColumn("own", F.lit(None).cast("array<string>"))
+    plain = listed.withColumn("own", F.lit(None).cast("array<long>"))
     if not lists.filter("more").isEmpty():
         wide = F.coalesce("more", F.lit(False))
         recurring = _recurring(each, found.filter(~F.col("listed")).select("host", "h"))
-        own = _joined(listed.filter(wide).withColumn("key", F.md5("html")), recurring, ["host", "key"], total)
+        own = _joined(listed.filter(wide).withColumn("key", F.xxhash64("html")), recurring, ["host", "key"], total)
         plain = plain.filter(~wide).unionByName(own.drop("key"))
     done = plain.select("id", "url", text("html", "hashes", "own").alias("text"))
     return done.select(F.col("id").alias(page_id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
