@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import release, settled, utf8
+from vigil.llm.common import release, settled, utf8, whole
 
 #: Fixed value: seed of the shingle hash.
 SEED = 42
@@ -282,21 +282,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3,
              budget: int = 2) -> DataFrame:
-    """One document of each component: the row with the component's smallest
-    id, all columns unchanged; of rows that repeat that id one stays.  Rows
-    with a null id stay (nothing names them); an empty table gives no rows.
-
-    The lost ids leave by an anti join, so a text crosses the network at most
-    once (not at all when the list of lost ids is small enough to broadcast);
-    only the rows of repeated ids are grouped."""
-    found = settled(near_duplicates(docs, id_col, text, shingle, budget))
-    lost = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    repeated = settled(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice"))
-                       .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_twice"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    left = rows.join(lost, F.col("_id") == F.col("_gone"), "left_anti")
-    single = left.join(repeated, F.col("_id") == F.col("_twice"), "left_anti")
+    """One document of each component, all columns unchanged: the row with the
+    smallest id (null ids last), of rows that repeat that id with different texts
+    one with the smallest text hash, of rows of one id and text any one.  An
+    empty table gives no rows.
+
+    A row is known by its id and 64 bits of its text.  The lost ones leave by an
+    anti join, so a text crosses the network at most once (not at all when the
+    list of lost rows is small enough to broadcast); only rows that repeat id
+    and text are grouped."""
+    def row(alias: str) -> Column:
+        return F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text)).alias("k")).alias(alias)
+
+    found = settled(near_duplicates(docs.select(row("key"), F.col(f"`{text}`").alias("text")), "key", "text", shingle, budget))
+    lost = found.filter(F.col("key") != F.col("component_id")).select("key").distinct()
+    repeated = settled(found.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row("key"))
+    left = rows.join(lost, "key", "left_anti")
     if repeated.isEmpty():
-        return left.select("_row.*")
-    one = left.join(repeated, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"])
-    return single.unionByName(one).select("_row.*")
+        return left.select("row.*")
+    one = left.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return left.join(repeated, "key", "left_anti").unionByName(one).select("row.*")
