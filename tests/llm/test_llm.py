@@ -99,7 +99,28 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert got.count() == odd.count() and got.filter("not intact").isEmpty()
     kept = simhash.keep_one(odd)
     ids = Counter(r[0] for r in kept.select("doc_id").collect())
-    assert ids[1] == 1 and 2 not in ids and ids[9] == 1 and ids[None] == 2
+    assert ids[1] == 1 and 2 not in ids and ids[9] == 1 and None not in ids
+    rows = [(5, "a b c d"), (5, "w x y z q"), (4, "a b c d"), (None, "only here u v"), (None, "only here u v"), (None, "w x y z q")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert Counter(tuple(r) for r in kept.collect()) == {(5, "w x y z q"): 1, (4, "a b c d"): 1, (None, "only here u v"): 1}
+
+
+def test_near_copies_of_a_hot_group_stay_alike(spark):
+    """A third of the rows are near copies, one word of 60 changed."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(600):
+        words = [f"v{rng.randrange(900)}" for _ in range(60)]
+        if i < 200:
+            words = list(base)
+            words[rng.randrange(60)] = f"v{rng.randrange(900)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r for r in imatch.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    near = sorted(got[i]["near_next"] for i in range(1, 200))
+    assert near[len(near) // 2] > 0.5 and sum(x > 0.3 for x in near) > 0.9 * len(near)
+    far = [got[i]["near_next"] for i in range(201, 600)]
+    assert sum(far) / len(far) < 0.05
 
 
 # --- op1 ----------------------------------------------------------------------

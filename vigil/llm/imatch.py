@@ -1,14 +1,21 @@
 """I-Match document fingerprints, in DataFrame operations only.
 
 A lexicon holds the words whose document frequency lies in a band: at least
-``LOW`` and at most ``HIGH`` of the documents.  ``SUBSETS`` randomised
-sub-lexica each keep a share of it, three for every rate from a quarter down
-to 1/512.  A document's signature under a sub-lexicon is a hash of its sorted
-distinct terms in it; its fingerprint is the list of the signatures.  The
-likeness of two fingerprints is the share of equal signatures among those
-that are not empty in both.  With wide and narrow sub-lexica there are some
-that a small edit leaves alone, for long and short documents.  A document
-without lexicon terms has the hash of all its distinct words instead.
+``LOW`` and at most ``HIGH`` of the documents, where a large group of copies or
+near copies counts as one document.  ``SUBSETS`` randomised sub-lexica each
+keep a share of it, three for every rate from a quarter down to 1/512.  A
+document's signature under a sub-lexicon is a hash of its sorted distinct terms
+in it; its fingerprint is the list of the signatures.  The likeness of two
+fingerprints is the share of equal signatures among those that are not empty
+in both.  With wide and narrow sub-lexica there are some that a small edit
+leaves alone, for long and short documents.  A document of whose distinct words
+fewer than one in ``SCARCE`` are in the band (a hot group's words are all too
+frequent, invented words all too rare) has the same sub-lexica applied to all
+its words.
+
+A word is a 63-bit code from then on: 39 bits of its hash and a bit for each
+sub-lexicon that keeps it.  Codes depend on the word alone, so fingerprints of
+different tables can be compared.
 """
 
 from __future__ import annotations
@@ -22,11 +29,18 @@ from pyspark.sql import functions as F
 from vigil.llm.common import settled, shuffle_width, whole
 
 LOW, HIGH = 0.0005, 0.1
+SCARCE = 8
 SUBSETS = 24
 DIGITS = 8  # of a signature
-#: A lexicon of up to so many rows (some tens of bytes each) is broadcast;
-#: a larger one is joined by shuffle.
+#: A lexicon of up to so many rows (8 bytes each) is broadcast; a larger one is
+#: joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Groups from one in so many documents on are weighted; there are at most as many.
+HOT = 1000
+#: A document's weight, as an integer so that sums do not depend on their order.
+UNIT = 1 << 30
+#: Sub-lexica are drawn by a multiplicative generator on the word's hash.
+PRIME, FACTOR = (1 << 31) - 1, 48271
 
 
 def rate(j: int) -> int:
@@ -34,39 +48,48 @@ def rate(j: int) -> int:
     return 4 << (j // 3)
 
 
+def code(word: Column) -> Column:
+    """39 bits of the word's hash, then a bit for each sub-lexicon."""
+    h = F.shiftright(F.conv(F.substring(F.md5(word), 1, 10), 16, 10).cast("long"), 1)
+    x, bits = h % PRIME, F.lit(0).cast("long")
+    for j in range(SUBSETS):
+        bits = bits + F.when(x * pow(FACTOR, j + 1, PRIME) % PRIME % rate(j) == 0, F.lit(1 << j)).otherwise(0).cast("long")
+    return F.shiftleft(h, SUBSETS) + bits
+
+
 def terms(text: Column) -> Column:
     """Distinct words of a text."""
     return F.array_distinct(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
 
 
+def codes(text: Column) -> Column:
+    """Codes of a text's distinct words."""
+    return F.transform(terms(text), code)
+
+
 def band(n: int, low: float = LOW, high: float = HIGH) -> tuple[int, int]:
     """Least and greatest document frequency of a term among n documents."""
     return max(2, math.ceil(low * n)), max(2, math.floor(high * n))
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, packed): the terms of the band; ``packed`` is the term's rank in
-    sort order times 2^SUBSETS plus a bit for each sub-lexicon that keeps it.
-
-    Document frequencies are counted over all documents (partial sums before
-    the shuffle).  A document has so many distinct words, on average W, so
-    the band holds at most W / low terms, however large the corpus."""
-    lo, hi = band(docs.count(), low, high)
-    df = docs.select(F.explode(terms(whole(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = settled(df.filter(F.col("df").between(lo, hi)).select("term"))
-    bits = F.lit(0).cast("long")
-    for j in range(SUBSETS):
-        h = F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{j}"))), 1, 4), 16, 10).cast("int")
-        bits = bits + F.when(h % rate(j) == 0, F.lit(1 << j)).otherwise(0).cast("long")
-    # ranks from per-range counts, so that no task sorts the whole lexicon
-    parts = kept.repartitionByRange(shuffle_width(docs.sparkSession), "term").withColumn("part", F.spark_partition_id())
-    parts = settled(parts)
-    at = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")) \
-        .select("part", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("before"))
-    own = Window.partitionBy("part").orderBy("term")
-    rank = F.col("before") + F.row_number().over(own) - 1
-    return parts.join(F.broadcast(before), "part").select("term", (rank * (1 << SUBSETS) + bits).alias("packed"))
+    """(code): the terms of the band.
+
+    A document's group is the least of its codes, which copies share and near
+    copies mostly do.  A group of at least one in ``HOT`` documents (so at most
+    ``HOT`` groups, which are broadcast) weighs as one document together.
+    Frequencies are counted over all documents, as partial sums before the shuffle.
+    A document has so many distinct words, on average W, so the band holds at
+    most W / low terms, however large the corpus."""
+    each = docs.select(codes(whole(text)).alias("codes")).withColumn("group", F.array_min("codes"))
+    sizes = settled(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT >= docs.count()))
+    share = F.floor(F.lit(UNIT) / F.col("n")).cast("long")
+    hot = F.broadcast(sizes.filter("group is not null").select("group", share.alias("share")))
+    weighed = each.join(hot, "group", "left").select("codes", F.coalesce("share", F.lit(UNIT)).alias("weight"))
+    total = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
+    lo, hi = band(total // UNIT, low, high)
+    df = weighed.select("weight", F.explode("codes").alias("code")).groupBy("code").agg(F.sum("weight").alias("df"))
+    return df.filter(F.col("df").between(lo * UNIT, hi * UNIT)).select("code")
 
 
 def _edges(docs: DataFrame, id_col: str, parts: int) -> list:
@@ -131,20 +154,14 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - k), F.substring(other, F.lit(1), k))
 
 
-def signatures(ranked: Column, plain: Column) -> Column:
-    """Array of signatures of the sorted packed lexicon terms (a sub-lexicon
-    without terms: the signature of nothing); without any, one hash of all
-    words."""
+def signatures(kept: Column) -> Column:
+    """A signature of the sorted codes for each sub-lexicon; without terms in
+    it, the signature of nothing."""
     def one(bit: Column) -> Column:
-        own = F.filter(ranked, lambda p: p.bitwiseAND(bit) != 0)
-        return signature(F.transform(own, lambda p: F.shiftright(p, SUBSETS).cast("string")))
+        own = F.filter(kept, lambda p: p.bitwiseAND(bit) != 0)
+        return F.substring(F.md5(F.array_join(F.transform(own, lambda p: F.shiftright(p, SUBSETS).cast("string")), " ")), 1, DIGITS)
 
-    bits = F.array(*[F.lit(1 << j).cast("long") for j in range(SUBSETS)])
-    return F.when(F.size(ranked) > 0, F.transform(bits, one)).otherwise(F.array(plain))
-
-
-def signature(parts: Column) -> Column:
-    return F.substring(F.md5(F.array_join(parts, " ")), 1, DIGITS)
+    return F.transform(F.array(*[F.lit(1 << j).cast("long") for j in range(SUBSETS)]), one)
 
 
 #: The signature of nothing.
@@ -152,13 +169,16 @@ EMPTY = hashlib.md5(b"").hexdigest()[:DIGITS]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal signatures among those not empty in both (0 for
-    fingerprints of different kind, 1 for two of which nothing is filled)."""
+    """Share of equal signatures among those not empty in both (1 for two of
+    which nothing is filled)."""
     both = F.arrays_zip(a.alias("a"), b.alias("b"))
     filled = F.filter(both, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))
     same = F.filter(filled, lambda p: p["a"] == p["b"])
-    return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(
-        F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(filled)))
+    return F.when(F.size(filled) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(filled))
+
+
+#: Stands for the text itself among its codes (which are not negative).
+OWN = -1
 
 
 def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: Column, carried: Column, lex_rows: int) -> DataFrame:
@@ -166,26 +186,30 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: Column,
     column that goes along.
 
     Rows hash-partitioned by one of ``keys`` stay where they are: the lexicon
-    is broadcast and a text's terms meet in the task that cut them.  Besides
-    its terms a text gives one row of the empty word, which holds the carried
-    column, so that only lexicon terms and that row are grouped."""
-    words = rows.select(*keys, carried.alias("carried"), terms(text).alias("w")) \
-        .withColumn("plain", signature(F.sort_array("w")))  # once a text, not once a term
-    each = words.select(*keys, "carried", "plain", F.explode(F.array_append("w", F.lit(""))).alias("term"))
-    own = F.col("term") == ""
+    is broadcast and a text's codes meet in the task that cut them.  Besides
+    its codes a text gives one row (:data:`OWN`), which holds all codes and the
+    carried column, so that only lexicon terms and that row are grouped."""
+    words = rows.select(*keys, carried.alias("carried"), F.sort_array(codes(text)).alias("all")) \
+        .filter(F.size("all") >= 0)  # cut once, not once a use
+    each = words.select(*keys, F.explode(F.concat(F.array(F.struct(F.lit(OWN).cast("long").alias("code"), F.struct("all", "carried").alias("held"))),
+                                                  F.transform("all", lambda c: F.struct(c.alias("code"), F.lit(None).cast(_held_type(words)).alias("held"))))).alias("x")) \
+        .select(*keys, "x.code", "x.held")
     if lex_rows <= BROADCAST_ROWS:
-        mark = lex.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("packed"))
-        found = each.join(F.broadcast(lex.unionByName(mark)), "term")
+        mark = lex.sparkSession.range(1).select(F.lit(OWN).cast("long").alias("code"))
+        found = each.join(F.broadcast(lex.unionByName(mark)), "code", "left_semi")
     else:
-        found = each.filter(~own).join(lex, "term") \
-            .unionByName(each.filter(own).withColumn("packed", F.lit(None).cast("long")))
-    held = F.when(own, F.struct("carried", "plain"))
-    ranked = found.groupBy(*keys).agg(F.sort_array(F.collect_list("packed")).alias("ranked"),
-                                      F.first(held, ignorenulls=True).alias("held"))
+        found = each.filter(F.col("code") != OWN).join(lex, "code", "left_semi").unionByName(each.filter(F.col("code") == OWN))
+    grouped = found.groupBy(*keys).agg(F.collect_list(F.when(F.col("code") != OWN, F.col("code"))).alias("band"),
+                                       F.first("held", ignorenulls=True).alias("held"))
+    enough = (F.size("band") > 0) & (F.size("band") * SCARCE >= F.size("held.all"))
+    kept = grouped.select(*keys, "held.carried", F.when(enough, F.sort_array("band")).otherwise(F.col("held.all")).alias("kept"))
     # the filter keeps the sorted list a column: merged into the next expression
-    # it would be collected and sorted again for every sub-lexicon
-    return ranked.filter(F.size("ranked") >= 0).select(
-        *keys, signatures(F.col("ranked"), F.col("held.plain")).alias("sig"), F.col("held.carried").alias("carried"))
+    # it would be sorted again for every sub-lexicon
+    return kept.filter(F.size("kept") >= 0).select(*keys, signatures(F.col("kept")).alias("sig"), "carried")
+
+
+def _held_type(words: DataFrame) -> str:
+    return words.select(F.struct("all", "carried").alias("h")).schema["h"].dataType.simpleString()
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -220,15 +244,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", low: flo
 
 def oracle_sql(low: float = LOW, high: float = HIGH) -> str:
     """DuckDB SQL for :func:`report` on ``documents``, from the definitions."""
-    bit = " + ".join(f"(CASE WHEN ('0x' || substr(md5(term || ':{j}'), 1, 4))::INT % {rate(j)} = 0 THEN {1 << j} ELSE 0 END)"
-                     for j in range(SUBSETS))
-    sigs = ", ".join(f"""substr(md5(coalesce(array_to_string(list_transform(list_filter(ps, lambda p: (p[2] & {1 << j}) <> 0),
-        lambda p: p[1]), ' '), '')), 1, {DIGITS})""" for j in range(SUBSETS))
+    bits = " + ".join(f"(CASE WHEN (h % {PRIME}) * {pow(FACTOR, j + 1, PRIME)} % {PRIME} % {rate(j)} = 0 THEN {1 << j} ELSE 0 END)" for j in range(SUBSETS))
+    sigs = ", ".join(f"""substr(md5(coalesce(array_to_string(list_transform(list_filter(ps, lambda p: (p & {1 << j}) <> 0),
+        lambda p: p >> {SUBSETS}), ' '), '')), 1, {DIGITS})""" for j in range(SUBSETS))
     empty = f"substr(md5(''), 1, {DIGITS})"
     same = " + ".join(f"(a[{j}] <> {empty} AND a[{j}] = b[{j}])::INT" for j in range(1, SUBSETS + 1))
     filled = " + ".join(f"(a[{j}] <> {empty} OR b[{j}] <> {empty})::INT" for j in range(1, SUBSETS + 1))
-    like = lambda a, b: f"""CASE WHEN len({a}) <> len({b}) THEN 0.0 WHEN len({a}) = 1 AND ({a}[1] = {empty} AND {b}[1] = {empty}) THEN 1.0 WHEN len({a}) = 1 THEN ({a}[1] = {b}[1])::INT::DOUBLE
-        WHEN ({filled}) = 0 THEN 1.0 ELSE ({same})::DOUBLE / ({filled}) END""".replace("a[", f"{a}[").replace("b[", f"{b}[")
+    like = lambda a, b: f"CASE WHEN ({filled}) = 0 THEN 1.0 ELSE ({same})::DOUBLE / ({filled}) END".replace("a[", f"{a}[").replace("b[", f"{b}[")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 nx AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt,
@@ -236,14 +258,20 @@ nx AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt,
        FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT doc_id, next_id, n, text, substr(text, 1, n - n // 3) || substr(nxt, 1, n // 3) AS changed FROM nx),
 v AS (SELECT doc_id, 0 AS v, text AS t FROM e UNION ALL SELECT doc_id, 1, changed FROM e),
-w AS (SELECT DISTINCT doc_id, v, unnest(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS term FROM v),
-tf AS (SELECT term, count(*) AS df FROM w WHERE v = 0 GROUP BY term),
-lex AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS r, {bit} AS m FROM tf
-        WHERE df BETWEEN greatest(2, ceil({low} * (SELECT count(*) FROM d))) AND greatest(2, floor({high} * (SELECT count(*) FROM d)))),
-c AS (SELECT doc_id, v, list([r, m] ORDER BY r) AS ps FROM w JOIN lex USING (term) GROUP BY ALL),
-pl AS (SELECT doc_id, v, array_to_string(list(term ORDER BY term), ' ') AS words FROM w GROUP BY ALL),
-s AS (SELECT v.doc_id, v.v, CASE WHEN ps IS NULL THEN [substr(md5(coalesce(words, '')), 1, {DIGITS})] ELSE [{sigs}] END AS sig
-      FROM v LEFT JOIN c USING (doc_id, v) LEFT JOIN pl USING (doc_id, v))
+t AS (SELECT DISTINCT doc_id, v, unnest(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS term FROM v),
+hs AS (SELECT DISTINCT term, ('0x' || substr(md5(term), 1, 10))::BIGINT >> 1 AS h FROM t),
+w AS (SELECT doc_id, v, (h << {SUBSETS}) + {bits} AS code FROM t JOIN hs USING (term)),
+g AS (SELECT d.doc_id, min(code) AS grp FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND v = 0 GROUP BY d.doc_id),
+wt AS (SELECT doc_id, CASE WHEN grp IS NOT NULL AND count(*) OVER (PARTITION BY grp) * {HOT} >= (SELECT count(*) FROM d)
+              THEN floor({UNIT} / count(*) OVER (PARTITION BY grp))::BIGINT ELSE {UNIT} END AS weight FROM g),
+nn AS (SELECT sum(weight) // {UNIT} AS n FROM wt),
+lex AS (SELECT code FROM w JOIN wt USING (doc_id) WHERE v = 0 GROUP BY code
+        HAVING sum(weight) BETWEEN greatest(2, ceil({low} * (SELECT n FROM nn))) * {UNIT} AND greatest(2, floor({high} * (SELECT n FROM nn))) * {UNIT}),
+c AS (SELECT doc_id, v, list(w.code ORDER BY w.code) AS everything, list(lex.code ORDER BY lex.code) FILTER (lex.code IS NOT NULL) AS inside
+      FROM w LEFT JOIN lex USING (code) GROUP BY ALL),
+k AS (SELECT doc_id, v, CASE WHEN len(inside) > 0 AND len(inside) * {SCARCE} >= len(everything) THEN inside ELSE everything END AS ps
+      FROM v LEFT JOIN c USING (doc_id, v)),
+s AS (SELECT doc_id, v, [{sigs}] AS sig FROM k)
 SELECT e.doc_id, n AS n_chars, sha256(changed) AS edited_sha256, array_to_string(o.sig, '.') AS fingerprint,
        array_to_string(h.sig, '.') AS edited_fingerprint, {like('o.sig', 'h.sig')} AS near_edited, {like('o.sig', 'x.sig')} AS near_next
 FROM e JOIN s o ON o.doc_id = e.doc_id AND o.v = 0 JOIN s h ON h.doc_id = e.doc_id AND h.v = 1
