@@ -601,3 +601,22 @@ def test_pipeline_runs_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.filter("not intact").isEmpty()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_pieces_are_cut_by_the_reference_engines_classes():
+    """Random texts over all planes, rare and newly assigned code points included."""
+    import base64
+
+    import tiktoken
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    pools = [range(0x20, 0x7F), range(0xA0, 0x250), range(0x530, 0x600), range(0x0C00, 0x0D00), range(0x2000, 0x2100), range(0x20000, 0x32000),
+             range(0x11D00, 0x11F00), range(0x1F300, 0x1F700), [0x209D, 0x20, 0x0A, 0x85, 0xA0, 0x3000, 0x27]]
+    texts = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["<|endoftext|> a <|endoftext|>", "word₝₝word", " ₝", ""]
+    for text, ids in zip(texts, codec.encode_many(texts)):
+        assert ids.tolist() == library.encode_ordinary(text), text.encode("unicode_escape")
+        assert codec.decode(ids.tolist()) == text

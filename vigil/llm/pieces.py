@@ -7,6 +7,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,18 +24,47 @@ SPACE_CUT_PATTERN = public_tokenizers.PATTERN
 _BLANK_AFTER_SPACE = re.compile(r" (?=\s|\Z)").search
 
 
+@cache
+def other_classes() -> tuple[Callable, dict[int, str]]:
+    """Code points whose class (letter, number, other) the reference engine and
+    the two used here do not agree on, as their Unicode tables are of different
+    age: a search for one of them, and for each a character that all engines
+    put where the reference engine has the code point.
+
+    Asked of the engine itself: with a vocabulary of single bytes and a class as
+    its pattern, it encodes the characters of that class and drops the others."""
+    import tiktoken
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    ask = {bytes([i]): i for i in range(256)}
+    theirs, ours = {}, {}
+    for sign, of_class in (("a", r"\p{L}"), ("0", r"\p{N}")):
+        engine = tiktoken.Encoding("classes", pat_str=of_class, mergeable_ranks=ask, special_tokens={})
+        theirs.update(dict.fromkeys(bytes(engine.encode_ordinary(every)).decode(), sign))
+        ours.update(dict.fromkeys(regex.findall(of_class, every), sign))
+    odd = [c for c in every if theirs.get(c) != ours.get(c) or (theirs.get(c) == "a") != c.isalpha()]
+    stand_in = {ord(c): theirs.get(c, "\u2022") for c in odd}
+    if not odd:
+        return (lambda text: None), stand_in
+    first = re.compile(f"[^\0-{re.escape(chr(ord(odd[0]) - 1))}]").search  # most texts end here
+    any_odd = re.compile(f"[{re.escape(''.join(odd))}]").search
+    return (lambda text: first(text) and any_odd(text)), stand_in
+
+
 class PieceEncoder:
     """Ids of texts whose pieces (the pattern's matches) are encoded apart.
 
     With the public byte-level pattern a piece always starts at a space that
     stands before a visible character, and what follows does not change the
     pieces before it: such texts are cut at spaces first, and the ids of
-    whole chunks (a word with its punctuation) are looked up.  Each step of
-    ``scale`` halves the caches."""
+    whole chunks (a word with its punctuation) are looked up.  Texts with a
+    code point of :func:`other_classes` are cut by stand-ins for those.  Each
+    step of ``scale`` halves the caches."""
 
     def __init__(self, pattern: str, encode_piece: Callable[[str], Iterable[int]], scale: int = 0):
         self._piece_limit, self._chunk_limit = PIECES >> scale, CHUNKS >> scale
-        self._find = regex.compile(pattern).findall
+        self._pattern = regex.compile(pattern)
+        self._find = self._pattern.findall
+        self._odd, self._stand_ins = other_classes()
         self._encode_piece = encode_piece
         self._cuts = pattern == SPACE_CUT_PATTERN
         # two generations of each cache: what is used moves to the young one; when
@@ -57,6 +87,8 @@ class PieceEncoder:
         return got
 
     def _chunk(self, text: str) -> bytes:
+        if self._odd(text):
+            return b"".join([self._piece(text[m.start():m.end()]) for m in self._pattern.finditer(text.translate(self._stand_ins))])
         return b"".join([self._piece(p) for p in self._find(text)])
 
     def _word(self, p: str) -> bytes:
@@ -86,7 +118,7 @@ class PieceEncoder:
         together: list[int] = []
         chars = 0
         for i, text in enumerate(texts):
-            if not self._cuts or _BLANK_AFTER_SPACE(text):
+            if not self._cuts or _BLANK_AFTER_SPACE(text) or self._odd(text):
                 out[i] = np.frombuffer(self._chunk(text), np.int32)
                 continue
             together.append(i)
