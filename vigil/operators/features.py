@@ -73,12 +73,18 @@ def scaler_transform(df: DataFrame, params: DataFrame, columns: Sequence[str]) -
     return j.select(*df.columns, *outs)
 
 
-def one_hot_columns(df: DataFrame, col: str, categories: Sequence | None = None) -> DataFrame:
+def one_hot_columns(df: DataFrame, col: str, categories: Sequence | None = None, most: int = 1000) -> DataFrame:
     """One 0/1 column per category: the given ones, else all values (sorted).
-    A column per value only suits few values; :func:`one_hot_vector` is for
-    open-ended categories."""
-    cats = [str(c) for c in categories] if categories is not None else [
-        r[0] for r in df.select(F.col(col).cast("string").alias("c")).filter(F.col("c").isNotNull()).distinct().orderBy("c").collect()]
+    A column per value only suits few values: more than ``most`` of them are an
+    error, found without bringing them to the driver; :func:`one_hot_vector` is
+    for open-ended categories."""
+    if categories is not None:
+        cats = [str(c) for c in categories]
+    else:
+        values = df.select(F.col(col).cast("string").alias("c")).filter(F.col("c").isNotNull()).distinct()
+        cats = sorted(r[0] for r in values.limit(most + 1).collect())
+        if len(cats) > most:
+            raise ValueError(f"{col} has more than {most} values: use one_hot_vector")
     return df.select(*df.columns, *[(F.col(col).cast("string") == F.lit(v)).cast("int").alias(f"{col}_{v}") for v in cats])
 
 

@@ -159,6 +159,58 @@ def batch_score(df: DataFrame, features: Sequence[str], coef: np.ndarray, interc
     return df.select(id_col, *feats).mapInPandas(run, f"{id_col} long, score double, batch string, latency_ms double")
 
 
+def batch_summary(scored: DataFrame) -> DataFrame:
+    """Batches, records, failed (null or NaN) scores, mean score and mean
+    latency of a batch, of what :func:`batch_score` returns."""
+    failed = F.col("score").isNull() | F.isnan("score")
+    per = scored.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("bad"), F.sum(F.when(~failed, F.col("score"))).alias("s"),
+                                      F.max("latency_ms").alias("ms"))
+    return per.agg(F.count(F.lit(1)).alias("n_batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
+                   F.coalesce(F.sum("bad"), F.lit(0)).alias("n_failed"), F.round(F.try_divide(F.sum("s"), F.sum("n") - F.sum("bad")), 6).alias("mean_score"),
+                   F.round(F.avg("ms"), 3).alias("mean_batch_latency_ms"))
+
+
+def draws(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` random candidates of a search space: per name ("choice", values),
+    ("int", lo, hi), ("uniform", lo, hi) or ("loguniform", lo, hi), ends
+    included.  The same seed draws the same candidates."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        row = {}
+        for name, (kind, *args) in sorted(space.items()):
+            if kind == "choice":
+                row[name] = args[0][int(rng.integers(len(args[0])))]
+            elif kind == "int":
+                row[name] = int(rng.integers(args[0], args[1] + 1))
+            elif kind == "uniform":
+                row[name] = float(rng.uniform(*args))
+            elif kind == "loguniform":
+                row[name] = float(np.exp(rng.uniform(np.log(args[0]), np.log(args[1]))))
+            else:
+                raise ValueError(f"unknown distribution {kind}")
+        out.append(row)
+    return out
+
+
+def tune_random(df: DataFrame, features: Sequence[str], space: dict, n: int = 6, label: str = "label", parallelism: int = 4,
+                seed: int = 42) -> DataFrame:
+    """Random search of a gradient-free space of forest parameters (their
+    SparkML names, e.g. maxDepth, numTrees, minInfoGain): one row per drawn
+    candidate with its validation AUC and the best flagged."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    rf = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
+    drawn = draws(space, n, seed)
+    maps = [{rf.getParam(k): v for k, v in d.items()} for d in drawn]
+    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=maps,
+                               evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.75, parallelism=parallelism, seed=seed)
+    found = [float(x) for x in tvs.fit(df).validationMetrics]
+    best = max(range(n), key=lambda i: (found[i], -i))
+    rows = [(i, ", ".join(f"{k}={v:g}" if isinstance(v, float) else f"{k}={v}" for k, v in sorted(d.items())), round(found[i], 6), i == best)
+            for i, d in enumerate(drawn)]
+    return df.sparkSession.createDataFrame(rows, "candidate int, params string, auc double, best boolean")
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "label") -> tuple[np.ndarray, float]:
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     m = LogisticRegression(labelCol=label, featuresCol="features", maxIter=50).fit(asm.transform(df))

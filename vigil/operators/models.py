@@ -169,6 +169,31 @@ def recent_events(events: DataFrame, keys: Sequence[str], n: int = 10, state: st
     return g.select(*keys, "n_recent", "since", F.concat_ws(",", F.transform("_e", lambda e: e[state])).alias("recent_states"))
 
 
+def lifecycle_report(events: DataFrame, validations: DataFrame, deployments: DataFrame, keys: Sequence[str], n_events: int = 10,
+                     n_validations: int = 5, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The whole state of each key: current state, its last ``n_events``
+    states, the statuses and counts of its last ``n_validations`` validations
+    (``status, passed, failed, warnings``), newest first, and all its
+    deployments in order of their id.  Keys come from the events; what a key
+    lacks is 0 or empty.  Lists other than the deployments are ranked in salted
+    slices, so no key is one task."""
+    now = current_state(events, keys, ts=ts, tie=tie)
+    recent = recent_events(events, keys, n_events, ts=ts, tie=tie)
+    last = top_k(validations, list(keys), n_validations, [F.col(ts).desc(), F.col(tie).desc()], tie)
+    line = F.format_string("%s:%d/%d/%d", "status", "passed", "failed", "warnings")
+    checks = last.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda v: v["line"]), ",")
+                                     .alias("validations"), F.count(F.lit(1)).alias("n_validations"))
+    held = deployments.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("deployment_id", "stage"))),
+                                                                   lambda d: F.concat_ws(":", d["deployment_id"].cast("string"), d["stage"])), ",")
+                                          .alias("deployments"), F.count(F.lit(1)).alias("n_deployments"))
+    out = now.select(cell(keys).alias("_cell"), *keys, "current_state")
+    for part in (recent, checks, held):
+        out = out.join(part.withColumn("_cell", cell(keys)).drop(*keys), "_cell", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return out.select(*keys, "current_state", "recent_states", zero("n_validations"), none("validations"), zero("n_deployments"), none("deployments"))
+
+
 def latest_production(events: DataFrame, model: str = "model", version: str = "version",
                       prod_state: str = "deployed") -> DataFrame:
     """Current production version per model: versions whose latest state is

@@ -66,6 +66,18 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return stats.join(F.broadcast(med), "column", "left")
 
 
+def profile_shape(df: DataFrame, columns: Sequence[str] | None = None, of: str = "skewness") -> DataFrame:
+    """(column, skewness) or (column, kurtosis), bias-corrected, of the numeric
+    columns: one aggregate, no quantiles."""
+    cols = list(columns) if columns else [c for c in df.columns if is_numeric(df, c)]
+    raw, corrected = {"skewness": (F.skewness, skew_corrected), "kurtosis": (F.kurtosis, kurt_corrected)}[of]
+    aggs = []
+    for c in cols:
+        x = F.when(~missing(df, c), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"{c}__n"), raw(x).alias(f"{c}__g")]
+    return _explode_structs(df.agg(*aggs), [F.struct(F.lit(c).alias("column"), rnd(corrected(F.col(f"{c}__g"), F.col(f"{c}__n")), 6).alias(of)) for c in cols])
+
+
 def profile_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     cols = list(columns) if columns else [c for c in df.columns if is_time(df, c)]
     wide = df.agg(*[x for c in cols for x in (F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),

@@ -323,6 +323,23 @@ def pipeline_rollup(scores: DataFrame) -> DataFrame:
                  rnd(F.avg(F.col("status").isin("excellent", "good", "fair").cast("double"))).alias("success_rate"))
 
 
+# Mean pass rate from which a pipeline without errors and warnings is excellent, good
+PASS_BANDS = (0.95, 0.85)
+
+
+def pipeline_status(results: DataFrame) -> DataFrame:
+    """The other pipeline status, from per-dataset results (overall_status,
+    pass_rate): critical if any dataset is critical or in error, else warning
+    if any has a warning, else by the mean pass rate (a null one counts as 0);
+    excellent without datasets."""
+    bad, warn = F.count_if(F.col("overall_status").isin("critical", "error")), F.count_if(F.col("overall_status") == "warning")
+    g = results.agg(F.count(F.lit(1)).cast("long").alias("n_datasets"), bad.alias("_bad"), warn.alias("_warn"),
+                    F.avg(F.coalesce(F.col("pass_rate"), F.lit(0.0))).alias("_rate"))
+    status = (F.when(F.col("n_datasets") == 0, "excellent").when(F.col("_bad") > 0, "critical").when(F.col("_warn") > 0, "warning")
+              .when(F.col("_rate") >= PASS_BANDS[0], "excellent").when(F.col("_rate") >= PASS_BANDS[1], "good").otherwise("error"))
+    return g.select("n_datasets", rnd(F.col("_rate")).alias("mean_pass_rate"), status.alias("pipeline_status"))
+
+
 def pipeline_metrics(metrics: DataFrame) -> DataFrame:
     """Mean per (metric type, name) across datasets: ``pipeline_avg_<name>``."""
     return metrics.groupBy("metric_type", "name").agg(

@@ -46,6 +46,13 @@ def filter_tags(registry: DataFrame, tags: Mapping[str, str], col: str = "tags")
     return registry.filter(F.coalesce(cond, F.lit(False)))
 
 
+def with_sample(registry: DataFrame, features: str = "features", n: int = 5) -> DataFrame:
+    """Registry rows with the number of their features and the first ``n`` of
+    them instead of the list (a null list has none)."""
+    held = F.coalesce(F.col(features), F.array().cast(registry.schema[features].dataType))
+    return registry.withColumn("num_features", F.size(held).cast("long")).withColumn("sample_features", F.slice(held, 1, n)).drop(features)
+
+
 def filter_stage(versions: DataFrame, name: str | None, stage: str | None,
                  name_col: str = "model", stage_col: str = "current_state") -> DataFrame:
     out = versions

@@ -159,18 +159,24 @@ def row_count_check(profiles: DataFrame, key: str, order: str, lo: float = 0.5,
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
-    """(column, dtype) rows of a frame's schema (metadata only)."""
-    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-                                           "column string, dtype string")
+    """(column, dtype, n_values) of a table: its schema, and how many values of
+    each column are not null (one aggregate)."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]) if df.columns else None
+    if counts is None:
+        return df.sparkSession.createDataFrame([], "column string, dtype string, n_values long")
+    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{i}").alias("n_values"))
+            for i, f in enumerate(df.schema.fields)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def dtype_check(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Changed / added / removed columns between two schemas."""
-    j = schema_rows(baseline).withColumnRenamed("dtype", "base_dtype").join(
-        schema_rows(current).withColumnRenamed("dtype", "cur_dtype"), "column", "full_outer")
+    """Changed / added / removed columns between two versions of a table, with
+    the number of values that each version holds in them."""
+    j = schema_rows(baseline).withColumnsRenamed({"dtype": "base_dtype", "n_values": "base_values"}).join(
+        schema_rows(current).withColumnsRenamed({"dtype": "cur_dtype", "n_values": "cur_values"}), "column", "full_outer")
     change = (F.when(F.col("base_dtype").isNull(), "added").when(F.col("cur_dtype").isNull(), "removed")
               .when(F.col("base_dtype") != F.col("cur_dtype"), "type_changed"))
-    return j.select("column", "base_dtype", "cur_dtype", change.alias("change")).filter(F.col("change").isNotNull())
+    return j.select("column", "base_dtype", "cur_dtype", "base_values", "cur_values", change.alias("change")).filter(F.col("change").isNotNull())
 
 
 # ------------------------------------------------------------ run status

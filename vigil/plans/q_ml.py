@@ -49,6 +49,14 @@ def q_tune_grid(spark, sf):
     return ml.tune(training_frame(spark, sf), FEATS)
 
 
+@query("tune_random")
+def q_tune_random(spark, sf):
+    """Six drawn forests: integer, chosen and log-uniform parameters."""
+    space = {"maxDepth": ("int", 2, 6), "numTrees": ("choice", [5, 10, 20]), "minInfoGain": ("loguniform", 1e-6, 1e-2),
+             "subsamplingRate": ("uniform", 0.5, 1.0)}
+    return ml.tune_random(training_frame(spark, sf), FEATS, space, 6)
+
+
 @query("drift_classifier")
 def q_drift_classifier(spark, sf):
     t = training_frame(spark, sf)
@@ -79,7 +87,4 @@ def q_batch_score(spark, sf):
     of batches, records, failed (null) scores and mean batch latency."""
     t = training_frame(spark, sf)
     coef, icpt = ml.fit_logistic(t, FEATS)
-    s = ml.batch_score(t, FEATS, coef, icpt, "row_key")
-    return s.agg(F.count_distinct("batch").alias("n_batches"),
-                 F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("score").isNull()).alias("n_failed"),
-                 F.round(F.avg("score"), 6).alias("mean_score"))
+    return ml.batch_summary(ml.batch_score(t, FEATS, coef, icpt, "row_key"))

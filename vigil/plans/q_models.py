@@ -193,6 +193,28 @@ def q_lifecycle_recent(spark, sf):
     return mo.recent_events(lifecycle_events(spark, sf), ["model", "version"])
 
 
+@query("lifecycle_report", _L + f""", {_CUR},
+r AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY ts DESC, event_id DESC) AS k FROM lifecycle_events),
+v AS (SELECT *, row_number() OVER (PARTITION BY model, version ORDER BY ts DESC, event_id DESC) AS k FROM lifecycle_events WHERE to_state = 'validated'),
+rs AS (SELECT model, version, string_agg(to_state, ',' ORDER BY k) AS recent_states FROM r WHERE k <= 10 GROUP BY 1, 2),
+vs AS (SELECT model, version, count(*) AS n, string_agg((CASE WHEN score < 0.3 THEN 'failed' ELSE 'passed' END) || ':' || (event_id % 4) || '/' || (event_id % 3) || '/' || (event_id % 2),
+  ',' ORDER BY k) AS validations FROM v WHERE k <= 5 GROUP BY 1, 2),
+ds AS (SELECT model, version, count(*) AS n, string_agg(event_id || ':' || CASE WHEN event_id % 2 = 0 THEN 'production' ELSE 'staging' END, ',' ORDER BY event_id) AS deployments
+  FROM lifecycle_events WHERE to_state = 'deployed' GROUP BY 1, 2)
+SELECT cur.model, cur.version, current_state, recent_states, coalesce(vs.n, 0) AS n_validations, coalesce(validations, '') AS validations,
+  coalesce(ds.n, 0) AS n_deployments, coalesce(deployments, '') AS deployments
+FROM cur LEFT JOIN rs USING (model, version) LEFT JOIN vs USING (model, version) LEFT JOIN ds USING (model, version)""")
+def q_lifecycle_report(spark, sf):
+    """Validations are the 'validated' events, deployments the 'deployed' ones."""
+    ev = lifecycle_events(spark, sf)
+    number = lambda k: (F.col("event_id") % k).cast("long")
+    runs = ev.filter("to_state = 'validated'").withColumn("status", F.when(F.col("score") < 0.3, "failed").otherwise("passed")) \
+        .withColumn("passed", number(4)).withColumn("failed", number(3)).withColumn("warnings", number(2))
+    held = ev.filter("to_state = 'deployed'").withColumnRenamed("event_id", "deployment_id") \
+        .withColumn("stage", F.when(F.col("deployment_id") % 2 == 0, "production").otherwise("staging"))
+    return mo.lifecycle_report(ev, runs, held, ["model", "version"])
+
+
 @query("latest_production", _L + f""", {_CUR}
 SELECT model, arg_max(version, (last_ts, version)) AS production_version, max(last_ts) AS since, count(*) AS n_active
 FROM cur WHERE current_state = 'deployed' GROUP BY model""")

@@ -40,12 +40,12 @@ def q_profile_numeric(spark, sf):
 
 @query("profile_skew", _num_sql("lineitem", LI_NUM, ["column", "skewness"]))
 def q_profile_skew(spark, sf):
-    return pr.profile_numeric(table(spark, sf, "lineitem"), [c for c, _ in LI_NUM]).select("column", "skewness")
+    return pr.profile_shape(table(spark, sf, "lineitem"), [c for c, _ in LI_NUM], "skewness")
 
 
 @query("profile_kurtosis", _num_sql("lineitem", LI_NUM, ["column", "kurtosis"]))
 def q_profile_kurtosis(spark, sf):
-    return pr.profile_numeric(table(spark, sf, "lineitem"), [c for c, _ in LI_NUM]).select("column", "kurtosis")
+    return pr.profile_shape(table(spark, sf, "lineitem"), [c for c, _ in LI_NUM], "kurtosis")
 
 
 @query("profile_table", """SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_columns,

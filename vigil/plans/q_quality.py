@@ -9,6 +9,7 @@ from vigil.functions.core import rnd, ts_lit
 from vigil.operators import quality as q
 from vigil.plans import sqlgen
 from vigil.plans.fixtures import EVENTS_DQ_SQL, SCHEMAS, events_defects
+from vigil.operators.rules import overall_status
 from vigil.plans.registry import query
 from vigil.sources.readers import table
 
@@ -206,6 +207,20 @@ def q_dq_pipeline_status(spark, sf):
     return q.pipeline_rollup(q.dq_score(_pipe_metrics(spark, sf)))
 
 
+@query("dq_pipeline_bands", f"""WITH {_PIPE},
+r AS (SELECT dataset, count(*) AS n, count(*) FILTER (WHERE status IN ('error', 'failed')) AS bad, count(*) FILTER (WHERE status = 'warning') AS warn,
+  count(*) FILTER (WHERE status IN ('passed', 'excellent', 'good')) AS ok FROM pm WHERE status IS NOT NULL GROUP BY dataset),
+d AS (SELECT CAST(ok AS DOUBLE) / n AS rate, CASE WHEN bad > 0 THEN 'critical' WHEN warn > 0 THEN 'warning' WHEN CAST(ok AS DOUBLE) / n >= 0.95 THEN 'excellent'
+  WHEN CAST(ok AS DOUBLE) / n >= 0.85 THEN 'good' ELSE 'error' END AS st FROM r)
+SELECT count(*) AS n_datasets, round(avg(round(rate, 9)), 9) AS mean_pass_rate, CASE WHEN count(*) FILTER (WHERE st IN ('critical', 'error')) > 0 THEN 'critical'
+  WHEN count(*) FILTER (WHERE st = 'warning') > 0 THEN 'warning' WHEN avg(rate) >= 0.95 THEN 'excellent' WHEN avg(rate) >= 0.85 THEN 'good' ELSE 'error' END AS pipeline_status
+FROM d""")
+def q_dq_pipeline_bands(spark, sf):
+    """Pipeline status by bands of the datasets' check results."""
+    checks = _pipe_metrics(spark, sf).filter("status IS NOT NULL")
+    return q.pipeline_status(overall_status(checks, ["dataset"]))
+
+
 @query("dq_pipeline_score", f"""WITH {_PIPE},\n{_PSCORE}
 SELECT round(avg(overall_score), 9) AS pipeline_score,
        round(avg(CASE WHEN status IN ('excellent', 'good', 'fair') THEN 1.0 ELSE 0.0 END), 9) AS success_rate

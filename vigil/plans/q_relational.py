@@ -47,17 +47,23 @@ def q_filter_period(spark, sf):
 def _registry(spark, sf):
     """Feature-set registry: one set per (event type, day-of-week bucket)."""
     ev = table(spark, sf, "events", ["event_type", "ts", "user_id"])
-    g = ev.groupBy("event_type", F.dayofweek("ts").alias("dow")).agg(F.count_distinct("user_id").alias("n_users"))
+    g = ev.groupBy("event_type", F.dayofweek("ts").alias("dow")).agg(
+        F.count_distinct("user_id").alias("n_users"),
+        F.array_sort(F.collect_set(F.concat(F.lit("hour_"), F.hour("ts").cast("string")))).alias("features"))
     return g.select(F.concat_ws("_", F.lit("fs"), "event_type", F.col("dow").cast("string")).alias("feature_set"),
                     F.create_map(F.lit("type"), F.col("event_type"),
                                  F.lit("weekend"), F.when(F.col("dow").isin(1, 7), "yes").otherwise("no")).alias("tags"),
-                    F.col("n_users").cast("long").alias("n_users"))
+                    F.col("n_users").cast("long").alias("n_users"), "features")
 
 
 @query("filter_tags", """SELECT 'fs_' || event_type || '_' || CAST(dayofweek(ts) + 1 AS VARCHAR) AS feature_set,
-  count(DISTINCT user_id) AS n_users FROM events WHERE event_type = 'click' AND dayofweek(ts) IN (0, 6) GROUP BY 1""")
+  count(DISTINCT user_id) AS n_users, count(DISTINCT hour(ts)) AS num_features,
+  array_to_string(list_sort(list(DISTINCT 'hour_' || hour(ts)))[1:5], ',') AS sample_features
+FROM events WHERE event_type = 'click' AND dayofweek(ts) IN (0, 6) GROUP BY 1""")
 def q_filter_tags(spark, sf):
-    return rl.filter_tags(_registry(spark, sf), {"type": "click", "weekend": "yes"}).drop("tags")
+    """Sets by tag, with their first five features."""
+    found = rl.with_sample(rl.filter_tags(_registry(spark, sf), {"type": "click", "weekend": "yes"}))
+    return found.withColumn("sample_features", F.array_join("sample_features", ",")).drop("tags")
 
 
 @query("filter_stage", f"""WITH {LIFECYCLE_SQL}
