@@ -41,7 +41,8 @@ from vigil.llm.common import held, settled, whole
 
 STRIDE, OVERLAP = 24, 8
 WIDTH = STRIDE + OVERLAP
-CACHE = 1 << 18  # words in one generation of a worker's cache
+CACHE = 1 << 17  # words in one generation of a worker's cache
+ROWS = 256  # rows that are texts in a worker at a time
 
 
 # --- subword ids -----------------------------------------------------------------
@@ -85,6 +86,13 @@ def portions(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
         yield part
 
 
+def text_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """The first column's texts, a few rows as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from portions(batch.column(0).slice(at, ROWS).to_pylist())
+
+
 class Words:
     """Subword ids of words, repeated ones encoded once."""
 
@@ -409,15 +417,14 @@ def fit(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: st
 
 def _unigrams(rows, path, pattern, enc):
     """Counts of the ids over all training texts."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words_of(path, pattern)
         ids = np.zeros(own.size, np.int64)
-        for pdf in batches:
-            for texts in portions(pdf["text"].tolist()):
-                ids += np.bincount(own.ids(cut(texts))[0], minlength=own.size)
-        yield pd.DataFrame([(-1, _pack(ids))] if ids.any() else [], columns=["k", "counts"])
+        for texts in text_portions(batches):
+            ids += np.bincount(own.ids(cut(texts))[0], minlength=own.size)
+        yield _counts_batch([(-1, ids)] if ids.any() else [])
 
-    got = _summed(rows.select("text").mapInPandas(count, "k long, counts binary"))
+    got = _summed(rows.select("text").mapInArrow(count, "k long, counts binary"))
     return got.get(-1, np.zeros(enc.size, np.int64))
 
 
@@ -441,30 +448,37 @@ def _count(rows, path, pattern, top_ids, hot, enc):
     start = int(symbol[enc.end])
     hot_no = {w: i for i, w in enumerate(hot)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words_of(path, pattern)
-        pairs, words = np.zeros(n * n, np.int64), np.zeros(len(hot) + 1, np.int64)
-        for pdf in batches:
-            for texts in portions(pdf["text"].tolist()):
-                c = cut(texts)
-                x, _ = own.ids(c)
-                s = symbol[x]
-                # a text follows the end id of the one before, which is its start symbol
-                pairs += np.bincount(np.concatenate([[start], s[:-1]]) * n + s, minlength=n * n)
-                get = hot_no.get
-                np.add.at(words, np.array([get(w, -1) + 1 for w in c.words], np.int64), np.bincount(c.at, minlength=len(c.words)))
+        pairs, words = np.zeros(n * n, np.int32), np.zeros(len(hot) + 1, np.int64)
+        get = hot_no.get
+        for texts in text_portions(batches):
+            c = cut(texts)
+            x, _ = own.ids(c)
+            s = symbol[x]
+            # a text follows the end id of the one before, which is its start symbol
+            seen, times = np.unique(np.concatenate([[start], s[:-1]]) * n + s, return_counts=True)
+            pairs[seen] += times.astype(np.int32)
+            np.add.at(words, np.array([get(w, -1) + 1 for w in c.words], np.int64), np.bincount(c.at, minlength=len(c.words)))
         pairs = pairs.reshape(n, n)
-        out = [(-2, _pack(words[1:]))] if pairs.any() else []
-        out += [(int(p), _pack(pairs[p])) for p in np.flatnonzero(pairs.any(1))]
-        yield pd.DataFrame(out, columns=["k", "counts"])
+        held = np.flatnonzero(pairs.any(1))
+        if len(held):
+            yield _counts_batch([(-2, words[1:])])
+        for at in range(0, len(held), 64):  # few previous symbols' rows at a time
+            yield _counts_batch([(int(p), pairs[p]) for p in held[at:at + 64]])
 
-    got = _summed(rows.select("text").mapInPandas(count, "k long, counts binary"))
+    got = _summed(rows.select("text").mapInArrow(count, "k long, counts binary"))
     bigrams, counts = np.zeros((n, n), np.int64), got.pop(-2, np.zeros(len(hot), np.int64))
     for p, x in got.items():
         bigrams[p] = x
     return bigrams, dict(zip(hot, counts.tolist()))
 
 
+def _counts_batch(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([_pack(x) for _, x in rows], pa.binary())],
+                                      names=["k", "counts"])
+
+
 def _pack(x: np.ndarray) -> bytes:
     return zlib.compress(np.asarray(x, np.int64).tobytes(), 1)
 
@@ -490,29 +504,29 @@ SLICES = 32
 
 def _continue(rows: DataFrame, path: str, pattern: str, t: Tables, w: Params, chunk: int = 4096) -> Params:
     """One round of local training per task, averaged."""
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held, own, seen = words_of(path, pattern), [], w, 0
 
         def learn(own: Params) -> Params:
             x = np.concatenate(held)
             return train(own, t, x, -(-len(x) // 256), 0.002, once=True)
 
-        for pdf in batches:
-            for texts in portions(pdf["text"].tolist()):
-                flat, bounds = enc.ids(cut(texts))
-                seen += len(flat)
-                for x in np.split(t.symbol[flat], bounds[1:-1]):
-                    s = _sequences(x, t.start)
-                    for at in range(0, len(s), chunk):
-                        held.append(s[at:at + chunk])
-                        if sum(map(len, held)) >= chunk:
-                            own = learn(own)
-                            held.clear()
+        for texts in text_portions(batches):
+            flat, bounds = enc.ids(cut(texts))
+            seen += len(flat)
+            for x in np.split(t.symbol[flat], bounds[1:-1]):
+                s = _sequences(x, t.start)
+                for at in range(0, len(s), chunk):
+                    held.append(s[at:at + chunk])
+                    if sum(map(len, held)) >= chunk:
+                        own = learn(own)
+                        held.clear()
         if held:
             own = learn(own)
         if seen:
-            yield pd.DataFrame({"part": range(SLICES), "n": seen,
-                                "values": [p.tobytes() for p in np.array_split(_flat(own), SLICES)]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), pa.array([seen] * SLICES, pa.int64()),
+                 pa.array([p.tobytes() for p in np.array_split(_flat(own), SLICES)], pa.binary())], names=["part", "n", "values"])
 
     def average(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total, n = 0.0, float(pdf["n"].sum())
@@ -520,7 +534,7 @@ def _continue(rows: DataFrame, path: str, pattern: str, t: Tables, w: Params, ch
             total = total + np.frombuffer(v, np.float32).astype(np.float64) * (k / n)
         return pd.DataFrame({"part": [key[0]], "values": [total.astype(np.float32).tobytes()]})
 
-    got = rows.select("text").mapInPandas(local, "part int, n long, values binary").groupBy("part") \
+    got = rows.select("text").mapInArrow(local, "part int, n long, values binary").groupBy("part") \
         .applyInPandas(average, "part int, values binary").collect()
     if not got:
         return w
@@ -559,7 +573,7 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
         hot = model.value[2]
         for batch in batches:
             done = 0
-            for texts in portions(batch.column("text").to_pylist()):
+            for texts in text_portions([batch.select(["text"])]):
                 c = cut(texts)
                 rare = np.array([w not in hot for w in c.words], bool)[c.at] if len(c.at) else np.zeros(0, bool)
                 n = np.concatenate([[0], np.cumsum(rare)])[c.bounds]
