@@ -13,9 +13,9 @@ fewer than one in ``SCARCE`` are in the band (a hot group's words are all too
 frequent, invented words all too rare) has the same sub-lexica applied to all
 its words.
 
-A word is a 63-bit code from then on: 39 bits of its hash and a bit for each
-sub-lexicon that keeps it.  Codes depend on the word alone, so fingerprints of
-different tables can be compared.
+A word is a 60-bit code of its hash from then on, and a sub-lexicon keeps the
+codes in which its own few bits are 0.  Codes depend on the word alone, so
+fingerprints of different tables can be compared.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ BROADCAST_ROWS = 500_000
 HOT = 1000
 #: A document's weight, as an integer so that sums do not depend on their order.
 UNIT = 1 << 30
-#: Sub-lexica are drawn by a multiplicative generator on the word's hash.
-PRIME, FACTOR = (1 << 31) - 1, 48271
+#: Bits of a code (15 hexadecimal digits).
+BITS = 60
 
 
 def rate(j: int) -> int:
@@ -48,13 +48,18 @@ def rate(j: int) -> int:
     return 4 << (j // 3)
 
 
+def mask(j: int) -> int:
+    """The bits that are 0 in the codes that sub-lexicon j keeps, drawn by a
+    multiplicative generator."""
+    bits, x = 0, pow(48271, 97 * (j + 1), (1 << 31) - 1)
+    while bits.bit_count() < rate(j).bit_length() - 1:
+        bits |= 1 << x % BITS
+        x = x * 48271 % ((1 << 31) - 1)
+    return bits
+
+
 def code(word: Column) -> Column:
-    """39 bits of the word's hash, then a bit for each sub-lexicon."""
-    h = F.shiftright(F.conv(F.substring(F.md5(word), 1, 10), 16, 10).cast("long"), 1)
-    x, bits = h % PRIME, F.lit(0).cast("long")
-    for j in range(SUBSETS):
-        bits = bits + F.when(x * pow(FACTOR, j + 1, PRIME) % PRIME % rate(j) == 0, F.lit(1 << j)).otherwise(0).cast("long")
-    return F.shiftleft(h, SUBSETS) + bits
+    return F.conv(F.substring(F.md5(word), 1, BITS // 4), 16, 10).cast("long")
 
 
 def terms(text: Column) -> Column:
@@ -67,6 +72,12 @@ def codes(text: Column) -> Column:
     return F.transform(terms(text), code)
 
 
+def once(x: Column) -> Column:
+    """The value as a column of its own: an expression over it would otherwise
+    take its definition in, and compute it at each of its uses."""
+    return F.explode(F.array(x))
+
+
 def band(n: int, low: float = LOW, high: float = HIGH) -> tuple[int, int]:
     """Least and greatest document frequency of a term among n documents."""
     return max(2, math.ceil(low * n)), max(2, math.floor(high * n))
@@ -81,7 +92,7 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     Frequencies are counted over all documents, as partial sums before the shuffle.
     A document has so many distinct words, on average W, so the band holds at
     most W / low terms, however large the corpus."""
-    each = docs.select(codes(whole(text)).alias("codes")).withColumn("group", F.array_min("codes"))
+    each = docs.select(once(codes(whole(text))).alias("codes")).withColumn("group", F.array_min("codes"))
     sizes = settled(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT >= docs.count()))
     share = F.floor(F.lit(UNIT) / F.col("n")).cast("long")
     hot = F.broadcast(sizes.filter("group is not null").select("group", share.alias("share")))
@@ -157,11 +168,11 @@ def edited(text: Column, other: Column) -> Column:
 def signatures(kept: Column) -> Column:
     """A signature of the sorted codes for each sub-lexicon; without terms in
     it, the signature of nothing."""
-    def one(bit: Column) -> Column:
-        own = F.filter(kept, lambda p: p.bitwiseAND(bit) != 0)
-        return F.substring(F.md5(F.array_join(F.transform(own, lambda p: F.shiftright(p, SUBSETS).cast("string")), " ")), 1, DIGITS)
+    def one(bits: Column) -> Column:
+        own = F.filter(kept, lambda p: p.bitwiseAND(bits) == 0)
+        return F.substring(F.md5(F.array_join(own.cast("array<string>"), " ")), 1, DIGITS)
 
-    return F.transform(F.array(*[F.lit(1 << j).cast("long") for j in range(SUBSETS)]), one)
+    return F.transform(F.array(*[F.lit(mask(j)).cast("long") for j in range(SUBSETS)]), one)
 
 
 #: The signature of nothing.
@@ -189,8 +200,7 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: Column,
     is broadcast and a text's codes meet in the task that cut them.  Besides
     its codes a text gives one row (:data:`OWN`), which holds all codes and the
     carried column, so that only lexicon terms and that row are grouped."""
-    words = rows.select(*keys, carried.alias("carried"), F.sort_array(codes(text)).alias("all")) \
-        .filter(F.size("all") >= 0)  # cut once, not once a use
+    words = rows.select(*keys, carried.alias("carried"), once(F.sort_array(codes(text))).alias("all"))
     each = words.select(*keys, F.explode(F.concat(F.array(F.struct(F.lit(OWN).cast("long").alias("code"), F.struct("all", "carried").alias("held"))),
                                                   F.transform("all", lambda c: F.struct(c.alias("code"), F.lit(None).cast(_held_type(words)).alias("held"))))).alias("x")) \
         .select(*keys, "x.code", "x.held")
@@ -202,10 +212,8 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], text: Column,
     grouped = found.groupBy(*keys).agg(F.collect_list(F.when(F.col("code") != OWN, F.col("code"))).alias("band"),
                                        F.first("held", ignorenulls=True).alias("held"))
     enough = (F.size("band") > 0) & (F.size("band") * SCARCE >= F.size("held.all"))
-    kept = grouped.select(*keys, "held.carried", F.when(enough, F.sort_array("band")).otherwise(F.col("held.all")).alias("kept"))
-    # the filter keeps the sorted list a column: merged into the next expression
-    # it would be sorted again for every sub-lexicon
-    return kept.filter(F.size("kept") >= 0).select(*keys, signatures(F.col("kept")).alias("sig"), "carried")
+    kept = grouped.select(*keys, "held.carried", once(F.when(enough, F.sort_array("band")).otherwise(F.col("held.all"))).alias("kept"))
+    return kept.select(*keys, signatures(F.col("kept")).alias("sig"), "carried")
 
 
 def _held_type(words: DataFrame) -> str:
@@ -244,9 +252,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", low: flo
 
 def oracle_sql(low: float = LOW, high: float = HIGH) -> str:
     """DuckDB SQL for :func:`report` on ``documents``, from the definitions."""
-    bits = " + ".join(f"(CASE WHEN (h % {PRIME}) * {pow(FACTOR, j + 1, PRIME)} % {PRIME} % {rate(j)} = 0 THEN {1 << j} ELSE 0 END)" for j in range(SUBSETS))
-    sigs = ", ".join(f"""substr(md5(coalesce(array_to_string(list_transform(list_filter(ps, lambda p: (p & {1 << j}) <> 0),
-        lambda p: p >> {SUBSETS}), ' '), '')), 1, {DIGITS})""" for j in range(SUBSETS))
+    sigs = ", ".join(f"""substr(md5(coalesce(array_to_string(list_filter(ps, lambda p: (p & {mask(j)}) = 0), ' '), '')), 1, {DIGITS})""" for j in range(SUBSETS))
     empty = f"substr(md5(''), 1, {DIGITS})"
     same = " + ".join(f"(a[{j}] <> {empty} AND a[{j}] = b[{j}])::INT" for j in range(1, SUBSETS + 1))
     filled = " + ".join(f"(a[{j}] <> {empty} OR b[{j}] <> {empty})::INT" for j in range(1, SUBSETS + 1))
@@ -259,8 +265,8 @@ nx AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt,
 e AS (SELECT doc_id, next_id, n, text, substr(text, 1, n - n // 3) || substr(nxt, 1, n // 3) AS changed FROM nx),
 v AS (SELECT doc_id, 0 AS v, text AS t FROM e UNION ALL SELECT doc_id, 1, changed FROM e),
 t AS (SELECT DISTINCT doc_id, v, unnest(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS term FROM v),
-hs AS (SELECT DISTINCT term, ('0x' || substr(md5(term), 1, 10))::BIGINT >> 1 AS h FROM t),
-w AS (SELECT doc_id, v, (h << {SUBSETS}) + {bits} AS code FROM t JOIN hs USING (term)),
+hs AS (SELECT DISTINCT term, ('0x' || substr(md5(term), 1, {BITS // 4}))::BIGINT AS code FROM t),
+w AS (SELECT doc_id, v, code FROM t JOIN hs USING (term)),
 g AS (SELECT d.doc_id, min(code) AS grp FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND v = 0 GROUP BY d.doc_id),
 wt AS (SELECT doc_id, CASE WHEN grp IS NOT NULL AND count(*) OVER (PARTITION BY grp) * {HOT} >= (SELECT count(*) FROM d)
               THEN floor({UNIT} / count(*) OVER (PARTITION BY grp))::BIGINT ELSE {UNIT} END AS weight FROM g),
