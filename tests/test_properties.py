@@ -23,7 +23,7 @@ def test_cumulative_equals_pandas_cumsum(spark, vals, buckets):
     pdf = pd.DataFrame({"k": [v % 2 for v in vals], "v": [float(v) for v in vals]})
     counts = pdf.groupby(["k", "v"]).size().reset_index(name="n")
     df = spark.createDataFrame(counts)
-    got = {(r["k"], r["v"]): (r["cum_n"], r["tot_n"]) for r in cumulative(df, ["k"], "v", ["n"], buckets=buckets).collect()}
+    got = {(r["k"], r["v"]): (r["cum_n"], r["tot_n"]) for r in cumulative(df, ["k"], "v", ["n"], ranges=buckets).collect()}
     for k, g in counts.sort_values("v").groupby("k"):
         for v, c in zip(g["v"], g["n"].cumsum()):
             assert got[(k, v)] == (c, g["n"].sum())
