@@ -589,6 +589,22 @@ def test_full_caches_and_state_tables_change_nothing(monkeypatch):
         assert got == large.encode(text).tolist() and small.decode(got) == text
 
 
+def test_pieces_in_any_order_share_what_was_read(monkeypatch):
+    """Shared starts, entries of the vocabulary in between, a table that starts
+    anew midway and a second caller meanwhile: always the merges of the piece."""
+    ranks = bpe.Codec(RANKS, public_tokenizers.PATTERN).ranks
+    rng = random.Random(8)
+    pieces = [("".join(rng.choice("abcdrstéü") for _ in range(rng.randint(1, 9)))).encode() for _ in range(400)]
+    pieces += [b"", b"the", b"a" * 500, *pieces[:50]]
+    for states in (1 << 12, 30):
+        monkeypatch.setattr(bpe, "STATES", states)
+        for order in (pieces, sorted(pieces), sorted(pieces, reverse=True)):
+            machine = bpe.Transducer(ranks)
+            for piece, ids in zip(order, machine.encode_all(order), strict=True):
+                assert ids == [ranks[t] for t in machine.merges(piece)]
+                assert machine.encode(piece[::-1]) == [ranks[t] for t in machine.merges(piece[::-1])]
+
+
 def test_utf8_machine_over_split_characters():
     m = bpe.Utf8Machine({i: bytes([i]) for i in range(256)})
     for text in ("aé€😀z", "", "߿ࠀ￿𐀀"):

@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -192,44 +193,65 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is an entry is that entry."""
-        whole_piece = self.ranks.get(piece)
-        if whole_piece is not None:
-            return [whole_piece]
-        if self._unkept > self.limit:  # the kept states no longer suit the input
-            self._reset()
-        step, out, state, r = self._next, [], 0, None
-        for byte in piece:
-            if state >= 0:
+        return next(self.encode_all((piece,)))
+
+    def encode_all(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """:meth:`encode` of each piece.  The bytes that a piece shares with
+        the start of the one before are not read again, so pieces in order
+        cost least."""
+        step, before, out = self._next, b"", []
+        path = [(0, None, 0)]  # after each byte: state (-1: not kept), its positions if at hand, ids written
+        for piece in pieces:
+            whole_piece = self.ranks.get(piece)
+            if whole_piece is not None:
+                yield [whole_piece]
+                continue
+            if self._unkept > self.limit:  # the kept states no longer suit the input
+                self._reset()
+            if step is not self._next:  # a new table, perhaps made for another caller
+                step, before = self._next, b""
+            shared = len(commonprefix((before, piece)))
+            del path[shared + 1:]
+            before = piece
+            state, r, written = path[shared]
+            del out[written:]
+            for byte in piece[shared:]:
                 key = state << 8 | byte
-                hit = step.get(key)
+                hit = step.get(key) if state >= 0 else None
                 if hit is not None:
                     if hit & 1:
                         out += self._out[key]
                     state, r = hit >> 1, None
-                    continue
-            r, tokens = self._commit(self._extend(r or self._read(*self._states[state]), byte))
-            out += tokens
-            name = (r.last[0], r.data)
-            number = self._numbers.get(name, -1)
-            if number < 0:
-                if len(self._states) < self.limit:
-                    number = self._numbers[name] = len(self._states)
-                    self._states.append((r.data, tuple(r.last)))
                 else:
-                    self._unkept += 1
-            if state >= 0 and number >= 0:
-                step[key] = number << 1 | bool(tokens)
-                if tokens:
-                    self._out[key] = tokens
-            state = number
-        if state < 0:
-            return out + list(self._tokens(r, len(r.data)))
-        tail = self._ends.get(state)
-        if tail is None:
-            r = r or self._read(*self._states[state])
-            tail = self._ends[state] = self._tokens(r, len(r.data))
-        out += tail
-        return out
+                    state, r = self._step(state, r, byte, out)
+                path.append((state, r, len(out)))
+            if state < 0:
+                yield out + list(self._tokens(r, len(r.data)))
+                continue
+            tail = self._ends.get(state)
+            if tail is None:
+                r = r or self._read(*self._states[state])
+                tail = self._ends[state] = self._tokens(r, len(r.data))
+            yield [*out, *tail]
+
+    def _step(self, state: int, r: _Read | None, byte: int, out: list[int]) -> tuple[int, _Read]:
+        """A transition that is not known yet; the ids it writes go to ``out``."""
+        r, tokens = self._commit(self._extend(r or self._read(*self._states[state]), byte))
+        out += tokens
+        name = (r.last[0], r.data)
+        number = self._numbers.get(name, -1)
+        if number < 0:
+            if len(self._states) < self.limit:
+                number = self._numbers[name] = len(self._states)
+                self._states.append((r.data, tuple(r.last)))
+            else:
+                self._unkept += 1
+        if state >= 0 and number >= 0:
+            key = state << 8 | byte
+            self._next[key] = number << 1 | bool(tokens)
+            if tokens:
+                self._out[key] = tokens
+        return number, r
 
 
 class _Row(dict):
@@ -329,7 +351,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer = Transducer(self.ranks, scale)
         self.machine = Utf8Machine(self.transducer.bytes_of)
-        pieces = PieceEncoder(pattern, lambda p: self.transducer.encode(p.encode("utf-8")), scale)
+        self.decimal = [str(i) for i in range(max(self.ranks.values(), default=-1) + 1)]
+        pieces = PieceEncoder(pattern, lambda ps: self.transducer.encode_all(p.encode("utf-8") for p in ps), scale)
         self.encode, self.encode_many = pieces.encode, pieces.encode_many
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -339,7 +362,7 @@ class Codec:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
 
-def codec(path: str, pattern: str, scale: int = 0) -> Codec:
+def codec(path: str, pattern: str, scale: int = 1) -> Codec:
     return held(("codec", path, pattern, scale), lambda: Codec(path, pattern, scale))
 
 
@@ -401,11 +424,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(body: pd.Series) -> pd.DataFrame:
         c = codec(path, pattern)
-        rows = []
+        rows, decimal = [], c.decimal.__getitem__
         with uncollected():
             for ids in c.encode_many(body.tolist()):
                 ids = ids.tolist()
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                rows.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(),
                              hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

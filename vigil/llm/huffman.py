@@ -60,8 +60,8 @@ class Ids:
         self.size = self._tok.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         letters, model = _byte_letters(), self._tok.model
-        self._cached = PieceEncoder(SPACE_CUT_PATTERN, lambda p: [
-            t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))], scale=1)
+        self._cached = PieceEncoder(SPACE_CUT_PATTERN, lambda pieces: (
+            [t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))] for p in pieces), scale=1)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         beyond = [i for i, t in enumerate(texts) if _BEYOND_LATIN(t)]

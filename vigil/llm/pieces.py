@@ -36,13 +36,15 @@ def other_classes() -> tuple[Callable, dict[int, str]]:
     import tiktoken
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     ask = {bytes([i]): i for i in range(256)}
-    theirs, ours = {}, {}
-    for sign, of_class in (("a", r"\p{L}"), ("0", r"\p{N}")):
+
+    def theirs(of_class: str) -> set[str]:
         engine = tiktoken.Encoding("classes", pat_str=of_class, mergeable_ranks=ask, special_tokens={})
-        theirs.update(dict.fromkeys(bytes(engine.encode_ordinary(every)).decode(), sign))
-        ours.update(dict.fromkeys(regex.findall(of_class, every), sign))
-    odd = [c for c in every if theirs.get(c) != ours.get(c) or (theirs.get(c) == "a") != c.isalpha()]
-    stand_in = {ord(c): theirs.get(c, "\u2022") for c in odd}
+        return set(bytes(engine.encode_ordinary(every)).decode())
+
+    letters, numbers = theirs(r"\p{L}"), theirs(r"\p{N}")
+    odd = sorted(letters.symmetric_difference(filter(str.isalpha, every)) | letters.symmetric_difference(regex.findall(r"\p{L}", every))
+                 | numbers.symmetric_difference(regex.findall(r"\p{N}", every)))
+    stand_in = {ord(c): "a" if c in letters else "0" if c in numbers else "\u2022" for c in odd}
     if not odd:
         return (lambda text: None), stand_in
     first = re.compile(f"[^\0-{re.escape(chr(ord(odd[0]) - 1))}]").search  # most texts end here
@@ -58,28 +60,36 @@ class PieceEncoder:
     pieces before it: such texts are cut at spaces first, and the ids of
     whole chunks (a word with its punctuation) are looked up.  Texts with a
     code point of :func:`other_classes` are cut by stand-ins for those.  Each
-    step of ``scale`` halves the caches."""
+    step of ``scale`` halves the caches.
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], Iterable[int]], scale: int = 0):
+    ``encode_pieces`` gives the ids of each of several pieces.  The new words
+    of texts that are cut together come to it in code point order."""
+
+    def __init__(self, pattern: str, encode_pieces: Callable[[Iterable[str]], Iterable[Iterable[int]]], scale: int = 0):
         self._piece_limit, self._chunk_limit = PIECES >> scale, CHUNKS >> scale
         self._pattern = regex.compile(pattern)
         self._find = self._pattern.findall
         self._odd, self._stand_ins = other_classes()
-        self._encode_piece = encode_piece
+        self._encode_pieces = encode_pieces
         self._cuts = pattern == SPACE_CUT_PATTERN
         # two generations of each cache: what is used moves to the young one; when
         # that is full it becomes the old one and the former old one is dropped
         self._pieces: dict[str, bytes] = {}
         self._old_pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}  # of letters only, after a space
+        self._old_words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._old_chunks: dict[str, bytes] = {}
 
+    def _ids(self, pieces: Iterable[str]) -> Iterable[bytes]:
+        return (array("i", x).tobytes() for x in self._encode_pieces(pieces))
+
     def _piece(self, p: str) -> bytes:
         got = self._pieces.get(p)
         if got is None:
             got = self._old_pieces.get(p)
             if got is None:
-                got = array("i", self._encode_piece(p)).tobytes()
+                got, = self._ids([p])
             if len(p) <= 64:
                 if len(self._pieces) >= self._piece_limit:
                     self._old_pieces, self._pieces = self._pieces, {}
@@ -91,12 +101,42 @@ class PieceEncoder:
             return b"".join([self._piece(text[m.start():m.end()]) for m in self._pattern.finditer(text.translate(self._stand_ins))])
         return b"".join([self._piece(p) for p in self._find(text)])
 
+    def _keep_word(self, w: str, ids: bytes) -> bytes:
+        if len(w) <= 64:
+            if len(self._words) >= self._piece_limit:
+                self._old_words, self._words = self._words, {}
+            self._words[w] = ids
+        return ids
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Encode the words that are not known, in order."""
+        known, before, new = self._words, self._old_words, set()
+        for w in words:
+            if w not in known:
+                if not w.isalpha():
+                    w = w[:-1] if w[-1:] in _MARKS else ""
+                    if not w.isalpha() or w in known:
+                        continue
+                if w not in before:
+                    new.add(w)
+        new = sorted(new)
+        for w, ids in zip(new, self._ids(" " + w for w in new)):
+            self._keep_word(w, ids)
+
+    def _letters(self, w: str) -> bytes:
+        """Ids of the piece " " + w, w of letters."""
+        got = self._words.get(w)
+        if got is None:
+            got = self._old_words.get(w)
+            got = self._keep_word(w, next(iter(self._ids([" " + w]))) if got is None else got)
+        return got
+
     def _word(self, p: str) -> bytes:
         """Ids of the chunk " " + p."""
         if p.isalpha():  # one piece
-            return self._piece(" " + p)
+            return self._letters(p)
         if p[-1:] in _MARKS and p[:-1].isalpha():  # two
-            return self._piece(" " + p[:-1]) + self._piece(p[-1])
+            return self._letters(p[:-1]) + self._piece(p[-1])
         got = self._chunks.get(p)
         if got is None:
             got = self._old_chunks.get(p)
@@ -134,17 +174,18 @@ class PieceEncoder:
         parts = pc.split_pattern(pa.array([texts[i] for i in which], pa.large_string()), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        at = coded.indices.to_numpy()
-        ids = [self._word(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        start = np.cumsum(size) - size
-        n = size[at]
-        n[bounds[:-1]] = 0  # a text's first chunk has no space before it
-        ends = np.cumsum(n)
-        flat = flat[np.arange(int(ends[-1])) + np.repeat(start[at] - (ends - n), n)]
-        ends = np.concatenate([[0], ends])
-        for i, a, b in zip(which, ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist()):
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        ids = [self._word(w) for w in words]
+        ends = np.zeros(len(ids) + 2, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:-1])
+        ends[-1] = ends[-2]  # one more entry, of no ids
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        at = coded.indices.to_numpy().copy()
+        at[bounds[:-1]] = len(ids)  # a text's first chunk has no space before it
+        placed = lists.take(pa.array(at))
+        flat, ends = placed.values.to_numpy(), placed.offsets.to_numpy()[bounds]
+        for i, a, b in zip(which, ends[:-1].tolist(), ends[1:].tolist()):
             first = np.frombuffer(self._chunk(texts[i].partition(" ")[0]), np.int32)
             out[i] = np.concatenate([first, flat[a:b]])
 
