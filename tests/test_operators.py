@@ -256,3 +256,17 @@ def test_alert_rules_with_functions_and_nulls(spark):
     rules = [("f", "abs(x) > 1", "high", ["a"]), ("n", "x < 0 and y is null", "low", ["b"]), ("u", "zz > 1", "low", ["c"])]
     assert {r["rule"] for r in al.evaluate_rules(m, rules, [], "t").collect()} == {"f", "n"}
     assert [r[0] for r in al.unresolved_rules(m, rules)] == ["u"]
+
+
+def test_bins_do_not_gather_a_feature_in_one_task(spark, monkeypatch):
+    from vigil.session import settings
+    df = spark.createDataFrame([("a" if i % 3 else None, float(i % 50), float(i)) for i in range(900)], "seg string, x double, y double")
+    ref, cur = df.filter("y < 500"), df.filter("y >= 500")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        h = dr.bin_counts(ref, cur, ["x", "y"], ["seg"])
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1
+        got = sorted(map(str, h.collect()))
+        monkeypatch.setattr(dr, "BROADCAST_CELLS", 0)  # many segments: joined by shuffle
+        assert sorted(map(str, dr.bin_counts(ref, cur, ["x", "y"], ["seg"]).collect())) == got
+    assert len(got) == 40

@@ -25,6 +25,8 @@ from vigil.functions.core import cell, cumulative, is_string, long_form, materia
 DEFAULT_THRESHOLDS = {"ks": 0.05, "psi": 0.1, "mmd": 0.05, "classifier": 0.7, "chi2": 0.05, "table": 0.1}
 PSI_FLOOR = 1e-4
 N_BINS = 10
+#: (segment, feature) ranges that are sent to every task; more of them are joined by shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def sides(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -97,9 +99,14 @@ def bin_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], keys: Se
                               F.count_if(F.col("side") == 1).alias("n_cur"))
     b = F.least(F.floor(F.lit(float(n_bins)) * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))),
                 F.lit(n_bins - 1)).cast("int")
-    # one row per (segment, feature), computed once; the engine picks the join
+    # one row per (segment, feature), computed once and counted: the engine takes
+    # it to be as large as the rows it came from, and a shuffle by a few cells
+    # would put all rows of a feature into one task
     rng = materialised(rng.withColumn("_cell", cell(jk)))
-    binned = lf.withColumn("_cell", cell(jk)).join(rng.select("_cell", "lo", "hi"), "_cell") \
+    bounds = rng.select("_cell", "lo", "hi")
+    if rng.count() <= BROADCAST_CELLS:
+        bounds = F.broadcast(bounds)
+    binned = lf.withColumn("_cell", cell(jk)).join(bounds, "_cell") \
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)))
     h = binned.groupBy("_cell", "bin").agg(F.count_if(F.col("side") == 0).alias("nr"),
                                            F.count_if(F.col("side") == 1).alias("nc"))
