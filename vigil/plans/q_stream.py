@@ -53,7 +53,7 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, user_id,
   count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) AS events
 FROM b, {_WM} WHERE window_start + INTERVAL 1 HOUR <= wm GROUP BY 1, 2, 3""")
 def q_st_behavior_1h(spark, sf):
-    return st.run_to_table(st.sliding_behaviour(st.event_stream(spark, sf)), "behaviour")
+    return st.sliding_behaviour(st.event_stream(spark, sf))
 
 
 @query("st_sessions", f"""WITH o AS (SELECT user_id, ts, event_type,

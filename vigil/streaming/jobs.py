@@ -9,6 +9,8 @@ instants for watermarks and converted back on output.
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from vigil.functions.core import instant_to_ntz, ntz_to_instant
 from vigil.session import settings
 from vigil.sources.sinks import scratch_dir
-from vigil.sources.versioned import VersionedTable
+from vigil.sources.versioned import Files, VersionedTable
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -103,14 +105,86 @@ def windowed_sketches(events: DataFrame, column: str = "value", distinct: str =
     return a.select(*_window_cols(), "event_type", "n", "min", "max", "sum", "kll", "hll")
 
 
-def sliding_behaviour(events: DataFrame, length: str = "1 hour", slide: str = "5 minutes",
-                      delay: str = "10 minutes") -> DataFrame:
-    """st_behavior_1h: sliding-window behaviour counts per user."""
-    t = F.col("event_type")
-    a = (events.withWatermark("ets", delay).groupBy(F.window("ets", length, slide), "user_id")
-         .agg(F.count(F.when(t == "view", 1)).alias("page_views"), F.count(F.when(t == "click", 1)).alias("clicks"),
-              F.count(F.when(t == "purchase", 1)).alias("purchases"), F.count(F.lit(1)).alias("events")))
-    return a.select(*_window_cols(), "user_id", "page_views", "clicks", "purchases", "events")
+#: Rows of slide-wide counts that one task spreads over their windows.
+SLIDE_ROWS = 100_000
+_SLIDES = "user_id {user}, slide long, page_views long, clicks long, purchases long, events long, latest long"
+_COUNTS = ["page_views", "clicks", "purchases", "events"]
+
+
+def sliding_behaviour(events: DataFrame, length: str = "1 hour", slide: str = "5 minutes", delay: str = "10 minutes",
+                      folder: str | None = None) -> DataFrame:
+    """st_behavior_1h: sliding-window behaviour counts per user; runs the
+    stream and returns its sink.
+
+    A micro-batch adds its counts per user and slide (one row however many
+    windows overlap it) to a table, and writes the windows that the watermark
+    of the batches before it has closed, each as a sum of slides.  What waits
+    for its window is thus files of slides, not a state row per window.  As in
+    a windowed aggregation a row counts for every window that is still open,
+    late or not, and a null time for none; the windows due after the last batch follow
+    at the end of the run.  A batch that is tried again replaces its slides and
+    skips windows already written.  A ``folder`` given again goes on from its
+    checkpoint."""
+    spark = events.sparkSession
+    home = folder or scratch_dir(spark, "st-behaviour")
+    files, out = Files(spark, home), f"{home}/out"
+    length_us, slide_us, delay_us = (_micros(spark, x) for x in (length, slide, delay))
+    step_us = math.gcd(length_us, slide_us)
+    schema = _SLIDES.format(user=events.schema["user_id"].dataType.simpleString())
+
+    def written() -> list[int]:
+        found = [int(x.removeprefix("upto=")) for x in files.names(out) if x.startswith("upto=")]
+        return [x for x in found if files.exists(f"{out}/upto={x}/_SUCCESS")]
+
+    def close(session: SparkSession, batch_id: int) -> None:
+        """Write the windows closed by the rows of the batches before this one."""
+        before = f"{home}/slides/batch_id={batch_id - 1}"
+        if not files.exists(before):
+            return
+        latest = session.read.schema(schema).parquet(before).agg(F.max("latest")).first()[0]
+        done = max(written(), default=None)
+        if latest is None or (done is not None and latest - delay_us <= done):
+            return
+        upto = latest - delay_us
+        due = F.col("slide") + step_us <= upto
+        if done is not None:
+            due = due & (F.col("slide") > done - length_us)
+        slides = session.read.schema(schema).parquet(f"{home}/slides").select("user_id", "slide", *_COUNTS).filter(due)
+        tasks = max(1, -(-slides.count() // SLIDE_ROWS))
+        # dealt by user before each slide becomes its windows, which need no second shuffle
+        start = F.col("slide") - F.pmod(F.col("slide"), F.lit(slide_us)) - F.col("_back").cast("long") * slide_us
+        spread = slides.repartition(tasks, "user_id") \
+            .withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(-(-length_us // slide_us) - 1)))).withColumn("start", start)
+        end = F.col("start") + length_us
+        open_ = (end > F.col("slide")) & (end <= upto)
+        if done is not None:
+            open_ = open_ & (end > done)
+        windows = spread.filter(open_).groupBy("user_id", "start").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+        windows.select(instant_to_ntz(F.timestamp_micros("start")).alias("window_start"),
+                       instant_to_ntz(F.timestamp_micros(end)).alias("window_end"), "user_id", *_COUNTS) \
+            .write.mode("overwrite").parquet(f"{out}/upto={upto}")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        t, us = F.col("event_type"), F.unix_micros("ets")
+        batch.filter(F.col("ets").isNotNull()).groupBy("user_id", (us - F.pmod(us, F.lit(step_us))).alias("slide")).agg(
+            F.count(F.when(t == "view", 1)).alias("page_views"), F.count(F.when(t == "click", 1)).alias("clicks"),
+            F.count(F.when(t == "purchase", 1)).alias("purchases"), F.count(F.lit(1)).alias("events"),
+            F.max(us).alias("latest")).write.mode("overwrite").parquet(f"{home}/slides/batch_id={batch_id}")
+        close(batch.sparkSession, batch_id)
+
+    run_foreach(events, "behaviour", step, folder=f"{home}/checkpoint")
+    ids = [int(x.removeprefix("batch_id=")) for x in files.names(f"{home}/slides") if x.startswith("batch_id=")]
+    if ids:
+        close(spark, max(ids) + 1)
+    user = events.schema["user_id"].dataType.simpleString()
+    shape = f"window_start timestamp_ntz, window_end timestamp_ntz, user_id {user}, " + ", ".join(f"{c} long" for c in _COUNTS)
+    if not written():
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(out).select("window_start", "window_end", "user_id", *_COUNTS)
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.expr(f"INTERVAL {interval}")).first()[0] // dt.timedelta(microseconds=1)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
