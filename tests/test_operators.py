@@ -224,6 +224,19 @@ def test_lineage_has_no_depth_limit(spark):
     assert got.count() == 91 and got.agg(F.max("depth")).first()[0] == 90
 
 
+def test_lineage_levels_are_computed_once(spark, monkeypatch):
+    from vigil.operators import lineage
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), (None, "e"), ("a", "b"), ("x", "y")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",)], "node string")
+    for rows in (lineage.FRONTIER_ROWS, 0):  # frontier sent to the edges, or met in a shuffle
+        monkeypatch.setattr(lineage, "FRONTIER_ROWS", rows)
+        got = lineage.reachable(edges, seeds)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 2)]
+    up = lineage.reachable(edges, spark.createDataFrame([("d",)], "node string"), "up", max_depth=1)
+    assert sorted(map(tuple, up.collect())) == [("b", 1), ("d", 0)]
+
+
 def test_null_keys_match_nothing_in_point_in_time_joins(spark):
     import datetime as dt
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from vigil.session import ensure_checkpoint_dir
 
+#: Nodes of a level that are sent to every task of the edge table.
+FRONTIER_ROWS = 100_000
+
 
 def build_edges(*parts: DataFrame) -> DataFrame:
     """Union edge tables (src, dst, type) and drop repeats."""
@@ -25,29 +28,32 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_d
     minimum depth: a breadth-first fixpoint of joins, one per level.
 
     Each level joins the frontier with the edge table and anti-joins the
-    visited set, so only new nodes move on.  Every few levels the visited
-    set is checkpointed to the shared ``spark.checkpoint.dir`` (reliable,
-    survives executor loss) to keep the plan short on deep graphs.  The
-    loop ends when the frontier is empty (one ``take(1)`` per level), or after
-    ``max_depth`` levels where the caller gives one."""
+    visited set, so only new nodes move on.  A level is kept in the shared
+    ``spark.checkpoint.dir`` (reliable, survives executor loss) as soon as it is
+    found, so none is computed again for the levels after it; every few levels
+    the visited set is gathered there too, to keep the plan short on deep
+    graphs.  A frontier of up to ``FRONTIER_ROWS`` nodes goes to the edges, a larger
+    one meets them in a shuffle.  The loop ends when the frontier is empty,
+    or after ``max_depth`` levels where the caller gives one."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     # the edge table is read once per level: keep it (recomputable on loss)
     e = edges.select(F.col("src" if direction == "down" else "dst").alias("_from"),
-                     F.col("dst" if direction == "down" else "src").alias("node")).persist()
-    visited = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = visited
+                     F.col("dst" if direction == "down" else "src").alias("node")).filter(F.col("_from").isNotNull()).persist()
+    visited = frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
+    n = frontier.count()
     for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        nxt = frontier.select(F.col("node").alias("_from")).join(e, "_from").select("node").distinct()
-        nxt = nxt.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        if d % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        if not nxt.take(1):
+        start = frontier.select(F.col("node").alias("_from"))
+        nxt = e.join(F.broadcast(start) if n <= FRONTIER_ROWS else start, "_from").select("node").distinct()
+        nxt = nxt.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)).checkpoint(eager=True)
+        n = nxt.count()
+        if not n:
             break
         visited = visited.unionByName(nxt)
         if d % checkpoint_every == 0:
             visited = visited.checkpoint(eager=True)
         frontier = nxt
+    e.unpersist()
     return visited
 
 
