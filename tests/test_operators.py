@@ -283,3 +283,33 @@ def test_bins_do_not_gather_a_feature_in_one_task(spark, monkeypatch):
         monkeypatch.setattr(dr, "BROADCAST_CELLS", 0)  # many segments: joined by shuffle
         assert sorted(map(str, dr.bin_counts(ref, cur, ["x", "y"], ["seg"]).collect())) == got
     assert len(got) == 40
+
+
+def test_candidates_are_fitted_once_each(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+
+    from vigil.operators import ml
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(a + 0.5 * b + e > 0)) for (a, b), e in zip(x, rng.normal(size=300))], "a double, b double, label double")
+    asm, rf = VectorAssembler(inputCols=["a", "b"], outputCol="features"), ml.RandomForestClassifier(seed=42)
+    grid = ParamGridBuilder().addGrid(rf.maxDepth, [2, 3]).addGrid(rf.numTrees, [3]).build()
+    want = TrainValidationSplit(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(),
+                                trainRatio=0.75, seed=42).fit(df).validationMetrics
+    ref, cur = df.filter("label = 0"), df.filter("label = 1")
+    both = ref.unionByName(cur)
+    folds = CrossValidator(estimator=Pipeline(stages=[asm, rf.copy({rf.numTrees: 3})]), estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(),
+                           numFolds=3, seed=42).fit(both).avgMetrics[0]
+    fits, fit = [], ml.RandomForestClassifier._fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    got = ml.tune(df, ["a", "b"], depths=(2, 3), trees=(3,))
+    assert len(fits) == 2 and [r["auc"] for r in got.collect()] == [round(w, 6) for w in want]
+    fits.clear()
+    got = ml.domain_classifier(ref, cur, ["a", "b"], trees=3, folds=3).first()
+    assert len(fits) == 3 and got["auc"] == round(folds, 6)
+    fits.clear()
+    space = {"maxDepth": ("int", 2, 3), "numTrees": ("choice", [2])}
+    assert ml.tune_random(df, ["a", "b"], space, 2).count() == 2 and len(fits) == 2

@@ -22,15 +22,17 @@ def argmax_softmax(logits: Column) -> tuple[Column, Column]:
 
 
 import time  # noqa: E402
+from multiprocessing.pool import ThreadPool  # noqa: E402
 
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
+from pyspark import inheritable_thread_target  # noqa: E402
 from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier  # noqa: E402
 from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: E402
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit  # noqa: E402
+from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
 
 from vigil.operators.features import hash_split  # noqa: E402
 
@@ -86,19 +88,42 @@ def SparkSession_active():
     return SparkSession.active()
 
 
+def held_out_aucs(df: DataFrame, features: Sequence[str], label: str, rf: RandomForestClassifier, maps: Sequence[dict], train_ratio: float,
+                  parallelism: int, seed: int) -> list[float]:
+    """Validation AUC of every candidate on one random split: the metrics that
+    ``TrainValidationSplit`` gives for the same seed, without its last fit of
+    the best candidate on all rows, whose model nobody reads."""
+    draw = df.select(*features, label, F.rand(seed).alias("_draw"))
+    train, validation = (_assembled(draw.filter(c), features, label).persist() for c in
+                         (F.col("_draw") < train_ratio, F.col("_draw") >= train_ratio))
+
+    def one(m: dict) -> float:
+        return _auc(rf.fit(train, m), validation, label)
+    try:
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            return pool.map(inheritable_thread_target(df.sparkSession)(one), maps)
+    finally:
+        train.unpersist()
+        validation.unpersist()
+
+
+def _assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df).select("features", label)
+
+
+def _auc(model, rows: DataFrame, label: str) -> float:
+    return float(BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(rows)))
+
+
 def tune(df: DataFrame, features: Sequence[str], label: str = "label", depths=(3, 5), trees=(10, 20),
          parallelism: int = 4, seed: int = 42) -> DataFrame:
-    """Grid search (TrainValidationSplit, 75/25) over depth x trees; one row
-    per candidate with its validation AUC and the best flagged."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    """Grid search (one 75/25 split) over depth x trees; one row per candidate
+    with its validation AUC and the best flagged."""
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
     grid = ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=grid,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.75,
-                               parallelism=parallelism, seed=seed)
-    m = tvs.fit(df)
+    found = held_out_aucs(df, features, label, rf, grid, 0.75, parallelism, seed)
     rows = []
-    for pm, metric in zip(grid, m.validationMetrics):
+    for pm, metric in zip(grid, found):
         d = {p.name: v for p, v in pm.items()}
         rows.append((int(d["maxDepth"]), int(d["numTrees"]), float(metric)))
     best = max(rows, key=lambda r: r[2])
@@ -114,13 +139,17 @@ def domain_classifier(ref: DataFrame, cur: DataFrame, features: Sequence[str], t
     the AUC exceeds 0.7."""
     u = ref.select(*features).withColumn("label", F.lit(0.0)).unionByName(
         cur.select(*features).withColumn("label", F.lit(1.0)))
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed)
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed,
-                        parallelism=2)
-    m = cv.fit(u)
-    a = float(m.avgMetrics[0])
+    # the folds of CrossValidator for this seed, without its last fit on all rows, whose model nobody reads
+    u = u.withColumn("_draw", F.rand(seed))
+    aucs = []
+    for i in range(folds):
+        held = (F.col("_draw") >= i * (1.0 / folds)) & (F.col("_draw") < (i + 1) * (1.0 / folds))
+        train, validation = (_assembled(u.filter(c), features, "label").persist() for c in (~held, held))
+        aucs.append(_auc(rf.fit(train), validation, "label"))
+        train.unpersist()
+        validation.unpersist()
+    a = float(np.mean(aucs))
     return ref.sparkSession.createDataFrame([(round(a, 6), a > threshold)], "auc double, is_drifted boolean")
 
 
@@ -198,13 +227,10 @@ def tune_random(df: DataFrame, features: Sequence[str], space: dict, n: int = 6,
     """Random search of a gradient-free space of forest parameters (their
     SparkML names, e.g. maxDepth, numTrees, minInfoGain): one row per drawn
     candidate with its validation AUC and the best flagged."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
     drawn = draws(space, n, seed)
     maps = [{rf.getParam(k): v for k, v in d.items()} for d in drawn]
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, rf]), estimatorParamMaps=maps,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.75, parallelism=parallelism, seed=seed)
-    found = [float(x) for x in tvs.fit(df).validationMetrics]
+    found = held_out_aucs(df, features, label, rf, maps, 0.75, parallelism, seed)
     best = max(range(n), key=lambda i: (found[i], -i))
     rows = [(i, ", ".join(f"{k}={v:g}" if isinstance(v, float) else f"{k}={v}" for k, v in sorted(d.items())), round(found[i], 6), i == best)
             for i, d in enumerate(drawn)]
