@@ -313,3 +313,27 @@ def test_candidates_are_fitted_once_each(spark, monkeypatch):
     fits.clear()
     space = {"maxDepth": ("int", 2, 3), "numTrees": ("choice", [2])}
     assert ml.tune_random(df, ["a", "b"], space, 2).count() == 2 and len(fits) == 2
+
+
+def test_boosted_trees_pass_over_groups_of_equal_bins(spark):
+    """The model of the rows, fitted on one weighted row for equal bins (rounds over all rows before)."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators import ml
+    df = spark.range(4000).select("id", (F.col("id") % 3).cast("double").alias("a"), (F.col("id") * 7919 % 1000 / 10).alias("b")) \
+        .withColumn("label", ((F.col("a") + F.col("b") / 30 + F.pmod(F.hash("id"), F.lit(3))) > 3).cast("double"))
+    fitted = []
+    fit = ml.GBTClassifier.fit
+    ml.GBTClassifier.fit = lambda self, rows: (fitted.append(rows.count()), fit(self, rows))[1]
+    try:
+        got = ml.boosted_model(df, ["a", "b"], max_iter=4)
+    finally:
+        ml.GBTClassifier.fit = fit
+    assert fitted[0] <= 3 * 32 * 2
+    expected = ml.classifier_pipeline(["a", "b"], boosted=True, max_iter=4).fit(df)
+    rows = df.unionByName(spark.createDataFrame([(-1, 9.0, -5.0, 0.0), (-2, 1.0, 1e9, 1.0)], df.schema))
+    p = {r["id"]: r["p"] for r in got.transform(rows).select("id", ml.vector_to_array("probability")[1].alias("p")).collect()}
+    q = {r["id"]: r["p"] for r in expected.transform(rows).select("id", ml.vector_to_array("probability")[1].alias("p")).collect()}
+    assert len(p) == 4002 and max(abs(p[i] - q[i]) for i in p) < 1e-6
+    with pytest.raises(ValueError, match="b"):
+        ml.boosted_model(df.withColumn("b", F.when(F.col("id") > 5, F.col("b"))), ["a", "b"])

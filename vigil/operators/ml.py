@@ -30,7 +30,7 @@ from pyspark import inheritable_thread_target  # noqa: E402
 from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier  # noqa: E402
 from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: E402
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler  # noqa: E402
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
 
@@ -46,12 +46,75 @@ def classifier_pipeline(features: Sequence[str], label: str = "label", trees: in
     return Pipeline(stages=[asm, clf])
 
 
+def split_points(df: DataFrame, features: Sequence[str], bins: int = 32, listed: int = 10_000) -> tuple[list[list[float]], list[float]]:
+    """Per feature the thresholds between ``bins`` bins of about equal rows
+    (between all neighbours, where there are no more values than bins), and its
+    greatest value: by SparkML's rule over all rows for features of up to about
+    ``listed`` values, by quantiles of all rows for others.  Null, NaN and infinite values are refused, as SparkML's
+    trees refuse them."""
+    x = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    seen = x.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in x.columns], *[F.max(c).alias(f"top_{c}") for c in x.columns],
+                 *[F.count_if(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))).alias(f"bad_{c}") for c in x.columns]).first()
+    refused = [f for f, c in zip(features, x.columns) if seen[f"bad_{c}"]]
+    if refused:
+        raise ValueError(f"null, NaN or infinite values in training: {', '.join(refused)}")
+    found: dict[str, list[float]] = {}
+    for c in [c for c in x.columns if seen[c] <= listed]:
+        found[c] = _strided(sorted((v, n) for v, n in x.groupBy(c).count().collect()), bins)
+    many = [c for c in x.columns if c not in found]
+    if many:
+        for c, cuts in zip(many, x.approxQuantile(many, [i / bins for i in range(1, bins)], 0.1 / bins)):
+            found[c] = sorted(t for t in set(cuts) if t < seen[f"top_{c}"])
+    return [found[c] for c in x.columns], [0.0 if seen[f"top_{c}"] is None else seen[f"top_{c}"] for c in x.columns]
+
+
+def _strided(counts: list[tuple[float, int]], bins: int) -> list[float]:
+    """Thresholds halfway between neighbours of the (value, rows) in order, each
+    where the rows before it come nearest to the next share."""
+    values, rows = zip(*counts) if counts else ((), ())
+    if len(values) <= bins:
+        return [(a + b) / 2 for a, b in zip(values, values[1:])]
+    share = sum(rows) / bins
+    out, upto, target = [], rows[0], share
+    for i in range(1, len(values)):
+        before, upto = upto, upto + rows[i]
+        if abs(before - target) < abs(upto - target):
+            out.append((values[i - 1] + values[i]) / 2)
+            target += share
+    return out
+
+
+def boosted_model(train: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42, max_iter: int = 20) -> PipelineModel:
+    """Boosted trees over the binned rows, equal ones as one row of their weight.
+
+    SparkML's trees see a feature by its bin alone (``maxBins``, 32), so rows of
+    the same bins and label count alike in every split of every round; grouped
+    first, a round passes over the groups.  A null or NaN to be scored goes with
+    the greatest values, as in SparkML."""
+    cuts, tops = split_points(train, features)
+    filled, bins, numbers = ([f"_{f}_{x}" for f in features] for x in ("filled", "bin", "number"))
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"coalesce(nanvl(cast(`{f}` AS double), NULL), double('{top!r}')) AS `{x}`" for f, x, top in zip(features, filled, tops)) + " FROM __THIS__")
+    # a tree sends value <= threshold to the left, a bucket ends before its upper edge
+    edges = [[-np.inf, *sorted({float(np.nextafter(t, np.inf)) for t in c or [top]} - {np.inf}), np.inf] for c, top in zip(cuts, tops)]
+    bucketizer = Bucketizer(inputCols=filled, outputCols=bins, splitsArray=edges)
+    # buckets are marked as categories without order: their numbers are not
+    order = SQLTransformer(statement="SELECT *, " + ", ".join(f"`{b}` + 0D AS `{x}`" for b, x in zip(bins, numbers)) + " FROM __THIS__")
+    assembler = VectorAssembler(inputCols=numbers, outputCol="features")
+    groups = order.transform(bucketizer.transform(fill.transform(train))).groupBy(*numbers, label).agg(F.count(F.lit(1)).cast("double").alias("_rows")).persist()
+    try:
+        trees = GBTClassifier(labelCol=label, featuresCol="features", weightCol="_rows", maxIter=max_iter, seed=seed).fit(assembler.transform(groups))
+    finally:
+        groups.unpersist()
+    return PipelineModel([fill, bucketizer, order, assembler, trees])
+
+
 def train_and_score(df: DataFrame, key: str, features: Sequence[str], label: str = "label", boosted: bool = False,
                     trees: int = 100) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Deterministic 80/20 split, fit, score the validation rows."""
     s = hash_split(df, key, 0.2, 42)
     train, val = s.filter("split = 'train'"), s.filter("split = 'validation'")
-    model = classifier_pipeline(features, label, trees=trees, boosted=boosted).fit(train)
+    model = boosted_model(train, features, label) if boosted else classifier_pipeline(features, label, trees=trees).fit(train)
     return model, train, model.transform(val)
 
 
