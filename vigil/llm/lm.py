@@ -65,7 +65,7 @@ def cut(texts: list[str]) -> Cut:
     """Words of the texts: A-Z lowered, cut at ASCII white space."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
     coded = parts.values.dictionary_encode()
-    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
     doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
     if "" in words:  # before and after outer white space
         full = at != words.index("")
