@@ -636,3 +636,22 @@ def test_pieces_are_cut_by_the_reference_engines_classes():
     for text, ids in zip(texts, codec.encode_many(texts)):
         assert ids.tolist() == library.encode_ordinary(text), text.encode("unicode_escape")
         assert codec.decode(ids.tolist()) == text
+
+
+def test_new_words_share_calls_of_the_library():
+    """Eight new words are one call of the merge model (one each before), with the library's own ids."""
+    import public_tokenizers
+    from vigil.llm import huffman
+    enc = huffman.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}ow{c}" for a in ("bl", "th", "Q", "vé") for b in "aeiou" for c in ("ix", "lund", "à", "pà")]
+    texts = [" ".join(words), "One.\nTwo!! it's a\n\nb, c%%% |", "", "x" + " à" * 9]
+    calls = []
+    model = enc._cached._model
+    enc._cached._model = type("Counted", (), {"tokenize": lambda self, s: (calls.append(s), model.tokenize(s))[1]})()
+    got = enc.encode_many(texts)
+    assert [x.tolist() for x in got] == [enc._tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < len(words)
+    ids = np.arange(5000) % 257
+    code = huffman.Code(huffman.code_lengths(np.bincount(ids)))
+    for n in (0, 1, 1024, 1025, 5000):
+        assert code.decode(*code.encode(ids[:n]), n).tolist() == ids[:n].tolist()

@@ -18,20 +18,24 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import held, release, settled, shuffle_width, whole
 from vigil.llm.pieces import SPACE_CUT_PATTERN, PieceEncoder, uncollected
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, settings
 
 BLOCK = 1024
 SEGMENT = 1 << 20  # tokens after which a segment is closed
 LIMIT = 16  # longest code, unless the vocabulary needs more
+BATCH = 2500  # rows that are texts in a worker at a time
+TOGETHER = 1 << 22  # characters of the texts that are cut together
 
 
 # --- ids -----------------------------------------------------------------------
@@ -44,6 +48,55 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class LibraryPieces(PieceEncoder):
+    """Pieces by a byte-level merge model of the tokenizers library.
+
+    A merge over the border of two words would need a token with a byte that
+    ends the first before the space of the second.  Words that end in no such
+    byte go through the model several in one call, and their ids are told apart
+    by the tokens' lengths in bytes."""
+
+    def __init__(self, tok, together: int, group: int = 8):
+        self._model = model = tok.model
+        self._letters_of = letters = _byte_letters()
+        vocab = tok.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self._bytes[list(vocab.values())] = [len(t) for t in vocab]
+        before_space = {t[i - 1] for t in vocab for i in range(1, len(t)) if t[i] == letters[32]}
+        self._joining = {b for b, c in letters.items() if c in before_space}
+        alone = model.ignore_merges or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix
+        self._group = 1 if alone else group
+        super().__init__(SPACE_CUT_PATTERN, None, scale=2, together=together)
+
+    def _ids(self, pieces: Iterable[str]) -> Iterable[bytes]:
+        raw = [p.encode("utf-8") for p in pieces]
+        if self._group == 1 or len(raw) == 1 or not all(p[0] == 32 for p in raw):
+            return [self._tokens([p]).tobytes() for p in raw]
+        parts, open_ = [], []
+        for p in raw:
+            open_.append(p)
+            if len(open_) == self._group or p[-1] in self._joining:
+                parts.append(b"".join(open_))
+                open_ = []
+        if open_:
+            parts.append(b"".join(open_))
+        return self._split(self._tokens(parts), raw)
+
+    def _tokens(self, raw: Iterable[bytes]) -> array:
+        """The ids of all strings, in a row."""
+        ids, tokenize = array("i"), self._model.tokenize
+        for p in raw:
+            ids.extend([t.id for t in tokenize(p.decode("latin-1").translate(self._letters_of))])
+        return ids
+
+    def _split(self, ids: array, raw: list[bytes]) -> list[bytes]:
+        """The ids of each string."""
+        ends = np.cumsum(self._bytes[np.frombuffer(ids, np.int32)])
+        upto = (np.searchsorted(ends, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))) + 1).tolist()
+        packed = ids.tobytes()
+        return [packed[4 * a:4 * b] for a, b in zip([0, *upto], upto)]
+
+
 class Ids:
     """Ids by the tokenizers library, without special tokens.
 
@@ -59,16 +112,18 @@ class Ids:
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self._tok.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        letters, model = _byte_letters(), self._tok.model
-        self._cached = PieceEncoder(SPACE_CUT_PATTERN, lambda pieces: (
-            [t.id for t in model.tokenize(p.encode("utf-8").decode("latin-1").translate(letters))] for p in pieces), scale=1)
+        self._cached = LibraryPieces(self._tok, TOGETHER)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        beyond = [i for i, t in enumerate(texts) if _BEYOND_LATIN(t)]
-        out = self._cached.encode_many(["" if _BEYOND_LATIN(t) else t for t in texts])
+        beyond = [i for i, t in enumerate(texts) if not t.isascii() and _BEYOND_LATIN(t)]
+        if beyond:
+            texts, given = list(texts), texts
+            for i in beyond:
+                texts[i] = ""
+        out = self._cached.encode_many(texts)
         out = [x.astype(self.kind) for x in out]
         for i in beyond:
-            out[i] = np.array(self._tok.encode(texts[i], add_special_tokens=False).ids, self.kind)
+            out[i] = np.array(self._tok.encode(given[i], add_special_tokens=False).ids, self.kind)
         return out
 
 
@@ -128,7 +183,7 @@ class Code:
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length by the next ``longest`` bits."""
         if self._table is None:
-            symbol = np.zeros(1 << self.longest, np.int64)
+            symbol = np.zeros(1 << self.longest, np.uint32)
             filled = np.repeat(self._order, self._width)
             symbol[:len(filled)] = filled
             self._table = symbol, self.lengths[symbol].astype(np.int64)
@@ -136,17 +191,25 @@ class Code:
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
         """Code bits (most significant first) and the bit offsets of blocks."""
-        size = self.lengths[ids].astype(np.int64)
-        end = np.cumsum(size)
-        at = end - size
-        word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
-        value = self.codes[ids] << shift
-        n = int(end[-1] + 31 >> 5) + 1 if len(ids) else 0
-        # the bits of different tokens are disjoint: sums are unions, below 2^32
-        high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n + 1)
-        low = np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n + 1)
-        words = (high[:n] + low[:n]).astype(np.uint32)
-        return words.astype(">u4").tobytes(), at[::block].copy()
+        lengths, words, begin, offsets = self.lengths.astype(np.int64), [np.zeros(1)], 0, []
+        for i in range(0, len(ids), block * 32):  # what fits into a processor's cache
+            part = ids[i:i + block * 32]
+            size = lengths[part]
+            end = np.cumsum(size) + (begin & 31)
+            at = end - size
+            word = at >> 5
+            value = self.codes[part] << (64 - (at & 31) - size).astype(np.uint64)
+            n = int(end[-1] >> 5) + 1
+            # the bits of different tokens are disjoint: sums are unions, below 2^32
+            high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n)
+            high[:n] += np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[:n]
+            high[0] += words[-1][-1]  # begun by the part before
+            words[-1] = words[-1][:-1]
+            words.append(high[:n])
+            offsets.append(at[::block] + (begin & ~31))
+            begin = (begin & ~31) + int(end[-1])
+        words = np.pad(np.concatenate(words), (0, 1 if begin & 31 else 0)) if offsets else np.zeros(0)
+        return words.astype(np.uint32).astype(">u4").tobytes(), np.concatenate([np.zeros(0, np.int64), *offsets])
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """The ``n`` ids; every block starts from its own offset."""
@@ -157,7 +220,7 @@ class Code:
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         top, mask = 32 - self.longest, (1 << self.longest) - 1
         at = offsets.astype(np.int64)
-        out = np.zeros((len(at), block), np.int64)
+        out = np.zeros((min(block, n), len(at)), symbol.dtype)  # a step writes one row
         last = n - (len(at) - 1) * block
         for k in range(min(block, n)):
             if k == last:  # the last block is done
@@ -165,9 +228,9 @@ class Code:
             elif k == 0:
                 live = slice(0, len(at))
             code = window[at >> 3] >> (top - (at & 7)) & mask
-            out[live, k] = symbol[code]
+            out[k, live] = symbol[code]
             at = at + length[code]
-        return out.reshape(-1)[:n]
+        return np.ascontiguousarray(out.T).reshape(-1)[:n]
 
 
 # --- files -------------------------------------------------------------------------
@@ -180,6 +243,22 @@ def _bucket_edges(docs: DataFrame, id_col: str, files: int) -> list:
     return sorted(r["top"] for r in top)[:-1]
 
 
+def _packing() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts that are cut together."""
+    at, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= TOGETHER:
+            yield texts[at:i + 1]
+            at, chars = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text",
                  end_id: int = 0, files: int | None = None) -> None:
     """Write the ids of every text, ``end_id`` after each, to ``path``.
@@ -194,14 +273,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     @F.pandas_udf("bucket int, n int, ids binary")
     def to_ids(key: pd.Series, body: pd.Series) -> pd.DataFrame:
-        enc = encoder(tokenizer)
+        enc, pack = encoder(tokenizer), _packing()
         n, ids = [], []
         with uncollected():
-            for at in range(0, len(body), 1024):
-                for x in enc.encode_many(body.iloc[at:at + 1024].tolist()):
+            for texts in _portions(body.tolist()):
+                for x in enc.encode_many(texts):
                     x = np.append(x, enc.kind.type(end_id))
                     n.append(len(x))
-                    ids.append(zlib.compress(x.tobytes(), 1))
+                    ids.append(pack.compress(x.tobytes(), asbytes=True))
+                pa.default_memory_pool().release_unused()
         bucket = np.full(len(key), len(edges))
         known = key.notna().to_numpy()
         if edges:
@@ -210,15 +290,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), to_ids(F.col(id_col), whole(text)).alias("x")) \
         .select("id", "tie", "x.*")
-    rows = settled(rows.repartition(files, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "tie"))
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}):
+        rows = settled(rows.repartition(files, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "tie"))
     width = encoder(tokenizer).kind
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         total = np.zeros(0, np.int64)
+        unpack = _packing().decompress
         for pdf in batches:
-            for x in pdf["ids"]:
-                c = np.bincount(np.frombuffer(zlib.decompress(x), width))
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at:at + 1024]
+                c = np.bincount(np.frombuffer(b"".join([unpack(x, n * width.itemsize, asbytes=True) for x, n in zip(part["ids"], part["n"])]), width))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[:len(c)] += c
@@ -226,7 +309,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         yield pd.DataFrame({"id": used, "c": total[used]})
 
     # one row per id of the vocabulary and one per file reach the driver
-    per_id = rows.select("ids").mapInPandas(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()
+    per_id = rows.select("ids", "n").mapInPandas(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()
     counts = np.zeros(encoder(tokenizer).size, np.int64)
     for r in per_id:
         counts[r["id"]] = r["c"]
@@ -237,10 +320,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, open_, where = Code(lengths), [], dict(first)
+        unpack = _packing().decompress
 
         def close() -> pd.DataFrame:
             bucket = open_[0][0]
-            ids = np.concatenate([np.frombuffer(zlib.decompress(x[3]), width) for x in open_])
+            ids = np.frombuffer(b"".join([unpack(x[3], x[2] * width.itemsize, asbytes=True) for x in open_]), width)
             bits, offsets = code.encode(ids)
             row = {"file": bucket, "first_token": where[bucket], "doc_ids": [x[1] for x in open_],
                    "doc_tokens": [x[2] for x in open_], "block_bits": offsets.tolist(), "bits": bits}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ import regex
 #: not depend on them.
 PIECES, CHUNKS = 1 << 19, 1 << 16
 _MARKS = frozenset(".,;:!?")
+_TAIL = "".join(c for c in string.punctuation if c != "'")  # no contraction starts with these
 TOGETHER = 1 << 21  # characters of the texts that are cut together
 SPACE_CUT_PATTERN = public_tokenizers.PATTERN
 _BLANK_AFTER_SPACE = re.compile(r" (?=\s|\Z)").search
@@ -65,7 +67,9 @@ class PieceEncoder:
     ``encode_pieces`` gives the ids of each of several pieces.  The new words
     of texts that are cut together come to it in code point order."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[Iterable[str]], Iterable[Iterable[int]]], scale: int = 0):
+    def __init__(self, pattern: str, encode_pieces: Callable[[Iterable[str]], Iterable[Iterable[int]]], scale: int = 0,
+                 together: int = TOGETHER):
+        self._together = together
         self._piece_limit, self._chunk_limit = PIECES >> scale, CHUNKS >> scale
         self._pattern = regex.compile(pattern)
         self._find = self._pattern.findall
@@ -108,20 +112,20 @@ class PieceEncoder:
             self._words[w] = ids
         return ids
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode the words that are not known, in order."""
-        known, before, new = self._words, self._old_words, set()
-        for w in words:
-            if w not in known:
-                if not w.isalpha():
-                    w = w[:-1] if w[-1:] in _MARKS else ""
-                    if not w.isalpha() or w in known:
-                        continue
-                if w not in before:
-                    new.add(w)
-        new = sorted(new)
-        for w, ids in zip(new, self._ids(" " + w for w in new)):
-            self._keep_word(w, ids)
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """Ids of the pieces " " + w; the words (of letters) that are not known are encoded in order."""
+        out = list(map(self._words.get, words))
+        before, new = self._old_words.get, []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            got = before(words[i])
+            if got is None:
+                new.append(i)
+            else:
+                out[i] = self._keep_word(words[i], got)
+        new.sort(key=words.__getitem__)
+        for i, ids in zip(new, self._ids([" " + words[i] for i in new])):
+            out[i] = self._keep_word(words[i], ids)
+        return out
 
     def _letters(self, w: str) -> bytes:
         """Ids of the piece " " + w, w of letters."""
@@ -141,13 +145,20 @@ class PieceEncoder:
         if got is None:
             got = self._old_chunks.get(p)
             if got is None:
-                got = self._chunk(" " + p)
+                got = self._lines(p)
             if len(p) <= 64:
                 if len(self._chunks) >= self._chunk_limit:
                     self._old_chunks, self._chunks = self._chunks, {}
                 self._chunks[p] = got
         return got
 
+    def _lines(self, p: str) -> bytes:
+        """Ids of the chunk " " + p; a line feed between visible characters is a piece."""
+        a, feed, b = p.partition("\n")
+        if feed and a and not a[-1].isspace() and b and not b[0].isspace():
+            return self._word(a) + self._piece(feed) + (self._piece(b) if b.isalpha() else self._chunk(b))
+        return self._chunk(" " + p)
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -163,7 +174,7 @@ class PieceEncoder:
                 continue
             together.append(i)
             chars += len(text)
-            if chars >= TOGETHER:
+            if chars >= self._together:
                 self._encode_chunks(texts, together, out)
                 together, chars = [], 0
         if together:
@@ -174,21 +185,55 @@ class PieceEncoder:
         parts = pc.split_pattern(pa.array([texts[i] for i in which], pa.large_string()), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
-        ids = [self._word(w) for w in words]
-        ends = np.zeros(len(ids) + 2, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:-1])
-        ends[-1] = ends[-2]  # one more entry, of no ids
-        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        lists = self._words_ids(coded.dictionary)
         at = coded.indices.to_numpy().copy()
-        at[bounds[:-1]] = len(ids)  # a text's first chunk has no space before it
+        at[bounds[:-1]] = len(lists) - 1  # a text's first chunk has no space before it
         placed = lists.take(pa.array(at))
         flat, ends = placed.values.to_numpy(), placed.offsets.to_numpy()[bounds]
         for i, a, b in zip(which, ends[:-1].tolist(), ends[1:].tolist()):
             first = np.frombuffer(self._chunk(texts[i].partition(" ")[0]), np.int32)
             out[i] = np.concatenate([first, flat[a:b]])
 
+    def _words_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of the chunks " " + w, w distinct, and one more entry of no ids.
+        Letters, with or without punctuation after them (a piece of its own),
+        are looked up together."""
+        stem = pc.ascii_rtrim(words, _TAIL)
+        coded = stem.dictionary_encode()
+        stems = _strings(coded.dictionary)
+        head = coded.indices.to_numpy().copy()  # each word is two entries
+        letters = [i for i, s in enumerate(stems) if s.isalpha()]
+        entries = [b""] * (len(stems) + 1)
+        for i, x in zip(letters, self._learned([stems[i] for i in letters])):
+            entries[i] = x
+        plain = np.zeros(len(stems), bool)
+        plain[letters] = True
+        plain, none = plain[head], len(stems)
+        after = np.full(len(words) + 1, none)
+        size = pc.binary_length(stem).to_numpy()
+        tailed = np.flatnonzero(plain & (size < pc.binary_length(words).to_numpy()))
+        tails = {}
+        for i, n, w in zip(tailed.tolist(), pc.utf8_length(stem.take(pa.array(tailed))).to_numpy().tolist(), _strings(words.take(pa.array(tailed)))):
+            tail = w[n:]
+            if tail not in tails:
+                tails[tail] = len(entries)
+                entries.append(self._chunk(tail))
+            after[i] = tails[tail]
+        others = np.flatnonzero(~plain)
+        head[others] = np.arange(len(entries), len(entries) + len(others))
+        entries += [self._word(w) for w in _strings(words.take(pa.array(others)))]
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        start = np.cumsum(size) - size
+        order = np.stack([np.append(head, none), after], 1).ravel()
+        ends = np.cumsum(size[order])
+        flat = np.frombuffer(b"".join(entries), np.int32)
+        flat = flat[np.arange(ends[-1]) + np.repeat(start[order] - (ends - size[order]), size[order])]
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends[1::2]])), pa.array(flat))
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()  # without a scalar object for each
+
 
 @contextmanager
 def uncollected():
