@@ -364,6 +364,53 @@ def test_model_is_a_distribution_and_windows_score_each_id_once():
     assert whole == pytest.approx(parts, rel=1e-4)
 
 
+def test_new_words_are_encoded_in_one_call_and_as_one_by_one(monkeypatch):
+    from types import SimpleNamespace
+    enc = lm.Words(RANKS, public_tokenizers.PATTERN)
+    engine, calls = enc._engine, []
+
+    def spy(name):
+        return lambda *a, **b: calls.append(name) or getattr(engine, name)(*a, **b)
+
+    enc._engine = SimpleNamespace(encode_ordinary=spy("encode_ordinary"), encode_to_numpy=spy("encode_to_numpy"))
+    words = ["water", "it's", "'s", "12ab,", "\x1f", "été", "x\u00a0", "\u00a0y", "\u2003", "\u3000z\u2003\u2003", "\u00a0\u00a0q", "日本", "<|endoftext|>", "\x85", "ab" * 50]
+    words += [f"{w}{i}" for i in range(40) for w in ("der", "ion.", "\u00a0é")]
+    texts = [" ".join(words), "", " water\tnew ", " ".join(reversed(words))]
+    flat, bounds = enc.ids(lm.cut(texts))
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        alone = [i for w in lm.cut([t]).words if w for i in engine.encode_ordinary(" " + w)]
+        assert flat[a:b].tolist() == [*alone, enc.end]
+    assert calls.count("encode_to_numpy") == 1 and len(calls) < 10
+    monkeypatch.setattr(lm, "CACHE", 7)
+    again, _ = lm.Words(RANKS, public_tokenizers.PATTERN).ids(lm.cut(texts))
+    assert (again == flat).all()
+
+
+def test_training_windows_of_texts_in_a_row_are_those_of_each():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 9, n) for n in (1, 31, 32, 33, 64, 65, 200)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    together = lm._sequences(np.concatenate(parts), 9, bounds)
+    assert (together == np.concatenate([lm._sequences(x, 9) for x in parts])).all()
+    assert (together[:, 1:] >= 0).sum() == bounds[-1] and (together[0] == [9, parts[0][0], *[-1] * 31]).all()
+
+
+def test_each_text_is_encoded_once_for_all_passes(spark, docs):
+    every, hot = lm._coded(docs, RANKS, public_tokenizers.PATTERN, "text", "doc_id", ["the", "of", "no-such-word"])
+    enc = lm.words_of(RANKS, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: r for r in every.withColumnRenamed("id", "doc_id").collect()}
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(got) == len(texts) and sum(r["train"] for r in got.values()) == len(train)
+    assert hot == {w: sum(t.encode().lower().split().count(w.encode()) for t in train) for w in ("the", "of", "no-such-word")}
+    for i, t in texts[:50]:
+        flat, _ = enc.ids(lm.cut([t]))
+        packed = lm._packing().decompress(got[i]["ids"], got[i]["n"] * enc.kind.itemsize, asbytes=True)
+        assert (np.frombuffer(packed, enc.kind) == flat).all()
+    flat = np.concatenate([enc.ids(lm.cut([t]))[0] for t in train])
+    assert (lm._unigrams(every.filter("train").select("n", "ids"), enc) == np.bincount(flat, minlength=enc.size)).all()
+
+
 def test_gradient_is_the_slope_of_the_loss():
     t, w = small_model()
     w = {k: v.astype(np.float64) for k, v in w.items()}
