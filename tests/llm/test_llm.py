@@ -595,6 +595,21 @@ def test_huffman_code_is_optimal_and_limited():
         assert np.array_equal(code.decode(bits, at, n), ids)
 
 
+def test_visible_ascii_is_not_translated_byte_by_byte():
+    class Untranslated(dict):
+        def __getitem__(self, key):
+            assert key == 32, "looked up although it stands for itself"
+            return super().__getitem__(key)
+
+    pieces = huffman.Ids(public_tokenizers.path("byte_bpe_50k.json"))._cached
+    plain = [" word", "~!", " a b", ""]
+    odd = ["é".encode(), b"\n", b"\x7f", b" \xad\xff", b"a\tb"]
+    letters = pieces._letters_of
+    assert [pieces._lettered(p) for p in odd] == ["".join(letters[b] for b in p) for p in odd]
+    pieces._letters_of = Untranslated(letters)
+    assert [pieces._lettered(p.encode()) for p in plain] == [p.replace(" ", letters[32]) for p in plain]
+
+
 def test_token_file_holds_the_librarys_ids(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -56,6 +56,8 @@ class LibraryPieces(PieceEncoder):
     byte go through the model several in one call, and their ids are told apart
     by the tokens' lengths in bytes."""
 
+    _in_order = False  # the merge model keeps nothing from one word to the next
+
     def __init__(self, tok, together: int, group: int = 8):
         self._model = model = tok.model
         self._letters_of = letters = _byte_letters()
@@ -86,9 +88,16 @@ class LibraryPieces(PieceEncoder):
         """The ids of all strings, in a row."""
         ids, tokenize = array("i"), self._model.tokenize
         for p in raw:
-            ids.extend([t.id for t in tokenize(p.decode("latin-1").translate(self._letters_of))])
+            ids.extend([t.id for t in tokenize(self._lettered(p))])
         return ids
 
+    def _lettered(self, raw: bytes) -> str:
+        """The characters that stand for the bytes; visible ASCII stands for itself."""
+        p = raw.decode("latin-1")
+        if p.isascii() and p.isprintable():
+            return p.replace(" ", self._letters_of[32])
+        return p.translate(self._letters_of)
+
     def _split(self, ids: array, raw: list[bytes]) -> list[bytes]:
         """The ids of each string."""
         ends = np.cumsum(self._bytes[np.frombuffer(ids, np.int32)])

@@ -65,7 +65,10 @@ class PieceEncoder:
     step of ``scale`` halves the caches.
 
     ``encode_pieces`` gives the ids of each of several pieces.  The new words
-    of texts that are cut together come to it in code point order."""
+    of texts that are cut together come to it in code point order, unless
+    ``_in_order`` is false."""
+
+    _in_order = True  # whether new words come in code point order
 
     def __init__(self, pattern: str, encode_pieces: Callable[[Iterable[str]], Iterable[Iterable[int]]], scale: int = 0,
                  together: int = TOGETHER):
@@ -113,7 +116,7 @@ class PieceEncoder:
         return ids
 
     def _learned(self, words: list[str]) -> list[bytes]:
-        """Ids of the pieces " " + w; the words (of letters) that are not known are encoded in order."""
+        """Ids of the pieces " " + w; the words (of letters) that are not known are encoded together."""
         out = list(map(self._words.get, words))
         before, new = self._old_words.get, []
         for i in [i for i, x in enumerate(out) if x is None]:
@@ -122,9 +125,17 @@ class PieceEncoder:
                 new.append(i)
             else:
                 out[i] = self._keep_word(words[i], got)
-        new.sort(key=words.__getitem__)
-        for i, ids in zip(new, self._ids([" " + words[i] for i in new])):
-            out[i] = self._keep_word(words[i], ids)
+        if self._in_order:
+            new.sort(key=words.__getitem__)
+        found = [words[i] for i in new]
+        ids = list(self._ids([" " + w for w in found]))
+        for i, x in zip(new, ids):
+            out[i] = x
+        if len(self._words) + len(found) <= self._piece_limit:
+            self._words.update((w, x) for w, x in zip(found, ids) if len(w) <= 64)
+        else:
+            for w, x in zip(found, ids):
+                self._keep_word(w, x)
         return out
 
     def _letters(self, w: str) -> bytes:
