@@ -5,9 +5,12 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -717,3 +720,30 @@ def test_new_words_share_calls_of_the_library():
     code = huffman.Code(huffman.code_lengths(np.bincount(ids)))
     for n in (0, 1, 1024, 1025, 5000):
         assert code.decode(*code.encode(ids[:n]), n).tolist() == ids[:n].tolist()
+
+
+def test_checked_ids_keep_little_memory():
+    """A worker of the pipeline's token stage on texts of ever new words: two
+    of them and the JVM share an executor's 3 GB."""
+    code = """
+import random, re, string
+import pyarrow as pa, public_tokenizers
+from vigil.llm import bpe
+path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+def batches():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 10)))
+    for _ in range(12):
+        yield pa.RecordBatch.from_pydict({"doc_id": [1] * 256, "text": [" ".join(word() for _ in range(100)) for _ in range(256)]})
+list(bpe._checked(iter([]), path, pattern, ["doc_id", "n_tokens", "ids", "intact"]))
+before, rows, most = mb(), 0, 0
+for got in bpe._checked(batches(), path, pattern, ["doc_id", "n_tokens", "ids", "intact"]):
+    assert all(got["intact"].to_pylist()) and got.schema.names == ["doc_id", "n_tokens", "ids", "intact"]
+    rows, most = rows + got.num_rows, max(most, mb())
+print(rows, most - before)
+"""
+    rows, grown = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], check=True, capture_output=True, text=True).stdout.split()
+    assert int(rows) == 12 * 256
+    assert float(grown) < 100, grown  # 136 with the larger caches and the freed memory of Arrow kept

@@ -344,12 +344,13 @@ class Utf8Machine:
 
 
 class Codec:
-    """Encoder and decoder of a rank file; pieces are the pattern's matches."""
+    """Encoder and decoder of a rank file; pieces are the pattern's matches.
+    Each step of ``scale`` halves the caches, each of ``fewer`` the states once more."""
 
-    def __init__(self, path: str, pattern: str, scale: int = 0):
+    def __init__(self, path: str, pattern: str, scale: int = 0, fewer: int = 0):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.transducer = Transducer(self.ranks, scale)
+        self.transducer = Transducer(self.ranks, scale + fewer)
         self.machine = Utf8Machine(self.transducer.bytes_of)
         self.decimal = [str(i) for i in range(max(self.ranks.values(), default=-1) + 1)]
         pieces = PieceEncoder(pattern, lambda ps: self.transducer.encode_all(p.encode("utf-8") for p in ps), scale)
@@ -362,8 +363,8 @@ class Codec:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
 
-def codec(path: str, pattern: str, scale: int = 1) -> Codec:
-    return held(("codec", path, pattern, scale), lambda: Codec(path, pattern, scale))
+def codec(path: str, pattern: str, scale: int = 1, fewer: int = 0) -> Codec:
+    return held(("codec", path, pattern, scale, fewer), lambda: Codec(path, pattern, scale, fewer))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -392,29 +393,32 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
 def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The columns but the text, then ``n_tokens``, ``ids`` and ``intact``:
     whether the ids decode to the text again.  Nulls as in :func:`encode`;
-    columns of these names are replaced.  The rows carry the ids, so the
-    caches are a quarter of the usual ones."""
+    columns of these names are replaced."""
     made = ("n_tokens", "ids", "intact")
     rest = [f for f in docs.schema.fields if f.name != text and f.name not in made]
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern, 2)
-        with uncollected():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):  # few rows' ids at a time
-                    part = batch.slice(at, 256)
-                    texts = part.column(len(rest)).to_pylist()
-                    ids = c.encode_many(texts)
-                    size = np.array([0, *map(len, ids)])
-                    intact = [c.decode(x.tolist()) == t for x, t in zip(ids, texts)]
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:len(rest)], pa.array(size[1:], pa.int64()), lists, pa.array(intact, pa.bool_())],
-                        names=[*(f.name for f in rest), *made])
-
     schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("intact", T.BooleanType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], whole(text).alias("_whole_text")).mapInArrow(checked, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], whole(text).alias("_whole_text")) \
+        .mapInArrow(lambda batches: _checked(batches, path, pattern, schema.names), schema)
+
+
+def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A task of :func:`encode_checked`; the texts are the last column.  The
+    rows carry the ids, so the worker keeps little else: small caches, and no
+    freed memory in Arrow's pool."""
+    c, rest = codec(path, pattern, 2, 2), len(names) - 3
+    with uncollected():
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # few rows' ids at a time
+                part = batch.slice(at, 256)
+                texts = part.column(rest).to_pylist()
+                ids = c.encode_many(texts)
+                size = np.array([0, *map(len, ids)])
+                intact = [c.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_arrays([*part.columns[:rest], pa.array(size[1:], pa.int64()), lists, pa.array(intact, pa.bool_())],
+                                                 names=names)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
