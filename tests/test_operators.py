@@ -337,3 +337,77 @@ def test_boosted_trees_pass_over_groups_of_equal_bins(spark):
     assert len(p) == 4002 and max(abs(p[i] - q[i]) for i in p) < 1e-6
     with pytest.raises(ValueError, match="b"):
         ml.boosted_model(df.withColumn("b", F.when(F.col("id") > 5, F.col("b"))), ["a", "b"])
+
+
+def _many_rows(spark, n=120_000):
+    from pyspark.sql import functions as F
+    a, b, noise = F.col("id") % 7, F.col("id") * 7919 % 100_003 / 1000, F.pmod(F.hash("id"), F.lit(100)) / 50
+    return spark.range(n).select("id", a.cast("double").alias("a"), b.alias("b"), (a / 3 + b / 50 + noise > 3).cast("double").alias("label"))
+
+
+def _no_fit_of_many_rows(monkeypatch):
+    from vigil.operators import ml
+    fit = ml.RandomForestClassifier._fit
+
+    def checked(self, rows):
+        assert rows.count() <= ml.ROWS_ALONE
+        return fit(self, rows)
+    monkeypatch.setattr(ml.RandomForestClassifier, "_fit", checked)
+
+
+def test_forest_of_many_rows_grows_over_groups_of_equal_bins(spark, monkeypatch):
+    """train_classifier: the bagged rows of every tree were kept and read one by one at each level."""
+    from vigil.operators import ml
+    df = _many_rows(spark, 150_000)
+    train, val = (ml.hash_split(df, "id", 0.2, 42).filter(f"split = '{s}'") for s in ("train", "validation"))
+    want = ml.score_summary("m", train, ml.classifier_pipeline(["a", "b"], trees=5).fit(train).transform(val)).first()
+    _no_fit_of_many_rows(monkeypatch)
+    model, train, scored = ml.train_and_score(df, "id", ["a", "b"], trees=5)
+    got = ml.score_summary("m", train, scored).first()
+    assert (got["n_train"], got["n_val"]) == (want["n_train"], want["n_val"]) and abs(got["accuracy"] - want["accuracy"]) < 0.01
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 5 and forest.numFeatures == 2 and forest.numClasses == 2
+    assert abs(sum(r["importance"] for r in ml.importances(model, ["a", "b"]).collect()) - 1) < 1e-9
+    taken = [t._java_obj.rootNode().impurityStats().count() for t in forest.trees]  # a bootstrap: about as many rows, never the same
+    assert len(set(taken)) > 1 and all(abs(t - got["n_train"]) < 6 * got["n_train"] ** 0.5 for t in taken)
+    with pytest.raises(ValueError, match="b"):
+        ml.forest_model(train.withColumn("b", ml.F.when(ml.F.col("id") > 5, ml.F.col("b"))), ["a", "b"])
+
+
+def test_grouped_tree_is_sparkmls_of_the_drawn_rows(spark, monkeypatch):
+    """One tree (all features a node) equals SparkML's of the groups weighted by their draws."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from vigil.operators import forest, ml
+    cuts = [[0.5, 1.5, 2.5, 3.5, 4.5, 5.5], [float(x) for x in range(5, 100, 5)]]
+    groups, numbers = ml._bin_groups(_many_rows(spark, 20_000), ["a", "b"], cuts, "label")
+    between = [[j + 0.5 for j in range(len(c))] for c in cuts]
+    rf = ml.RandomForestClassifier(numTrees=1, maxDepth=4, seed=7)
+    got = forest.grouped_forest(groups, numbers, between, rf)
+    drawn = [(*r[:4], float(np.random.Generator(np.random.Philox(key=r["k"] % 2**64)).poisson(r["_rows"])))
+             for r in groups.select(*numbers, "label", "_rows", F.xxhash64(*numbers, "label", F.lit(7)).alias("k")).collect()]
+    rows = spark.createDataFrame([(r[0], r[1], r[2], r[4]) for r in drawn if r[4] > 0], [*numbers, "label", "w"])
+    rows = VectorAssembler(inputCols=numbers, outputCol="features").transform(rows)
+    want = rf.copy({rf.bootstrap: False, rf.featureSubsetStrategy: "all", rf.weightCol: "w"}).fit(rows)
+    assert got.trees[0].toDebugString.split("\n")[1:] == want.trees[0].toDebugString.split("\n")[1:]
+    p, q = ([(r["rawPrediction"], r["prediction"]) for r in m.transform(rows.coalesce(1)).collect()] for m in (got, want))
+    assert len(p) > 100 and all(np.allclose(x.toArray(), y.toArray()) and a == b for (x, a), (y, b) in zip(p, q))
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    rf = ml.RandomForestClassifier(numTrees=3, maxDepth=3, seed=7)
+    whole = forest.grouped_forest(groups, numbers, between, rf).toDebugString
+    monkeypatch.setattr(forest, "HISTOGRAM_BYTES", 1)  # a tree at a time
+    assert forest.grouped_forest(groups.repartition(3), numbers, between, rf).toDebugString == whole
+    with pytest.raises(ValueError, match="labels"):
+        forest.grouped_forest(groups.withColumn("label", F.lit(0.5)), numbers, between, rf)
+
+
+def test_fold_split_points_leave_the_fold_out(spark):
+    from pyspark.sql import functions as F
+
+    from vigil.operators import ml
+    df = spark.range(9000).select((F.col("id") % 50).cast("double").alias("few"), (F.col("id") * 7919 % 9001 / 10).alias("many"), (F.col("id") % 3).alias("part"))
+    by_fold = ml.fold_split_points(df, ["few", "many"], F.col("part"), 3, listed=1000)
+    for i, (cuts, tops) in enumerate(by_fold):
+        want, top = ml.split_points(df.filter(F.col("part") != i), ["few", "many"], listed=1000)
+        assert cuts[0] == want[0] and tops == top and len(cuts[1]) == len(want[1]) and np.allclose(cuts[1], want[1], atol=900 / 320 * 2)

@@ -22,6 +22,7 @@ def argmax_softmax(logits: Column) -> tuple[Column, Column]:
 
 
 import time  # noqa: E402
+from collections import Counter  # noqa: E402
 from multiprocessing.pool import ThreadPool  # noqa: E402
 
 import numpy as np  # noqa: E402
@@ -35,6 +36,7 @@ from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
 
 from vigil.operators.features import hash_split  # noqa: E402
+from vigil.operators.forest import grouped_forest  # noqa: E402
 
 
 def classifier_pipeline(features: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42,
@@ -52,20 +54,37 @@ def split_points(df: DataFrame, features: Sequence[str], bins: int = 32, listed:
     greatest value: by SparkML's rule over all rows for features of up to about
     ``listed`` values, by quantiles of all rows for others.  Null, NaN and infinite values are refused, as SparkML's
     trees refuse them."""
-    x = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    seen = x.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in x.columns], *[F.max(c).alias(f"top_{c}") for c in x.columns],
-                 *[F.count_if(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))).alias(f"bad_{c}") for c in x.columns]).first()
-    refused = [f for f, c in zip(features, x.columns) if seen[f"bad_{c}"]]
+    return fold_split_points(df, features, F.lit(-1), 1, bins, listed)[0]
+
+
+def fold_split_points(df: DataFrame, features: Sequence[str], fold: Column, folds: int, bins: int = 32,
+                      listed: int = 10_000) -> list[tuple[list[list[float]], list[float]]]:
+    """:func:`split_points` of the rows outside each of the folds 0, 1, ...; all
+    folds share their passes over the rows."""
+    x = df.select(fold.alias("fold"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    columns, outside = x.columns[1:], [F.col("fold") != i for i in range(folds)]
+    seen = x.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns],
+                 *[F.max(F.when(o, F.col(c))).alias(f"top{i}_{c}") for i, o in enumerate(outside) for c in columns],
+                 *[F.count_if(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))).alias(f"bad_{c}") for c in columns]).first()
+    refused = [f for f, c in zip(features, columns) if seen[f"bad_{c}"]]
     if refused:
         raise ValueError(f"null, NaN or infinite values in training: {', '.join(refused)}")
-    found: dict[str, list[float]] = {}
-    for c in [c for c in x.columns if seen[c] <= listed]:
-        found[c] = _strided(sorted((v, n) for v, n in x.groupBy(c).count().collect()), bins)
-    many = [c for c in x.columns if c not in found]
+    found: dict[tuple[int, str], list[float]] = {}
+    for c in [c for c in columns if seen[c] <= listed]:
+        counts = x.groupBy(c, "fold").count().collect()
+        for i in range(folds):
+            rows: Counter = Counter()
+            for v, part, n in counts:
+                if part != i:
+                    rows[v] += n
+            found[i, c] = _strided(sorted(rows.items()), bins)
+    many = [(i, c) for i in range(folds) for c in columns if (i, c) not in found]
     if many:
-        for c, cuts in zip(many, x.approxQuantile(many, [i / bins for i in range(1, bins)], 0.1 / bins)):
-            found[c] = sorted(t for t in set(cuts) if t < seen[f"top_{c}"])
-    return [found[c] for c in x.columns], [0.0 if seen[f"top_{c}"] is None else seen[f"top_{c}"] for c in x.columns]
+        # a null, here a row of the fold, is no value of the column
+        others = x.select(*[F.when(outside[i], F.col(c)).alias(f"{c}_{i}") for i, c in many])
+        for (i, c), cuts in zip(many, others.approxQuantile(others.columns, [j / bins for j in range(1, bins)], 0.1 / bins)):
+            found[i, c] = sorted(t for t in set(cuts) if t < seen[f"top{i}_{c}"])
+    return [([found[i, c] for c in columns], [0.0 if seen[f"top{i}_{c}"] is None else seen[f"top{i}_{c}"] for c in columns]) for i in range(folds)]
 
 
 def _strided(counts: list[tuple[float, int]], bins: int) -> list[float]:
@@ -109,12 +128,48 @@ def boosted_model(train: DataFrame, features: Sequence[str], label: str = "label
     return PipelineModel([fill, bucketizer, order, assembler, trees])
 
 
+ROWS_ALONE = 100_000  # a forest takes up to so many rows one by one
+
+
+def _taken_alone(df: DataFrame) -> bool:
+    return df.limit(ROWS_ALONE + 1).count() <= ROWS_ALONE
+
+
+def _bin_groups(df: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]], *keys: str) -> tuple[DataFrame, list[str]]:
+    """One row for each group of equal bins and keys, with its ``_rows``, and
+    the names of the columns that hold the features' bin numbers."""
+    def found(x: Column, cut: Sequence[float], low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x <= cut[mid], found(x, cut, low, mid)).otherwise(found(x, cut, mid + 1, high))
+    numbers = [f"_{f}_number" for f in features]
+    binned = df.select(*keys, *[found(F.col(f).cast("double"), c, 0, len(c)).alias(x) for f, c, x in zip(features, cuts, numbers)])
+    return binned.groupBy(*numbers, *keys).agg(F.count(F.lit(1)).cast("double").alias("_rows")), numbers
+
+
+def forest_model(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42) -> PipelineModel:
+    """A random forest, of more than ``ROWS_ALONE`` rows over their groups of equal bins
+    (:func:`grouped_forest`)."""
+    pipeline = classifier_pipeline(features, label, trees=trees, seed=seed)
+    if _taken_alone(train):
+        return pipeline.fit(train)
+    assembler, rf = pipeline.getStages()
+    cuts, _ = split_points(train, features)
+    groups, numbers = _bin_groups(train, features, cuts, label)
+    groups = groups.persist()
+    try:
+        return PipelineModel([assembler, grouped_forest(groups, numbers, cuts, rf)])
+    finally:
+        groups.unpersist()
+
+
 def train_and_score(df: DataFrame, key: str, features: Sequence[str], label: str = "label", boosted: bool = False,
                     trees: int = 100) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Deterministic 80/20 split, fit, score the validation rows."""
     s = hash_split(df, key, 0.2, 42)
     train, val = s.filter("split = 'train'"), s.filter("split = 'validation'")
-    model = boosted_model(train, features, label) if boosted else classifier_pipeline(features, label, trees=trees).fit(train)
+    model = boosted_model(train, features, label) if boosted else forest_model(train, features, label, trees)
     return model, train, model.transform(val)
 
 
@@ -170,12 +225,12 @@ def held_out_aucs(df: DataFrame, features: Sequence[str], label: str, rf: Random
         validation.unpersist()
 
 
-def _assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df).select("features", label)
+def _assembled(df: DataFrame, features: Sequence[str], *kept: str) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df).select("features", *kept)
 
 
-def _auc(model, rows: DataFrame, label: str) -> float:
-    return float(BinaryClassificationEvaluator(labelCol=label).evaluate(model.transform(rows)))
+def _auc(model, rows: DataFrame, label: str, **weighted: str) -> float:
+    return float(BinaryClassificationEvaluator(labelCol=label, **weighted).evaluate(model.transform(rows)))
 
 
 def tune(df: DataFrame, features: Sequence[str], label: str = "label", depths=(3, 5), trees=(10, 20),
