@@ -402,6 +402,23 @@ def test_grouped_tree_is_sparkmls_of_the_drawn_rows(spark, monkeypatch):
         forest.grouped_forest(groups.withColumn("label", F.lit(0.5)), numbers, between, rf)
 
 
+def test_domain_classifier_of_many_rows_reads_groups(spark, monkeypatch):
+    """drift_classifier: each fold's forest took all rows of the others, one by one."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators import ml
+    df = _many_rows(spark, 220_000)
+    ref, cur = df.filter("label = 0"), df.filter("label = 1").withColumn("b", F.col("b") * 1.01)
+    seen = {}
+    monkeypatch.setattr(ml, "_grouped_fold_aucs", lambda *a, f=ml._grouped_fold_aucs: seen.setdefault("got", f(*a)) and seen.setdefault("want", ml._fold_aucs(*a)) and seen["got"])
+    ml.domain_classifier(ref, cur, ["a", "b"], trees=5, folds=2)
+    assert len(seen["got"]) == 2 and all(abs(g - w) < 0.01 and g > 0.7 for g, w in zip(seen["got"], seen["want"]))
+    monkeypatch.undo()
+    _no_fit_of_many_rows(monkeypatch)
+    row = ml.domain_classifier(ref, cur, ["a", "b"], trees=5, folds=2).first()
+    assert row["is_drifted"] and row["auc"] == round(float(np.mean(seen["got"])), 6)
+
+
 def test_fold_split_points_leave_the_fold_out(spark):
     from pyspark.sql import functions as F
 

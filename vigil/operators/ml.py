@@ -250,6 +250,34 @@ def tune(df: DataFrame, features: Sequence[str], label: str = "label", depths=(3
                                  "max_depth int, num_trees int, auc double, best boolean")
 
 
+def _fold_aucs(u: DataFrame, features: Sequence[str], held: Sequence[Column], rf: RandomForestClassifier) -> list[float]:
+    aucs = []
+    for h in held:
+        train, validation = (_assembled(u.filter(c), features, "label").persist() for c in (~h, h))
+        aucs.append(_auc(rf.fit(train), validation, "label"))
+        train.unpersist()
+        validation.unpersist()
+    return aucs
+
+
+def _grouped_fold_aucs(u: DataFrame, features: Sequence[str], held: Sequence[Column], rf: RandomForestClassifier) -> list[float]:
+    """The AUC of each fold by a forest of the other folds' groups of equal bins
+    (:func:`grouped_forest`); a fold's own rows of equal bins have one score and
+    are scored once, with their weight."""
+    u = u.withColumn("_fold", F.coalesce(*[F.when(h, i) for i, h in enumerate(held)], F.lit(-1)))
+    aucs = []
+    for i, (cuts, _) in enumerate(fold_split_points(u, features, F.col("_fold"), len(held))):
+        groups, numbers = _bin_groups(u.withColumn("_held", F.col("_fold") == i), features, cuts, "label", "_held")
+        groups = groups.persist()
+        try:
+            between = [[j + 0.5 for j in range(len(c))] for c in cuts]  # a group's features are the numbers of its bins
+            model = grouped_forest(groups.filter(~F.col("_held")), numbers, between, rf)
+            aucs.append(_auc(model, _assembled(groups.filter("_held"), numbers, "label", "_rows"), "label", weightCol="_rows"))
+        finally:
+            groups.unpersist()
+    return aucs
+
+
 def domain_classifier(ref: DataFrame, cur: DataFrame, features: Sequence[str], trees: int = 50, folds: int = 5,
                       seed: int = 42, threshold: float = 0.7) -> DataFrame:
     """Drift by a domain classifier: label reference 0 / current 1, random
@@ -260,13 +288,8 @@ def domain_classifier(ref: DataFrame, cur: DataFrame, features: Sequence[str], t
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed)
     # the folds of CrossValidator for this seed, without its last fit on all rows, whose model nobody reads
     u = u.withColumn("_draw", F.rand(seed))
-    aucs = []
-    for i in range(folds):
-        held = (F.col("_draw") >= i * (1.0 / folds)) & (F.col("_draw") < (i + 1) * (1.0 / folds))
-        train, validation = (_assembled(u.filter(c), features, "label").persist() for c in (~held, held))
-        aucs.append(_auc(rf.fit(train), validation, "label"))
-        train.unpersist()
-        validation.unpersist()
+    held = [(F.col("_draw") >= i * (1.0 / folds)) & (F.col("_draw") < (i + 1) * (1.0 / folds)) for i in range(folds)]
+    aucs = _fold_aucs(u, features, held, rf) if _taken_alone(u) else _grouped_fold_aucs(u, features, held, rf)
     a = float(np.mean(aucs))
     return ref.sparkSession.createDataFrame([(round(a, 6), a > threshold)], "auc double, is_drifted boolean")
 
